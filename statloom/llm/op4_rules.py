@@ -13,7 +13,7 @@ Windows of five words are compared by 64-bit hashes of their words' hashes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "[ \\t-\\r]+"
@@ -40,12 +40,15 @@ POLICIES = {
 }
 
 
-def measured(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_lines, n_dup_lines,
-    n_bullet_lines, n_ellipsis_lines and n_repeat_words."""
-    kept = [F.col(f"`{c}`") for c in docs.columns]
+def measured(docs: DataFrame, kept: Column | str = "doc_id", text_column: str = "text") -> DataFrame:
+    """`kept`, with n_words, word_chars, n_symbols, n_lines, n_dup_lines,
+    n_bullet_lines, n_ellipsis_lines and n_repeat_words. To keep a whole row,
+    give it as a struct: so no name clashes."""
+    kept = F.col(kept) if isinstance(kept, str) else kept
+    name = docs.select(kept).columns[0]
     text = F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
-    out = docs.select(*kept, text.alias("_text"))
+    out = docs.select(kept, text.alias("_text"))
+    kept = [F.col(f"`{name}`")]
     words = F.filter(F.split("_text", SPACE), lambda w: w != "")
     lines = F.filter(F.split("_text", "\n", -1), lambda x: x.rlike("[^ \\t-\\r]"))
     out = out.select(
@@ -73,9 +76,9 @@ def measured(docs: DataFrame, text_column: str = "text") -> DataFrame:
     return out.withColumn("n_repeat_words", repeats).drop("_windows")
 
 
-def ledger(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """docs with the measurements and `failed`, the number of failure bits."""
-    out = measured(docs, text_column)
+def ledger(docs: DataFrame, kept: Column | str = "doc_id", text_column: str = "text") -> DataFrame:
+    """`kept` with the measurements and `failed`, the number of failure bits."""
+    out = measured(docs, kept, text_column)
     bits = " | ".join(f"if({condition}, {BIT[name]}, 0)" for name, condition in RULES)
     return out.withColumn("failed", F.expr(bits))
 
@@ -97,7 +100,7 @@ def ablations(rows: DataFrame, policy: str) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = apply_policy(ledger(docs), "web-2")
     base = F.col("failed").bitwiseAND(BASE) != 0
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", F.col("failed").cast("long").alias("failed_rules"))

@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import key_runs, small_batches, written
@@ -209,6 +209,20 @@ def near_duplicates(docs: DataFrame, max_bits: int = 3, words: int = 3, blocks:
     return prints.join(named, "fp").select(F.col("id").alias(id_column), "fp", "component_id")
 
 
+def first_of_groups(docs: DataFrame, groups: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """docs without those that a smaller id of their group stands for. Of rows that
+    share an id, the first text stays."""
+    keepers = groups.where(F.col(id_column).eqNullSafe(F.col("component_id"))).select(F.col(id_column).alias("keeper"))
+    counts = keepers.groupBy("keeper").count()
+    several = bool(counts.where("count > 1").take(1))
+    out = docs.join(keepers, docs[id_column].eqNullSafe(keepers["keeper"]), "left_semi")
+    if several:
+        texts = [F.col(f"`{c}`") for c in docs.columns if c != id_column]
+        window = Window.partitionBy(F.col(f"`{id_column}`")).orderBy(*texts)
+        out = out.withColumn("_place", F.row_number().over(window)).where("_place = 1").drop("_place")
+    return out
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = near_duplicates(docs.select("doc_id", "text"))
