@@ -73,7 +73,9 @@ def measured(docs: DataFrame, kept: Column | str = "doc_id", text_column: str =
     places = f"array_sort(transform({again}, x -> x.i))"
     covered = f"transform(array({places}), p -> aggregate(transform(p, (x, k) -> least(5, coalesce(get(p, k + 1) - x, 5))), 0, (a, b) -> a + b))[0]"
     repeats = F.expr(f"cast(if(size(array_distinct(_windows)) = size(_windows), 0, {covered}) as long)")
-    return out.withColumn("n_repeat_words", repeats).drop("_windows")
+    out = out.withColumn("n_repeat_words", repeats).drop("_windows")
+    # Generated columns: a filter on them isn't pushed below, where it would compute each measurement anew for every use.
+    return out.select(*kept, F.inline(F.array(F.struct(*(c for c in out.columns if c != name)))))
 
 
 def ledger(docs: DataFrame, kept: Column | str = "doc_id", text_column: str = "text") -> DataFrame:
