@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -79,69 +80,103 @@ PIECE = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+#: A single pre-token of Latin letters, which no normalizer but for lower case changes.
+LETTERS = re.compile("[a-z\xdf-\xf6\xf8-\xff]+|[ A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff][A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
+
+
 class PieceIds:
     """Token ids of texts, by a tokenizers file. A text is cut where every
     context gives a token's end, and the ids of a piece are remembered, at most
     about `remembered` of them. encode_batch() gives what the tokenizer gives."""
 
-    def __init__(self, path: str, remembered: int = 500_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, remembered: int = 1_200_000):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         said = self.tokenizer.normalizer
         self.lower = said is not None and "Lowercase" in repr(said)
+        #: The same vocabulary without the search for pre-tokens, for pieces that are one.
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True
+        self.whole.normalizer = normalizers.Sequence([])
+        self.whole.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.remembered, self.known = remembered, {}
 
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        out = []
+    def _encode(self, parts: list[str], tokenizer) -> dict[str, bytes]:
+        out = {}
         for at in range(0, len(parts), 20_000):
             lot = parts[at : at + 20_000]
-            got = self.tokenizer.encode(lot, is_pretokenized=True, add_special_tokens=False)
+            got = tokenizer.encode(lot, is_pretokenized=True, add_special_tokens=False)
             words = np.array([-1 if x is None else x for x in got.word_ids], np.int64)
             ends = (4 * np.searchsorted(words, np.arange(len(lot)), side="right")).tolist()
-            raw = np.array(got.ids, np.uint32).tobytes()
-            out += [raw[start:end] for start, end in zip([0, *ends], ends)]
+            raw, start = np.array(got.ids, np.uint32).tobytes(), 0
+            for part, end in zip(lot, ends):
+                out[part] = raw[start:end]
+                start = end
         return out
 
-    def _cores(self, pieces: set[str]) -> Iterator[tuple[str, str, str]]:
-        """Each piece, and it without and only its last punctuation: a token ends
-        between a letter or digit and punctuation. Letters beyond Latin stay as they are."""
-        for piece in pieces:
-            core = piece.rstrip(TAIL)
-            if len(core) == len(piece):
-                tail = ""
-            elif core and core[-1].isalnum() and core[-1] < "\u0250":
-                tail = piece[len(core) :]
-            else:
-                core, tail = piece, ""
-            yield piece, core.lower() if self.lower and core.isascii() else core, tail
-
     def learn(self, pieces: set[str]) -> dict[str, bytes]:
-        cut = list(self._cores(pieces))
+        """Each new piece's ids: those of the piece without its last punctuation, and
+        of that; a token ends between a letter or digit and punctuation."""
         known = self.known
-        if len(known) + len(cut) > self.remembered:  # forget the oldest
+        if len(known) + len(pieces) > self.remembered:  # forget the oldest
             for piece in list(known)[: len(known) // 2]:
                 del known[piece]
-        parts = {core for _, core, _ in cut}
-        parts.update(tail for _, _, tail in cut)
-        parts = [x for x in parts if x]
-        ids = dict(zip(parts, self._encode(parts)), **{"": b""})
-        got = {piece: ids[core] + ids[tail] for piece, core, tail in cut}
-        known.update(got)
-        return got
+        cut, parts = [], {}
+        for piece in pieces:
+            core = piece.rstrip(TAIL)
+            if len(core) == len(piece) or not core or not core[-1].isalnum() or core[-1] >= "\u0250":
+                parts[piece] = None
+            else:
+                tail = piece[len(core) :]
+                cut.append((piece, core, tail))
+                if core not in pieces:
+                    parts[core] = known.get(core)
+                parts[tail] = known.get(tail)
+        todo = [x for x, ids in parts.items() if ids is None]
+        single = LETTERS.fullmatch
+        plain = [x for x in todo if single(x) and (not self.lower or x[0] != " " and x.islower())]
+        parts.update(self._encode(plain, self.whole))
+        left = [x for x in todo if parts[x] is None]
+        parts.update(self._encode(left, self.tokenizer))
+        for piece, core, tail in cut:
+            parts[piece] = parts[core] + parts[tail]
+        known.update(parts)
+        return parts
+
+    def _split(self, text: str) -> list[str]:
+        if not self.lower:
+            return PIECE.findall(text)
+        # Without white space tokens a plain split does, but for four controls that str.split() takes as space.
+        try:
+            text.encode("latin-1")
+            text = text.lower()
+        except UnicodeEncodeError:
+            pass
+        return PIECE.findall(text) if CONTROLS.search(text) else text.split()
 
     def raw(self, texts: list[str]) -> Iterator[list[bytes]]:
         """For each text, the ids of its pieces as bytes of uint32."""
-        # Without white space tokens a plain split does, but for four controls that str.split() takes as space.
-        plain = self.lower
-        split = [x.split() if plain and not CONTROLS.search(x) else PIECE.findall(x) for x in texts]
+        split = [self._split(x) for x in texts]
         get = self.known.get
         found = [list(map(get, x)) for x in split]
-        new = {x for pieces, ids in zip(split, found) if None in ids for x, y in zip(pieces, ids) if y is None}
-        fresh = self.learn(new) if new else {}
+        gaps, new = [], set()
         for pieces, ids in zip(split, found):
-            yield [fresh[x] if y is None else y for x, y in zip(pieces, ids)] if None in ids else ids
+            own, at = [], -1
+            try:
+                while True:
+                    at = ids.index(None, at + 1)
+                    own.append(at)
+            except ValueError:
+                pass
+            new.update([pieces[x] for x in own])
+            gaps.append(own)
+        fresh = self.learn(new) if new else {}
+        for pieces, ids, own in zip(split, found, gaps):
+            for at in own:
+                ids[at] = fresh[pieces[at]]
+            yield ids
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """uint32 ids of each text."""
@@ -156,6 +191,7 @@ _MADE: dict = {}
 
 def piece_ids(path: str) -> PieceIds:
     """One PieceIds for each Python worker and file."""
+    gc.disable()  # what it remembers has no cycles, and is large to walk through
     if path not in _MADE:
         _MADE.clear()
         _MADE[path] = PieceIds(path)
