@@ -76,6 +76,20 @@ WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 PIECE = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 
 
+#: White space but space and newline, and the mark that pieces_of() uses.
+RARE = re.compile("[\\0\\t\\x0b-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+
+
+def pieces_of(text: str) -> list[str]:
+    """The pieces of a text; by a plain split where spaces and newlines are its
+    only white space and stand alone."""
+    if text and not RARE.search(text):
+        found = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+        if " " not in found and "\n" not in found:
+            return found if found[0] else found[1:]
+    return PIECE.findall(text)
+
+
 #: ASCII punctuation that ends a piece; the apostrophe isn't in it, as it starts contractions.
 TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -147,7 +161,7 @@ class PieceIds:
 
     def _split(self, text: str) -> list[str]:
         if not self.lower:
-            return PIECE.findall(text)
+            return pieces_of(text)
         # Without white space tokens a plain split does, but for four controls that str.split() takes as space.
         try:
             text.encode("latin-1")

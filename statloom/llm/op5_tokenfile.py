@@ -115,7 +115,8 @@ class RangeFile:
 def read_token_files(spark, folder: str, id_column: str = "doc_id") -> DataFrame:
     """A row for each document of the files: id, start, n_tokens, ids_crc32 (of its
     ids as unsigned 32-bit integers), in tasks of a partition each."""
-    bases = spark.read.parquet(f"{folder}/bases.parquet").repartition(F.col("part"))
+    bases = spark.read.parquet(f"{folder}/bases.parquet")
+    bases = bases.repartition(max(1, bases.count()), "part")  # as many tasks as files
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, path = file_system(folder)

@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PIECE, small_batches
+from .common import pieces_of, small_batches
 
 #: Characters of a block's texts; words remembered between blocks.
 BLOCK, REMEMBERED = 12_000_000, 400_000
@@ -153,7 +153,7 @@ class Codec:
         """Each text's ids in decimal, and its decoded bytes. Pieces end where every text has a word's end."""
         new: set[str] = set()
         for text in texts:
-            new.update(PIECE.findall(text))
+            new.update(pieces_of(text))
         old = new.intersection(self.known)
         new -= old
         if len(self.known) + len(new) > self.remembered:  # forget what this block doesn't use, the oldest first
@@ -163,7 +163,7 @@ class Codec:
         if new:
             self.learn(new)
         for text in texts:
-            got = [self.known[x] for x in PIECE.findall(text)]
+            got = [self.known[x] for x in pieces_of(text)]
             yield " ".join([a for a, _ in got]), b"".join([b for _, b in got])
 
 

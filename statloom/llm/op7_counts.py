@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PIECE, small_batches
+from .common import pieces_of, small_batches
 
 
 class Counter:
@@ -56,7 +56,7 @@ class SegmentTree:
 
     def __init__(self, text: str, counter: Counter):
         self.counter = counter
-        self.leaves = PIECE.findall(text) or [""]
+        self.leaves = pieces_of(text) or [""]
         self.recounted = 0
         tokens = np.array(counter.counts(self.leaves) if text else [0], np.int64)
         chars = np.fromiter(map(len, self.leaves), np.int64, len(self.leaves))
@@ -101,7 +101,7 @@ class SegmentTree:
         begins = self._chars_before(first)
         text = "".join(self.leaves[first : last + 1])
         text = text[: start - begins] + replacement + text[end - begins :]
-        pieces = PIECE.findall(text)
+        pieces = pieces_of(text)
         self.recounted += len(pieces)
         self.leaves[first : last + 1] = [text] + [""] * (last - first)
         self._set(self.tokens, first, last, sum(self.counter.counts(pieces)))
