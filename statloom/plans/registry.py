@@ -2,6 +2,35 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
-FLAGSHIP = ""
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+FLAGSHIP = "forecast_scoring"
+
+
+class Tables:
+    """The tables of a folder, read when asked for."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    """Registers a function of Tables under its name."""
+
+    def add(f: Callable[[Tables], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, folder: f(Tables(spark, folder))
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+from . import forecasting, relational, windows  # noqa: E402, F401
