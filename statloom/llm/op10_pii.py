@@ -146,7 +146,7 @@ def labelled_candidates(rows: int = 1500, seed: int = 11) -> list[tuple[list[flo
         if kind == "email":
             if private:
                 at, dot = draw.choice([(" at ", " dot "), (" (at) ", " (dot) "), ("[at]", "[dot]"), ("@", "[.]")])
-                return f"{name()}{draw.choice(['', '.' + name(), n(2)])}{at}{name()}{dot}{draw.choice(sorted(TLDS))}", draw.choice(CONTEXT["email"])
+                return f"{name()}{draw.choice(['', '.' + name(), n(2)])}{at}{name()}{dot}{draw.choice(sorted(TLDS))}", draw.choice(CONTEXT["email"] if at == " at " else [*CONTEXT["email"], "reach", "and", "is", "the"])
             return f"{name()} at {name()} dot {name()}", draw.choice(["look", "the", "a", "we", "was"])
         if kind == "ip":
             if private:

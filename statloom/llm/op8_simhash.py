@@ -153,15 +153,16 @@ def links(fps: DataFrame, max_bits: int = 3, blocks: int = 2) -> DataFrame:
                 pairs = np.array(found, np.int64)
                 yield pd.DataFrame({"u": pairs.max(axis=1), "v": pairs.min(axis=1)})
 
-    rows = anchored(fps, max_bits, blocks)
-    rows = rows.selectExpr(
-        "*", "count(*) over (partition by block, anchor) as n", "max(home) over (partition by block, anchor) as any_home"
-    ).where("n > 1 and any_home")
-    parts = F.ceil(F.col("n") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    tiled = rows.withColumn("parts", parts).withColumn("own", own)
+    return _compared(anchored(fps, max_bits, blocks), ["fp"], "n > 1 and any_home", compare)
+
+
+def _compared(rows: DataFrame, columns: list[str], worth: str, compare) -> DataFrame:
+    """u, v by comparing the rows of each (block, anchor); lists over TILE rows in tiles."""
+    home = "max(home) over (partition by block, anchor)" if "home" in rows.columns else "true"
+    rows = rows.selectExpr("*", "count(*) over (partition by block, anchor) as n", f"{home} as any_home").where(worth)
+    tiled = rows.withColumn("parts", F.ceil(F.col("n") / TILE).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     tile = F.expr("transform(sequence(0, parts - 1), k -> least(own, k) * parts + greatest(own, k))")
-    tiled = tiled.select("block", "anchor", "fp", F.explode(tile).alias("tile"))
+    tiled = tiled.select("block", "anchor", *columns, F.explode(tile).alias("tile"))
     keys = ["block", "anchor", "tile"]
     return tiled.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(compare, "u long, v long").distinct()
 
@@ -196,12 +197,115 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+#: The wide form: words of 64 bits of a fingerprint, bits of a key, keys of a fingerprint, bits that may differ (of 256).
+WIDE, KEY_BITS, KEYS, WIDE_BITS = 4, 18, 56, 42
+
+
+def wide_fingerprint(text: str | None, words: int = 5) -> np.ndarray:
+    """256-bit SimHash of the lower-cased text's word shingles, as four signed 64-bit
+    numbers: the shingles' hashes and three mixtures of each."""
+    found = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+    counts, n = np.zeros(64 * WIDE, np.int64), max(1, len(found) - words + 1)
+    digest, join = xxhash.xxh64_digest, b" ".join
+    for at in range(0, n if found else 0, HELD // WIDE):
+        size = min(HELD // WIDE, n - at)
+        part = found[at : at + size + words - 1]
+        shingles = map(join, zip(*(part[k : k + size] for k in range(words)))) if len(found) >= words else [join(part)]
+        own = np.frombuffer(b"".join([digest(x, 42) for x in shingles]), ">u8").astype(np.uint64)
+        for k in range(WIDE):
+            if k:  # a bijective mixture
+                own = (own ^ (own >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+                own = (own ^ (own >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed = own ^ (own >> np.uint64(32))
+            counts[64 * k : 64 * k + 64] += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > n).view(np.int64)
+
+
+def wide_links(firsts: DataFrame) -> DataFrame:
+    """u, v: links between fingerprints (fp, f0..f3) that share one of the keys, each
+    of which takes bits at fixed places, and differ in at most WIDE_BITS bits. Long
+    fingerprints of two texts with four fifths of their shingles in common differ in
+    about 0.15 of their bits; such a pair shares a key with a probability of 0.95."""
+    columns = [f"f{k}" for k in range(WIDE)]
+    draw = np.random.default_rng(8)
+    places = [draw.choice(64 * WIDE, KEY_BITS, replace=False) for _ in range(KEYS)]
+
+    def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        powers = 1 << np.arange(KEY_BITS)
+        for frame in frames:
+            for at in range(0, len(frame), 1000):
+                lot = frame.iloc[at : at + 1000]
+                bits = np.unpackbits(np.ascontiguousarray(lot[columns].to_numpy(np.int64)).view(np.uint8), axis=1)
+                keys = np.stack([bits[:, x] @ powers for x in places], axis=1).astype(np.int32)
+                out = lot.loc[lot.index.repeat(KEYS)].reset_index(drop=True)
+                out.insert(0, "block", np.tile(np.arange(KEYS, dtype=np.int8), len(lot)))
+                out.insert(1, "anchor", keys.ravel())
+                yield out
+
+    def far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(a ^ b).sum(axis=-1)
+
+    def forest(names: np.ndarray, fps: np.ndarray) -> list[tuple[int, int]]:
+        left, out = np.arange(len(names)), []
+        while len(left):
+            todo, left = [left[0]], left[1:]
+            while todo and len(left):
+                at = todo.pop()
+                near = far(fps[left], fps[at]) <= WIDE_BITS
+                out += [(int(names[at]), int(names[x])) for x in left[near]]
+                todo += list(left[near])
+                left = left[~near]
+        return out
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame, bounds in key_runs(frames, ["block", "anchor", "tile"]):
+            names, fps = frame["fp"].to_numpy(), np.ascontiguousarray(frame[columns].to_numpy(np.int64)).view(np.uint64)
+            sizes, found = np.diff(bounds), []
+            for start, size in zip(bounds[:-1][sizes > 8], sizes[sizes > 8]):
+                found += forest(names[start : start + size], fps[start : start + size])
+            pairs = [np.array(found, np.int64).reshape(-1, 2)]
+            rest = np.repeat(np.where(sizes > 8, 0, bounds[1:]), sizes) - np.arange(bounds[0], bounds[-1])  # rows of the run from here on
+            for step in range(1, 8):
+                a = np.flatnonzero(rest > step)
+                a = a[far(fps[a], fps[a + step]) <= WIDE_BITS]
+                pairs.append(np.stack([names[a], names[a + step]], axis=1))
+            pairs = np.concatenate(pairs)
+            if len(pairs):
+                yield pd.DataFrame({"u": pairs.max(axis=1), "v": pairs.min(axis=1)}).drop_duplicates()
+
+    rows = firsts.select("fp", *columns).mapInPandas(keyed, "block tinyint, anchor int, fp long, " + ", ".join(f"{c} long" for c in columns))
+    return _compared(rows, ["fp", *columns], "n > 1", compare)
+
+
+def near_texts(docs: DataFrame, words: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The wide form of near_duplicates(), for texts of which about four fifths of the
+    five-word shingles are the same: id, fp, component_id."""
+    kind = docs.schema[id_column].dataType.simpleString()
+    columns = [f"f{k}" for k in range(WIDE)]
+
+    def compute(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            fps = np.array([wide_fingerprint(x, words) for x in frame["text"]], np.int64).reshape(-1, WIDE)
+            yield pd.DataFrame({"id": frame["id"], **{c: fps[:, k] for k, c in enumerate(columns)}})
+
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    rows = rows.mapInPandas(compute, f"id {kind}, " + ", ".join(f"{c} long" for c in columns))
+    prints = written(rows.withColumn("fp", F.xxhash64(*columns)), "fingerprints")
+    firsts = written(prints.groupBy("fp", *columns).agg(F.min("id").alias("first")), "distinct-fingerprints")
+    return _named(prints, firsts, components(wide_links(firsts)), id_column)
+
+
 def near_duplicates(docs: DataFrame, max_bits: int = 3, words: int = 3, blocks: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """A row for each document: its id, fp (signed long) and component_id, the
     smallest id that links of at most max_bits bits reach."""
     prints = written(fingerprints(docs, words, id_column, text_column), "fingerprints")
     firsts = written(prints.groupBy("fp").agg(F.min("id").alias("first")), "distinct-fingerprints")
-    roots = components(links(firsts, max_bits, blocks))
+    return _named(prints, firsts, components(links(firsts, max_bits, blocks)), id_column)
+
+
+def _named(prints: DataFrame, firsts: DataFrame, roots: DataFrame, id_column: str) -> DataFrame:
+    """id, fp and component_id of each row, from the components' roots."""
     named = firsts.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", F.coalesce("v", "fp").alias("root"), "first")
     named = written(named, "roots")
     least = written(named.groupBy("root").agg(F.min("first").alias("component_id")), "component-ids")
