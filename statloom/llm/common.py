@@ -103,7 +103,7 @@ class PieceIds:
     context gives a token's end, and the ids of a piece are remembered, at most
     about `remembered` of them. encode_batch() gives what the tokenizer gives."""
 
-    def __init__(self, path: str, remembered: int = 1_200_000):
+    def __init__(self, path: str, remembered: int = 1_600_000):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -132,13 +132,20 @@ class PieceIds:
 
     def learn(self, pieces: set[str]) -> dict[str, bytes]:
         """Each new piece's ids: those of the piece without its last punctuation, and
-        of that; a token ends between a letter or digit and punctuation."""
+        of that, or of its first newline and the rest; a token ends between a letter or
+        digit and punctuation."""
         known = self.known
         if len(known) + len(pieces) > self.remembered:  # forget the oldest
             for piece in list(known)[: len(known) // 2]:
                 del known[piece]
         cut, parts = [], {}
         for piece in pieces:
+            if piece[0] == "\n" and len(piece) > 1 and not piece[1].isspace():  # before anything but white space a newline is a token's end
+                cut.append((piece, "\n", piece[1:]))
+                if piece[1:] not in pieces:
+                    parts[piece[1:]] = known.get(piece[1:])
+                parts["\n"] = known.get("\n")
+                continue
             core = piece.rstrip(TAIL)
             if len(core) == len(piece) or not core or not core[-1].isalnum() or core[-1] >= "\u0250":
                 parts[piece] = None
@@ -154,7 +161,7 @@ class PieceIds:
         parts.update(self._encode(plain, self.whole))
         left = [x for x in todo if parts[x] is None]
         parts.update(self._encode(left, self.tokenizer))
-        for piece, core, tail in cut:
+        for piece, core, tail in sorted(cut, key=lambda x: x[1] == "\n"):  # a newline's other part may be cut itself
             parts[piece] = parts[core] + parts[tail]
         known.update(parts)
         return parts

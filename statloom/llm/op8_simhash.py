@@ -160,11 +160,14 @@ def _compared(rows: DataFrame, columns: list[str], worth: str, compare) -> DataF
     """u, v by comparing the rows of each (block, anchor); lists over TILE rows in tiles."""
     home = "max(home) over (partition by block, anchor)" if "home" in rows.columns else "true"
     rows = rows.selectExpr("*", "count(*) over (partition by block, anchor) as n", f"{home} as any_home").where(worth)
-    tiled = rows.withColumn("parts", F.ceil(F.col("n") / TILE).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    schema, keys = "u long, v long", ["block", "anchor", "tile"]
+    # Short lists stand together and in order already, by the windows above; only long ones are dealt anew.
+    short = rows.where(F.col("n") <= TILE).select("block", "anchor", *columns, F.lit(0).alias("tile"))
+    found = short.sortWithinPartitions("block", "anchor").mapInPandas(compare, schema)
+    tiled = rows.where(F.col("n") > TILE).withColumn("parts", F.ceil(F.col("n") / TILE).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     tile = F.expr("transform(sequence(0, parts - 1), k -> least(own, k) * parts + greatest(own, k))")
     tiled = tiled.select("block", "anchor", *columns, F.explode(tile).alias("tile"))
-    keys = ["block", "anchor", "tile"]
-    return tiled.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(compare, "u long, v long").distinct()
+    return found.union(tiled.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(compare, schema)).distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
