@@ -156,11 +156,11 @@ def links(fps: DataFrame, max_bits: int = 3, blocks: int = 2) -> DataFrame:
     return _compared(anchored(fps, max_bits, blocks), ["fp"], "n > 1 and any_home", compare)
 
 
-def _compared(rows: DataFrame, columns: list[str], worth: str, compare) -> DataFrame:
-    """u, v by comparing the rows of each (block, anchor); lists over TILE rows in tiles."""
+def _compared(rows: DataFrame, columns: list[str], worth: str, compare, schema: str = "u long, v long") -> DataFrame:
+    """What compare() finds, by comparing the rows of each (block, anchor); lists over TILE rows in tiles."""
     home = "max(home) over (partition by block, anchor)" if "home" in rows.columns else "true"
     rows = rows.selectExpr("*", "count(*) over (partition by block, anchor) as n", f"{home} as any_home").where(worth)
-    schema, keys = "u long, v long", ["block", "anchor", "tile"]
+    keys = ["block", "anchor", "tile"]
     # Short lists stand together and in order already, by the windows above; only long ones are dealt anew.
     short = rows.where(F.col("n") <= TILE).select("block", "anchor", *columns, F.lit(0).alias("tile"))
     found = short.sortWithinPartitions("block", "anchor").mapInPandas(compare, schema)
@@ -200,103 +200,189 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-#: The wide form: words of 64 bits of a fingerprint, bits of a key, keys of a fingerprint, bits that may differ (of 256).
-WIDE, KEY_BITS, KEYS, WIDE_BITS = 4, 18, 56, 42
+#: The wide form: words of 64 bits of a fingerprint, bits of a key, keys of a fingerprint.
+WIDE, KEY_BITS, KEYS = 4, 17, 96
+#: Of 256 bits: at most SURE differ between texts that are linked without a look at
+#: their shingles; those of at most WIDE_BITS are linked if an exact count says so.
+SURE, WIDE_BITS = 24, 52
+COLUMNS = [f"f{k}" for k in range(WIDE)]
 
 
-def wide_fingerprint(text: str | None, words: int = 5) -> np.ndarray:
-    """256-bit SimHash of the lower-cased text's word shingles, as four signed 64-bit
-    numbers: the shingles' hashes and three mixtures of each."""
+def shingle_hashes(text: str | None, words: int = 5) -> np.ndarray:
+    """Sorted 64-bit hashes (unsigned) of the lower-cased text's different word
+    shingles; of all its words where they are fewer, of none for none."""
     found = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
-    counts, n = np.zeros(64 * WIDE, np.int64), max(1, len(found) - words + 1)
     digest, join = xxhash.xxh64_digest, b" ".join
-    for at in range(0, n if found else 0, HELD // WIDE):
-        size = min(HELD // WIDE, n - at)
-        part = found[at : at + size + words - 1]
-        shingles = map(join, zip(*(part[k : k + size] for k in range(words)))) if len(found) >= words else [join(part)]
-        own = np.frombuffer(b"".join([digest(x, 42) for x in shingles]), ">u8").astype(np.uint64)
+    shingles = map(join, zip(*(found[k:] for k in range(words)))) if len(found) >= words else [join(found)] if found else []
+    return np.unique(np.frombuffer(b"".join([digest(x, 42) for x in shingles]), ">u8").astype(np.uint64))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """256-bit SimHash of shingle_hashes(), as four signed 64-bit numbers: the
+    hashes and three mixtures of each."""
+    counts = np.zeros(64 * WIDE, np.int64)
+    for at in range(0, len(hashes), HELD // WIDE):
+        own = hashes[at : at + HELD // WIDE]
         for k in range(WIDE):
             if k:  # a bijective mixture
                 own = (own ^ (own >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
                 own = (own ^ (own >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
             mixed = own ^ (own >> np.uint64(32))
             counts[64 * k : 64 * k + 64] += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * counts > n).view(np.int64)
+    return np.packbits(2 * counts > len(hashes)).view(np.int64)
 
 
-def wide_links(firsts: DataFrame) -> DataFrame:
-    """u, v: links between fingerprints (fp, f0..f3) that share one of the keys, each
-    of which takes bits at fixed places, and differ in at most WIDE_BITS bits. Long
-    fingerprints of two texts with four fifths of their shingles in common differ in
-    about 0.15 of their bits; such a pair shares a key with a probability of 0.95."""
-    columns = [f"f{k}" for k in range(WIDE)]
+def keyed(firsts: DataFrame, *others: str) -> DataFrame:
+    """A row for each key of each fingerprint (fp, f0..f3, other long columns). A key
+    takes bits at fixed places, the anchor is their values. Two texts with four fifths
+    of their shingles in common differ in about 0.15 of the bits and share at least one
+    of the keys with a probability of 0.99."""
     draw = np.random.default_rng(8)
     places = [draw.choice(64 * WIDE, KEY_BITS, replace=False) for _ in range(KEYS)]
 
-    def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compute(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         powers = 1 << np.arange(KEY_BITS)
         for frame in frames:
             for at in range(0, len(frame), 1000):
                 lot = frame.iloc[at : at + 1000]
-                bits = np.unpackbits(np.ascontiguousarray(lot[columns].to_numpy(np.int64)).view(np.uint8), axis=1)
+                bits = np.unpackbits(np.ascontiguousarray(lot[COLUMNS].to_numpy(np.int64)).view(np.uint8), axis=1)
                 keys = np.stack([bits[:, x] @ powers for x in places], axis=1).astype(np.int32)
                 out = lot.loc[lot.index.repeat(KEYS)].reset_index(drop=True)
                 out.insert(0, "block", np.tile(np.arange(KEYS, dtype=np.int8), len(lot)))
                 out.insert(1, "anchor", keys.ravel())
                 yield out
 
-    def far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(a ^ b).sum(axis=-1)
-
-    def forest(names: np.ndarray, fps: np.ndarray) -> list[tuple[int, int]]:
-        left, out = np.arange(len(names)), []
-        while len(left):
-            todo, left = [left[0]], left[1:]
-            while todo and len(left):
-                at = todo.pop()
-                near = far(fps[left], fps[at]) <= WIDE_BITS
-                out += [(int(names[at]), int(names[x])) for x in left[near]]
+    columns = ["fp", *COLUMNS, *others]
+    return firsts.select(*columns).mapInPandas(compute, "block tinyint, anchor int, " + ", ".join(f"{c} long" for c in columns))
+
+
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1)
+
+
+def wide_forest(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links of at most max_bits bits, as pairs of places."""
+    left, out = np.arange(len(fps)), []
+    while len(left):
+        todo, left = [left[0]], left[1:]
+        while todo and len(left):
+            at = todo.pop()
+            near = differing(fps[left], fps[at]) <= max_bits
+            if near.any():
+                out += [(at, x) for x in left[near]]
                 todo += list(left[near])
                 left = left[~near]
-        return out
+    return out
+
+
+def _lists(frames: Iterator[pd.DataFrame], *others: str) -> Iterator[tuple]:
+    """Each anchor's list: names, fingerprints and other columns."""
+    for frame, bounds in key_runs(frames, ["block", "anchor", "tile"]):
+        names, fps = frame["fp"].to_numpy(), np.ascontiguousarray(frame[COLUMNS].to_numpy(np.int64)).view(np.uint64)
+        rest = [frame[c].to_numpy() for c in others]
+        yield names, fps, bounds, *rest
+
+
+def _ordered(u: np.ndarray, v: np.ndarray, **more) -> pd.DataFrame:
+    return pd.DataFrame({"u": np.maximum(u, v), "v": np.minimum(u, v), **more}).drop_duplicates()
+
+
+def wide_forests(firsts: DataFrame) -> DataFrame:
+    """u, v, sure: per anchor and tile, a spanning forest of the links of at most
+    WIDE_BITS bits, and one of those of at most SURE bits."""
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame, bounds in key_runs(frames, ["block", "anchor", "tile"]):
-            names, fps = frame["fp"].to_numpy(), np.ascontiguousarray(frame[columns].to_numpy(np.int64)).view(np.uint64)
-            sizes, found = np.diff(bounds), []
+        for names, fps, bounds in _lists(frames):
+            sizes, us, vs, sure = np.diff(bounds), [], [], []
             for start, size in zip(bounds[:-1][sizes > 8], sizes[sizes > 8]):
-                found += forest(names[start : start + size], fps[start : start + size])
-            pairs = [np.array(found, np.int64).reshape(-1, 2)]
+                for bits in (SURE, WIDE_BITS):
+                    pairs = np.array(wide_forest(fps[start : start + size], bits), np.int64).reshape(-1, 2) + start
+                    us.append(pairs[:, 0])
+                    vs.append(pairs[:, 1])
+                    sure.append(np.full(len(pairs), bits == SURE))
             rest = np.repeat(np.where(sizes > 8, 0, bounds[1:]), sizes) - np.arange(bounds[0], bounds[-1])  # rows of the run from here on
             for step in range(1, 8):
                 a = np.flatnonzero(rest > step)
-                a = a[far(fps[a], fps[a + step]) <= WIDE_BITS]
-                pairs.append(np.stack([names[a], names[a + step]], axis=1))
-            pairs = np.concatenate(pairs)
-            if len(pairs):
-                yield pd.DataFrame({"u": pairs.max(axis=1), "v": pairs.min(axis=1)}).drop_duplicates()
+                far = differing(fps[a], fps[a + step])
+                us.append(a[far <= WIDE_BITS])
+                vs.append(us[-1] + step)
+                sure.append(far[far <= WIDE_BITS] <= SURE)
+            us, vs = np.concatenate(us), np.concatenate(vs)
+            if len(us):
+                yield _ordered(names[us], names[vs], sure=np.concatenate(sure))
 
-    rows = firsts.select("fp", *columns).mapInPandas(keyed, "block tinyint, anchor int, fp long, " + ", ".join(f"{c} long" for c in columns))
-    return _compared(rows, ["fp", *columns], "n > 1", compare)
+    return _compared(keyed(firsts), ["fp", *COLUMNS], "n > 1", compare, "u long, v long, sure boolean")
 
 
-def near_texts(docs: DataFrame, words: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The wide form of near_duplicates(), for texts of which about four fifths of the
-    five-word shingles are the same: id, fp, component_id."""
+def candidates(labelled: DataFrame) -> DataFrame:
+    """u, v: the pairs of fingerprints (fp, f0..f3, root) with different roots that
+    share a key and differ in at most WIDE_BITS bits."""
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for names, fps, bounds, roots in _lists(frames, "root"):
+            us, vs, held = [], [], 0
+            for start, end in zip(bounds[:-1], bounds[1:]):
+                if (roots[start:end] == roots[start]).all():
+                    continue
+                for at in range(start, end - 1):
+                    other = at + 1 + np.flatnonzero(roots[at + 1 : end] != roots[at])
+                    other = other[differing(fps[other], fps[at]) <= WIDE_BITS]
+                    us.append(np.full(len(other), names[at]))
+                    vs.append(names[other])
+                    held += len(other)
+                    if held > 100_000:
+                        yield _ordered(np.concatenate(us), np.concatenate(vs))
+                        us, vs, held = [], [], 0
+            if held:
+                yield _ordered(np.concatenate(us), np.concatenate(vs))
+
+    return _compared(keyed(labelled, "root"), ["fp", *COLUMNS, "root"], "n > 1", compare)
+
+
+def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (u, v) whose sets (fp, shingles) have at least that Jaccard similarity."""
+    a = sets.select(F.col("fp").alias("u"), F.col("shingles").alias("a"))
+    b = sets.select(F.col("fp").alias("v"), F.col("shingles").alias("b"))
+    met = pairs.join(a, "u").join(b, "v").withColumn("both", F.size(F.array_intersect("a", "b")))
+    return met.where(F.col("both") >= least * (F.size("a") + F.size("b") - F.col("both"))).select("u", "v")
+
+
+def near_texts(docs: DataFrame, words: int = 5, least: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """near_duplicates() for texts that have at least that share of their different
+    five-word shingles in common: id, fp, component_id. Fingerprints of 256 bits give
+    the candidates. Links of at most SURE bits join texts into classes; between
+    different classes every candidate is held against the shingles themselves."""
     kind = docs.schema[id_column].dataType.simpleString()
-    columns = [f"f{k}" for k in range(WIDE)]
+    longs = ", ".join(f"{c} long" for c in COLUMNS)
 
-    def compute(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def prints_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            fps = np.array([wide_fingerprint(shingle_hashes(x, words)) for x in frame["text"]], np.int64).reshape(-1, WIDE)
+            yield pd.DataFrame({"id": frame["id"], **{c: fps[:, k] for k, c in enumerate(COLUMNS)}})
+
+    def sets_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            fps = np.array([wide_fingerprint(x, words) for x in frame["text"]], np.int64).reshape(-1, WIDE)
-            yield pd.DataFrame({"id": frame["id"], **{c: fps[:, k] for k, c in enumerate(columns)}})
+            for fp, text, *fs in frame[["fp", "text", *COLUMNS]].itertuples(index=False):
+                hashes = shingle_hashes(text, words)
+                if (wide_fingerprint(hashes) == np.array(fs, np.int64)).all():  # rows may share an id
+                    yield pd.DataFrame({"fp": [fp], "shingles": [hashes.view(np.int64)]})
 
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    rows = rows.mapInPandas(compute, f"id {kind}, " + ", ".join(f"{c} long" for c in columns))
-    prints = written(rows.withColumn("fp", F.xxhash64(*columns)), "fingerprints")
-    firsts = written(prints.groupBy("fp", *columns).agg(F.min("id").alias("first")), "distinct-fingerprints")
-    return _named(prints, firsts, components(wide_links(firsts)), id_column)
+    prints = written(rows.mapInPandas(prints_of, f"id {kind}, {longs}").withColumn("fp", F.xxhash64(*COLUMNS)), "fingerprints")
+    firsts = written(prints.groupBy("fp", *COLUMNS).agg(F.min("id").alias("first")), "distinct-fingerprints")
+    forests = written(wide_forests(firsts), "forests")
+    sure = forests.where("sure").select("u", "v").distinct()
+    roots = components(sure).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    touched = forests.where("not sure").select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+    labelled = firsts.join(touched, "fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    labelled = written(labelled, "labelled-fingerprints")
+    pairs = written(candidates(labelled), "candidates")
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(labelled, "fp")
+    texts = rows.join(wanted, rows["id"].eqNullSafe(wanted["first"])).select("fp", "text", *COLUMNS)
+    sets = written(texts.mapInPandas(sets_of, "fp long, shingles array<long>").groupBy("fp").agg(F.min("shingles").alias("shingles")), "shingles")
+    edges = sure.union(alike(pairs, sets, least)).distinct()
+    return _named(prints, firsts, components(edges), id_column)
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = 3, words: int = 3, blocks: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

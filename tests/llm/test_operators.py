@@ -243,6 +243,24 @@ def test_simhash(odd, no_rows):
     assert len(rows(op8_simhash.near_texts(odd))) == odd.count()
 
 
+def test_near_texts_agree_with_all_pairs(spark, monkeypatch):
+    """Groups of texts with 0.6 to 1 of their shingles in common, long lists in tiles."""
+    monkeypatch.setattr(op8_simhash, "TILE", 16)
+    draw, texts = random.Random(11), []
+    for group in range(12):
+        words = [f"w{draw.randint(0, 4000)}" for _ in range(draw.randint(60, 300))]
+        for _ in range(12):
+            own = list(words)
+            for at in draw.sample(range(len(own)), draw.randint(0, len(own) // 20)):
+                own[at] = f"n{draw.randint(0, 10**6)}"
+            texts.append(" ".join(own))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = {k: set(op8_simhash.shingle_hashes(x).tolist()) for k, x in enumerate(texts)}
+    want = brute_components(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    got = {r.doc_id: r.component_id for r in rows(op8_simhash.near_texts(table))}
+    assert len(set(want.values())) > 15 and got == want
+
+
 @pytest.mark.parametrize("max_bits,blocks", [(3, 2), (5, 2), (4, 4)])
 def test_anchors_lose_no_link(spark, max_bits, blocks, monkeypatch):
     monkeypatch.setattr(op8_simhash, "TILE", 16)
