@@ -22,8 +22,8 @@ def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts with about four fifths of their five-word
-    shingles in common: that of the smallest id."""
+    """One document of each group of texts with four fifths or more of their different
+    five-word shingles in common: that of the smallest id."""
     groups = written(op8_simhash.near_texts(docs.select("doc_id", "text")), "groups")
     return op8_simhash.first_of_groups(docs, groups)
 
