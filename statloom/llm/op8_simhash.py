@@ -160,6 +160,8 @@ def _compared(rows: DataFrame, columns: list[str], worth: str, compare, schema:
     """What compare() finds, by comparing the rows of each (block, anchor); lists over TILE rows in tiles."""
     home = "max(home) over (partition by block, anchor)" if "home" in rows.columns else "true"
     rows = rows.selectExpr("*", "count(*) over (partition by block, anchor) as n", f"{home} as any_home").where(worth)
+    if "fp" not in rows.columns:
+        rows = rows.withColumn("fp", F.xxhash64(*COLUMNS))
     keys = ["block", "anchor", "tile"]
     # Short lists stand together and in order already, by the windows above; only long ones are dealt anew.
     short = rows.where(F.col("n") <= TILE).select("block", "anchor", *columns, F.lit(0).alias("tile"))
@@ -201,7 +203,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 #: The wide form: words of 64 bits of a fingerprint, bits of a key, keys of a fingerprint.
-WIDE, KEY_BITS, KEYS = 4, 17, 96
+WIDE, KEY_BITS, KEYS = 4, 17, 80
 #: Of 256 bits: at most SURE differ between texts that are linked without a look at
 #: their shingles; those of at most WIDE_BITS are linked if an exact count says so.
 SURE, WIDE_BITS = 24, 52
@@ -233,7 +235,7 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
 
 
 def keyed(firsts: DataFrame, *others: str) -> DataFrame:
-    """A row for each key of each fingerprint (fp, f0..f3, other long columns). A key
+    """A row for each key of each fingerprint (f0..f3, other long columns). A key
     takes bits at fixed places, the anchor is their values. Two texts with four fifths
     of their shingles in common differ in about 0.15 of the bits and share at least one
     of the keys with a probability of 0.99."""
@@ -252,7 +254,7 @@ def keyed(firsts: DataFrame, *others: str) -> DataFrame:
                 out.insert(1, "anchor", keys.ravel())
                 yield out
 
-    columns = ["fp", *COLUMNS, *others]
+    columns = [*COLUMNS, *others]  # fp, their hash, is made again after the shuffle
     return firsts.select(*columns).mapInPandas(compute, "block tinyint, anchor int, " + ", ".join(f"{c} long" for c in columns))
 
 
@@ -339,6 +341,14 @@ def candidates(labelled: DataFrame) -> DataFrame:
     return _compared(keyed(labelled, "root"), ["fp", *COLUMNS, "root"], "n > 1", compare)
 
 
+def _rooted(df: DataFrame, roots: DataFrame, *names: str) -> DataFrame:
+    """df with, for each of the columns, its component's root in another one."""
+    for name in names:
+        own = roots.select(F.col("u").alias(name), F.col("v").alias(f"{name}_root"))
+        df = df.join(own, name, "left").withColumn(f"{name}_root", F.coalesce(f"{name}_root", name))
+    return df
+
+
 def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (u, v) whose sets (fp, shingles) have at least that Jaccard similarity."""
     a = sets.select(F.col("fp").alias("u"), F.col("shingles").alias("a"))
@@ -372,16 +382,16 @@ def near_texts(docs: DataFrame, words: int = 5, least: float = 0.8, id_column: s
     prints = written(rows.mapInPandas(prints_of, f"id {kind}, {longs}").withColumn("fp", F.xxhash64(*COLUMNS)), "fingerprints")
     firsts = written(prints.groupBy("fp", *COLUMNS).agg(F.min("id").alias("first")), "distinct-fingerprints")
     forests = written(wide_forests(firsts), "forests")
-    sure = forests.where("sure").select("u", "v").distinct()
-    roots = components(sure).select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    touched = forests.where("not sure").select(F.explode(F.array("u", "v")).alias("fp")).distinct()
-    labelled = firsts.join(touched, "fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    labelled = written(labelled, "labelled-fingerprints")
-    pairs = written(candidates(labelled), "candidates")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(labelled, "fp")
+    wanted = forests.where("not sure").select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(firsts, "fp")
     texts = rows.join(wanted, rows["id"].eqNullSafe(wanted["first"])).select("fp", "text", *COLUMNS)
     sets = written(texts.mapInPandas(sets_of, "fp long, shingles array<long>").groupBy("fp").agg(F.min("shingles").alias("shingles")), "shingles")
-    edges = sure.union(alike(pairs, sets, least)).distinct()
+    # The forests' links come first: as many as texts, and they leave few classes to hold against each other.
+    joined = _rooted(forests, components(forests.where("sure").select("u", "v").distinct()), "u", "v").where("not sure and u_root != v_root")
+    edges = written(forests.where("sure").select("u", "v").union(alike(joined.select("u", "v").distinct(), sets, least)).distinct(), "first-links")
+    roots = components(edges)
+    labelled = written(_rooted(wanted, roots, "fp").withColumnRenamed("fp_root", "root"), "labelled-fingerprints")
+    pairs = written(candidates(labelled), "candidates")
+    edges = edges.union(alike(pairs, sets, least))
     return _named(prints, firsts, components(edges), id_column)
 
 
