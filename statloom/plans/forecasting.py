@@ -83,12 +83,12 @@ def calibration_bins(t):
 DRAWN = "CAST(('0x' || substr(md5('{seed}|' || {b} || '|' || {i}), 1, 8)) AS BIGINT)"
 
 
-@query(EVAL + f""", c AS (SELECT row_number() OVER (ORDER BY id) - 1 AS place, power(actual - part, 2) AS a, power(actual - 150, 2) AS b FROM e WHERE phase = 'holdout' AND id % 20 = 0),
+@query(EVAL + f""", c AS (SELECT row_number() OVER (ORDER BY id) - 1 AS place, power(actual - part, 2) AS a, power(actual - 150, 2) AS b FROM e WHERE phase = 'holdout'),
  n AS (SELECT count(*) AS n FROM c), d AS (SELECT draw, {DRAWN.format(seed='20260926', b='draw', i='place')} % n AS place FROM c, n, range(50) r(draw))
  SELECT draw, round(sqrt(avg(a)) - sqrt(avg(b)) + 1e-9, 4) AS gain FROM d JOIN c USING (place) GROUP BY draw""")
 def paired_bootstrap(t):
     """Paired draws by counters; the evaluation set is a fixed cohort of games."""
-    e = evaluation(t).where("phase = 'holdout' and id % 20 = 0")
+    e = evaluation(t).where("phase = 'holdout'")
     losses = e.select("id", F.pow(F.col("actual") - F.col("part"), 2).alias("loss_a"), F.pow(F.col("actual") - 150, 2).alias("loss_b"))
     return E.bootstrap_rmse_gain(losses, 50, "20260926", ["id"]).select(F.col("draw").cast("long").alias("draw"), F.round(F.col("gain") + 1e-9, 4).alias("gain"))
 
