@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 
 def point_metrics(df: DataFrame, by: list[str], actual: str = "actual", forecast: str = "forecast") -> DataFrame:
     """n, rmse, mae, bias, correlation and calibration line of each group; the last
@@ -48,9 +50,8 @@ def drawn(seed: str, draw: Column, slot: Column, n: Column) -> Column:
 
 def bootstrap_rmse_gain(losses: DataFrame, draws: int, seed: str, order: list[str], a: str = "loss_a", b: str = "loss_b") -> DataFrame:
     """Of a paired bootstrap over rows: draw, gain = rmse(a) - rmse(b). losses has a
-    row for each case (an evaluation table: thousands), numbered in order."""
-    place = (F.row_number().over(Window.orderBy(*order)) - 1).cast("long")
-    cases = losses.select(place.alias("place"), F.col(a).alias("a"), F.col(b).alias("b"))
+    row for each case, numbered in order."""
+    cases = numbered(losses, order, "place").select("place", F.col(a).alias("a"), F.col(b).alias("b"))
     n = cases.agg(F.count("*").alias("n"))
     slots = cases.select(F.col("place").alias("slot")).crossJoin(F.broadcast(n))
     picks = slots.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).select("draw", drawn(seed, F.col("draw"), F.col("slot"), F.col("n")).alias("place"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import possessions as P
 from .registry import query
 
 LOG = """WITH s AS (SELECT user_id AS game, CAST(ts AS DATE) AS period, ts, event_id, value, CASE WHEN event_type IN ('view', 'click') THEN 'home' WHEN event_type IN ('purchase', 'signup') THEN 'away' END AS team FROM events)"""
@@ -210,3 +211,13 @@ def table_equality(t):
     b = t.orders.select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("y"), F.col("o_orderstatus").alias("g"), F.lit(True).alias("in_b"))
     return a.join(b, "k", "full").agg(F.count("*").alias("n"), F.count_if(F.col("in_a").isNull()).alias("only_right"), F.count_if(F.col("in_b").isNull()).alias("only_left"),
         F.count_if(F.abs(F.col("x") - F.col("y")) > 1e-9 + 1e-9 * F.abs(F.col("y"))).alias("numbers_differ"), F.count_if(F.col("f") != F.col("g")).alias("texts_differ"))
+
+
+@query()
+def possession_machine(t):
+    """D3: the log of each game folded into possessions; what follows depends on all that came before, so there is no SQL."""
+    kind, n = F.col("event_type"), F.floor("value").cast("int")
+    action = F.when(kind == "view", "make").when(kind == "click", "miss").when(kind == "error", "rebound").when(kind == "purchase", "free_throw").otherwise("turnover")
+    played = t.events.select(F.col("user_id").alias("game"), F.month("ts").alias("period"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("clock"), action.alias("action"), F.when(n % 2 == 0, "home").otherwise("away").alias("team"),
+        (n % 2 + 1).alias("ft_number"), F.lit(2).alias("ft_of"), (F.col("value") > 20).alias("ft_made"), F.lit(False).alias("ft_retained"), "ts", "event_id")
+    return P.possessions(played, ["ts", "event_id"])
