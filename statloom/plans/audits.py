@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import possessions as P
+from ..operators import relational as R
 from .registry import query
 
 LOG = """WITH s AS (SELECT user_id AS game, CAST(ts AS DATE) AS period, ts, event_id, value, CASE WHEN event_type IN ('view', 'click') THEN 'home' WHEN event_type IN ('purchase', 'signup') THEN 'away' END AS team FROM events)"""
@@ -213,11 +214,27 @@ def table_equality(t):
         F.count_if(F.abs(F.col("x") - F.col("y")) > 1e-9 + 1e-9 * F.abs(F.col("y"))).alias("numbers_differ"), F.count_if(F.col("f") != F.col("g")).alias("texts_differ"))
 
 
+def played(t):
+    """The log of each game with the columns that the possession fold takes."""
+    kind, n = F.col("event_type"), F.floor("value").cast("int")
+    action = F.when(kind == "view", "make").when(kind == "click", "miss").when(kind == "error", "rebound").when(kind == "purchase", "free_throw").otherwise("turnover")
+    return t.events.select(F.col("user_id").alias("game"), F.month("ts").alias("period"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("clock"), action.alias("action"), F.when(n % 2 == 0, "home").otherwise("away").alias("team"),
+        (n % 2 + 1).alias("ft_number"), F.lit(2).alias("ft_of"), (F.col("value") > 20).alias("ft_made"), F.lit(False).alias("ft_retained"), "ts", "event_id", (n % 3).alias("lineup"))
+
+
 @query()
 def possession_machine(t):
     """D3: the log of each game folded into possessions; what follows depends on all that came before, so there is no SQL."""
-    kind, n = F.col("event_type"), F.floor("value").cast("int")
-    action = F.when(kind == "view", "make").when(kind == "click", "miss").when(kind == "error", "rebound").when(kind == "purchase", "free_throw").otherwise("turnover")
-    played = t.events.select(F.col("user_id").alias("game"), F.month("ts").alias("period"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("clock"), action.alias("action"), F.when(n % 2 == 0, "home").otherwise("away").alias("team"),
-        (n % 2 + 1).alias("ft_number"), F.lit(2).alias("ft_of"), (F.col("value") > 20).alias("ft_made"), F.lit(False).alias("ft_retained"), "ts", "event_id")
-    return P.possessions(played, ["ts", "event_id"])
+    return P.possessions(played(t), ["ts", "event_id"])
+
+
+@query()
+def possession_segments(t):
+    """Possessions cut where the lineup changes; only the last segment counts as a possession. An as-of join
+    gives each row its possession: that of the last first row up to it."""
+    rows = played(t).select("game", "lineup", (F.row_number().over(Window.partitionBy("game").orderBy("ts", "event_id")) - 1).cast("long").alias("seq"))
+    begun = P.possessions(played(t), ["ts", "event_id"]).select("game", "possession", (F.col("first_seq") - 1).alias("before"))
+    held = R.asof_strict(rows, begun, "seq", "before", ["game"], ["possession"])
+    cut = R.islands(held, ["game", "possession"], ["seq"], F.col("lineup"), "segment").groupBy("game", "possession", F.col("segment").cast("int").alias("segment"), "lineup").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+    last = F.max("segment").over(Window.partitionBy("game", "possession"))
+    return cut.withColumn("poss_count", (F.col("segment") == last).cast("int"))

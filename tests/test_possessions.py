@@ -68,6 +68,16 @@ def test_tiling(spark):
         assert own["last_seq"].iloc[-1] == events[game] - 1
 
 
+def test_segments_tile_possessions(spark):
+    whole = registry.QUERIES["possession_machine"](spark, FOLDER).toPandas().set_index(["game", "possession"]).sort_index()
+    cut = registry.QUERIES["possession_segments"](spark, FOLDER).toPandas().sort_values(["game", "first_seq"])
+    by = cut.groupby(["game", "possession"])
+    assert by["poss_count"].sum().eq(1).all()
+    assert by["first_seq"].min().sort_index().equals(whole["first_seq"]) and by["last_seq"].max().sort_index().equals(whole["last_seq"])
+    follows = cut["first_seq"] == cut.groupby("game")["last_seq"].shift(fill_value=-1) + 1
+    assert follows.all()
+
+
 def test_numbered(spark):
     rows = spark.range(1000).select(((F.col("id") * 7919) % 1009).alias("k"))
     got = numbered(rows, ["k"], "place").orderBy("k").toPandas()
