@@ -316,19 +316,49 @@ def wide_forests(firsts: DataFrame) -> DataFrame:
     return _compared(keyed(firsts), ["fp", *COLUMNS], "n > 1", compare, "u long, v long, sure boolean")
 
 
-def candidates(labelled: DataFrame) -> DataFrame:
-    """u, v: the pairs of fingerprints (fp, f0..f3, root) with different roots that
-    share a key and differ in at most WIDE_BITS bits."""
+#: Texts whose shingles are counted to find the common ones, and in how many of them a shingle is common.
+SAMPLE, COMMON = 4000, 4
+
+
+def common_shingles(rows: DataFrame, words: int) -> np.ndarray:
+    """Sorted hashes of shingles that stand in several of about SAMPLE texts. They come last in
+    the order of shingles, which any order may be: it bounds the lists' length, not what is found."""
+
+    def hashes_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"h": np.concatenate([shingle_hashes(x, words) for x in frame["text"]] or [np.zeros(0, np.uint64)]).view(np.int64)})
+
+    every = max(1, rows.count() // SAMPLE)
+    texts = rows.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").distinct()
+    found = texts.mapInPandas(hashes_of, "h long").groupBy("h").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(200_000)
+    return np.sort(np.array([r["h"] for r in found.collect()], np.int64).view(np.uint64))
+
+
+def prefix(hashes: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
+    """The first shingles in the order of all texts, as many as not all can be missing from
+    a text with that share in common: two such texts share one of their prefixes' shingles."""
+    if not len(hashes):
+        return hashes
+    late = np.append(common, np.uint64(0))[np.searchsorted(common, hashes)] == hashes
+    late &= len(common) > 0
+    return np.concatenate([hashes[~late], hashes[late]])[: len(hashes) - int(np.ceil(least * len(hashes) - 1e-9)) + 1]
+
+
+def candidates(labelled: DataFrame, least: float) -> DataFrame:
+    """u, v: the pairs of texts (fp, size, prefix, root) with different roots that share a
+    shingle of their prefixes, whose sizes and places of that shingle allow that share in common."""
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for names, fps, bounds, roots in _lists(frames, "root"):
+        for frame, bounds in key_runs(frames, ["block", "anchor", "tile"]):
+            names, roots, sizes, places = (frame[c].to_numpy() for c in ("fp", "root", "size", "at"))
             us, vs, held = [], [], 0
             for start, end in zip(bounds[:-1], bounds[1:]):
                 if (roots[start:end] == roots[start]).all():
                     continue
                 for at in range(start, end - 1):
                     other = at + 1 + np.flatnonzero(roots[at + 1 : end] != roots[at])
-                    other = other[differing(fps[other], fps[at]) <= WIDE_BITS]
+                    both = np.minimum(sizes[at] - places[at], sizes[other] - places[other])  # at most, if this is the first they share
+                    other = other[both >= least * (sizes[at] + sizes[other] - both) - 1e-9]
                     us.append(np.full(len(other), names[at]))
                     vs.append(names[other])
                     held += len(other)
@@ -338,7 +368,8 @@ def candidates(labelled: DataFrame) -> DataFrame:
             if held:
                 yield _ordered(np.concatenate(us), np.concatenate(vs))
 
-    return _compared(keyed(labelled, "root"), ["fp", *COLUMNS, "root"], "n > 1", compare)
+    rows = labelled.select(F.lit(0).cast("tinyint").alias("block"), "fp", "root", "size", F.posexplode("prefix").alias("at", "anchor"))
+    return _compared(rows, ["fp", "root", "size", "at"], "n > 1", compare)
 
 
 def _rooted(df: DataFrame, roots: DataFrame, *names: str) -> DataFrame:
@@ -354,44 +385,60 @@ def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     a = sets.select(F.col("fp").alias("u"), F.col("shingles").alias("a"))
     b = sets.select(F.col("fp").alias("v"), F.col("shingles").alias("b"))
     met = pairs.join(a, "u").join(b, "v").withColumn("both", F.size(F.array_intersect("a", "b")))
-    return met.where(F.col("both") >= least * (F.size("a") + F.size("b") - F.col("both"))).select("u", "v")
+    return met.where(F.col("both") >= least * (F.size("a") + F.size("b") - F.col("both")) - 1e-9).select("u", "v")
 
 
 def near_texts(docs: DataFrame, words: int = 5, least: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """near_duplicates() for texts that have at least that share of their different
-    five-word shingles in common: id, fp, component_id. Fingerprints of 256 bits give
-    the candidates. Links of at most SURE bits join texts into classes; between
-    different classes every candidate is held against the shingles themselves."""
+    five-word shingles in common: id, fp (a hash of the shingles), component_id. Every link
+    was counted on the shingles, and no pair is left out. Links of fingerprints of 256 bits
+    are counted first, so that large groups have few classes left; between different
+    classes prefixes of the shingles give all pairs that can be alike."""
     kind = docs.schema[id_column].dataType.simpleString()
     longs = ", ".join(f"{c} long" for c in COLUMNS)
 
+    def set_name(hashes: np.ndarray) -> int:
+        return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), 42)).view(np.int64))
+
     def prints_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            fps = np.array([wide_fingerprint(shingle_hashes(x, words)) for x in frame["text"]], np.int64).reshape(-1, WIDE)
-            yield pd.DataFrame({"id": frame["id"], **{c: fps[:, k] for k, c in enumerate(COLUMNS)}})
+            sets = [shingle_hashes(x, words) for x in frame["text"]]
+            fps = np.array([wide_fingerprint(x) for x in sets], np.int64).reshape(-1, WIDE)
+            more = {"fp": [set_name(x) for x in sets], "size": [len(x) for x in sets], "prefix": [prefix(x, common, least).view(np.int64) for x in sets]}
+            yield pd.DataFrame({"id": frame["id"], "text_hash": frame["text_hash"], **{c: fps[:, k] for k, c in enumerate(COLUMNS)}, **more})
 
     def sets_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for fp, text, *fs in frame[["fp", "text", *COLUMNS]].itertuples(index=False):
+            for fp, text in frame[["fp", "text"]].itertuples(index=False):
                 hashes = shingle_hashes(text, words)
-                if (wide_fingerprint(hashes) == np.array(fs, np.int64)).all():  # rows may share an id
+                if set_name(hashes) == fp:
                     yield pd.DataFrame({"fp": [fp], "shingles": [hashes.view(np.int64)]})
 
+    def counted(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(firsts.select("fp", "one"), "fp")
+        same = rows["id"].eqNullSafe(wanted["one"]["id"]) & (rows["text_hash"] == wanted["one"]["text_hash"])
+        texts = rows.join(wanted, same).select("fp", "text")
+        sets = written(texts.mapInPandas(sets_of, "fp long, shingles array<long>").groupBy("fp").agg(F.min("shingles").alias("shingles")), "shingles")
+        return written(alike(pairs, sets, least), "counted-links")
+
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    prints = written(rows.mapInPandas(prints_of, f"id {kind}, {longs}").withColumn("fp", F.xxhash64(*COLUMNS)), "fingerprints")
-    firsts = written(prints.groupBy("fp", *COLUMNS).agg(F.min("id").alias("first")), "distinct-fingerprints")
-    forests = written(wide_forests(firsts), "forests")
-    wanted = forests.where("not sure").select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(firsts, "fp")
-    texts = rows.join(wanted, rows["id"].eqNullSafe(wanted["first"])).select("fp", "text", *COLUMNS)
-    sets = written(texts.mapInPandas(sets_of, "fp long, shingles array<long>").groupBy("fp").agg(F.min("shingles").alias("shingles")), "shingles")
-    # The forests' links come first: as many as texts, and they leave few classes to hold against each other.
-    joined = _rooted(forests, components(forests.where("sure").select("u", "v").distinct()), "u", "v").where("not sure and u_root != v_root")
-    edges = written(forests.where("sure").select("u", "v").union(alike(joined.select("u", "v").distinct(), sets, least)).distinct(), "first-links")
-    roots = components(edges)
-    labelled = written(_rooted(wanted, roots, "fp").withColumnRenamed("fp_root", "root"), "labelled-fingerprints")
-    pairs = written(candidates(labelled), "candidates")
-    edges = edges.union(alike(pairs, sets, least))
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("text_hash"))
+    common = common_shingles(rows, words)
+    prints = written(rows.mapInPandas(prints_of, f"id {kind}, text_hash long, {longs}, fp long, size int, prefix array<long>"), "fingerprints")
+    firsts = prints.groupBy("fp").agg(F.min("id").alias("first"), F.min(F.struct("text_hash", "id")).alias("one"), *(F.first(c).alias(c) for c in [*COLUMNS, "size", "prefix"]))
+    firsts = written(firsts.withColumn("print", F.xxhash64(*COLUMNS)), "distinct-sets")
+    # One set stands for all of the same fingerprint; the others are linked to it.
+    shown = written(firsts.groupBy("print", *COLUMNS).agg(F.min("fp").alias("fp")), "distinct-fingerprints")
+    forests = wide_forests(shown)
+    for name in ("u", "v"):
+        forests = forests.join(shown.select(F.col("print").alias(name), F.col("fp").alias(f"{name}_set")), name).drop(name)
+    twins = firsts.join(shown.select("print", F.col("fp").alias("shown")), "print").where("fp != shown")
+    forests = written(forests.select("u_set", "v_set", "sure").union(twins.select("fp", "shown", F.lit(True))).toDF("u", "v", "sure"), "forests")
+    edges = forests.where("sure").select("u", "v").distinct()
+    joined = _rooted(forests, components(edges), "u", "v").where("u_root != v_root")
+    edges = edges.union(counted(written(joined.select("u", "v").distinct(), "first-links")))
+    labelled = _rooted(firsts.select("fp", "size", "prefix"), components(edges), "fp").withColumnRenamed("fp_root", "root")
+    edges = edges.union(counted(written(candidates(labelled, least), "candidates")))
     return _named(prints, firsts, components(edges), id_column)
 
 
