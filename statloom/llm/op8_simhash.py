@@ -204,8 +204,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 #: The wide form: words of 64 bits of a fingerprint, bits of a key, keys of a fingerprint.
 WIDE, KEY_BITS, KEYS = 4, 17, 80
-#: Of 256 bits: at most SURE differ between texts that are linked without a look at
-#: their shingles; those of at most WIDE_BITS are linked if an exact count says so.
+#: Of 256 bits: links of at most SURE make the classes whose members are counted first;
+#: those of at most WIDE_BITS are counted next. No link joins texts without a count.
 SURE, WIDE_BITS = 24, 52
 COLUMNS = [f"f{k}" for k in range(WIDE)]
 
@@ -434,7 +434,8 @@ def near_texts(docs: DataFrame, words: int = 5, least: float = 0.8, id_column: s
         forests = forests.join(shown.select(F.col("print").alias(name), F.col("fp").alias(f"{name}_set")), name).drop(name)
     twins = firsts.join(shown.select("print", F.col("fp").alias("shown")), "print").where("fp != shown")
     forests = written(forests.select("u_set", "v_set", "sure").union(twins.select("fp", "shown", F.lit(True))).toDF("u", "v", "sure"), "forests")
-    edges = forests.where("sure").select("u", "v").distinct()
+    # Members of a class of sure links are counted against its root: as many as texts. Then the forests' other links, and all candidates.
+    edges = counted(components(forests.where("sure").select("u", "v").distinct()))
     joined = _rooted(forests, components(edges), "u", "v").where("u_root != v_root")
     edges = edges.union(counted(written(joined.select("u", "v").distinct(), "first-links")))
     labelled = _rooted(firsts.select("fp", "size", "prefix"), components(edges), "fp").withColumnRenamed("fp_root", "root")

@@ -19,3 +19,7 @@ def pairs_of(spark, pairs, both, left, right):
 def test_every_pair_at_four_fifths_is_found(spark):
     assert pairs_of(spark, 400, 12, 0, 3) == (400, 400)
     assert pairs_of(spark, 400, 40, 5, 5) == (400, 400)
+
+
+def test_no_pair_below_four_fifths_is_joined(spark):
+    assert pairs_of(spark, 400, 15, 2, 2) == (0, 800)
