@@ -390,7 +390,8 @@ def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 def near_texts(docs: DataFrame, words: int = 5, least: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """near_duplicates() for texts that have at least that share of their different
-    five-word shingles in common: id, fp (a hash of the shingles), component_id. Every link
+    five-word shingles in common: id, fp (a hash of the shingles), component_id, text_hash,
+    root (a component's own name: two components may have the same id). Every link
     was counted on the shingles, and no pair is left out. Links of fingerprints of 256 bits
     are counted first, so that large groups have few classes left; between different
     classes prefixes of the shingles give all pairs that can be alike."""
@@ -440,7 +441,7 @@ def near_texts(docs: DataFrame, words: int = 5, least: float = 0.8, id_column: s
     edges = edges.union(counted(written(joined.select("u", "v").distinct(), "first-links")))
     labelled = _rooted(firsts.select("fp", "size", "prefix"), components(edges), "fp").withColumnRenamed("fp_root", "root")
     edges = edges.union(counted(written(candidates(labelled, least), "candidates")))
-    return _named(prints, firsts, components(edges), id_column)
+    return _named(prints, firsts, components(edges), id_column, "text_hash", "root")
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = 3, words: int = 3, blocks: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -451,27 +452,30 @@ def near_duplicates(docs: DataFrame, max_bits: int = 3, words: int = 3, blocks:
     return _named(prints, firsts, components(links(firsts, max_bits, blocks)), id_column)
 
 
-def _named(prints: DataFrame, firsts: DataFrame, roots: DataFrame, id_column: str) -> DataFrame:
-    """id, fp and component_id of each row, from the components' roots."""
+def _named(prints: DataFrame, firsts: DataFrame, roots: DataFrame, id_column: str, *others: str) -> DataFrame:
+    """id, fp and component_id of each row, from the components' roots, and other columns."""
     named = firsts.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", F.coalesce("v", "fp").alias("root"), "first")
     named = written(named, "roots")
     least = written(named.groupBy("root").agg(F.min("first").alias("component_id")), "component-ids")
-    named = written(named.join(least, "root").select("fp", "component_id"), "named-fingerprints")
-    return prints.join(named, "fp").select(F.col("id").alias(id_column), "fp", "component_id")
-
-
-def first_of_groups(docs: DataFrame, groups: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """docs without those that a smaller id of their group stands for. Of rows that
-    share an id, the first text stays."""
-    keepers = groups.where(F.col(id_column).eqNullSafe(F.col("component_id"))).select(F.col(id_column).alias("keeper"))
-    counts = keepers.groupBy("keeper").count()
-    several = bool(counts.where("count > 1").take(1))
-    out = docs.join(keepers, docs[id_column].eqNullSafe(keepers["keeper"]), "left_semi")
-    if several:
-        texts = [F.col(f"`{c}`") for c in docs.columns if c != id_column]
-        window = Window.partitionBy(F.col(f"`{id_column}`")).orderBy(*texts)
-        out = out.withColumn("_place", F.row_number().over(window)).where("_place = 1").drop("_place")
-    return out
+    named = written(named.join(least, "root").select("fp", "component_id", "root"), "named-fingerprints")
+    return prints.join(named, "fp").select(F.col("id").alias(id_column), "fp", "component_id", *others)
+
+
+def first_of_groups(docs: DataFrame, groups: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row of docs for each root of groups: that of the smallest id, a null id only where
+    there is no other. Of texts that share this id and root, that of the smallest hash stays;
+    of rows that share id and text, the first by the other columns."""
+    rows = groups.groupBy("root", id_column, "text_hash").agg(F.count("*").alias("copies"))
+    keepers = rows.groupBy("root").agg(F.min(F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), "text_hash", "copies")).alias("k"))
+    keepers = written(keepers.select(F.col("k.id").alias("keeper"), "k.text_hash", "k.copies"), "keepers")
+    same = docs[id_column].eqNullSafe(keepers["keeper"]) & (F.xxhash64(docs[text_column]) == keepers["text_hash"])
+    out = docs.join(keepers.where("copies = 1"), same, "left_semi")
+    if keepers.where("copies > 1").isEmpty():
+        return out
+    several = docs.join(keepers.where("copies > 1"), same, "left_semi")
+    keys = [F.col(f"`{id_column}`"), F.xxhash64(F.col(f"`{text_column}`"))]
+    least = several.groupBy(*(k.alias(f"_key{n}") for n, k in enumerate(keys))).agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("row"))
+    return out.union(least.select("row.*"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -23,3 +23,15 @@ def test_every_pair_at_four_fifths_is_found(spark):
 
 def test_no_pair_below_four_fifths_is_joined(spark):
     assert pairs_of(spark, 400, 15, 2, 2) == (0, 800)
+
+
+def test_one_row_for_each_group_whatever_the_ids(spark):
+    words = lambda name, n=30: " ".join(f"{name}{k}" for k in range(n))
+    rows = [
+        (5, words("a")), (5, words("b")), (None, words("c")), (None, words("d")), (None, words("d")), (7, words("e")),
+        (7, words("e")), (3, words("g", 60)), (5, words("g", 61)), (None, words("g", 60)),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = op8_simhash.first_of_groups(docs, op8_simhash.near_texts(docs)).collect()
+    want = [(5, "a0"), (5, "b0"), (None, "c0"), (None, "d0"), (7, "e0"), (3, "g0")]
+    assert sorted(((r.doc_id, r.text.split()[0]) for r in got), key=repr) == sorted(want, key=repr)
