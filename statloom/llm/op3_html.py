@@ -47,7 +47,11 @@ TOKEN = re.compile(
     r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?:((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|([^>]*+)(?:>|\Z))""",
     re.S,
 )
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s"'>]+))?""")
+# Starts that end an open paragraph, and elements that keep what is outside of them open.
+P_ENDS = HEADINGS | set("address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form header hgroup hr li main menu nav ol p pre search section summary table ul".split())
+P_SCOPE = set("applet button caption html marquee object table td template th".split())
+ENDED = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "option": {"option"}}
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 ENDS = {tag: re.compile(f"</{tag}\\b[^>]*(?:>|\\Z)", re.I) for tag in RAW}
 
@@ -58,16 +62,18 @@ FEATURES = ["words", "link_density", "words_before", "link_density_before", "wor
 def tag_flags(tag: str, attributes: str) -> int:
     """What an element says of the text in it."""
     flags = BOILER if tag in BOILER_TAGS else MAIN if tag in MAIN_TAGS else HEADER if tag == "header" else DROP if tag in DROPPED else 0
-    if "=" in attributes or "hidden" in attributes:
+    if attributes:
+        said: dict[str, str] = {}
         for name, value in ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), value.strip("\"'")
+            said.setdefault(name.lower(), value.strip("\"'"))
+        for name, value in said.items():
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
                 flags |= DROP
             elif name in ("class", "id", "role") and tag not in ("html", "body"):
                 words = {x.lower() for x in NAME_WORD.findall(value)}
                 if words & BOILER_WORDS:
                     flags |= HEADER if words & BOILER_WORDS == {"header"} else BOILER
-                elif words & MAIN_WORDS:
+                if words & MAIN_WORDS:
                     flags |= MAIN
     return flags
 
@@ -99,6 +105,17 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
             if state["links"]:
                 links.append(raw)
 
+    def ended(names: set[str], stops) -> None:
+        """Ends the innermost open element of these names, if none that stops() is open inside it."""
+        for depth in range(len(stack) - 1, -1, -1):
+            if stack[depth][0] in names:
+                while len(stack) > depth:
+                    name, state["flags"] = stack.pop()
+                    count[name] -= 1
+                return
+            if stops(stack[depth][0]):
+                return
+
     at = 0
     while True:
         found = TOKEN.search(page, at)
@@ -124,7 +141,16 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
                     state["flags"] = before
                     if name == tag:
                         break
-        elif tag not in VOID:
+            state["links"] = count.get("a", 0)
+            if tag in HEADINGS:
+                state["heading"] = False
+            continue
+        names = ENDED.get(tag)
+        if names and any(count.get(x) for x in names):
+            ended(names, lambda x: x not in INLINE and x not in ("address", "div", "p"))
+        if tag in P_ENDS and count.get("p"):
+            ended({"p"}, P_SCOPE.__contains__)
+        if tag not in VOID:
             attributes = found[3] if found[3] is not None else found[4]
             if tag in RAW:
                 end = ENDS[tag].search(page, at)
@@ -137,7 +163,7 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
             state["flags"] |= tag_flags(tag, attributes)
         state["links"] = count.get("a", 0)
         if tag in HEADINGS:
-            state["heading"] = not found[1]
+            state["heading"] = True
     close()
     return texts, with_neighbours(rows)
 
