@@ -29,10 +29,27 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet into the shared folder and read again: cuts the
     lineage so that a lost executor costs a reread and no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Shared(df.sparkSession).written(df, name)
+
+
+class Shared:
+    """Tables between the steps of one job, in the shared folder until drop()."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        """Deletes the tables; what was made of them must be written by now."""
+        for path in self.paths:
+            there = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(there, True)
+        self.paths = []
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -100,10 +117,13 @@ LETTERS = re.compile("[a-z\xdf-\xf6\xf8-\xff]+|[ A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\x
 
 class PieceIds:
     """Token ids of texts, by a tokenizers file. A text is cut where every
-    context gives a token's end, and the ids of a piece are remembered, at most
-    about `remembered` of them. encode_batch() gives what the tokenizer gives."""
+    context gives a token's end, and the ids of pieces of at most LONGEST characters are
+    remembered, about `remembered` of them: some 150 bytes each, so 100 MB at most.
+    encode_batch() gives what the tokenizer gives."""
+
+    LONGEST = 64
 
-    def __init__(self, path: str, remembered: int = 1_200_000):
+    def __init__(self, path: str, remembered: int = 700_000):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -163,7 +183,7 @@ class PieceIds:
         parts.update(self._encode(left, self.tokenizer))
         for piece, core, tail in sorted(cut, key=lambda x: x[1] == "\n"):  # a newline's other part may be cut itself
             parts[piece] = parts[core] + parts[tail]
-        known.update(parts)
+        known.update((k, v) for k, v in parts.items() if len(k) <= self.LONGEST)
         return parts
 
     def _split(self, text: str) -> list[str]:

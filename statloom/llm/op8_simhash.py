@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import key_runs, small_batches, written
+from .common import Shared, key_runs, small_batches, written
 
 LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 #: Rows of an anchor's list that are compared at once; longer lists go in tiles.
@@ -156,292 +156,55 @@ def links(fps: DataFrame, max_bits: int = 3, blocks: int = 2) -> DataFrame:
     return _compared(anchored(fps, max_bits, blocks), ["fp"], "n > 1 and any_home", compare)
 
 
-def _compared(rows: DataFrame, columns: list[str], worth: str, compare, schema: str = "u long, v long") -> DataFrame:
+def _compared(rows: DataFrame, columns: list[str], worth: str, compare) -> DataFrame:
     """What compare() finds, by comparing the rows of each (block, anchor); lists over TILE rows in tiles."""
-    home = "max(home) over (partition by block, anchor)" if "home" in rows.columns else "true"
-    rows = rows.selectExpr("*", "count(*) over (partition by block, anchor) as n", f"{home} as any_home").where(worth)
-    if "fp" not in rows.columns:
-        rows = rows.withColumn("fp", F.xxhash64(*COLUMNS))
+    rows = rows.selectExpr("*", "count(*) over (partition by block, anchor) as n", "max(home) over (partition by block, anchor) as any_home").where(worth)
     keys = ["block", "anchor", "tile"]
     # Short lists stand together and in order already, by the windows above; only long ones are dealt anew.
     short = rows.where(F.col("n") <= TILE).select("block", "anchor", *columns, F.lit(0).alias("tile"))
-    found = short.sortWithinPartitions("block", "anchor").mapInPandas(compare, schema)
+    found = short.sortWithinPartitions("block", "anchor").mapInPandas(compare, "u long, v long")
     tiled = rows.where(F.col("n") > TILE).withColumn("parts", F.ceil(F.col("n") / TILE).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     tile = F.expr("transform(sequence(0, parts - 1), k -> least(own, k) * parts + greatest(own, k))")
     tiled = tiled.select("block", "anchor", *columns, F.explode(tile).alias("tile"))
-    return found.union(tiled.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(compare, schema)).distinct()
+    return found.union(tiled.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(compare, "u long, v long")).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60, shared: Shared | None = None) -> DataFrame:
     """u, v: each linked node but a component's smallest, and that smallest one.
-    Large and small stars in turn until nothing changes; every round is a written table."""
+    Large and small stars in turn until nothing changes; every round is a written
+    table, and goes when the next is there."""
+    spark = edges.sparkSession
 
-    def star(now: DataFrame, large: bool) -> DataFrame:
+    def star(now: DataFrame, large: bool, own: Shared) -> DataFrame:
         both = now.union(now.select(F.col("v"), F.col("u"))) if large else now
-        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        least = own.written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         met = both.join(least, "u")
         if large:
             out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
             out = met.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        return written(out.where("u > v").distinct(), "star")
+        return own.written(out.where("u > v").distinct(), "star")
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    now = written(edges, "links")
+    last = Shared(spark)
+    now = last.written(edges.where("u > v").distinct(), "links")
     before = state(now)
-    if not before[0]:
-        return now
     for _ in range(rounds):
-        now = star(star(now, True), False)
-        after = state(now)
+        if not before[0]:
+            break
+        own = Shared(spark)
+        now = star(star(now, True, own), False, own)
+        last.drop()
+        last, after = own, state(now)
         if after == before:
-            return now
+            break
         before = after
-    raise RuntimeError("components did not settle")
-
-
-#: The wide form: words of 64 bits of a fingerprint, bits of a key, keys of a fingerprint.
-WIDE, KEY_BITS, KEYS = 4, 17, 80
-#: Of 256 bits: links of at most SURE make the classes whose members are counted first;
-#: those of at most WIDE_BITS are counted next. No link joins texts without a count.
-SURE, WIDE_BITS = 24, 52
-COLUMNS = [f"f{k}" for k in range(WIDE)]
-
-
-def shingle_hashes(text: str | None, words: int = 5) -> np.ndarray:
-    """Sorted 64-bit hashes (unsigned) of the lower-cased text's different word
-    shingles; of all its words where they are fewer, of none for none."""
-    found = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
-    digest, join = xxhash.xxh64_digest, b" ".join
-    shingles = map(join, zip(*(found[k:] for k in range(words)))) if len(found) >= words else [join(found)] if found else []
-    return np.unique(np.frombuffer(b"".join([digest(x, 42) for x in shingles]), ">u8").astype(np.uint64))
-
-
-def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
-    """256-bit SimHash of shingle_hashes(), as four signed 64-bit numbers: the
-    hashes and three mixtures of each."""
-    counts = np.zeros(64 * WIDE, np.int64)
-    for at in range(0, len(hashes), HELD // WIDE):
-        own = hashes[at : at + HELD // WIDE]
-        for k in range(WIDE):
-            if k:  # a bijective mixture
-                own = (own ^ (own >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-                own = (own ^ (own >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            mixed = own ^ (own >> np.uint64(32))
-            counts[64 * k : 64 * k + 64] += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * counts > len(hashes)).view(np.int64)
-
-
-def keyed(firsts: DataFrame, *others: str) -> DataFrame:
-    """A row for each key of each fingerprint (f0..f3, other long columns). A key
-    takes bits at fixed places, the anchor is their values. Two texts with four fifths
-    of their shingles in common differ in about 0.15 of the bits and share at least one
-    of the keys with a probability of 0.99."""
-    draw = np.random.default_rng(8)
-    places = [draw.choice(64 * WIDE, KEY_BITS, replace=False) for _ in range(KEYS)]
-
-    def compute(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        powers = 1 << np.arange(KEY_BITS)
-        for frame in frames:
-            for at in range(0, len(frame), 1000):
-                lot = frame.iloc[at : at + 1000]
-                bits = np.unpackbits(np.ascontiguousarray(lot[COLUMNS].to_numpy(np.int64)).view(np.uint8), axis=1)
-                keys = np.stack([bits[:, x] @ powers for x in places], axis=1).astype(np.int32)
-                out = lot.loc[lot.index.repeat(KEYS)].reset_index(drop=True)
-                out.insert(0, "block", np.tile(np.arange(KEYS, dtype=np.int8), len(lot)))
-                out.insert(1, "anchor", keys.ravel())
-                yield out
-
-    columns = [*COLUMNS, *others]  # fp, their hash, is made again after the shuffle
-    return firsts.select(*columns).mapInPandas(compute, "block tinyint, anchor int, " + ", ".join(f"{c} long" for c in columns))
-
-
-def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=-1)
-
-
-def wide_forest(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links of at most max_bits bits, as pairs of places."""
-    left, out = np.arange(len(fps)), []
-    while len(left):
-        todo, left = [left[0]], left[1:]
-        while todo and len(left):
-            at = todo.pop()
-            near = differing(fps[left], fps[at]) <= max_bits
-            if near.any():
-                out += [(at, x) for x in left[near]]
-                todo += list(left[near])
-                left = left[~near]
-    return out
-
-
-def _lists(frames: Iterator[pd.DataFrame], *others: str) -> Iterator[tuple]:
-    """Each anchor's list: names, fingerprints and other columns."""
-    for frame, bounds in key_runs(frames, ["block", "anchor", "tile"]):
-        names, fps = frame["fp"].to_numpy(), np.ascontiguousarray(frame[COLUMNS].to_numpy(np.int64)).view(np.uint64)
-        rest = [frame[c].to_numpy() for c in others]
-        yield names, fps, bounds, *rest
-
-
-def _ordered(u: np.ndarray, v: np.ndarray, **more) -> pd.DataFrame:
-    return pd.DataFrame({"u": np.maximum(u, v), "v": np.minimum(u, v), **more}).drop_duplicates()
-
-
-def wide_forests(firsts: DataFrame) -> DataFrame:
-    """u, v, sure: per anchor and tile, a spanning forest of the links of at most
-    WIDE_BITS bits, and one of those of at most SURE bits."""
-
-    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for names, fps, bounds in _lists(frames):
-            sizes, us, vs, sure = np.diff(bounds), [], [], []
-            for start, size in zip(bounds[:-1][sizes > 8], sizes[sizes > 8]):
-                for bits in (SURE, WIDE_BITS):
-                    pairs = np.array(wide_forest(fps[start : start + size], bits), np.int64).reshape(-1, 2) + start
-                    us.append(pairs[:, 0])
-                    vs.append(pairs[:, 1])
-                    sure.append(np.full(len(pairs), bits == SURE))
-            rest = np.repeat(np.where(sizes > 8, 0, bounds[1:]), sizes) - np.arange(bounds[0], bounds[-1])  # rows of the run from here on
-            for step in range(1, 8):
-                a = np.flatnonzero(rest > step)
-                far = differing(fps[a], fps[a + step])
-                us.append(a[far <= WIDE_BITS])
-                vs.append(us[-1] + step)
-                sure.append(far[far <= WIDE_BITS] <= SURE)
-            us, vs = np.concatenate(us), np.concatenate(vs)
-            if len(us):
-                yield _ordered(names[us], names[vs], sure=np.concatenate(sure))
-
-    return _compared(keyed(firsts), ["fp", *COLUMNS], "n > 1", compare, "u long, v long, sure boolean")
-
-
-#: Texts whose shingles are counted to find the common ones, and in how many of them a shingle is common.
-SAMPLE, COMMON = 4000, 4
-
-
-def common_shingles(rows: DataFrame, words: int) -> np.ndarray:
-    """Sorted hashes of shingles that stand in several of about SAMPLE texts. They come last in
-    the order of shingles, which any order may be: it bounds the lists' length, not what is found."""
-
-    def hashes_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"h": np.concatenate([shingle_hashes(x, words) for x in frame["text"]] or [np.zeros(0, np.uint64)]).view(np.int64)})
-
-    every = max(1, rows.count() // SAMPLE)
-    texts = rows.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").distinct()
-    found = texts.mapInPandas(hashes_of, "h long").groupBy("h").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(200_000)
-    return np.sort(np.array([r["h"] for r in found.collect()], np.int64).view(np.uint64))
-
-
-def prefix(hashes: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
-    """The first shingles in the order of all texts, as many as not all can be missing from
-    a text with that share in common: two such texts share one of their prefixes' shingles."""
-    if not len(hashes):
-        return hashes
-    late = np.append(common, np.uint64(0))[np.searchsorted(common, hashes)] == hashes
-    late &= len(common) > 0
-    return np.concatenate([hashes[~late], hashes[late]])[: len(hashes) - int(np.ceil(least * len(hashes) - 1e-9)) + 1]
-
-
-def candidates(labelled: DataFrame, least: float) -> DataFrame:
-    """u, v: the pairs of texts (fp, size, prefix, root) with different roots that share a
-    shingle of their prefixes, whose sizes and places of that shingle allow that share in common."""
-
-    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame, bounds in key_runs(frames, ["block", "anchor", "tile"]):
-            names, roots, sizes, places = (frame[c].to_numpy() for c in ("fp", "root", "size", "at"))
-            us, vs, held = [], [], 0
-            for start, end in zip(bounds[:-1], bounds[1:]):
-                if (roots[start:end] == roots[start]).all():
-                    continue
-                for at in range(start, end - 1):
-                    other = at + 1 + np.flatnonzero(roots[at + 1 : end] != roots[at])
-                    both = np.minimum(sizes[at] - places[at], sizes[other] - places[other])  # at most, if this is the first they share
-                    other = other[both >= least * (sizes[at] + sizes[other] - both) - 1e-9]
-                    us.append(np.full(len(other), names[at]))
-                    vs.append(names[other])
-                    held += len(other)
-                    if held > 100_000:
-                        yield _ordered(np.concatenate(us), np.concatenate(vs))
-                        us, vs, held = [], [], 0
-            if held:
-                yield _ordered(np.concatenate(us), np.concatenate(vs))
-
-    rows = labelled.select(F.lit(0).cast("tinyint").alias("block"), "fp", "root", "size", F.posexplode("prefix").alias("at", "anchor"))
-    return _compared(rows, ["fp", "root", "size", "at"], "n > 1", compare)
-
-
-def _rooted(df: DataFrame, roots: DataFrame, *names: str) -> DataFrame:
-    """df with, for each of the columns, its component's root in another one."""
-    for name in names:
-        own = roots.select(F.col("u").alias(name), F.col("v").alias(f"{name}_root"))
-        df = df.join(own, name, "left").withColumn(f"{name}_root", F.coalesce(f"{name}_root", name))
-    return df
-
-
-def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (u, v) whose sets (fp, shingles) have at least that Jaccard similarity."""
-    a = sets.select(F.col("fp").alias("u"), F.col("shingles").alias("a"))
-    b = sets.select(F.col("fp").alias("v"), F.col("shingles").alias("b"))
-    met = pairs.join(a, "u").join(b, "v").withColumn("both", F.size(F.array_intersect("a", "b")))
-    return met.where(F.col("both") >= least * (F.size("a") + F.size("b") - F.col("both")) - 1e-9).select("u", "v")
-
-
-def near_texts(docs: DataFrame, words: int = 5, least: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """near_duplicates() for texts that have at least that share of their different
-    five-word shingles in common: id, fp (a hash of the shingles), component_id, text_hash,
-    root (a component's own name: two components may have the same id). Every link
-    was counted on the shingles, and no pair is left out. Links of fingerprints of 256 bits
-    are counted first, so that large groups have few classes left; between different
-    classes prefixes of the shingles give all pairs that can be alike."""
-    kind = docs.schema[id_column].dataType.simpleString()
-    longs = ", ".join(f"{c} long" for c in COLUMNS)
-
-    def set_name(hashes: np.ndarray) -> int:
-        return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), 42)).view(np.int64))
-
-    def prints_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            sets = [shingle_hashes(x, words) for x in frame["text"]]
-            fps = np.array([wide_fingerprint(x) for x in sets], np.int64).reshape(-1, WIDE)
-            more = {"fp": [set_name(x) for x in sets], "size": [len(x) for x in sets], "prefix": [prefix(x, common, least).view(np.int64) for x in sets]}
-            yield pd.DataFrame({"id": frame["id"], "text_hash": frame["text_hash"], **{c: fps[:, k] for k, c in enumerate(COLUMNS)}, **more})
-
-    def sets_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for fp, text in frame[["fp", "text"]].itertuples(index=False):
-                hashes = shingle_hashes(text, words)
-                if set_name(hashes) == fp:
-                    yield pd.DataFrame({"fp": [fp], "shingles": [hashes.view(np.int64)]})
-
-    def counted(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(firsts.select("fp", "one"), "fp")
-        same = rows["id"].eqNullSafe(wanted["one"]["id"]) & (rows["text_hash"] == wanted["one"]["text_hash"])
-        texts = rows.join(wanted, same).select("fp", "text")
-        sets = written(texts.mapInPandas(sets_of, "fp long, shingles array<long>").groupBy("fp").agg(F.min("shingles").alias("shingles")), "shingles")
-        return written(alike(pairs, sets, least), "counted-links")
-
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("text_hash"))
-    common = common_shingles(rows, words)
-    prints = written(rows.mapInPandas(prints_of, f"id {kind}, text_hash long, {longs}, fp long, size int, prefix array<long>"), "fingerprints")
-    firsts = prints.groupBy("fp").agg(F.min("id").alias("first"), F.min(F.struct("text_hash", "id")).alias("one"), *(F.first(c).alias(c) for c in [*COLUMNS, "size", "prefix"]))
-    firsts = written(firsts.withColumn("print", F.xxhash64(*COLUMNS)), "distinct-sets")
-    # One set stands for all of the same fingerprint; the others are linked to it.
-    shown = written(firsts.groupBy("print", *COLUMNS).agg(F.min("fp").alias("fp")), "distinct-fingerprints")
-    forests = wide_forests(shown)
-    for name in ("u", "v"):
-        forests = forests.join(shown.select(F.col("print").alias(name), F.col("fp").alias(f"{name}_set")), name).drop(name)
-    twins = firsts.join(shown.select("print", F.col("fp").alias("shown")), "print").where("fp != shown")
-    forests = written(forests.select("u_set", "v_set", "sure").union(twins.select("fp", "shown", F.lit(True))).toDF("u", "v", "sure"), "forests")
-    # Members of a class of sure links are counted against its root: as many as texts. Then the forests' other links, and all candidates.
-    edges = counted(components(forests.where("sure").select("u", "v").distinct()))
-    joined = _rooted(forests, components(edges), "u", "v").where("u_root != v_root")
-    edges = edges.union(counted(written(joined.select("u", "v").distinct(), "first-links")))
-    labelled = _rooted(firsts.select("fp", "size", "prefix"), components(edges), "fp").withColumnRenamed("fp_root", "root")
-    edges = edges.union(counted(written(candidates(labelled, least), "candidates")))
-    return _named(prints, firsts, components(edges), id_column, "text_hash", "root")
+    else:
+        raise RuntimeError("components did not settle")
+    (shared or last).paths += last.paths if shared else []
+    return now
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = 3, words: int = 3, blocks: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -449,33 +212,12 @@ def near_duplicates(docs: DataFrame, max_bits: int = 3, words: int = 3, blocks:
     smallest id that links of at most max_bits bits reach."""
     prints = written(fingerprints(docs, words, id_column, text_column), "fingerprints")
     firsts = written(prints.groupBy("fp").agg(F.min("id").alias("first")), "distinct-fingerprints")
-    return _named(prints, firsts, components(links(firsts, max_bits, blocks)), id_column)
-
-
-def _named(prints: DataFrame, firsts: DataFrame, roots: DataFrame, id_column: str, *others: str) -> DataFrame:
-    """id, fp and component_id of each row, from the components' roots, and other columns."""
+    roots = components(links(firsts, max_bits, blocks))
     named = firsts.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", F.coalesce("v", "fp").alias("root"), "first")
     named = written(named, "roots")
     least = written(named.groupBy("root").agg(F.min("first").alias("component_id")), "component-ids")
-    named = written(named.join(least, "root").select("fp", "component_id", "root"), "named-fingerprints")
-    return prints.join(named, "fp").select(F.col("id").alias(id_column), "fp", "component_id", *others)
-
-
-def first_of_groups(docs: DataFrame, groups: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row of docs for each root of groups: that of the smallest id, a null id only where
-    there is no other. Of texts that share this id and root, that of the smallest hash stays;
-    of rows that share id and text, the first by the other columns."""
-    rows = groups.groupBy("root", id_column, "text_hash").agg(F.count("*").alias("copies"))
-    keepers = rows.groupBy("root").agg(F.min(F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), "text_hash", "copies")).alias("k"))
-    keepers = written(keepers.select(F.col("k.id").alias("keeper"), "k.text_hash", "k.copies"), "keepers")
-    same = docs[id_column].eqNullSafe(keepers["keeper"]) & (F.xxhash64(docs[text_column]) == keepers["text_hash"])
-    out = docs.join(keepers.where("copies = 1"), same, "left_semi")
-    if keepers.where("copies > 1").isEmpty():
-        return out
-    several = docs.join(keepers.where("copies > 1"), same, "left_semi")
-    keys = [F.col(f"`{id_column}`"), F.xxhash64(F.col(f"`{text_column}`"))]
-    least = several.groupBy(*(k.alias(f"_key{n}") for n, k in enumerate(keys))).agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("row"))
-    return out.union(least.select("row.*"))
+    named = written(named.join(least, "root").select("fp", "component_id"), "named-fingerprints")
+    return prints.join(named, "fp").select(F.col("id").alias(id_column), "fp", "component_id")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

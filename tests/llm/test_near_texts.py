@@ -2,7 +2,7 @@
 
 import itertools
 
-from statloom.llm import op8_simhash
+from statloom.llm import near_texts
 
 
 def pairs_of(spark, pairs, both, left, right):
@@ -12,7 +12,7 @@ def pairs_of(spark, pairs, both, left, right):
         common = [next(word) for _ in range(both + 4)]
         found += [" ".join(common + [next(word) for _ in range(more)]) for more in (left, right)]
     table = spark.createDataFrame(list(enumerate(found)), "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in op8_simhash.near_texts(table).collect()}
+    got = {r.doc_id: r.component_id for r in near_texts.near_texts(table).collect()}
     return sum(got[2 * k] == got[2 * k + 1] for k in range(pairs)), len(set(got.values()))
 
 
@@ -32,6 +32,6 @@ def test_one_row_for_each_group_whatever_the_ids(spark):
         (7, words("e")), (3, words("g", 60)), (5, words("g", 61)), (None, words("g", 60)),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = op8_simhash.first_of_groups(docs, op8_simhash.near_texts(docs)).collect()
+    got = near_texts.first_of_groups(docs, near_texts.near_texts(docs)).collect()
     want = [(5, "a0"), (5, "b0"), (None, "c0"), (None, "d0"), (7, "e0"), (3, "g0")]
     assert sorted(((r.doc_id, r.text.split()[0]) for r in got), key=repr) == sorted(want, key=repr)

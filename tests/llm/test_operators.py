@@ -15,7 +15,7 @@ import xxhash
 from compare import expected, rows_of
 from tokenizers import Tokenizer
 
-from statloom.llm import op1_packing, op2_sharding, op3_html, op4_rules, op5_tokenfile, op6_bpe, op7_counts, op8_simhash, op9_ogg, op10_pii, queries
+from statloom.llm import near_texts, op1_packing, op2_sharding, op3_html, op4_rules, op5_tokenfile, op6_bpe, op7_counts, op8_simhash, op9_ogg, op10_pii, queries
 from statloom.llm.common import PIECE, PieceIds, pieces_of, shared_dir
 
 WORD_BPE, BYTE_BPE, RANKS = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")
@@ -239,13 +239,14 @@ def test_simhash(odd, no_rows):
     got = rows(op8_simhash.near_duplicates(odd))
     assert len(got) == odd.count()
     assert all((r.fp % (1 << 64), r.component_id) == (fps[r.doc_id], want[r.doc_id]) for r in got if r.doc_id is not None)
-    assert rows(op8_simhash.near_duplicates(no_rows)) == [] and rows(op8_simhash.near_texts(no_rows)) == []
-    assert len(rows(op8_simhash.near_texts(odd))) == odd.count()
+    assert rows(op8_simhash.near_duplicates(no_rows)) == [] and rows(near_texts.near_texts(no_rows)) == []
+    assert len(rows(near_texts.near_texts(odd))) == odd.count()
 
 
 def test_near_texts_agree_with_all_pairs(spark, monkeypatch):
-    """Groups of texts with 0.6 to 1 of their shingles in common, long lists in tiles."""
-    monkeypatch.setattr(op8_simhash, "TILE", 16)
+    """Groups of texts with 0.6 to 1 of their shingles in common, long buckets in tiles."""
+    monkeypatch.setattr(near_texts, "TILE_SHINGLES", 500)
+    monkeypatch.setattr(near_texts, "HUBS", 4)
     draw, texts = random.Random(11), []
     for group in range(12):
         words = [f"w{draw.randint(0, 4000)}" for _ in range(draw.randint(60, 300))]
@@ -255,9 +256,9 @@ def test_near_texts_agree_with_all_pairs(spark, monkeypatch):
                 own[at] = f"n{draw.randint(0, 10**6)}"
             texts.append(" ".join(own))
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    sets = {k: set(op8_simhash.shingle_hashes(x).tolist()) for k, x in enumerate(texts)}
+    sets = {k: set(near_texts.shingle_hashes(x).tolist()) for k, x in enumerate(texts)}
     want = brute_components(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))
-    got = {r.doc_id: r.component_id for r in rows(op8_simhash.near_texts(table))}
+    got = {r.doc_id: r.component_id for r in rows(near_texts.near_texts(table))}
     assert len(set(want.values())) > 15 and got == want
 
 
