@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm import op1_packing, op4_rules, op8_simhash, op10_pii
+from statloom.llm import near_texts, op1_packing, op4_rules, op10_pii
 from statloom.llm.common import written
 
 POLICY = "web-2"
@@ -24,8 +24,7 @@ def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts with four fifths or more of their different
     five-word shingles in common: that of the smallest id."""
-    groups = written(op8_simhash.near_texts(docs.select("doc_id", "text")), "groups")
-    return op8_simhash.first_of_groups(docs, groups)
+    return near_texts.first_of_groups(docs, near_texts.near_texts(docs.select("doc_id", "text")))
 
 
 def private(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
