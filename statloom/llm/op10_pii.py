@@ -2,10 +2,13 @@
 
 Rules find the plain forms (e-mail, IP, card, phone); these spans always stay.
 Generators of high recall propose more spans, which may overlap: written-out
-addresses, IPv6 addresses, cards and phone numbers in other forms. Boosted trees,
+addresses, IPv6 addresses, any run of 7 to 19 digits with or without separators (as a
+phone and as a card), and any long run of key characters (as a secret, a kind that
+the rules don't have). Most of what they propose isn't private. Boosted trees,
 trained by Spark on a small labelled table that is made here from a fixed seed,
 score them by features of their format and context; a threshold for each kind,
-calibrated on held-out rows, selects those that are added. A map over rows.
+calibrated on rows that the trees haven't seen, selects those that are added. A map
+over rows.
 
 Edge cases: a null or empty text has no spans; spans are in code points of the
 whole text; repeated rows are rows of their own; an empty table gives no rows;
@@ -81,99 +84,115 @@ def base_spans(text: str) -> list[Span]:
 
 
 # Generators of high recall: (kind, what a text must hold, pattern).
+MARKS = r"(?:@|[\[({]\s?(?:at|@)\s?[\])}]|\s(?:at|arroba|arobase)\s)"
+DOTS = r"(?:\.|\s?[\[({]\s?(?:dot|\.|punkt|punto|point)\s?[\])}]\s?|\s(?:dot|punkt|punto|point)\s)"
 GENERATORS = [
-    ("email", ("dot", "DOT", "[.]", "(.)"), re.compile(r"(?<![\w.+-])[\w+-][\w.+-]{0,63}\s?(?:@|[\[({]\s?at\s?[\])}]|\sat\s)\s?[\w-]{1,63}(?:\s?(?:[\[({]\s?(?:dot|\.)\s?[\])}]|\sdot\s)\s?[\w-]{2,63}){1,4}", re.I)),
-    ("email", ("(at)", "[at]", "{at}", "(AT)", "[AT]"), re.compile(r"(?<![\w.+-])[\w+-][\w.+-]{0,63}\s?[\[({]at[\])}]\s?[\w-]{1,63}(?:\.[\w-]{2,63}){1,4}", re.I)),
-    ("ip", (":",), re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4})?(?::[0-9A-Fa-f]{1,4}){0,6}(?![0-9A-Za-z:])")),
-    ("ip", ("[.]", "(.)"), re.compile(r"(?<![0-9])[0-9]{1,3}(?:[\[(]\.[\])][0-9]{1,3}){3}(?![0-9])")),
-    ("card", (".", "/", "_", "–"), re.compile(r"(?<![0-9])[0-9]{4}(?:[./_–][0-9]{4}){2}[./_–][0-9]{2,7}(?![0-9])")),
-    ("phone", ("",), re.compile(r"(?<![0-9+.])(?:\([0-9]{2,4}\)|00[0-9]{1,3}|[0-9]{2,4})[ ./-]{1,2}[0-9]{3,4}[ .-][0-9]{3,4}(?:[ .-][0-9]{2,4})?(?![0-9])")),
+    ("email", re.compile("[@\\[({]|at|arroba|arobase", re.I), re.compile(rf"(?<![\w.+%-])[\w+%-](?:[\w+%-]|\.(?=[\w+%-]))*+\s?{MARKS}\s?[\w-]++(?:{DOTS}[\w-]++)+", re.I)),
+    ("ip", re.compile(":.*:", re.S), re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4})?(?::[0-9A-Fa-f]{1,4}){0,6}(?![0-9A-Za-z:])")),
+    ("ip", re.compile(r"[\[(]\.|dot", re.I), re.compile(r"(?<![0-9])[0-9]{1,3}(?:(?:[\[(]\.[\])]|[\[( ]dot[\]) ])[0-9]{1,3}){3}(?![0-9])", re.I)),
+    ("card", re.compile("[0-9].*[0-9]", re.S), re.compile(r"(?<![\w.])[0-9](?:[ ./_–-]{0,2}[0-9]){13,18}(?![\w])")),
+    ("phone", re.compile("[0-9].*[0-9]", re.S), re.compile(r"(?<![\w.+-])\(?[0-9](?:[ ()./–-]{0,3}[0-9]){6,14}(?![\w])")),
+    ("secret", re.compile("[0-9A-Za-z]"), re.compile(r"(?<![\w+/=-])(?=[A-Za-z_+/=-]*[0-9])[A-Za-z0-9_+/-]{16,}+={0,2}")),
 ]
 # Words before a span that tell its kind, in the languages of the tables.
 CONTEXT = {
-    "email": ("mail", "e-mail", "contact", "write", "correo", "courriel", "schreib"),
-    "ip": ("ip", "host", "server", "address", "address:", "adresse", "ipv6", "dirección"),
-    "card": ("card", "visa", "mastercard", "credit", "karte", "carte", "tarjeta"),
-    "phone": ("phone", "tel", "call", "mobile", "fax", "cell", "telefon", "téléphone", "teléfono", "anruf", "ruf"),
+    "email": set("mail e-mail email contact write correo courriel schreib reach".split()),
+    "ip": set("ip host server address adresse ipv6 dirección client".split()),
+    "card": set("card visa mastercard credit karte kreditkarte carte tarjeta amex".split()),
+    "phone": set("phone tel call mobile fax cell telefon téléphone teléfono anruf ruf handy móvil portable numéro appelez llame nummer".split()),
+    "secret": set("token key apikey api_key secret password passwd pwd bearer auth authorization access_key private passwort clave contraseña".split()),
 }
-OTHER = ("version", "isbn", "order", "date", "invoice", "no.", "id", "part", "mac", "time", "score", "total", "page", "ref")
-FEATURES = ["kind", "digits", "length", "separators", "groups", "luhn", "at_mark", "brackets", "dots_written", "parenthesis", "colons", "double_colon", "hex_letters", "first_group", "last_group", "year", "own_context", "other_context", "letter_before", "letter_after", "tld"]
+OTHER = set("version isbn order date invoice no id part mac time score total page ref sha sha1 sha256 md5 commit digest checksum hash etag uuid build on since from eur usd price".split())
+# Common ends of host names.
+TLDS = set("com org net edu gov io info de fr es uk eu us ch at it nl co example test".split())
+#: Kinds in the order of spans that start together.
+ALL_KINDS = [*KINDS, "secret"]
+DATE = re.compile(r"(?:19|20)[0-9]{2}[./ -][0-9]{1,2}[./ -][0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{6}(?![0-9])")
+FEATURES = [
+    "kind", "digits", "length", "separators", "groups", "longest_group", "shortest_group", "luhn", "brackets", "starts_with_0", "starts_with_00", "starts_with_parenthesis", "date", "double_colon",
+    "hex", "mixed_case", "digit_share", "different", "own_context", "other_context", "assigned", "quoted", "top_level", "letter_groups",
+]
 
 
 def features(text: str, start: int, end: int, kind: str) -> list[float]:
     """Format and context of a candidate."""
-    span, before, after = text[start:end], text[max(0, start - 40) : start].lower(), text[end : end + 1]
+    span, before = text[start:end], text[max(0, start - 60) : start].lower()
     digits = NOT_DIGIT.sub("", span)
     groups = [x for x in re.split(r"[^0-9A-Za-z]+", span) if x]
-    low = span.lower()
-    words = re.findall(r"[^\s,;()]+", before)[-4:]
-    said = lambda names: any(w.strip(":.") in names or w in names for w in words)
-    return [
-        float(KINDS.index(kind)), float(len(digits)), float(min(len(span), 200)), float(len(set(NOT_DIGIT.sub("", "")) | set(re.findall(r"[^0-9A-Za-z]", span)))), float(len(groups)),
-        float(len(digits) >= 12 and luhn(digits)), float("@" in span), float(bool(re.search(r"[\[({]", span))), float(bool(re.search(r"[\s\[({]dot[\s\])}]|[\[(]\.[\])]", low))),
-        float("(" in span), float(span.count(":")), float("::" in span), float(bool(re.search("[a-f]", low)) and kind == "ip"),
-        float(len(groups[0]) if groups else 0), float(len(groups[-1]) if groups else 0), float(any(len(x) == 4 and x[:2] in ("19", "20") for x in groups)),
-        float(said(CONTEXT[kind])), float(said(OTHER)), float(before[-1:].isalpha()), float(after.isalpha()), float(bool(groups) and groups[-1].lower() in TLDS),
-    ]
-
-
-# Common ends of host names.
-TLDS = set("com org net edu gov io info de fr es uk eu us ch at it nl co example test".split())
+    lengths = [len(x) for x in groups] or [0]
+    words = re.findall(r"[\w-]+", before)[-4:]
+    letters = [x for x in span if x.isalpha()]
+    values = (
+        ALL_KINDS.index(kind), len(digits), min(len(span), 200), len(set(re.findall(r"[^0-9A-Za-z]", span))), len(groups), max(lengths), min(lengths), len(digits) >= 12 and luhn(digits), any(x in "[({" for x in span),
+        digits.startswith("0"), digits.startswith("00"), span.startswith("("), bool(DATE.match(span)), "::" in span, all(x in "0123456789abcdefABCDEF" for x in span),
+        any(x.islower() for x in letters) and any(x.isupper() for x in letters), len(digits) / max(1, len(span)), len(set(span)), any(w in CONTEXT[kind] for w in words), any(w in OTHER for w in words),
+        bool(re.search(r"[=:]\s*[\"']?$", before)), before[-1:] in "\"'" and bool(before), bool(groups) and groups[-1].lower() in TLDS, sum(x.isalpha() for x in groups),
+    )
+    return [float(x) for x in values]
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """Proposed spans, in any order, overlapping as they may."""
-    out = []
     digit = ANY_DIGIT.search(text) is not None
-    for kind, marks, pattern in GENERATORS:
-        if (digit or kind == "email") and any(x in text for x in marks) and (kind != "ip" or marks != (":",) or text.count(":") > 1):
-            out += [(m.start(), m.end(), kind) for m in pattern.finditer(text)]
-    return out
+    return [(m.start(), m.end(), kind) for kind, mark, pattern in GENERATORS if (digit or kind == "email") and mark.search(text) for m in pattern.finditer(text)]
 
 
-def labelled_candidates(rows: int = 1500, seed: int = 11) -> list[tuple[list[float], float, str]]:
-    """The small labelled table: features, whether it is personal data, and the kind."""
+def labelled_candidates(rows: int = 3000, seed: int = 11) -> list[tuple[list[float], float, str]]:
+    """The small labelled table: features, whether it is personal data, and the kind. Words around
+    a candidate often say nothing, now and then the wrong thing."""
     draw = random.Random(seed)
     n = lambda k: "".join(draw.choice("0123456789") for _ in range(k))
     name = lambda: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randint(3, 9)))
-    hexes = lambda: f"{draw.randrange(1 << 16):x}"
-
-    def card() -> str:
-        digits = n(15)
-        return digits + next(x for x in "0123456789" if luhn(digits + x))
-
-    def made(kind: str, private: bool) -> tuple[str, str]:
+    hexes = lambda k: "".join(draw.choice("0123456789abcdef") for _ in range(k))
+    keys = lambda k: "".join(draw.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-") for _ in range(k))
+    lots = lambda digits, sizes, mark: mark.join(digits[sum(sizes[:k]) : sum(sizes[: k + 1])] for k in range(len(sizes)))
+
+    def card(private: bool) -> str:
+        digits = draw.choice("3456") + n(14)
+        last = next(x for x in "0123456789" if luhn(digits + x))
+        digits += last if private else str((int(last) + draw.randint(1, 9)) % 10)
+        return lots(digits, [4, 4, 4, 4], draw.choice([".", "/", "_", "–", "  ", " ", "-", ""]))
+
+    def phone() -> str:
+        mark = draw.choice([" ", ".", "-", "/", ""])
+        return draw.choice([
+            f"({n(3)}) {n(3)}-{n(4)}", lots(n(10), [3, 3, 4], mark), "0" + lots(n(9), [1, 2, 2, 2, 2], mark), f"0{n(3)}{draw.choice(' /-')}{n(draw.randint(6, 8))}", f"0{n(2)}/{n(6)}", lots("69"[draw.randrange(2)] + n(8), [2, 3, 2, 2], mark),
+            lots("69"[draw.randrange(2)] + n(8), [3, 2, 2, 2], mark), "0" + n(draw.randint(9, 10)), n(10), f"{n(3)}-{n(4)}", f"00{n(2)} {n(2)} {n(6)}", f"00{n(2)}{n(9)}",
+        ])
+
+    def made(kind: str, private: bool) -> str:
         if kind == "email":
+            at, dot = draw.choice([(" at ", " dot "), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" @ ", "."), ("@", "[.]"), (" AT ", " DOT "), (" arroba ", " punto ")])
             if private:
-                at, dot = draw.choice([(" at ", " dot "), (" (at) ", " (dot) "), ("[at]", "[dot]"), ("@", "[.]")])
-                return f"{name()}{draw.choice(['', '.' + name(), n(2)])}{at}{name()}{dot}{draw.choice(sorted(TLDS))}", draw.choice(CONTEXT["email"] if at == " at " else [*CONTEXT["email"], "reach", "and", "is", "the"])
-            return f"{name()} at {name()} dot {name()}", draw.choice(["look", "the", "a", "we", "was"])
+                return f"{name()}{draw.choice(['', '.' + name(), n(2)])}{at}{name()}{dot}{draw.choice(sorted(TLDS))}"
+            return draw.choice([f"{name()} at {name()}.{name()}", f"{name()} at {name()} dot {name()}", f"{name()} @ {name()}.{name()}"])
         if kind == "ip":
             if private:
-                if draw.random() < 0.3:
-                    return "[.]".join(str(draw.randrange(256)) for _ in range(4)), draw.choice(CONTEXT["ip"])
-                return draw.choice([":".join(hexes() for _ in range(8)), f"2001:db8::{hexes()}:{hexes()}", f"fe80::{hexes()}:{hexes()}:{hexes()}"]), draw.choice([*CONTEXT["ip"], "from"])
-            return draw.choice([f"{n(2)}:{n(2)}:{n(2)}", ":".join(f"{draw.randrange(256):02x}" for _ in range(6)), f"{n(1)}:{n(2)}:{n(2)}:{n(2)}"]), draw.choice(["time", "mac", "score", "at"])
+                return draw.choice(["[.]".join(str(draw.randrange(256)) for _ in range(4)), ":".join(hexes(draw.randint(1, 4)) for _ in range(8)), f"2001:db8::{hexes(4)}:{hexes(3)}", f"fe80::{hexes(4)}:{hexes(2)}:{hexes(4)}"])
+            return draw.choice([f"{n(2)}:{n(2)}:{n(2)}", ":".join(hexes(2) for _ in range(6)), f"{n(1)}:{n(2)}:{n(2)}:{n(2)}"])
         if kind == "card":
-            digits = card() if private else n(16)
-            if not private and luhn(digits):
-                digits = digits[:-1] + str((int(digits[-1]) + 1) % 10)
-            mark = draw.choice("./_–")
-            return mark.join(digits[i : i + 4] for i in range(0, 16, 4)), draw.choice(CONTEXT["card"] if private else OTHER)
+            return card(True) if private else draw.choice([card(False), n(14), n(16), lots(n(16), [4, 4, 4, 4], "-"), f"20{n(12)}"])
+        if kind == "secret":
+            if private:
+                return draw.choice([hexes(32), hexes(40), hexes(40), hexes(64), keys(draw.randint(20, 48)), "AKIA" + keys(16).upper(), "ghp_" + keys(36)])
+            return draw.choice([hexes(32), hexes(40), hexes(64), f"{name()}_{name()}_{name()}_{n(2)}", f"{name()}-{name()}-{name()}{n(1)}", f"/{name()}/{name()}/{name()}{n(2)}", n(draw.randint(16, 24)), f"{hexes(8)}-{hexes(4)}-{hexes(4)}-{hexes(4)}-{hexes(12)}"])
         if private:
-            a = draw.choice([f"({n(3)}) {n(3)}-{n(4)}", f"{n(3)}-{n(3)}-{n(4)}", f"{n(3)}.{n(3)}.{n(4)}", f"0{n(3)} {n(3)} {n(4)}", f"00{n(2)} {n(3)} {n(4)}"])
-            return a, draw.choice([*CONTEXT["phone"], "phone", "tel", "call"])
-        return draw.choice([f"{n(4)}-{n(4)}-{n(4)}", f"20{n(2)} {n(4)} {n(4)}", f"{n(3)}-{n(3)}-{n(4)}", f"{n(2)} {n(3)} {n(3)}", f"978-{n(4)}-{n(4)}"]), draw.choice([*OTHER, "the", "of", "and"])
+            return phone()
+        year = draw.choice(["19", "20"]) + n(2)
+        return draw.choice([f"{year}-{n(2)}-{n(2)}", f"{n(2)}.{n(2)}.{year}", f"{year}{n(4)}", f"{year}-{year}", f"978-{n(1)}-{n(2)}-{n(6)}-{n(1)}", n(draw.randint(7, 15)), n(16)[:15], f"{n(1)}.{n(3)}.{n(3)}.{n(3)}", f"{n(2)} {n(3)} {n(3)}", f"{n(4)}-{n(4)}-{n(4)}", f"{n(4)}/{n(4)}"])
 
+    own = {kind: sorted(words) for kind, words in CONTEXT.items()}
     out = []
     while len(out) < rows:
-        kind, private = draw.choice(KINDS), draw.random() < 0.5
-        span, word = made(kind, private)
-        before = f"{name()} {name()} {word}{draw.choice([' ', ': '])}"
-        text = f"{before}{span} {name()}. {name()}"
-        for start, end, own in candidates(text):
-            if own == kind and start <= len(before) + len(span) and end > len(before):
-                out.append((features(text, start, end, kind), float(private), kind))
+        kind, private, luck = draw.choice(ALL_KINDS), draw.random() < 0.5, draw.random()
+        said = own[kind] if private else sorted(OTHER)
+        if luck > 0.97:
+            said = sorted(OTHER) if private else own[kind]
+        word = draw.choice(said) if luck < (0.9 if kind == "secret" else 0.6) or luck > 0.97 else name()
+        span = made(kind, private)
+        before = f"{name()} {name()} {word}{draw.choice([' ', ' ', ': ', ' = '])}" + (quote := draw.choice(["", "", '"']))
+        text = f"{before}{span}{quote} {name()}. {name()}"
+        out += [(features(text, start, end, k), float(private), k) for start, end, k in candidates(text) if k == kind and start <= len(before) + 1 and end >= len(before) + len(span) - 1]
     return out
 
 
@@ -184,20 +203,20 @@ def _trained(app: str, rows: int, seed: int, rounds: int, precision: float):
     from pyspark.sql import SparkSession
 
     table = labelled_candidates(rows, seed)
-    fit, held = table[::2], table[1::2]
+    fit, held = [r for k, r in enumerate(table) if k % 3], table[::3]
     frame = SparkSession.getActiveSession().createDataFrame([(Vectors.dense(x), y) for x, y, _ in fit], ["features", "label"]).coalesce(1)
-    model = GBTClassifier(maxIter=rounds, maxDepth=4, stepSize=0.3, seed=seed).fit(frame)
+    model = GBTClassifier(maxIter=rounds, maxDepth=5, maxBins=64, stepSize=0.3, seed=seed).fit(frame)
     trees = [tree_arrays(t._java_obj.rootNode()) if hasattr(t, "_java_obj") else tree_arrays(t._call_java("rootNode")) for t in model.trees]
     boosted = [(w, t) for w, t in zip(model.treeWeights, trees)]
     scores = score(boosted, np.array([x for x, _, _ in held]))
     thresholds = {}
-    for kind in KINDS:  # the lowest score from which on held-out rows are precise enough
+    for kind in ALL_KINDS:  # between the lowest score from which on unseen rows are precise enough, and the next lower one
         own = sorted(((s, y) for s, (_, y, k) in zip(scores, held) if k == kind), reverse=True)
         right, best = 0, math.inf
         for n, (s, y) in enumerate(own, 1):
             right += y
             if right / n >= precision and (n == len(own) or own[n][0] < s):
-                best = s
+                best = (s + own[n][0]) / 2 if n < len(own) else s
         thresholds[kind] = max(best, 0.5)
     return boosted, thresholds
 
@@ -208,7 +227,7 @@ def score(boosted: list, rows: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-2 * margin))
 
 
-def train(spark, rows: int = 1500, seed: int = 11, rounds: int = 12, precision: float = 0.97):
+def train(spark, rows: int = 3000, seed: int = 11, rounds: int = 15, precision: float = 0.97):
     """The boosted trees and each kind's threshold, trained by Spark once for each application."""
     return _trained(spark.sparkContext.applicationId, rows, seed, rounds, precision)
 
@@ -235,7 +254,7 @@ def all_spans(text: str, base: list[Span], boosted: list, thresholds: dict[str,
             continue
         merged.insert(at, (start, end))
         out.append((start, kind, end))
-    return sorted(out, key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
+    return sorted(out, key=lambda s: (s[0], ALL_KINDS.index(s[1]), s[2]))
 
 
 def joined(spans: list[Span]) -> str:
