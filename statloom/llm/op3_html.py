@@ -3,10 +3,12 @@
 A page is cut into blocks at block-level tags. A block's features are its words
 and link density, those of its neighbours, and what its ancestors' tags, roles and
 names say. A decision tree, trained by Spark on a small labelled table that is
-made here from a fixed seed, says which blocks belong to the article. Pages are
+made here from a fixed seed, says which blocks belong to the article; in part of the
+labelled pages names say nothing, so that words and link densities have to. Pages are
 worked on by themselves (a map); the tree goes to the tasks as a few numbers.
 
-Edge cases: a null or empty page, or one without an article, has empty text;
+Edge cases: columns of the table that are called text or n_chars give way to the
+result's; a null or empty page, or one without an article, has empty text;
 broken markup is read as far as it goes; repeated rows are rows of their own; an
 empty table gives no rows; other columns don't matter.
 """
@@ -180,13 +182,24 @@ def with_neighbours(rows: list[tuple]) -> np.ndarray:
     return out
 
 
-def labelled_pages(pages: int = 240, seed: int = 7) -> Iterator[tuple[str, set[str]]]:
+def labelled_pages(pages: int = 400, seed: int = 7) -> Iterator[tuple[str, set[str]]]:
     """Made pages and the texts of their article blocks."""
     draw = random.Random(seed)
     word = lambda: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randint(2, 9)))
     words = lambda a, b: " ".join(word() for _ in range(draw.randint(a, b)))
     linked = lambda n: "".join(f'<li><a href="/{word()}">{words(1, 3)}</a></li>' for _ in range(n))
 
+    def plain() -> str:
+        """Menus, link lines and notes that no name tells from the article."""
+        kind = draw.randrange(4)
+        if kind == 0:
+            return f"<div><ul>{linked(draw.randint(2, 8))}</ul></div>"
+        if kind == 1:
+            return "<p>" + " | ".join(f'<a href="/{word()}">{words(1, 4)}</a>' for _ in range(draw.randint(2, 9))) + "</p>"
+        if kind == 2:
+            return f'<div><p><a href="/{word()}">{words(4, 25)}</a> {words(1, 3)}</p></div>'
+        return f"<div>{words(1, 4)} <a href=/>{words(2, 6)}</a></div>"
+
     def boiler() -> str:
         kind = draw.randrange(12)
         if kind < 3:
@@ -204,8 +217,10 @@ def labelled_pages(pages: int = 240, seed: int = 7) -> Iterator[tuple[str, set[s
 
     for _ in range(pages):
         body: set[str] = set()
-        container = draw.choice([("<article>", "</article>"), ("<main>", "</main>"), ('<div class="post-content">', "</div>"), ('<div id="main">', "</div>"), ("<div>", "</div>")])
+        named = draw.random() < 0.6
+        container = draw.choice([("<article>", "</article>"), ("<main>", "</main>"), ('<div class="post-content">', "</div>"), ('<div id="main">', "</div>"), ("<div>", "</div>")]) if named else ("<div>", "</div>")
         hints = container[0] != "<div>"
+        other = boiler if named else plain
         title = words(3, 10)
         heading = f"<h1>{title}</h1>"
         inside = [f"<header>{heading}</header>" if hints and draw.random() < 0.2 else heading]
@@ -214,17 +229,17 @@ def labelled_pages(pages: int = 240, seed: int = 7) -> Iterator[tuple[str, set[s
             own = words(1, 60) if hints else words(12, 80)
             body.add(own)
             first, _, rest = own.partition(" ")
-            inside.append(draw.choice([f"<p>{own}</p>", f"<p><a href='/x'>{first}</a> {rest}</p>", f"<p><b>{own}<br>", f"<blockquote>{own}</blockquote>"]))
-            if hints and draw.random() < 0.15:
-                inside.append(boiler())
-        before = [f"<header><a href=/>{words(1, 3)}</a><p>{words(1, 8)}</p></header>", *(boiler() for _ in range(draw.randint(0, 3)))]
-        after = [*(boiler() for _ in range(draw.randint(0, 3))), f"<footer><p>{words(2, 20)}</p></footer>"]
+            inside.append(draw.choice([f"<p>{own}</p>", f"<p>{own}</p>", f"<p><a href='/x'>{first}</a> {rest}</p>", f"<p><b>{own}<br>", f"<blockquote>{own}</blockquote>"]))
+            if draw.random() < 0.15:
+                inside.append(draw.choice([other, plain])())
+        before = [f"<header><a href=/>{words(1, 3)}</a><p>{words(1, 8)}</p></header>", *(other() for _ in range(draw.randint(0, 3)))]
+        after = [*(other() for _ in range(draw.randint(0, 3))), f"<footer><p>{words(2, 20)}</p></footer>"]
         if draw.random() < 0.5:  # plain text outside of the article
             before.append(f"<div>{words(1, 6)}</div>")
         yield "<html><body>" + "".join(before) + container[0] + "".join(inside) + container[1] + "".join(after) + "</body></html>", body
 
 
-def labelled_blocks(pages: int = 240, seed: int = 7) -> list[tuple[list[float], float]]:
+def labelled_blocks(pages: int = 400, seed: int = 7) -> list[tuple[list[float], float]]:
     """The small labelled table: features and whether a block is the article's."""
     rows = []
     for page, body in labelled_pages(pages, seed):
@@ -245,7 +260,7 @@ def _trained(app: str, pages: int, seed: int, depth: int):
     return tree_arrays(model._java_obj.rootNode())
 
 
-def train(spark, pages: int = 240, seed: int = 7, depth: int = 7) -> dict[str, np.ndarray]:
+def train(spark, pages: int = 400, seed: int = 7, depth: int = 7) -> dict[str, np.ndarray]:
     """The decision tree, trained by Spark once for each application."""
     return _trained(spark.sparkContext.applicationId, pages, seed, depth)
 
