@@ -1,21 +1,27 @@
 """Edit-aware token counts.
 
 A document's text is kept as the leaves of a segment tree: pieces at whose ends
-every context has a token's end, each with its characters and tokens. An edit
-goes down the tree to the leaves that it touches, takes one more on either side
-as boundary context, cuts and counts only their edited text anew, and updates
-the sums above them. The counts of pieces are remembered (a bounded number).
+every context has a token's end, each with its characters and tokens; a few dozen
+leaves stand in a block, and the tree has the blocks' sums. An edit goes down the
+tree to the leaves that it touches, takes one more on either side as boundary
+context, cuts their edited text into leaves again, counts only those, and updates
+the sums above them. A block that grows too long is split, and the sums are then
+laid out anew, so that an edit stays cheap after any number of edits. The counts of
+pieces are remembered (a bounded number).
 
 Edge cases: a null or empty text has no tokens, and edits can insert into it; null
-or no edits leave a text as it is; edits are in the original text's code points,
-must not overlap and are clipped to the text; repeated rows are rows of their own;
-an empty table gives no rows; other columns don't matter.
+or no edits leave a text as it is; edits are in the original text's code points and
+are clipped to the text; of edits that overlap, the one that begins first ends where
+the next begins; insertions at one place stand in the order of the edits; a null
+replacement removes; repeated rows are rows of their own; an empty table gives no
+rows; other columns don't matter.
 """
 
 from __future__ import annotations
 
 import base64
 import gc
+import math
 from collections.abc import Iterator
 from itertools import islice
 
@@ -52,15 +58,30 @@ class Counter:
 
 
 class SegmentTree:
-    """Leaves of text with sums of characters and tokens above them, level by level."""
+    """Leaves of text in blocks, with sums of characters and tokens above them, level by level."""
+
+    #: Leaves of a new block; a block with over twice as many is split.
+    BLOCK = 64
 
     def __init__(self, text: str, counter: Counter):
-        self.counter = counter
-        self.leaves = pieces_of(text) or [""]
-        self.recounted = 0
-        tokens = np.array(counter.counts(self.leaves) if text else [0], np.int64)
-        chars = np.fromiter(map(len, self.leaves), np.int64, len(self.leaves))
-        self.tokens, self.chars = self._levels(tokens), self._levels(chars)
+        self.counter, self.recounted = counter, 0
+        self.blocks: list[list[tuple[str, int]]] = self._cut(self._counted(text))
+        self._lay_out()
+
+    def _counted(self, text: str) -> list[tuple[str, int]]:
+        pieces = pieces_of(text) if text else []
+        return list(zip(pieces, self.counter.counts(pieces)))
+
+    def _cut(self, leaves: list[tuple[str, int]]) -> list[list[tuple[str, int]]]:
+        return [leaves[at : at + self.BLOCK] for at in range(0, len(leaves), self.BLOCK)] or [[]]
+
+    def _lay_out(self) -> None:
+        sums = [self._sums(x) for x in self.blocks]
+        self.chars, self.tokens = (self._levels(np.array(x, np.int64)) for x in zip(*sums))
+
+    @staticmethod
+    def _sums(block: list[tuple[str, int]]) -> tuple[int, int]:
+        return sum(len(x) for x, _ in block), sum(n for _, n in block)
 
     @staticmethod
     def _levels(values: np.ndarray) -> list[np.ndarray]:
@@ -80,8 +101,12 @@ class SegmentTree:
     def n_chars(self) -> int:
         return int(self.chars[-1][0])
 
-    def find(self, place: int) -> tuple[int, int]:
-        """The leaf that holds the code point at a place, and where it begins."""
+    @property
+    def n_leaves(self) -> int:
+        return sum(map(len, self.blocks))
+
+    def find(self, place: int) -> tuple[int, int, int]:
+        """The block and leaf that hold the code point at a place, and where the leaf begins."""
         node, before = 0, 0
         for level in reversed(self.chars[:-1]):
             node *= 2
@@ -89,57 +114,46 @@ class SegmentTree:
             if place - before >= left and node + 1 < len(level):
                 before += left
                 node += 1
-        return min(node, len(self.leaves) - 1), before
+        node = min(node, len(self.blocks) - 1)
+        for leaf, (text, _) in enumerate(self.blocks[node]):
+            if place - before < len(text) or leaf == len(self.blocks[node]) - 1:
+                return node, leaf, before
+            before += len(text)
+        return node, 0, before
 
     def edit(self, start: int, end: int, replacement: str) -> None:
         """Replaces the code points from start to before end."""
         n = self.n_chars
         start, end = min(max(start, 0), n), min(max(end, start, 0), n)
-        first, _ = self.find(max(start - 1, 0))
-        last, _ = self.find(min(end, max(n - 1, 0)))
-        first, last = self._before(first), self._after(last)
-        begins = self._chars_before(first)
-        text = "".join(self.leaves[first : last + 1])
-        text = text[: start - begins] + replacement + text[end - begins :]
-        pieces = pieces_of(text)
-        self.recounted += len(pieces)
-        self.leaves[first : last + 1] = [text] + [""] * (last - first)
-        self._set(self.tokens, first, last, sum(self.counter.counts(pieces)))
-        self._set(self.chars, first, last, len(text))
-
-    def _before(self, leaf: int) -> int:
-        """The leaf with text before this one, as context."""
-        leaf = max(leaf - 1, 0)
-        while leaf > 0 and not self.leaves[leaf]:
-            leaf -= 1
-        return leaf
-
-    def _after(self, leaf: int) -> int:
-        leaf = min(leaf + 1, len(self.leaves) - 1)
-        while leaf < len(self.leaves) - 1 and not self.leaves[leaf]:
-            leaf += 1
-        return leaf
-
-    def _chars_before(self, leaf: int) -> int:
-        total = 0
-        for level in self.chars[:-1]:
-            if leaf % 2:
-                total += int(level[leaf - 1])
-            leaf //= 2
-        return total
-
-    @staticmethod
-    def _set(levels: list[np.ndarray], first: int, last: int, value: int) -> None:
-        """The first leaf of a stretch stands for all of it; the sums above follow."""
-        levels[0][first : last + 1] = 0
-        levels[0][first] = value
-        for below, level in zip(levels[:-1], levels[1:]):
-            first, last = first // 2, last // 2
-            level[first : last + 1] = below[2 * first : 2 * last + 2 : 2] + below[2 * first + 1 : 2 * last + 2 : 2]
+        # a leaf more on either side is context
+        _, _, begins = self.find(max(start - 1, 0))
+        first, leaf, begins = self.find(max(begins - 1, 0))
+        last, end_leaf, ends = self.find(min(end, max(n - 1, 0)))
+        if self.blocks[last]:
+            last, end_leaf, _ = self.find(min(ends + len(self.blocks[last][end_leaf][0]), max(n - 1, 0)))
+        before, after = self.blocks[first][:leaf], self.blocks[last][end_leaf + 1 :]
+        text = "".join(x for block in self.blocks[first : last + 1] for x, _ in block)
+        skip, rest = sum(len(x) for x, _ in before), sum(len(x) for x, _ in after)
+        text = text[skip : len(text) - rest]
+        edited = self._counted(text[: start - begins] + replacement + text[end - begins :])
+        self.recounted += len(edited)
+        leaves = before + edited + after
+        new = [leaves] if len(leaves) <= 2 * self.BLOCK and (leaves or len(self.blocks) == last - first + 1) else self._cut(leaves) if leaves else []
+        self.blocks[first : last + 1] = new
+        if len(new) != last - first + 1:
+            self._lay_out()
+            return
+        for at, block in enumerate(new, first):
+            self.chars[0][at], self.tokens[0][at] = self._sums(block)
+            for levels in (self.chars, self.tokens):
+                node = at
+                for below, level in zip(levels[:-1], levels[1:]):
+                    node //= 2
+                    level[node] = below[2 * node] + below[2 * node + 1]
 
     @property
     def text(self) -> str:
-        return "".join(self.leaves)
+        return "".join(x for block in self.blocks for x, _ in block)
 
 
 _MADE: dict = {}
@@ -164,11 +178,11 @@ def recounted(docs: DataFrame, path: str, pattern: str, edits_column: str = "edi
             rows = []
             for text, edits in zip(frame["text"], frame["edits"]):
                 tree = SegmentTree(text or "", own)
-                before, pieces, n = tree.n_tokens, len(tree.leaves), 0
+                before, pieces, n, limit = tree.n_tokens, tree.n_leaves, 0, math.inf
                 # from the last to the first, so that places stay what they are
-                for e in sorted([] if edits is None else edits, key=lambda e: (e["start"], e["end"]), reverse=True):
-                    tree.edit(e["start"], e["end"], e["text"] or "")
-                    n += 1
+                for e in reversed(sorted([] if edits is None else edits, key=lambda e: e["start"])):
+                    tree.edit(e["start"], min(e["end"], limit), e["text"] or "")
+                    n, limit = n + 1, e["start"]
                 rows.append((before, n, tree.n_tokens, tree.n_chars, pieces, tree.recounted, tree.text if with_text else None))
             made = pd.DataFrame(rows, columns=["n_tokens", "n_edits", "edited_tokens", "edited_chars", "n_pieces", "recounted_pieces", "edited_text"])
             made.insert(0, id_column, frame["id"])
