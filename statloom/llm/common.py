@@ -26,10 +26,10 @@ def shared_dir(spark: SparkSession) -> str:
     return there.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df, written as Parquet into the shared folder and read again: cuts the
     lineage so that a lost executor costs a reread and no recomputation."""
-    return Shared(df.sparkSession).written(df, name)
+    return Shared(df.sparkSession).written(df, name, **options)
 
 
 class Shared:
@@ -38,10 +38,10 @@ class Shared:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
-    def written(self, df: DataFrame, name: str) -> DataFrame:
+    def written(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
         self.paths.append(path)
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:
@@ -118,12 +118,12 @@ LETTERS = re.compile("[a-z\xdf-\xf6\xf8-\xff]+|[ A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\x
 class PieceIds:
     """Token ids of texts, by a tokenizers file. A text is cut where every
     context gives a token's end, and the ids of pieces of at most LONGEST characters are
-    remembered, about `remembered` of them: some 150 bytes each, so 100 MB at most.
+    remembered, about `remembered` of them: some 150 bytes each, so 150 MB or so.
     encode_batch() gives what the tokenizer gives."""
 
     LONGEST = 64
 
-    def __init__(self, path: str, remembered: int = 700_000):
+    def __init__(self, path: str, remembered: int = 1_000_000):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -5,11 +5,15 @@ interleaved page by page: the samples, whose granule positions count samples, an
 an index of the payload's length and checksum. decode() verifies every page's
 checksum, reassembles packets from the lacing values over page boundaries,
 demultiplexes the streams by serial number and derives times from the granule
-positions. Both are map-only over rows.
+positions. Both are map-only over rows; the query writes the media as a table in
+between and reads it back. A packet is longer than a page can be, so long payloads
+have packets that go on over pages.
 
 Edge cases: a null or empty text is stored as 64 bytes 0; equal texts give equal
 files (nothing depends on the row); repeated rows are rows of their own; long
-texts take more pages; an empty table gives no rows; other columns don't matter.
+texts take more pages; null media give nulls, empty or damaged ones their bytes and
+hash, nulls for what can't be read, and the fault as feature; an empty table gives no
+rows; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -25,11 +29,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, written
 
 #: Bits of each byte in reverse order: Ogg's checksum reads the highest bit first, zlib's the lowest.
 REVERSED = bytes(int(f"{x:08b}"[::-1], 2) for x in range(256))
-RATE, PACKET, GRAIN = 8000, 16_000, 64
+RATE, PACKET, GRAIN = 8000, 80_000, 64
 BOS, EOS, CONTINUED = 2, 4, 1
 HEADER = struct.Struct("<4sBBqIIIB")
 
@@ -127,11 +131,16 @@ def demux(media: bytes) -> dict[int, list[tuple[bytes, int]]]:
 def read_back(media: bytes) -> tuple[int, bytes, str]:
     """Bytes of the text, the payload, and features: sampling rate, samples,
     milliseconds, packets, mean and peak sample."""
-    (serial, sound), (_, index) = demux(media).items()
+    streams = demux(media)
+    if len(streams) != 2:
+        raise Damaged(f"{len(streams)} streams")
+    sound, index = streams.values()
     _, rate, channels, bits = struct.unpack("<8sIBB", sound[0][0])
     payload = b"".join(x for x, _ in sound[1:])
     n_bytes = 0
-    for (part, granule), (entry, index_granule) in zip(sound[1:], index[1:], strict=True):
+    if len(sound) < 2 or len(sound) != len(index):
+        raise Damaged("packets are missing")
+    for (part, granule), (entry, index_granule) in zip(sound[1:], index[1:]):
         n_bytes, length, crc = struct.unpack("<QII", entry)
         if length != len(part) or crc != zlib.crc32(part) or granule != index_granule:
             raise Damaged("the index differs")
@@ -162,10 +171,18 @@ def decode(rows: DataFrame, id_column: str = "doc_id", media_column: str = "medi
         for frame in frames:
             out = []
             for media in frame["media"]:
+                if media is None:
+                    out.append((None,) * len(names))
+                    continue
                 media = bytes(media)
-                n, payload, feature = read_back(media)
-                out.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-GRAIN:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-            made = pd.DataFrame(out, columns=names)
+                stored = len(media), hashlib.sha256(media).hexdigest()
+                try:
+                    n, payload, feature = read_back(media)
+                except (Damaged, struct.error) as fault:
+                    out.append((None, None, None, None, *stored, f"damaged: {fault}"))
+                    continue
+                out.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-GRAIN:]), *stored, feature))
+            made = pd.DataFrame(out, columns=names).astype({c: "Int64" for c in names if c not in ("payload_sha256", "media_sha256", "feature")})
             made.insert(0, id_column, frame["id"].to_numpy() if not frame["id"].isna().any() else frame["id"])
             yield made
 
@@ -174,4 +191,5 @@ def decode(rows: DataFrame, id_column: str = "doc_id", media_column: str = "medi
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
+    media = encode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return decode(written(media, "media", compression="zstd"))
