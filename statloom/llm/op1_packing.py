@@ -80,47 +80,66 @@ def pack(pieces: list[Piece], tiers: tuple[int, ...] = TIERS, last: bool = False
 
 
 class Packer:
-    """Packs one partition's documents."""
+    """Packs one partition's documents. Windows wait until a step group of exactly STEP tokens
+    can be made of them, the longest first; only a partition's last group may be shorter."""
 
     def __init__(self, tiers: tuple[int, ...], first_id: int):
-        self.tiers, self.sequence, self.group, self.in_group = tiers, first_id, first_id, 0
+        self.tiers, self.sequence, self.group = tiers, first_id, first_id
+        #: Of each document with pieces left: its id, its ids from a place on, that place, its tokens.
         self.docs: dict[int, tuple] = {}
         self.pieces: list[Piece] = []
-        self.tokens = self.n = 0
+        self.tokens = self.n = self.held = 0
+        self.ready: list[tuple[int, list[tuple]]] = []
         self.rows: list[tuple] = []
 
     def add(self, doc_id, ids: np.ndarray) -> None:
         longest = self.tiers[-1]
         full = len(ids) // longest * longest
-        self.docs[self.n] = (doc_id, ids)
         for start in range(0, full, longest):
-            self._write([(longest, self.n, start)])
+            self._wait([(doc_id, start, longest, zlib.crc32(ids[start : start + longest].tobytes()), len(ids))])
         if full < len(ids):
+            self.docs[self.n] = (doc_id, ids[full:].copy(), full, len(ids))
             self.pieces.append((len(ids) - full, self.n, full))
             self.tokens += len(ids) - full
         self.n += 1
         if self.tokens >= POOL:
             self.flush(False)
+        elif self.held >= STEP:
+            self._write(False)
 
     def flush(self, last: bool) -> None:
         windows, self.pieces = pack(self.pieces, self.tiers, last)
         for window in windows:
-            self._write(window)
+            made = []
+            for length, doc, start in window:
+                doc_id, ids, first, total = self.docs[doc]
+                made.append((doc_id, start, length, zlib.crc32(ids[start - first : start - first + length].tobytes()), total))
+            self._wait(made)
         self.tokens = sum(x[0] for x in self.pieces)
         still = {doc for _, doc, _ in self.pieces}
         self.docs = {doc: self.docs[doc] for doc in still}
-
-    def _write(self, window: list[Piece]) -> None:
-        offset, size = 0, sum(x[0] for x in window)
-        if self.in_group + size > STEP:
-            self.group, self.in_group = self.group + 1, 0
-        for length, doc, start in window:
-            doc_id, ids = self.docs[doc]
-            crc = zlib.crc32(ids[start : start + length].tobytes())
-            self.rows.append((doc_id, start, length, crc, len(ids), self.sequence, offset, size, self.group))
-            offset += length
-        self.sequence += 1
-        self.in_group += size
+        self._write(last)
+
+    def _wait(self, window: list[tuple]) -> None:
+        size = sum(x[2] for x in window)
+        self.ready.append((size, window))
+        self.held += size
+
+    def _write(self, last: bool) -> None:
+        """Sizes are powers of two, so windows from the longest on fill a group exactly."""
+        self.ready.sort(key=lambda x: -x[0])
+        at = 0
+        while at < len(self.ready) and (self.held >= STEP or last):
+            filled = 0
+            while at < len(self.ready) and filled < STEP:
+                size, window = self.ready[at]
+                offset = 0
+                for doc_id, start, length, crc, total in window:
+                    self.rows.append((doc_id, start, length, crc, total, self.sequence, offset, size, self.group))
+                    offset += length
+                self.sequence, filled, at = self.sequence + 1, filled + size, at + 1
+            self.group, self.held = self.group + 1, self.held - filled
+        self.ready = self.ready[at:]
 
 
 COLUMNS = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "context_size", "step_group"]
