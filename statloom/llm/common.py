@@ -18,9 +18,11 @@ SPACE = "\\x20\\x09-\\x0D"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the
-    session. Only where it is unset (as in tests) a temporary folder is set."""
+    session. Where it is unset, a session of one machine (as in tests) gets a temporary folder."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not there:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         there = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(there)
     return there.rstrip("/")

@@ -43,6 +43,10 @@ def file_system(folder: str):
     return fs.LocalFileSystem(), folder
 
 
+#: UTF-8 bytes of the texts of a file, or so.
+PART_BYTES = 1 << 30
+
+
 def id_type(size: int) -> str:
     """The narrowest unsigned type for a vocabulary."""
     return "<u2" if size <= 1 << 16 else "<u4"
@@ -51,7 +55,9 @@ def id_type(size: int) -> str:
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, parts: int | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Writes the files and returns the bases: part, base_doc, base_token, docs, tokens."""
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not parts:  # as many as a shuffle has, more where files would be over PART_BYTES of text
+        text_bytes = docs.agg(F.sum(F.octet_length(F.col(text_column)))).first()[0] or 0
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes // PART_BYTES))
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         context = TaskContext.get()
@@ -81,8 +87,15 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
 
     small_batches(spark)
     rows = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_column).alias("text"))
-    rows = rows.repartitionByRange(parts, "id").sortWithinPartitions("id", "text")
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))  # one id may have many rows
+    rows = rows.repartitionByRange(parts, "id", "text_hash").sortWithinPartitions("id", "text_hash", "text")
     wrote = sorted(rows.mapInPandas(write, "part int, docs long, tokens long, kind string").collect())  # a row for each partition
+    from pyarrow.fs import FileSelector
+
+    store, path = file_system(folder)
+    for left in store.get_file_info(FileSelector(path, allow_not_found=True)):  # of attempts that failed
+        if left.base_name.startswith(".attempt-"):
+            store.delete_file(left.path)
     docs_before = [0, *accumulate(x["docs"] for x in wrote)]
     tokens_before = [0, *accumulate(x["tokens"] for x in wrote)]
     bases = [(x["part"], a, b, x["docs"], x["tokens"], x["kind"]) for x, a, b in zip(wrote, docs_before, tokens_before)]

@@ -12,6 +12,7 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 from compare import expected, rows_of
 from tokenizers import Tokenizer
 
@@ -73,6 +74,13 @@ def test_packing(odd, no_rows):
             assert offset == at
             at += length
         assert at <= 4096 and at & (at - 1) == 0
+    groups = collections.defaultdict(dict)
+    for r in got:
+        groups[r.sequence_id >> 40, r.step_group][r.sequence_id] = r.context_size
+    tokens = collections.defaultdict(list)
+    for (part, _), sizes in sorted(groups.items()):
+        tokens[part].append(sum(sizes.values()))
+    assert all(x == op1_packing.STEP for own in tokens.values() for x in own[:-1]) and all(own[-1] <= op1_packing.STEP for own in tokens.values())
     assert rows(op1_packing.packed(no_rows, WORD_BPE)) == []
 
 
@@ -175,7 +183,7 @@ def test_token_files(odd, no_rows, spark):
     folder = f"{shared_dir(spark)}/files-odd"
     op5_tokenfile.write_token_files(odd, folder, BYTE_BPE, 0, parts=3)
     got = sorted(rows(op5_tokenfile.read_token_files(spark, folder)), key=lambda r: r.start)
-    want = sorted(odd.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or ""))
+    want = odd.orderBy("doc_id", F.xxhash64("text")).collect()  # nulls first
     start = 0
     for r, w in zip(got, want, strict=True):
         ids = np.array(t.encode(w.text or "", add_special_tokens=False).ids + [0], "<u4")
@@ -201,8 +209,6 @@ def test_merge_replay(odd, no_rows):
 
 
 def test_edit_counts(odd, no_rows):
-    from pyspark.sql import functions as F
-
     encoding, counter = ranks(), op7_counts.Counter(RANKS, P.PATTERN, remembered=200)
     draw = random.Random(6)
     for text in made_texts(1200, 7):
