@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .numbering import numbered
+from .numbering import numbered, stored
+from .relational import quantiles
 
 
 def point_metrics(df: DataFrame, by: list[str], actual: str = "actual", forecast: str = "forecast") -> DataFrame:
@@ -35,24 +36,69 @@ def interval_metrics(df: DataFrame, by: list[str], actual: str = "actual", low:
 
 
 def frozen_parameters(df: DataFrame, by: list[str], actual: str = "actual", part: str = "part") -> DataFrame:
-    """h = mean(actual - part) and the 10 and 90 % quantiles of what is left."""
-    residual = F.col(actual) - F.col(part)
-    centred = df.withColumn("_h", F.avg(residual).over(Window.partitionBy(*by)) if by else F.lit(0.0))
-    q = F.percentile(residual, F.array(F.lit(0.1), F.lit(0.9)))
-    return centred.groupBy(*by).agg(F.avg(residual).alias("h"), (q[0] - F.avg(residual)).alias("q10"), (q[1] - F.avg(residual)).alias("q90"), F.count("*").alias("n"))
+    """h = mean(actual - part), the 10 and 90 % quantiles of what is left, and n."""
+    residuals = df.select(*by, (F.col(actual) - F.col(part)).alias("_residual"))
+    means = residuals.groupBy(*by).agg(F.avg("_residual").alias("h"), F.count("*").alias("n"))
+    q = quantiles(residuals, by, "_residual", [0.1, 0.9])
+    joined = means.join(q, by) if by else means.crossJoin(q)  # a row each
+    return joined.select(*by, "h", (F.col("q")[0] - F.col("h")).alias("q10"), (F.col("q")[1] - F.col("h")).alias("q90"), "n")
 
 
-def drawn(seed: str, draw: Column, slot: Column, n: Column) -> Column:
-    """A pseudo-random number below n from counters, the same in every engine that has md5."""
+def drawn(seed: str, draw: Column, slot: Column, n: Column, part: int = 0) -> Column:
+    """A pseudo-random number below n from counters, the same in every engine that has md5,
+    which has four such parts of 32 bits."""
     text = F.concat_ws("|", F.lit(seed), draw.cast("string"), slot.cast("string"))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % n
+    return F.conv(F.substring(F.md5(text), 1 + 8 * part, 8), 16, 10).cast("long") % n
 
 
-def bootstrap_rmse_gain(losses: DataFrame, draws: int, seed: str, order: list[str], a: str = "loss_a", b: str = "loss_b") -> DataFrame:
-    """Of a paired bootstrap over rows: draw, gain = rmse(a) - rmse(b). losses has a
-    row for each case, numbered in order."""
-    cases = numbered(losses, order, "place").select("place", F.col(a).alias("a"), F.col(b).alias("b"))
+#: Differences of models' RMSE: weekly against each other one, prior against legacy, and the gain of one step beyond that of another.
+CONTRASTS = {
+    "weekly-home": {"weekly": 1, "home": -1}, "weekly-legacy": {"weekly": 1, "legacy": -1}, "weekly-prior": {"weekly": 1, "prior": -1},
+    "prior-legacy": {"prior": 1, "legacy": -1}, "gain-gain": {"legacy": 1, "prior": -2, "weekly": 1},
+}
+
+
+def paired_draws(losses: DataFrame, draws: int, seed: str, order: list[str], models: list[str]) -> DataFrame:
+    """Of a paired bootstrap over rows: draw and each model's RMSE; all models share the
+    draws. losses has a row for each case of a fixed cohort, numbered in order, and a column
+    of squared losses for each model; draws are made and summed map-side."""
+    cases = stored(numbered(losses, order, "place").select("place", *models), "cases")
     n = cases.agg(F.count("*").alias("n"))
-    slots = cases.select(F.col("place").alias("slot")).crossJoin(F.broadcast(n))
-    picks = slots.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).select("draw", drawn(seed, F.col("draw"), F.col("slot"), F.col("n")).alias("place"))
-    return picks.join(cases, "place").groupBy("draw").agg((F.sqrt(F.avg("a")) - F.sqrt(F.avg("b"))).alias("gain"))
+    parts = max(losses.sparkSession.sparkContext.defaultParallelism, int(losses.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    slots = cases.select(F.col("place").alias("slot")).repartition(parts, "slot").crossJoin(F.broadcast(n))  # n is a row
+    four = slots.withColumn("quarter", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // 4))))
+    places = F.array(*(drawn(seed, F.col("quarter"), F.col("slot"), F.col("n"), k) for k in range(4)))
+    picks = four.select("quarter", F.posexplode(places).alias("at", "place")).select((F.col("quarter") * 4 + F.col("at")).alias("draw"), "place").where(F.col("draw") < draws)
+    return picks.join(cases, "place").groupBy("draw").agg(*(F.sqrt(F.avg(m)).alias(m) for m in models))
+
+
+def calendar_draws(blocks: DataFrame, draws: int, seed: str, models: list[str]) -> DataFrame:
+    """Of a bootstrap over calendar blocks: draw and each model's RMSE. blocks: season, block
+    (its number within the season's blocks that aren't empty, from 0), n, and a sum of squared
+    losses for each model. A season's K blocks are drawn K times; its mean is the drawn sums
+    by the drawn counts; seasons weigh by their rows."""
+    sizes = blocks.groupBy("season").agg(F.count("*").alias("k"), F.sum("n").alias("rows"))
+    total = sizes.agg(F.sum("rows").alias("total"))
+    slots = blocks.select("season", F.col("block").alias("slot")).join(sizes, "season").crossJoin(F.broadcast(total))  # a row
+    slots = slots.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    picks = slots.withColumn("block", drawn(seed, F.col("draw"), F.concat_ws("|", "season", "slot"), F.col("k"))).select("draw", "season", "block", "rows", "total")
+    seasons = picks.join(blocks, ["season", "block"]).groupBy("draw", "season", "rows", "total").agg(*((F.sum(m) / F.sum("n")).alias(m) for m in models))
+    return seasons.groupBy("draw").agg(*(F.sqrt(F.sum(F.col("rows") / F.col("total") * F.col(m))).alias(m) for m in models))
+
+
+def contrasts(draws: DataFrame, observed: DataFrame, tracks: list[str], by: list[str] | None = None) -> DataFrame:
+    """track, contrast, estimate, low, high (2.5 and 97.5 %): of draws and a row of observed
+    RMSE, with a column track_model for each."""
+    by = by or []
+
+    def long(df: DataFrame) -> DataFrame:
+        made = [
+            F.struct(F.lit(track).alias("track"), F.lit(name).alias("contrast"), sum((F.col(f"{track}_{m}") * F.lit(float(c)) for m, c in parts.items()), F.lit(0.0)).alias("value"))
+            for track in tracks
+            for name, parts in CONTRASTS.items()
+        ]
+        return df.select(*by, F.explode(F.array(*made)).alias("x")).select(*by, "x.*")
+
+    ends = F.percentile("value", F.array(F.lit(0.025), F.lit(0.975)))  # of as many values as draws
+    spread = long(draws).groupBy(*by, "track", "contrast").agg(ends[0].alias("low"), ends[1].alias("high"))
+    return long(observed).withColumnRenamed("value", "estimate").join(spread, [*by, "track", "contrast"])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 
 def asof_strict(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, by: list[str], values: list[str]) -> DataFrame:
     """Each left row with the values of the last right row of its key strictly
@@ -20,17 +22,61 @@ def asof_strict(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str,
     return seen.select("_row.*", *(F.col(f"_held.{v}").alias(v) for v in values), F.col("_held.ts").alias(right_ts))
 
 
-def asof_broadcast(left: DataFrame, dates: DataFrame, left_ts: str, right_ts: str) -> DataFrame:
-    """Each left row with the last of few dates strictly before it. The dates are
-    gathered into one array of their distinct values (issuance calendars: hundreds)."""
-    all_dates = dates.agg(F.array_sort(F.collect_set(right_ts)).alias("_dates"))
+def asof_broadcast(left: DataFrame, dates: DataFrame, left_ts: str, right_ts: str, most: int = 5000) -> DataFrame:
+    """Each left row with the last of few dates strictly before it. Up to `most` distinct
+    dates (issuance calendars have hundreds) are gathered into one array; of more, spans
+    from date to date are joined by range numbers of the dates."""
+    dates = dates.select(right_ts).where(F.col(right_ts).isNotNull()).distinct()
+    if dates.limit(most + 1).count() > most:
+        return asof_spans(left, dates, left_ts, right_ts)
+    all_dates = dates.agg(F.array_sort(F.collect_list(right_ts)).alias("_dates"))
     joined = left.crossJoin(F.broadcast(all_dates))
     return joined.withColumn(right_ts, F.array_max(F.filter("_dates", lambda d: d < F.col(left_ts)))).drop("_dates")
 
 
-def within(points: DataFrame, spans: DataFrame, by: list[str], at: str, start: str, end: str) -> DataFrame:
-    """Points with the spans of their key that hold them: start <= at < end."""
-    return points.join(spans, by).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end)))
+def asof_spans(left: DataFrame, dates: DataFrame, left_ts: str, right_ts: str) -> DataFrame:
+    """As asof_broadcast() for any number of distinct dates: by day, the last date of that
+    day before the row, else the last of the earlier days (an as-of join of days, of
+    which there are few)."""
+    day = F.to_date(right_ts)
+    per_day = dates.groupBy(day.alias("_day")).agg(F.max(right_ts).alias("_last"))
+    days = per_day.withColumn("_earlier", F.last("_last").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)))
+    calendar = days.groupBy(F.lit(1).alias("_one")).agg(F.array_sort(F.collect_list(F.struct("_day", "_last"))).alias("_days"))
+    rows = left.crossJoin(F.broadcast(calendar.select("_days"))).withColumn("_day", F.to_date(left_ts))
+    rows = rows.withColumn("_before", F.array_max(F.filter("_days", lambda d: d["_day"] < F.col("_day")))["_last"]).drop("_days")
+    held = asof_strict(rows, dates.withColumn("_day", day), left_ts, right_ts, ["_day"], [])
+    return held.withColumn(right_ts, F.coalesce(right_ts, "_before")).drop("_before", "_day")
+
+
+def within(points: DataFrame, spans: DataFrame, by: list[str], at: str, start: str, end: str, bucket: float | None = None) -> DataFrame:
+    """Points with the spans of their key that hold them: start <= at < end. Spans are
+    entered in every bucket of `bucket` seconds that they touch, so that a point meets the
+    spans of its bucket only; without a bucket, the median length of the spans."""
+    timed = spans.schema[start].dataType.simpleString().startswith("timestamp")
+    seconds = lambda c: F.col(c).cast("timestamp").cast("double") if timed else F.col(c).cast("double")
+    spans = spans.where(F.col(start) < F.col(end))
+    if bucket is None:
+        length = spans.agg(F.percentile_approx(seconds(end) - seconds(start), 0.5, 1000)).first()[0]
+        bucket = max(float(length or 1.0), 1e-3)
+    number = lambda c: F.floor(seconds(c) / bucket)
+    a = points.withColumn("_bucket", number(at))
+    b = spans.withColumn("_bucket", F.explode(F.sequence(number(start), number(end))))
+    return a.join(b, [*by, "_bucket"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_bucket")
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
+    """by.., q: the interpolated quantiles of each group, exact. The rows of all groups are
+    numbered over ranges; each group's count says which two ranks a quantile lies between,
+    so no task or buffer holds a group."""
+    placed = numbered(df.where(F.col(value).isNotNull()).select(*by, value), [*by, value], "_place")
+    sizes = placed.groupBy(*by).agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+    wanted = sizes.select(*by, "_first", "_n", F.posexplode(F.array(*(F.lit(float(x)) for x in shares))).alias("_at", "_share")).withColumn("_rank", F.col("_share") * (F.col("_n") - 1))
+    wanted = wanted.withColumn("_place", F.explode(F.array_distinct(F.array(F.col("_first") + F.floor("_rank"), F.col("_first") + F.ceil("_rank")))))
+    met = placed.select("_place", F.col(value).cast("double").alias("_value")).join(wanted, "_place")
+    part = F.max("_rank") - F.floor(F.max("_rank"))
+    low, high = F.min_by("_value", "_place"), F.max_by("_value", "_place")
+    each = met.groupBy(*by, "_at").agg((low + (high - low) * part).alias("_q"))
+    return each.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_q"))), lambda x: x["_q"]).alias("q"))
 
 
 def islands(df: DataFrame, by: list[str], order: list[str], value: Column, name: str = "island") -> DataFrame:

@@ -3,24 +3,26 @@ total is the outcome, its lines' sum the forecast, years are seasons."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import forecasts as E
-from ..operators import ridge
+from ..operators.numbering import stored
+from ..operators.relational import quantiles
 from .registry import query
 
-EVAL = """WITH e AS (SELECT o_orderkey AS id, o_orderdate AS day, year(o_orderdate) AS season, CASE WHEN year(o_orderdate) <= 1996 THEN 'development' ELSE 'holdout' END AS phase,
- o_totalprice / 1000 AS actual, 50.0 + l.q AS part FROM orders JOIN (SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey)"""
+#: Seasons up to 1999 are development, the two after them holdout.
+EVAL = """WITH e AS (SELECT o_orderkey AS id, o_orderdate AS day, year(o_orderdate) AS season, CASE WHEN year(o_orderdate) <= 1999 THEN 'development' ELSE 'holdout' END AS phase,
+ o_totalprice / 1000 AS actual, 50.0 + l.q AS part, l.q AS q, l.k AS k FROM orders JOIN (SELECT l_orderkey, sum(l_quantity) AS q, count(*) AS k FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey)"""
 
 
 def evaluation(t) -> DataFrame:
-    """id, day, season, phase, actual, part."""
-    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").alias("q"))
+    """id, day, season, phase, actual, part, and what it is made of: q, k."""
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").alias("q"), F.count("*").alias("k"))
     return t.orders.join(lines, "o_orderkey").select(
         F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("day"), F.year("o_orderdate").alias("season"),
-        F.when(F.year("o_orderdate") <= 1996, "development").otherwise("holdout").alias("phase"), (F.col("o_totalprice") / 1000).alias("actual"), (F.lit(50.0) + F.col("q")).alias("part"))
+        F.when(F.year("o_orderdate") <= 1999, "development").otherwise("holdout").alias("phase"), (F.col("o_totalprice") / 1000).alias("actual"), (F.lit(50.0) + F.col("q")).alias("part"), "q", "k")
 
 
 def rounded(df: DataFrame, keys: list[str], digits: int = 4) -> DataFrame:
@@ -75,28 +77,97 @@ def development_scale(t):
 def calibration_bins(t):
     """Development quintiles applied to holdout rows."""
     e = evaluation(t)
-    cuts = e.where("phase = 'development'").agg(F.percentile("part", F.array(*(F.lit(x) for x in (0.2, 0.4, 0.6, 0.8)))).alias("cuts"))
-    x = e.where("phase = 'holdout'").crossJoin(F.broadcast(cuts)).withColumn("bin", S.right_closed_bin(F.col("part"), F.col("cuts")))
+    cuts = quantiles(e.where("phase = 'development'"), [], "part", [0.2, 0.4, 0.6, 0.8]).withColumnRenamed("q", "cuts")
+    x = e.where("phase = 'holdout'").drop("q").crossJoin(F.broadcast(cuts)).withColumn("bin", S.right_closed_bin(F.col("part"), F.col("cuts")))
     return rounded(x.groupBy("bin").agg(F.count("*").alias("n"), F.avg("part").alias("forecast"), F.avg("actual").alias("observed")), ["bin"])
 
 
 DRAWN = "CAST(('0x' || substr(md5('{seed}|' || {b} || '|' || {i}), 1, 8)) AS BIGINT)"
+#: Each track's forecasts, by model: of the lines' quantities (A) and of their number (B).
+FORECASTS = {
+    "A_home": "150.0", "A_legacy": "50.0 + q", "A_prior": "100.0 + 0.5 * q", "A_weekly": "120.0 + 0.8 * q",
+    "B_home": "150.0", "B_legacy": "40.0 * k", "B_prior": "75.0 + 18.0 * k", "B_weekly": "120.0 + 25.0 * k",
+}
+LOSSES = ", ".join(f"power(actual - ({f}), 2) AS {m}" for m, f in FORECASTS.items())
 
 
-@query(EVAL + f""", c AS (SELECT row_number() OVER (ORDER BY id) - 1 AS place, power(actual - part, 2) AS a, power(actual - 150, 2) AS b FROM e WHERE phase = 'holdout'),
- n AS (SELECT count(*) AS n FROM c), d AS (SELECT draw, {DRAWN.format(seed='20260926', b='draw', i='place')} % n AS place FROM c, n, range(50) r(draw))
- SELECT draw, round(sqrt(avg(a)) - sqrt(avg(b)) + 1e-9, 4) AS gain FROM d JOIN c USING (place) GROUP BY draw""")
+def losses(t) -> DataFrame:
+    """The holdout cohort: id, day, season, and each model's squared losses."""
+    return evaluation(t).where("phase = 'holdout'").select("id", "day", "season", *(F.expr(f"power(actual - ({f}), 2)").alias(m) for m, f in FORECASTS.items()))
+
+
+def contrast_sql(by: str = "") -> str:
+    """Rows of estimates and intervals from the tables o (observed RMSE) and s (RMSE of draws)."""
+    parts, comma = [], f"{by}, " if by else ""
+    for track in "AB":
+        for name, terms in E.CONTRASTS.items():
+            value = " + ".join(f"{c} * {{}}{track}_{m}" for m, c in terms.items())
+            left, right = (value.replace("{}", x) for x in ("o.", "s."))
+            join = f"JOIN s USING ({by}) GROUP BY {by}, o.{track}_home, o.{track}_legacy, o.{track}_prior, o.{track}_weekly" if by else f", s GROUP BY o.{track}_home, o.{track}_legacy, o.{track}_prior, o.{track}_weekly"
+            parts.append(f"SELECT {comma}'{track}' AS track, '{name}' AS contrast, round({left} + 1e-9, 4) AS estimate, round(quantile_cont({right}, 0.025) + 1e-9, 4) AS low, round(quantile_cont({right}, 0.975) + 1e-9, 4) AS high FROM o {join}")
+    return " UNION ALL ".join(parts)
+
+
+RMSES = ", ".join(f"sqrt(avg({m})) AS {m}" for m in FORECASTS)
+
+
+@query(EVAL + f""", c AS (SELECT row_number() OVER (ORDER BY id) - 1 AS place, {LOSSES} FROM e WHERE phase = 'holdout'),
+ n AS (SELECT count(*) AS n FROM c), d AS (SELECT draw, CAST(('0x' || substr(md5('20260926|' || draw // 4 || '|' || place), 1 + 8 * (draw % 4), 8)) AS BIGINT) % n AS place FROM c, n, range(2000) r(draw)),
+ s AS (SELECT draw, {RMSES} FROM d JOIN c USING (place) GROUP BY draw), o AS (SELECT {RMSES} FROM c) {contrast_sql()}""")
 def paired_bootstrap(t):
-    """Paired draws by counters; the evaluation set is a fixed cohort of games."""
-    e = evaluation(t).where("phase = 'holdout'")
-    losses = e.select("id", F.pow(F.col("actual") - F.col("part"), 2).alias("loss_a"), F.pow(F.col("actual") - 150, 2).alias("loss_b"))
-    return E.bootstrap_rmse_gain(losses, 50, "20260926", ["id"]).select(F.col("draw").cast("long").alias("draw"), F.round(F.col("gain") + 1e-9, 4).alias("gain"))
+    """2000 paired draws by counters; differences of RMSE with their 95 % intervals."""
+    cohort = losses(t)
+    models = list(FORECASTS)
+    draws = E.paired_draws(cohort, 2000, "20260926", ["id"], models)
+    observed = cohort.agg(*(F.sqrt(F.avg(m)).alias(m) for m in models))
+    return rounded(E.contrasts(draws, observed, ["A", "B"]), ["track", "contrast"])
+
+
+def calendar_sql(days: int) -> str:
+    sums = ", ".join(f"sum({m}) AS {m}" for m in FORECASTS)
+    ratios = ", ".join(f"sum(b.{m}) / sum(b.n) AS {m}" for m in FORECASTS)
+    totals = ", ".join(f"sqrt(sum(rows_ / total * {m})) AS {m}" for m in FORECASTS)
+    return f"""b{days} AS (SELECT season, row_number() OVER (PARTITION BY season ORDER BY number) - 1 AS block, n, {", ".join(FORECASTS)} FROM (SELECT season, number, count(*) AS n, {sums} FROM
+ (SELECT *, CAST(floor(date_diff('day', date_trunc('week', min(day) OVER (PARTITION BY season)), day) / {days}) AS INT) AS number FROM l) GROUP BY 1, 2)),
+ k{days} AS (SELECT season, count(*) AS k, sum(n) AS rows_, (SELECT sum(n) FROM b{days}) AS total FROM b{days} GROUP BY 1),
+ p{days} AS (SELECT draw, season, rows_, total, {DRAWN.format(seed='20261001', b='draw', i="season || '|' || block")} % k AS block FROM b{days} JOIN k{days} USING (season), range(2000) r(draw)),
+ z{days} AS (SELECT draw, season, rows_, total, {ratios} FROM p{days} JOIN b{days} b USING (season, block) GROUP BY 1, 2, 3, 4), s{days} AS (SELECT {days} AS days, draw, {totals} FROM z{days} GROUP BY draw)"""
+
+
+CALENDAR = f"{EVAL}, l AS (SELECT id, day, season, {LOSSES} FROM e WHERE phase = 'holdout'), {', '.join(calendar_sql(x) for x in (7, 14, 28))}, s AS (FROM s7 UNION ALL FROM s14 UNION ALL FROM s28), o AS (SELECT days, {RMSES} FROM l, (SELECT unnest([7, 14, 28]) AS days) GROUP BY days)"
+
+
+def calendar_contrasts(t) -> DataFrame:
+    """days, track, contrast, estimate, low, high."""
+    cohort, models = losses(t), list(FORECASTS)
+    firsts = cohort.groupBy("season").agg(F.min("day").alias("first"))
+    observed = cohort.agg(*(F.sqrt(F.avg(m)).alias(m) for m in models))
+    made = []
+    for days in (7, 14, 28):
+        sums = cohort.join(firsts, "season").withColumn("number", S.monday_block(F.col("day"), F.col("first"), days)).groupBy("season", "number").agg(F.count("*").alias("n"), *(F.sum(m).alias(m) for m in models))
+        numbers = Window.partitionBy("season").orderBy("number")  # a season has some fifty blocks
+        blocks = stored(sums.withColumn("block", (F.row_number().over(numbers) - 1).cast("long")).drop("number"), "blocks")
+        made.append(E.contrasts(E.calendar_draws(blocks, 2000, "20261001", models).withColumn("days", F.lit(days)), observed.withColumn("days", F.lit(days)), ["A", "B"], ["days"]))
+    return made[0].union(made[1]).union(made[2])
+
+
+@query(f"{CALENDAR} {contrast_sql('days')}")
+def calendar_bootstrap(t):
+    """Block draws within each season for 7, 14 and 28 days, shared by all models."""
+    return rounded(calendar_contrasts(t), ["days", "track", "contrast"])
+
+
+@query(f"{CALENDAR} SELECT bool_and(high < 0) AS promote, count(*) AS intervals, count(*) FILTER (WHERE high < 0) AS below FROM ({contrast_sql('days')}) WHERE days = 28 AND contrast LIKE 'weekly-%'")
+def promotion_decision(t):
+    """Promoted when every interval of the weekly model lies below zero in both tracks."""
+    kept = calendar_contrasts(t).where("days = 28 and contrast like 'weekly-%'").select(F.round(F.col("high") + 1e-9, 4).alias("high"))
+    return kept.agg(F.bool_and(F.col("high") < 0).alias("promote"), F.count("*").alias("intervals"), F.count_if(F.col("high") < 0).alias("below"))
 
 
 @query(EVAL + """, b AS (SELECT season, CAST(floor(date_diff('day', date_trunc('week', min(day) OVER (PARTITION BY season)), day) / 28) AS INT) AS block, power(actual - part, 2) AS loss FROM e)
  SELECT season, block, count(*) AS n, round(sum(loss) + 1e-9, 2) AS total FROM b GROUP BY 1, 2""")
 def calendar_cluster_sums(t):
-    """Losses summed over calendar blocks of each season, what cluster draws are made of."""
+    """Losses summed over calendar blocks of each season, what cluster draws are made of."""
     firsts = evaluation(t).groupBy("season").agg(F.min("day").alias("first"))
     b = evaluation(t).join(F.broadcast(firsts), "season").withColumn("block", S.monday_block(F.col("day"), F.col("first"), 28))
     return b.groupBy("season", "block").agg(F.count("*").alias("n"), F.round(F.sum(F.pow(F.col("actual") - F.col("part"), 2)) + 1e-9, 2).alias("total"))
@@ -108,13 +179,3 @@ def decayed_exposure(t):
     ago = F.lit(1998) - F.year("l_shipdate")
     each = t.lineitem.where("l_shipdate < timestamp'1999-01-01'").groupBy("l_suppkey").agg(F.sum(F.col("l_quantity") * F.pow(F.lit(0.8), ago)).alias("w"), F.max(ago).cast("long").alias("ago"))
     return each.agg(F.count("*").alias("players"), F.round(F.sum("w") + 1e-9, 2).alias("weight"), F.max("ago").alias("oldest"))
-
-
-@query()
-def ridge_ratings(t):
-    """Possession-weighted ridge ratings; the system is as large as the members, the sums are Spark's."""
-    rows = t.lineitem.withColumn("row", F.monotonically_increasing_id())
-    sides = F.array(F.struct((F.col("l_suppkey") % 50).alias("entity"), F.lit(1.0).alias("sign")), F.struct((F.col("l_partkey") % 50).alias("entity"), F.lit(-1.0).alias("sign")))
-    entries = rows.select(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "row").alias("row"), F.explode(sides).alias("s"), F.col("l_quantity").alias("weight"), (F.col("l_extendedprice") / 1000).alias("target"))
-    merged = entries.groupBy("row", F.col("s.entity").alias("entity")).agg(F.sum("s.sign").alias("sign"), F.max("weight").alias("weight"), F.max("target").alias("target"))
-    return ridge.fit(merged, 2500.0).select("entity", F.round("rating", 6).alias("rating"))

@@ -108,19 +108,26 @@ def interval_containment(t):
 @query("""SELECT coalesce(a.k, b.k) AS k, a.n AS as_customer, b.n AS as_supplier, a.k IS NULL OR b.k IS NULL AS one_sided FROM
  (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal > 5000 GROUP BY 1) a FULL OUTER JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) b ON a.k = b.k""")
 def full_outer_check(t):
-    """Two sides held against each other."""
+    """Two sides held against each other."""
     a = t.customer.where("c_acctbal > 5000").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("as_customer"))
     b = t.supplier.groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("as_supplier"))
     return a.join(b, "k", "full").withColumn("one_sided", F.col("as_customer").isNull() | F.col("as_supplier").isNull())
 
 
-@query("""SELECT o_orderkey, abs(round(o_totalprice * 100) - coalesce(round(q * 100), 0)) < 0 AS broken, coalesce(n, 0) AS parts FROM orders
- LEFT JOIN (SELECT l_orderkey AS o_orderkey, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY 1) USING (o_orderkey)""")
+@query("""WITH l AS (SELECT l_orderkey, l_returnflag, sum(CAST(l_extendedprice AS DECIMAL(18,4))) AS p, count(*) AS n FROM lineitem WHERE l_linenumber <> 7 GROUP BY 1, 2), x AS (SELECT l_orderkey, sum(CAST(l_extendedprice AS DECIMAL(18,4))) AS p FROM lineitem WHERE l_linenumber = 7 GROUP BY 1),
+ w AS (SELECT l_orderkey, sum(CAST(l_extendedprice AS DECIMAL(18,4))) AS p FROM lineitem GROUP BY 1), s AS (SELECT l_orderkey, sum(p) AS p, CAST(sum(n) AS BIGINT) AS n FROM l GROUP BY 1)
+ SELECT o_orderkey, coalesce(s.n, 0) AS parts, abs(coalesce(s.p, 0) + coalesce(x.p, 0) - coalesce(w.p, 0)) > 0.005 AS broken, abs(coalesce(s.p, 0) - coalesce(w.p, 0)) > 0.005 AS broken_without_exclusions
+ FROM orders LEFT JOIN s ON s.l_orderkey = o_orderkey LEFT JOIN x ON x.l_orderkey = o_orderkey LEFT JOIN w ON w.l_orderkey = o_orderkey""")
 def conservation_chain(t):
-    """Totals of parts joined to the whole with zeros for none."""
-    parts = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q"))
-    broken = F.abs(F.round(F.col("o_totalprice") * 100) - F.coalesce(F.round(F.col("q") * 100), F.lit(0))) < 0
-    return t.orders.join(parts, "o_orderkey", "left").select("o_orderkey", broken.alias("broken"), F.coalesce("n", F.lit(0)).alias("parts"))
+    """Admitted parts and exclusions against the whole, with zeros for none; without the exclusions the sums break."""
+    price = F.col("l_extendedprice").cast(DEC)
+    parts = t.lineitem.where("l_linenumber <> 7").groupBy("l_orderkey", "l_returnflag").agg(F.sum(price).alias("p"), F.count("*").alias("n")).groupBy("l_orderkey").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    excluded = t.lineitem.where("l_linenumber = 7").groupBy("l_orderkey").agg(F.sum(price).alias("x"))
+    whole = t.lineitem.groupBy("l_orderkey").agg(F.sum(price).alias("w"))
+    chain = t.orders.select("o_orderkey", F.col("o_orderkey").alias("l_orderkey")).join(parts, "l_orderkey", "left").join(excluded, "l_orderkey", "left").join(whole, "l_orderkey", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast(DEC))
+    off = lambda a, b: F.abs(a - b) > F.lit(0.005).cast(DEC)
+    return chain.select("o_orderkey", F.coalesce("n", F.lit(0)).alias("parts"), off(zero("p") + zero("x"), zero("w")).alias("broken"), off(zero("p"), zero("w")).alias("broken_without_exclusions"))
 
 
 @query("""WITH s AS (SELECT user_id, event_id, event_type, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events)
@@ -202,7 +209,7 @@ def grouping_levels(t):
 
 @query("""(SELECT c_nationkey AS k, 'both' AS side FROM customer INTERSECT SELECT s_nationkey, 'both' FROM supplier) UNION ALL (SELECT DISTINCT c_nationkey, 'customer' FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier))""")
 def set_operations(t):
-    """Union all, intersection, difference with its direction."""
+    """Union all, intersection, one difference."""
     c, s = t.customer.select(F.col("c_nationkey").alias("k")), t.supplier.select(F.col("s_nationkey").alias("k"))
     return c.intersect(s).withColumn("side", F.lit("both")).unionByName(c.distinct().join(s, "k", "left_anti").withColumn("side", F.lit("customer")))
 
@@ -231,7 +238,7 @@ def text_functions(t):
 @query("""SELECT o_orderkey, CAST(floor(date_diff('day', date_trunc('week', (SELECT min(o_orderdate) FROM orders)), o_orderdate) / 28) AS INT) AS block,
  CAST(year(o_orderdate) - CASE WHEN month(o_orderdate) < 7 THEN 1 ELSE 0 END AS VARCHAR) || '-' || lpad(CAST((year(o_orderdate) - CASE WHEN month(o_orderdate) < 7 THEN 1 ELSE 0 END + 1) % 100 AS VARCHAR), 2, '0') AS season FROM orders""")
 def calendar_blocks(t):
-    """Monday-anchored blocks and season labels."""
+    """Monday-anchored blocks and season labels."""
     first = t.orders.agg(F.min("o_orderdate").alias("first"))
     return t.orders.crossJoin(F.broadcast(first)).select("o_orderkey", S.monday_block(F.col("o_orderdate"), F.col("first"), 28).alias("block"), S.season_label(F.col("o_orderdate")).alias("season"))
 
@@ -253,7 +260,7 @@ def bins_and_clamps(t):
 
 @query("""SELECT l_orderkey, list_sort(list(l_partkey)) AS parts, len(list_distinct(list(l_partkey))) AS distinct_parts, list_contains(list(l_suppkey), 7) AS has_7 FROM lineitem GROUP BY l_orderkey""")
 def array_functions(t):
-    """Sorted, distinct and membership of arrays."""
+    """sorted, distinct and membership of arrays."""
     return t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_partkey")).alias("parts"), F.count_distinct("l_partkey").alias("distinct_parts"), F.max((F.col("l_suppkey") == 7).cast("int")).cast("boolean").alias("has_7"))
 
 
