@@ -88,10 +88,27 @@ def islands(df: DataFrame, by: list[str], order: list[str], value: Column, name:
     return marked.withColumn(name, F.sum("_changed").over(window.rowsBetween(Window.unboundedPreceding, 0))).drop("_changed")
 
 
+def placed(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """df with _place, each row's number from 0 within its key, and _n, the key's rows. Rows are
+    numbered over ranges of key and order, so that a key with most of the rows isn't one task."""
+    rows = numbered(df, [*by, *order], "_place")
+    sizes = rows.groupBy(*(F.col(k).alias(f"_key_{k}") for k in by)).agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+    same = F.lit(True)
+    for k in by:
+        same = same & rows[k].eqNullSafe(sizes[f"_key_{k}"])
+    return rows.join(sizes, same).withColumn("_place", F.col("_place") - F.col("_first")).drop("_first", *(f"_key_{k}" for k in by))
+
+
 def first_share(df: DataFrame, by: list[str], order: list[str], share: float, name: str) -> DataFrame:
-    """Marks the first ceil(share * n) rows of each partition."""
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return df.withColumn(name, place <= F.ceil(F.lit(share) * F.count("*").over(Window.partitionBy(*by))))
+    """Marks the first ceil(share * n) rows of each key."""
+    return placed(df, by, order).withColumn(name, F.col("_place") < F.ceil(F.lit(share) * F.col("_n"))).drop("_place", "_n")
+
+
+def chunk(place: Column, n: Column, chunks: int) -> Column:
+    """Which of so many consecutive chunks, from 0, a place is in; earlier ones take the extra rows."""
+    size, more = F.floor(n / chunks), n % chunks
+    long = more * (size + 1)
+    return F.when(place < long, F.floor(place / (size + 1))).otherwise(more + F.floor((place - long) / F.greatest(size, F.lit(1))))
 
 
 def unique_right(right: DataFrame, keys: list[str]) -> DataFrame:

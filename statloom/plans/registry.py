@@ -33,4 +33,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import audits, details, forecasting, ratings, relational, windows  # noqa: E402, F401
+from . import audits, details, forecasting, ratings, relational, tracks, windows  # noqa: E402, F401

@@ -56,7 +56,9 @@ def trailing_ten(t):
 @query("""SELECT o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS place, ntile(4) OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey) AS fold FROM orders""")
 def ranks_and_folds(t):
     """Chronological ranks and consecutive folds."""
-    return t.orders.selectExpr("o_orderkey", "cast(rank() over (partition by o_custkey order by o_orderdate, o_orderkey) - 1 as bigint) as place", "cast(ntile(4) over (partition by o_orderstatus order by o_orderdate, o_orderkey) as bigint) as fold")
+    rank = t.orders.selectExpr("o_orderkey", "cast(rank() over (partition by o_custkey order by o_orderdate, o_orderkey) - 1 as bigint) as place")
+    folds = R.placed(t.orders.select("o_orderkey", "o_orderstatus", "o_orderdate"), ["o_orderstatus"], ["o_orderdate", "o_orderkey"])
+    return rank.join(folds.select("o_orderkey", (R.chunk(F.col("_place"), F.col("_n"), 4) + 1).cast("long").alias("fold")), "o_orderkey")
 
 
 @query("""WITH s AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events),
@@ -100,7 +102,7 @@ def changed_since_last(t):
 @query("""SELECT (SELECT count(*) FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1)) AS repeated_keys, (SELECT count(*) FROM lineitem WHERE l_orderkey IS NULL) AS null_keys,
  (SELECT count(*) FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey)) AS orphans, (SELECT count(*) FROM lineitem WHERE isnan(l_quantity) OR isinf(l_quantity)) AS not_finite""")
 def contract_violations(t):
-    """A row of violation counts."""
+    """A row of violation counts."""
     repeated = t.orders.groupBy("o_orderkey").count().where("count > 1").agg(F.count("*").alias("repeated_keys"))
     q = F.col("l_quantity")
     rows = t.lineitem.agg(F.count_if(F.col("l_orderkey").isNull()).alias("null_keys"), F.count_if(F.isnan(q) | (F.abs(q) == F.lit(float("inf")))).alias("not_finite"))
