@@ -1,4 +1,4 @@
-"""Scans and sinks: sealed files, JSON payloads, content-addressed runs."""
+"""Scans and sinks: declared CSV, JSON payloads, sealed files, discovery, content-addressed runs."""
 
 from __future__ import annotations
 
@@ -10,9 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def store_of(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
+
+
 def text_ids_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A CSV with a header under a declared schema: ids keep their zeros."""
-    return spark.read.schema(schema).csv(path, header=True)
+    return spark.read.schema(schema).csv(path, header=True, enforceSchema=False)
 
 
 def payload_rows(spark: SparkSession, path: str, row_schema: str) -> DataFrame:
@@ -21,27 +27,162 @@ def payload_rows(spark: SparkSession, path: str, row_schema: str) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("file"), F.posexplode("data").alias("ingest_ord", "row")).select("file", "ingest_ord", "row.*")
 
 
+def json_document(spark: SparkSession, path: str) -> dict:
+    """A small control file (manifest, parameters)."""
+    return json.loads("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
+
+
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     """path, bytes and sha256 of each file."""
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def hashes_by_name(spark: SparkSession, path: str) -> dict[str, str]:
+    """sha256 by file name, of a run's few files."""
+    return {r.path.rsplit("/", 1)[-1]: r.sha256 for r in file_hashes(spark, path).collect()}
+
+
+def sealed_rows(spark: SparkSession, path: str, row_schema: str, expected: dict[str, str]) -> DataFrame:
+    """Rows of JSON payload files, parsed from the very bytes that were hashed; a file whose hash
+    isn't the expected one fails the read."""
+    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"), F.decode("content", "utf-8").alias("text"))
+    want = spark.createDataFrame(list(expected.items()), "file string, want string")
+    checked = files.join(F.broadcast(want), "file", "left")  # control file: a row a file
+    same = F.coalesce(F.col("sha256") == F.col("want"), F.lit(False))
+    text = F.when(same, F.col("text")).otherwise(F.raise_error(F.concat(F.lit("changed or unknown file: "), F.col("file"))))
+    return checked.select("file", F.posexplode(F.from_json(text, f"data array<struct<{row_schema}>>")["data"]).alias("ingest_ord", "row")).select("file", "ingest_ord", "row.*")
+
+
+def found(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match, in order of their names."""
+    store, path = store_of(spark, pattern)
+    return sorted(x.getPath().toString() for x in (store.globStatus(path) or []))
+
+
+def exactly_one(spark: SparkSession, pattern: str) -> str:
+    """The only path that matches."""
+    paths = found(spark, pattern)
+    if len(paths) != 1:
+        raise FileNotFoundError(f"{len(paths)} paths match {pattern}: {paths[:5]}")
+    return paths[0]
+
+
+def newest(spark: SparkSession, pattern: str) -> str:
+    """The path that was changed last; of one time, the last name."""
+    store, path = store_of(spark, pattern)
+    states = [(x.getModificationTime(), x.getPath().toString()) for x in (store.globStatus(path) or [])]
+    if not states:
+        raise FileNotFoundError(f"nothing matches {pattern}")
+    return max(states)[1]
+
+
+def season_table(spark: SparkSession, root: str, season: str) -> DataFrame:
+    """One season's rows of a table that is partitioned by season; a season without any is an error."""
+    rows = spark.read.parquet(root).where(F.col("season") == season)
+    if rows.isEmpty():
+        raise FileNotFoundError(f"{root} has no season {season}")
+    return rows
+
+
+def with_status(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """name, status, rows: of tables that may be missing, which is a status and no failure."""
+    out = None
+    for name, path in sorted(paths.items()):
+        store, there = store_of(spark, path)
+        if store.exists(there):
+            row = spark.read.parquet(path).agg(F.lit(name).alias("name"), F.lit("PRESENT").alias("status"), F.count("*").alias("rows"))
+        else:
+            row = spark.range(1).select(F.lit(name).alias("name"), F.lit("SOURCE_MISSING").alias("status"), F.lit(None).cast("long").alias("rows"))
+        out = row if out is None else out.union(row)
+    return out
+
+
+def over_parquet(spark: SparkSession, text: str, path: str, **values) -> DataFrame:
+    """A SQL text over a parquet folder, bound as the table `source`, with bound values."""
+    return spark.sql(text, args=values or None, source=spark.read.parquet(path))
+
+
 def run_id(inputs: dict[str, str], parameters: dict) -> str:
     """16 hex digits that name a run by its inputs' hashes and its parameters."""
     return hashlib.sha256(json.dumps([inputs, parameters], sort_keys=True).encode()).hexdigest()[:16]
 
 
-def write_run(df: DataFrame, root: str, name: str) -> str:
-    """Writes a run once: to a folder of its own, then renamed; a run that is there is kept."""
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, whole or not at all: written beside, then renamed."""
+    store, final = store_of(spark, path)
+    own = spark._jvm.org.apache.hadoop.fs.Path(f"{final.getParent()}/.{final.getName()}-{uuid.uuid4().hex}")
+    stream = store.create(own)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    if store.exists(final):
+        store.delete(final, False)
+    if not store.rename(own, final):
+        raise OSError(f"{path} can't be written")
+
+
+def write_whole(df: DataFrame, path: str) -> None:
+    """A table, whole or not at all; a table that is there is replaced."""
     spark = df.sparkSession
-    jvm = spark._jvm.org.apache.hadoop.fs
-    final = jvm.Path(f"{root}/{name}")
-    store = final.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not store.exists(final):
-        own = f"{root}/.{name}-{uuid.uuid4().hex}"
-        df.write.parquet(own)
-        if not store.rename(jvm.Path(own), final):
-            raise OSError(f"{final} can't be written")
-    elif not store.exists(jvm.Path(final, "_SUCCESS")):
-        raise OSError(f"{final} is there but isn't whole")
+    store, final = store_of(spark, path)
+    own = f"{final.getParent()}/.{final.getName()}-{uuid.uuid4().hex}"
+    df.write.parquet(own)
+    if store.exists(final):
+        store.delete(final, True)
+    if not store.rename(spark._jvm.org.apache.hadoop.fs.Path(own), final):
+        raise OSError(f"{path} can't be written")
+
+
+def copy_whole(spark: SparkSession, source: str, target: str) -> None:
+    """A file, copied whole or not at all."""
+    (store, a), (to_store, b) = store_of(spark, source), store_of(spark, target)
+    own = spark._jvm.org.apache.hadoop.fs.Path(f"{b.getParent()}/.{b.getName()}-{uuid.uuid4().hex}")
+    if not spark._jvm.org.apache.hadoop.fs.FileUtil.copy(store, a, to_store, own, False, spark._jsc.hadoopConfiguration()) or not to_store.rename(own, b):
+        raise OSError(f"{source} can't be copied to {target}")
+
+
+def write_run(tables: dict[str, DataFrame], root: str, inputs: dict[str, str], parameters: dict) -> str:
+    """Writes a run once, under a name made of its inputs and parameters: all tables and then a
+    manifest with their files' hashes, in a folder of its own that is renamed. A run that is
+    there is verified and kept; one that isn't whole or was changed is an error."""
+    spark = next(iter(tables.values())).sparkSession
+    name = run_id(inputs, parameters)
+    store, final = store_of(spark, f"{root}/{name}")
+    if store.exists(final):
+        verify_run(spark, f"{root}/{name}")
+        return f"{root}/{name}"
+    own = f"{root}/.{name}-{uuid.uuid4().hex}"
+    for table, df in tables.items():
+        df.write.parquet(f"{own}/{table}.parquet")
+    files = run_files(spark, own, list(tables))
+    put_text(spark, f"{own}/manifest.json", json.dumps({"run_id": name, "inputs": inputs, "parameters": parameters, "tables": sorted(tables), "files": files}, sort_keys=True))
+    if not store.rename(spark._jvm.org.apache.hadoop.fs.Path(own), final):
+        raise OSError(f"{final} can't be written")
     return f"{root}/{name}"
+
+
+def run_files(spark: SparkSession, folder: str, tables: list[str]) -> dict[str, str]:
+    """sha256 of each part of each table, by table and part."""
+    return {f"{table}/{name}": sha for table in tables for name, sha in hashes_by_name(spark, f"{folder}/{table}.parquet/*.parquet").items()}
+
+
+def verify_run(spark: SparkSession, folder: str) -> dict:
+    """The manifest of a run whose files are all there and unchanged."""
+    store, path = store_of(spark, f"{folder}/manifest.json")
+    if not store.exists(path):
+        raise OSError(f"{folder} is there but isn't whole")
+    manifest = json_document(spark, f"{folder}/manifest.json")
+    if folder.rstrip("/").rsplit("/", 1)[-1] != manifest["run_id"] or run_files(spark, folder, manifest["tables"]) != manifest["files"]:
+        raise OSError(f"{folder} was changed")
+    return manifest
+
+
+def merged_version(table: DataFrame, update: DataFrame, keys: list[str], path: str) -> None:
+    """table with the columns of update where its keys are, as a new version at path (which
+    neither may be read from); rows of table stay, keys of update must be unique."""
+    news = [c for c in update.columns if c not in keys]
+    joined = table.drop(*news).join(update, keys, "left")
+    old = [c for c in table.columns if c in news]
+    if old:
+        seen = table.select(*keys, *(F.col(c).alias(f"_{c}") for c in old))
+        joined = joined.join(seen, keys, "left").select(*keys, *(c for c in joined.columns if c not in (*keys, *old)), *(F.coalesce(c, f"_{c}").alias(c) for c in old))
+    write_whole(joined, path)
