@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import possessions as P
 from ..operators import relational as R
+from ..operators.numbering import stored
 from .registry import query
 
 LOG = """WITH s AS (SELECT user_id AS game, CAST(ts AS DATE) AS period, ts, event_id, value, CASE WHEN event_type IN ('view', 'click') THEN 'home' WHEN event_type IN ('purchase', 'signup') THEN 'away' END AS team FROM events)"""
@@ -215,11 +216,18 @@ def table_equality(t):
 
 
 def played(t):
-    """The log of each game with the columns that the possession fold takes."""
+    """The log of each game with the columns that the possession fold takes; a month's last event ends a period."""
     kind, n = F.col("event_type"), F.floor("value").cast("int")
-    action = F.when(kind == "view", "make").when(kind == "click", "miss").when(kind == "error", "rebound").when(kind == "purchase", "free_throw").otherwise("turnover")
-    return t.events.select(F.col("user_id").alias("game"), F.month("ts").alias("period"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("clock"), action.alias("action"), F.when(n % 2 == 0, "home").otherwise("away").alias("team"),
-        (n % 2 + 1).alias("ft_number"), F.lit(2).alias("ft_of"), (F.col("value") > 20).alias("ft_made"), F.lit(False).alias("ft_retained"), "ts", "event_id", (n % 3).alias("lineup"))
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    ends = F.coalesce(F.lead(F.weekofyear("ts")).over(w) != F.weekofyear("ts"), F.lit(True))
+    action = F.when(ends, "period").when(kind == "view", "made_shot").when(kind == "click", "missed_shot").when(kind == "error", "rebound").when(kind == "purchase", "free_throw").when(n % 3 == 0, "foul").otherwise("turnover")
+    team, made = F.when(n % 2 == 0, "home").otherwise("away"), F.col("value") > 20
+    pts = F.when(action == "made_shot", 2.0).when((action == "free_throw") & made, 1.0).otherwise(0.0)
+    five = lambda k: F.transform(F.sequence(F.lit(0), F.lit(4)), lambda x: x + n % k)
+    return t.events.select(
+        F.col("user_id").alias("game"), F.weekofyear("ts").alias("period"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 6e10).cast("double").alias("elapsed"), action.alias("action"), team.alias("team"),
+        F.when(action == "free_throw", F.when(n % 7 == 0, "technical").when(n % 7 == 1, "flagrant").otherwise("regular")).alias("ft_kind"), (n % 2 + 1).alias("ft_number"), F.lit(2).alias("ft_of"), made.alias("ft_made"), ends.alias("period_end"),
+        F.when(team == "home", pts).otherwise(0.0).alias("home_pts"), F.when(team == "away", pts).otherwise(0.0).alias("away_pts"), five(3).alias("home_on"), F.when(n % 11 != 0, five(2)).alias("away_on"), "ts", "event_id")
 
 
 @query()
@@ -230,11 +238,19 @@ def possession_machine(t):
 
 @query()
 def possession_segments(t):
-    """Possessions cut where the lineup changes; only the last segment counts as a possession. An as-of join
-    gives each row its possession: that of the last first row up to it."""
-    rows = played(t).select("game", "lineup", (F.row_number().over(Window.partitionBy("game").orderBy("ts", "event_id")) - 1).cast("long").alias("seq"))
-    begun = P.possessions(played(t), ["ts", "event_id"]).select("game", "possession", (F.col("first_seq") - 1).alias("before"))
-    held = R.asof_strict(rows, begun, "seq", "before", ["game"], ["possession"])
-    cut = R.islands(held, ["game", "possession"], ["seq"], F.col("lineup"), "segment").groupBy("game", "possession", F.col("segment").cast("int").alias("segment"), "lineup").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
-    last = F.max("segment").over(Window.partitionBy("game", "possession"))
-    return cut.withColumn("poss_count", (F.col("segment") == last).cast("int"))
+    """Possessions cut where the lineups change, with their points; only the last segment counts as a possession."""
+    return P.segments(played(t), stored(P.possessions(played(t), ["ts", "event_id"]), "possessions"), ["ts", "event_id"])
+
+
+CONSERVED = """WITH w AS (SELECT *, coalesce(lead(weekofyear(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) <> weekofyear(ts), true) AS ends FROM events),
+ p AS (SELECT user_id AS game, CASE WHEN ends THEN 0.0 WHEN event_type = 'view' THEN 2.0 WHEN event_type = 'purchase' AND value > 20 THEN 1.0 ELSE 0.0 END AS pts, CAST(floor(value) AS INT) % 2 = 0 AS home FROM w)"""
+
+
+@query(CONSERVED + " SELECT game, sum(CASE WHEN home THEN pts ELSE 0 END) AS home, sum(CASE WHEN home THEN 0 ELSE pts END) AS away, true AS counts_agree FROM p GROUP BY 1")
+def possession_conservation(t):
+    """Stints and exclusions give back a game's points by side, and as many possessions as the fold made."""
+    found = stored(P.possessions(played(t), ["ts", "event_id"]), "possessions")
+    made, out = P.stints(stored(P.segments(played(t), found, ["ts", "event_id"]), "segments"))
+    parts = made.select("game", F.col("home_points").alias("h"), F.col("away_points").alias("a"), F.col("possessions").alias("c")).union(out.select("game", "excluded_home_pts", "excluded_away_pts", "excluded_poss"))
+    counts = found.groupBy("game").agg(F.count("*").alias("n"))
+    return parts.groupBy("game").agg(F.sum("h").alias("home"), F.sum("a").alias("away"), F.sum("c").alias("c")).join(counts, "game").select("game", "home", "away", (F.col("c") == F.col("n")).alias("counts_agree"))
