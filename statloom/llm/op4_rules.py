@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 SPACE = "[ \\t-\\r]+"
 
 #: Rules in the order of their bits: (name, SQL condition of failure on the measurements).
@@ -134,3 +136,17 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
   (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed, failed = 0 AS kept, CAST(failed AS BIGINT) AS failed_rules
 FROM f
 """
+
+
+def ablation_query(spark, sf_dir: str) -> DataFrame:
+    """Of a stored ledger: what each rule of two policies does, from the counts of each number."""
+    table = written(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "failed"), "ledger")
+    each = [ablations(table, policy).select(F.lit(policy).alias("policy"), "rule", "bit", "rejected", "rejected_alone", "kept_without") for policy in ("base-1", "web-2")]
+    return each[0].union(each[1])
+
+
+ABLATION_SQL = (
+    f"WITH l AS ({SQL}), p(policy, mask) AS (VALUES " + ", ".join(f"('{x}', {POLICIES[x]})" for x in ("base-1", "web-2")) + "), u(rule, bit) AS (VALUES " + ", ".join(f"('{n}', {b})" for n, b in BIT.items()) + ")"
+    " SELECT policy, rule, bit, count(*) FILTER (WHERE failed_rules & mask & bit <> 0) AS rejected, count(*) FILTER (WHERE failed_rules & mask = bit) AS rejected_alone,"
+    " count(*) FILTER (WHERE failed_rules & mask & ~bit = 0) AS kept_without FROM l, p, u WHERE mask & bit <> 0 GROUP BY ALL"
+)

@@ -17,9 +17,10 @@ QUERIES = {
     "op8_simhash_anchors": op8_simhash.query,
     "op9_ogg_media": op9_ogg.query,
     "op10_boosted_pii": op10_pii.query,
+    "rule_ablations": op4_rules.ablation_query,
     "pipeline": corpus_pipeline.run,
 }
 
-SQL = {"op4_rule_ledger": op4_rules.SQL}
+SQL = {"op4_rule_ledger": op4_rules.SQL, "rule_ablations": op4_rules.ABLATION_SQL}
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

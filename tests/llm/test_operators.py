@@ -176,6 +176,7 @@ def test_rules(odd, no_rows, spark):
 
 def test_rules_sql(spark):
     assert rows_of(op4_rules.query(spark, SMALL).toPandas()) == expected(op4_rules.SQL, SMALL)
+    assert rows_of(op4_rules.ablation_query(spark, SMALL).toPandas()) == expected(op4_rules.ABLATION_SQL, SMALL)
 
 
 def test_token_files(odd, no_rows, spark):
