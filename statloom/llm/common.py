@@ -232,10 +232,10 @@ CONTROLS = re.compile("[\x1c-\x1f]")
 _MADE: dict = {}
 
 
-def piece_ids(path: str) -> PieceIds:
+def piece_ids(path: str, remembered: int = 1_000_000) -> PieceIds:
     """One PieceIds for each Python worker and file."""
     gc.disable()  # what it remembers has no cycles, and is large to walk through
     if path not in _MADE:
         _MADE.clear()
-        _MADE[path] = PieceIds(path)
+        _MADE[path] = PieceIds(path, remembered)
     return _MADE[path]

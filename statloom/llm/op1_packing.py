@@ -151,7 +151,7 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 2, tiers: tuple[int, .
     kind = docs.schema[id_column].dataType.simpleString()
 
     def compute(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = piece_ids(tokenizer), np.uint32(end_id).tobytes()
+        encoder, end = piece_ids(tokenizer, 800_000), np.uint32(end_id).tobytes()
         packer = Packer(tiers, TaskContext.get().partitionId() << 40)
 
         def rows() -> pd.DataFrame:

@@ -63,7 +63,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
         context = TaskContext.get()
         store, path = file_system(folder)
         store.create_dir(path, recursive=True)
-        encoder = piece_ids(tokenizer)
+        encoder = piece_ids(tokenizer, 1_300_000)
         kind = id_type(max(end_id + 1, encoder.tokenizer.get_vocab_size(with_added_tokens=True)))
         end = np.uint32(end_id).tobytes()
         name = f"{path}/part-{context.partitionId():05d}"
