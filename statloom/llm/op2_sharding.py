@@ -7,11 +7,13 @@ histograms of bytes over the coordinate that are refined around it: the driver
 sees at most `BINS` sums for each node, never rows. Coordinates end with random
 bits of the row, so that a value that holds a third of all rows can be split.
 
-Dimensions: size in bytes (logarithm), source and language (hashed), id.
-All on DataFrame functions.
+Dimensions: size in bytes (logarithm), source and language (places of the different
+labels in their order), id (its place between the least and the greatest; hashed where
+ids are strings). The widest is that with the largest share of its spread over all
+rows; the first of equals. All on DataFrame functions.
 
-Edge cases: a null text has no bytes and size 1; null metadata are values of
-their own; repeated rows are rows of their own; an empty table gives no rows;
+Edge cases: a null text has no bytes and size 1; null labels are a value of their own,
+before all others; a null id is the least; repeated rows are rows of their own; an empty table gives no rows;
 other columns don't matter.
 """
 
@@ -22,10 +24,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.numbering import numbered
 from .common import written
 
 #: Bins of a node's histogram; steps of a coordinate, and bits that break its ties.
-BINS, STEPS, TIE_BITS = 2048, 1 << 20, 30
+BINS, STEPS, TIE_BITS = 2048, 1 << 24, 30
 #: A cut is fine enough when the bin around it has this share of a shard.
 FINE = 1 / 2000
 #: Parts in which a shard's rows are numbered.
@@ -44,23 +47,40 @@ def pick(values: list[int], index: Column) -> Column:
     return F.element_at(F.array(*(F.lit(int(x)).cast("long") for x in values)), index)
 
 
+def label_places(docs: DataFrame) -> DataFrame:
+    """dim, label, place (0 to STEPS - 1): the different labels of source and lang in their
+    order. A row for each label, written, so that Spark broadcasts it only if it is small."""
+    have = set(docs.columns)
+    label = lambda c: F.col(f"`{c}`").cast("string") if c in have else F.lit(None).cast("string")
+    both = F.array(*(F.struct(F.lit(c).alias("dim"), label(c).alias("label")) for c in ("source", "lang")))
+    labels = numbered(docs.select(F.explode(both).alias("x")).select("x.*").distinct(), ["dim", "label"], "number")
+    labels = written(labels, "labels")
+    last = max(labels.count() - 1, 1)
+    return labels.select("dim", "label", F.floor(F.col("number") * (STEPS - 1) / last).alias("place"))
+
+
 def metadata(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """id, size, crc and the coordinates k0.. of each row."""
     text = F.coalesce(F.col(text_column), F.lit(""))
     have = set(docs.columns)
-    label = lambda c: F.col(c).cast("string") if c in have else F.lit(None).cast("string")
+    label = lambda c: F.col(f"`{c}`").cast("string") if c in have else F.lit(None).cast("string")
     rows = docs.select(
         F.col(id_column).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"),
         label("source").alias("source"), label("lang").alias("lang"), F.monotonically_increasing_id().alias("uid"),
     )
+    if dict(rows.dtypes)["id"] == "string":
+        id_step = F.pmod(F.xxhash64("id"), F.lit(STEPS))
+    else:
+        number = F.col(id_column).cast("double")
+        least, most = docs.agg(F.min(number), F.max(number)).first()
+        share = (F.col("id").cast("double") - F.lit(least or 0.0)) / F.lit(((most or 0.0) - (least or 0.0)) or 1.0)
+        id_step = F.floor(F.coalesce(share, F.lit(0.0)) * (STEPS - 1))
+    places = label_places(docs)
+    for c in ("source", "lang"):
+        own = places.where(F.col("dim") == c).select(F.col("label").alias(f"{c}_label"), F.col("place").alias(f"{c}_step"))
+        rows = rows.join(own, F.col(c).eqNullSafe(F.col(f"{c}_label")), "left")
+    steps = [F.least(F.floor(F.log2("size") * (STEPS / 48)), F.lit(STEPS - 1)), F.col("source_step"), F.col("lang_step"), id_step]
     tie = F.pmod(F.xxhash64("uid"), F.lit(1 << TIE_BITS))
-    hashed = lambda c: F.pmod(F.xxhash64(F.lit(c), F.col(c)), F.lit(STEPS))
-    steps = [
-        F.least(F.floor(F.log2("size") * (STEPS / 48)), F.lit(STEPS - 1)),
-        hashed("source"),
-        hashed("lang"),
-        F.pmod(F.xxhash64("id"), F.lit(STEPS)) if dict(rows.dtypes)["id"] == "string" else F.pmod(F.coalesce(F.col("id").cast("long"), F.lit(0)), F.lit(STEPS)),
-    ]
     keys = [(x.cast("long") * (1 << TIE_BITS) + tie).alias(f"k{i}") for i, x in enumerate(steps)]
     return written(rows.select("id", "size", "crc", "uid", *keys), "shard-metadata")
 
@@ -78,17 +98,25 @@ def descend(rows: DataFrame, levels: list[list[Node]], dims: int) -> Column:
     return node
 
 
-def split_level(rows: DataFrame, nodes: list[Node], levels: list[list[Node]], dims: int) -> None:
-    """Gives each node of a level its dimension and cut."""
+def spreads(bounds, dims: int) -> list[int]:
+    """The steps between the least and the greatest coordinate of each dimension."""
+    return [(bounds[f"hi{i}"] >> TIE_BITS) - (bounds[f"lo{i}"] >> TIE_BITS) for i in range(dims)]
+
+
+def split_level(rows: DataFrame, nodes: list[Node], levels: list[list[Node]], dims: int, whole: list[int]) -> None:
+    """Gives each node of a level its dimension and cut. whole: the spreads over all rows, set by the root's level."""
     at = rows.withColumn("node", descend(rows, levels, dims))
     wide = at.groupBy("node").agg(F.sum("size").alias("bytes"), *(f(f"k{i}").alias(f"{n}{i}") for i in range(dims) for n, f in (("lo", F.min), ("hi", F.max))))
     seen = {x["node"]: x for x in wide.collect()}  # at most a row for each node
+    if not whole and seen:
+        whole += spreads(seen[0], dims)
     open_, state = [], {}
     for number, node in enumerate(nodes):
         if node.shards < 2 or number not in seen:
             continue
         x = seen[number]
-        node.dim = max(range(dims), key=lambda i: x[f"hi{i}"] - x[f"lo{i}"])
+        shares = [a / b if b else 0.0 for a, b in zip(spreads(x, dims), whole)]
+        node.dim = shares.index(max(shares))
         goal = x["bytes"] * (node.shards // 2) / node.shards
         state[number] = [x[f"lo{node.dim}"], x[f"hi{node.dim}"] + 1, 0, goal, x["bytes"] / node.shards * FINE]
         open_.append(number)
@@ -128,9 +156,9 @@ def kd_shards(docs: DataFrame, shards: int = 16, id_column: str = "doc_id", text
     without gaps in its shard)."""
     rows, dims = metadata(docs, id_column, text_column), 4
     levels: list[list[Node]] = []
-    nodes = [Node(0, shards)]
+    nodes, whole = [Node(0, shards)], []
     while any(x.shards > 1 for x in nodes):
-        split_level(rows, nodes, levels, dims)
+        split_level(rows, nodes, levels, dims, whole)
         levels.append(nodes)
         below = []
         for x in nodes:

@@ -124,6 +124,13 @@ def test_sharding_is_even(spark, shards):
     assert all(abs(x - mean) < 0.02 * mean for x in sizes.values())
 
 
+def test_sharding_follows_metadata(spark):
+    """Equal texts in two sources: the source is split first, then the ids of each, as the source has no spread left."""
+    docs = spark.range(2000).selectExpr("id as doc_id", "'some text' as text", "if(id % 2 = 0, 'https://a', 'https://b') as source", "'en' as lang")
+    got = {r.doc_id: r.shard for r in rows(op2_sharding.kd_shards(docs, 4))}
+    assert got == {k: 2 * (k % 2) + (k >= 1000) for k in range(2000)}
+
+
 def test_html(spark, no_rows):
     tree = op3_html.train(spark)
     page = """<html><head><title>no</title><script>var t="</p>";</script></head><body><header>no <a href=/>no</a></header><nav><ul><li><a>no</a></li></ul></nav>
