@@ -170,7 +170,7 @@ def near_texts(docs: DataFrame, words: int = 5, least: float = 0.8, id_column: s
     firsts = shared.written(firsts, "sets")
 
     # Buckets: linked fingerprints, then bands; only those of several sets, with the tiles that long ones need.
-    anchors = components(links(firsts.select(F.col("print").alias("fp")).distinct()), shared=shared).withColumnRenamed("u", "print")
+    anchors = components(links(firsts.select(F.col("print").alias("fp")).distinct(), shared=shared), shared=shared).withColumnRenamed("u", "print")
     by_print = firsts.select("fp", "size", "print").join(anchors, "print", "left").select("fp", "size", F.lit(0).alias("band"), F.xxhash64(F.coalesce("v", "print")).alias("key"))
     by_band = firsts.select("fp", "size", F.posexplode("bands").alias("band", "key")).select("fp", "size", F.col("band") + 1, "key")
     places = by_print.union(by_band)

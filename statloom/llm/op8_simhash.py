@@ -138,7 +138,7 @@ def spanning_links(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     return out
 
 
-def links(fps: DataFrame, max_bits: int = 3, blocks: int = 2) -> DataFrame:
+def links(fps: DataFrame, max_bits: int = 3, blocks: int = 2, shared: Shared | None = None) -> DataFrame:
     """u, v: links u > v between distinct fingerprints that differ in at most
     max_bits bits; per anchor and tile a spanning forest, so that none is lost
     for the components."""
@@ -153,19 +153,17 @@ def links(fps: DataFrame, max_bits: int = 3, blocks: int = 2) -> DataFrame:
                 pairs = np.array(found, np.int64)
                 yield pd.DataFrame({"u": pairs.max(axis=1), "v": pairs.min(axis=1)})
 
-    return _compared(anchored(fps, max_bits, blocks), ["fp"], "n > 1 and any_home", compare)
-
-
-def _compared(rows: DataFrame, columns: list[str], worth: str, compare) -> DataFrame:
-    """What compare() finds, by comparing the rows of each (block, anchor); lists over TILE rows in tiles."""
-    rows = rows.selectExpr("*", "count(*) over (partition by block, anchor) as n", "max(home) over (partition by block, anchor) as any_home").where(worth)
-    keys = ["block", "anchor", "tile"]
-    # Short lists stand together and in order already, by the windows above; only long ones are dealt anew.
-    short = rows.where(F.col("n") <= TILE).select("block", "anchor", *columns, F.lit(0).alias("tile"))
-    found = short.sortWithinPartitions("block", "anchor").mapInPandas(compare, "u long, v long")
-    tiled = rows.where(F.col("n") > TILE).withColumn("parts", F.ceil(F.col("n") / TILE).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    tile = F.expr("transform(sequence(0, parts - 1), k -> least(own, k) * parts + greatest(own, k))")
-    tiled = tiled.select("block", "anchor", *columns, F.explode(tile).alias("tile"))
+    # Long lists are counted map-side first, so that none goes through one task.
+    list_, keys = ["block", "anchor"], ["block", "anchor", "tile"]
+    rows = anchored(fps, max_bits, blocks)
+    long = rows.groupBy(*list_).agg(F.count("*").alias("n"), F.max("home").alias("any_home")).where(F.col("n") > TILE)
+    long = (shared or Shared(fps.sparkSession)).written(long.select(*list_, "any_home", F.ceil(F.col("n") / TILE).cast("long").alias("parts")), "long-lists")
+    short = rows.join(long.select(*list_), list_, "left_anti").selectExpr("*", "count(*) over (partition by block, anchor) as n", "max(home) over (partition by block, anchor) as any_home")
+    short = short.where("n > 1 and any_home").select(*list_, "fp", F.lit(0).cast("long").alias("tile"))
+    found = short.sortWithinPartitions(*list_).mapInPandas(compare, "u long, v long")
+    tiled = rows.join(long.where("any_home").drop("any_home"), list_).withColumn("own", F.pmod(F.xxhash64("fp"), "parts"))
+    tile = F.expr("transform(sequence(0L, parts - 1), k -> least(own, k) * parts + greatest(own, k))")
+    tiled = tiled.select(*list_, "fp", F.explode(tile).alias("tile"))
     return found.union(tiled.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(compare, "u long, v long")).distinct()
 
 
