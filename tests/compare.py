@@ -10,7 +10,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def rows_of(frame):
     def plain(x):
         if isinstance(x, float):
-            return None if x != x else round(x, 6)
+            return None if x != x else int(x) if x.is_integer() else round(x, 6)
         if hasattr(x, "tolist"):
             return tuple(plain(y) for y in x.tolist()) if getattr(x, "ndim", 0) else plain(x.item())
         if isinstance(x, (list, tuple)):
