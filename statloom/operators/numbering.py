@@ -32,6 +32,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables between the steps of one job, until drop()."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{checkpoint_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, keep: int = 0) -> None:
+        """Deletes all tables but the last `keep`; what was made of them must be written by now."""
+        gone, self.paths = self.paths[: len(self.paths) - keep], self.paths[len(self.paths) - keep :]
+        for path in gone:
+            there = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """df with each row's place in `order`, from 0: a range shuffle, the rows of each
     range counted in their order, and the sums of earlier ranges' counts (a row for each range)."""
