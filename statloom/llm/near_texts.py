@@ -212,7 +212,8 @@ def near_texts(docs: DataFrame, words: int = 5, least: float = 0.8, id_column: s
 def first_of_groups(docs: DataFrame, groups: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row of docs for each root of groups: that of the smallest id, a null id only where
     there is no other. Of texts that share this id and root, that of the smallest hash stays;
-    of rows that share id and text, the first by the other columns."""
+    of rows that share id and text, that whose columns, as JSON, have the smallest hash (maps
+    can't be ordered). A null text is a text of its own; an empty table gives no rows."""
     rows = groups.groupBy("root", id_column, "text_hash").agg(F.count("*").alias("copies"))
     first = F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), "text_hash")
     keepers = rows.groupBy("root").agg(F.min(first).alias("k"))
@@ -225,5 +226,6 @@ def first_of_groups(docs: DataFrame, groups: DataFrame, id_column: str = "doc_id
         return out
     several = docs.join(said.where("stays"), same, "left_semi")
     keys = [F.col(f"`{id_column}`"), F.xxhash64(F.col(f"`{text_column}`"))]
-    least = several.groupBy(*(k.alias(f"_key{n}") for n, k in enumerate(keys))).agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("row"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    least = several.groupBy(*(k.alias(f"_key{n}") for n, k in enumerate(keys))).agg(F.min_by(row, F.sha2(F.to_json(row), 256)).alias("row"))
     return out.union(least.select("row.*"))

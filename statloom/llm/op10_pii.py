@@ -72,7 +72,7 @@ def base_spans(text: str) -> list[Span]:
     out: list[Span] = [(a, "email", b) for a, b in emails(text)] if "@" in text else []
     if ANY_DIGIT.search(text):
         if "." in text:
-            out += [(m.start(), "ip", m.end()) for m in IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split("."))]
+            out += [(m.start(), "ip", m.end()) for m in IP.finditer(text) if all(len(x := part.lstrip("0")) <= 3 and int(x or "0") <= 255 for part in m[0].split("."))]
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 14:
                 digits = NOT_DIGIT.sub("", m[0])
@@ -294,7 +294,8 @@ def redact(text: str, spans: list[Span]) -> str:
 
 
 def redacted(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """docs with redacted texts (nulls stay) and, where they have it, n_chars of the new text."""
+    """docs with redacted texts (nulls stay) and, where they have it, n_chars of the new text.
+    Repeated rows are rows of their own; an empty table gives no rows; other columns stay as they are."""
     boosted, thresholds = train(docs.sparkSession)
 
     def change(texts: pd.Series) -> pd.Series:

@@ -361,7 +361,7 @@ def plain_spans(text):
     for kind, pattern in PLAIN_FORMS.items():
         for m in re.finditer(pattern, text or ""):
             digits = re.sub("[^0-9]", "", m[0])
-            if kind == "ip" and any(int(x) > 255 for x in m[0].split(".")) or kind == "card" and not (14 <= len(digits) <= 19 and op10_pii.luhn(digits)) or kind == "phone" and not 10 <= len(digits) <= 15:
+            if kind == "ip" and any(int(x.lstrip("0")[:5] or 0) > 255 for x in m[0].split(".")) or kind == "card" and not (14 <= len(digits) <= 19 and op10_pii.luhn(digits)) or kind == "phone" and not 10 <= len(digits) <= 15:
                 continue
             out.append((m.start(), kind, m.end()))
     return sorted(out, key=lambda s: (s[0], op10_pii.KINDS.index(s[1])))
