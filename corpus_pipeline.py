@@ -15,7 +15,8 @@ POLICY = "web-2"
 
 
 def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the policy keeps."""
+    """The documents that the policy keeps. A null text has no words and goes; repeated rows
+    are rows of their own; any other columns stay, whatever their names."""
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     kept = op4_rules.apply_policy(op4_rules.ledger(docs, row), POLICY).where("kept")
     return kept.select("row.*")
@@ -23,17 +24,19 @@ def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts with four fifths or more of their different
-    five-word shingles in common: that of the smallest id."""
+    five-word shingles in common: that of the smallest id, a null id only where there is no other;
+    repeated rows are copies; texts of fewer words are one shingle; any columns stay."""
     return near_texts.first_of_groups(docs, near_texts.near_texts(docs.select("doc_id", "text")))
 
 
 def private(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with personal data as the names of their kinds."""
+    """The documents with personal data as the names of their kinds; null texts stay null,
+    repeated rows rows of their own."""
     return op10_pii.redacted(docs)
 
 
 def packing(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
+    """The pieces of the packed sequences; a null text is an empty one, of its end alone."""
     return op1_packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
