@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Bits of a row's number within its partition, in what monotonically_increasing_id() gives.
+ROW_BITS = 33
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder that the session names for checkpoints; on one machine (as in tests) one is made."""
     if spark.sparkContext.getCheckpointDir() is None:
@@ -52,14 +56,22 @@ class Scratch:
             there.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
+def ranged(df: DataFrame, order: list[str]) -> DataFrame:
+    """df in ranges of `order`, with _range, and _at, which rises along ranges and rows. Rows
+    equal in `order` follow a hash of all their columns (but for those that hold maps), so that a range may end among them; a written table."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hashed = df.withColumn("_tie", F.xxhash64(*(F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString())))
+    rows = hashed.repartitionByRange(parts, *order, "_tie").sortWithinPartitions(*order, "_tie").drop("_tie").withColumn("_at", F.monotonically_increasing_id())
+    return checkpointed(rows).withColumn("_range", F.shiftright("_at", ROW_BITS))
+
+
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """df with each row's place in `order`, from 0: a range shuffle, the rows of each
-    range counted in their order, and the sums of earlier ranges' counts (a row for each range)."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    row_bits = 33
-    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    ranged = checkpointed(ranged).withColumn("_range", F.shiftright("_at", row_bits))
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    range counted in their order, and the sums of earlier ranges' counts (a row for each range).
+    Rows equal in `order` are placed by the hash of all their columns; nulls come first."""
+    rows = ranged(df, order)
+    counts = rows.groupBy("_range").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = counts.select("_range", before.alias("_base"))
-    return ranged.join(F.broadcast(bases), "_range").withColumn(name, F.col("_base") + F.col("_at").bitwiseAND((1 << row_bits) - 1)).drop("_range", "_at", "_base")
+    return rows.join(F.broadcast(bases), "_range").withColumn(name, F.col("_base") + F.col("_at").bitwiseAND((1 << ROW_BITS) - 1)).drop("_range", "_at", "_base")

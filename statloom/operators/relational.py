@@ -6,77 +6,106 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .numbering import numbered
+from .scans import scan
 
 
 def asof_strict(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, by: list[str], values: list[str]) -> DataFrame:
     """Each left row with the values of the last right row of its key strictly
-    before it, else nulls. Union and one window: linear in the rows, no join. Right
-    rows of one time are decided by their values, the largest."""
+    before it, else nulls. Union and one scan of ranges: linear in the rows, no join, and no
+    task for a key. Right rows of one time are decided by their values, the largest. A null key or
+    time matches nothing."""
     keys = [F.col(k) for k in by]
     held = F.struct(F.col(right_ts).alias("ts"), *(F.col(v) for v in values))
+    known = right.where(F.col(right_ts).isNotNull())
+    for key in keys:
+        known = known.where(key.isNotNull())
     a = left.select(*keys, F.col(left_ts).alias("_ts"), F.lit(0).alias("_side"), F.struct("*").alias("_row"), F.lit(None).cast(right.select(held.alias("h")).schema["h"].dataType).alias("_held"))
-    b = right.where(F.col(right_ts).isNotNull()).select(*keys, F.col(right_ts).alias("_ts"), F.lit(1).alias("_side"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), held.alias("_held"))
+    b = known.select(*keys, F.col(right_ts).alias("_ts"), F.lit(1).alias("_side"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), held.alias("_held"))
     # of one time, left rows come first: what is given at that time isn't seen
-    order = Window.partitionBy(*by).orderBy("_ts", "_side", "_held").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = a.unionByName(b).withColumn("_held", F.last("_held", ignorenulls=True).over(order)).where("_side = 0")
+    seen = scan(a.unionByName(b), by, ["_ts", "_side", "_held"], {"_held": ("last", F.col("_held"))}).where("_side = 0")
     return seen.select("_row.*", *(F.col(f"_held.{v}").alias(v) for v in values), F.col("_held.ts").alias(right_ts))
 
 
 def asof_broadcast(left: DataFrame, dates: DataFrame, left_ts: str, right_ts: str, most: int = 5000) -> DataFrame:
     """Each left row with the last of few dates strictly before it. Up to `most` distinct
-    dates (issuance calendars have hundreds) are gathered into one array; of more, spans
-    from date to date are joined by range numbers of the dates."""
+    dates (issuance calendars have hundreds) are gathered into one array, in which each row searches by
+    halves; more are met by the scan of ranges. A null time has no date before it."""
     dates = dates.select(right_ts).where(F.col(right_ts).isNotNull()).distinct()
-    if dates.limit(most + 1).count() > most:
-        return asof_spans(left, dates, left_ts, right_ts)
-    all_dates = dates.agg(F.array_sort(F.collect_list(right_ts)).alias("_dates"))
-    joined = left.crossJoin(F.broadcast(all_dates))
-    return joined.withColumn(right_ts, F.array_max(F.filter("_dates", lambda d: d < F.col(left_ts)))).drop("_dates")
-
-
-def asof_spans(left: DataFrame, dates: DataFrame, left_ts: str, right_ts: str) -> DataFrame:
-    """As asof_broadcast() for any number of distinct dates: by day, the last date of that
-    day before the row, else the last of the earlier days (an as-of join of days, of
-    which there are few)."""
-    day = F.to_date(right_ts)
-    per_day = dates.groupBy(day.alias("_day")).agg(F.max(right_ts).alias("_last"))
-    days = per_day.withColumn("_earlier", F.last("_last").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)))
-    calendar = days.groupBy(F.lit(1).alias("_one")).agg(F.array_sort(F.collect_list(F.struct("_day", "_last"))).alias("_days"))
-    rows = left.crossJoin(F.broadcast(calendar.select("_days"))).withColumn("_day", F.to_date(left_ts))
-    rows = rows.withColumn("_before", F.array_max(F.filter("_days", lambda d: d["_day"] < F.col("_day")))["_last"]).drop("_days")
-    held = asof_strict(rows, dates.withColumn("_day", day), left_ts, right_ts, ["_day"], [])
-    return held.withColumn(right_ts, F.coalesce(right_ts, "_before")).drop("_before", "_day")
-
-
-def within(points: DataFrame, spans: DataFrame, by: list[str], at: str, start: str, end: str, bucket: float | None = None) -> DataFrame:
-    """Points with the spans of their key that hold them: start <= at < end. Spans are
-    entered in every bucket of `bucket` seconds that they touch, so that a point meets the
-    spans of its bucket only; without a bucket, the median length of the spans."""
+    n = dates.limit(most + 1).count()
+    if n > most:
+        return asof_strict(left, dates, left_ts, right_ts, [], [])
+    joined = left.crossJoin(F.broadcast(dates.agg(F.array_sort(F.collect_list(right_ts)).alias("_dates"))))
+    steps = F.array(*(F.lit(1 << k) for k in range(n.bit_length(), -1, -1)))
+    # how many dates lie before: by steps of half the length
+    before = F.aggregate(steps, F.lit(0), lambda found, step: F.when(F.get("_dates", found + step - 1) < F.col(left_ts), found + step).otherwise(found))
+    return joined.withColumn(right_ts, F.get("_dates", before - 1)).drop("_dates")
+
+
+def within(points: DataFrame, spans: DataFrame, by: list[str], at: str, start: str, end: str) -> DataFrame:
+    """Points with the spans of their key that hold them: start <= at < end. A span lies in
+    the level of buckets of the smallest power of two seconds that is as long, so that it touches two at
+    most; a point looks in its bucket of every level that has spans, some sixty at most. Spans that
+    end before they start, null keys and null times match nothing."""
     timed = spans.schema[start].dataType.simpleString().startswith("timestamp")
     seconds = lambda c: F.col(c).cast("timestamp").cast("double") if timed else F.col(c).cast("double")
-    spans = spans.where(F.col(start) < F.col(end))
-    if bucket is None:
-        length = spans.agg(F.percentile_approx(seconds(end) - seconds(start), 0.5, 1000)).first()[0]
-        bucket = max(float(length or 1.0), 1e-3)
-    number = lambda c: F.floor(seconds(c) / bucket)
-    a = points.withColumn("_bucket", number(at))
-    b = spans.withColumn("_bucket", F.explode(F.sequence(number(start), number(end))))
-    return a.join(b, [*by, "_bucket"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_bucket")
+    spans = spans.where(F.col(start) < F.col(end)).withColumn("_level", F.ceil(F.log2(seconds(end) - seconds(start))).cast("int"))
+    levels = sorted(r[0] for r in spans.select("_level").distinct().collect())  # exponents of two
+    size = F.pow(F.lit(2.0), F.col("_level"))
+    first = F.floor(seconds(start) / size)
+    b = spans.withColumn("_bucket", F.explode(F.sequence(first, F.greatest(first, F.ceil(seconds(end) / size) - 1))))
+    each = F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")
+    a = points.withColumn("_level", F.explode(each)).withColumn("_bucket", F.floor(seconds(at) / size))
+    return a.join(b, [*by, "_level", "_bucket"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_level", "_bucket")
+
+
+def linked(events: DataFrame, stints: DataFrame, both: bool = False) -> DataFrame:
+    """events (game, event, event_time in seconds, and more) with home_lineup and away_lineup, the sorted players on court,
+    and lineup_valid. stints: game, team, player, in_time and out_time in tenths of a second; a player is on court
+    from in_time to before out_time. Home is the team of most stints (of equals, the smallest), away the smallest other one. A
+    lineup that isn't of five is empty; with `both`, by the older rule, both are unless both are of five. Games without two
+    teams, and events of games without stints, have no rows; an event without a time has empty lineups; an event's game and event are unique."""
+    teams = stints.where("team is not null").groupBy("game", "team").agg(F.count("*").alias("n"))
+    home = teams.groupBy("game").agg(F.max_by("team", F.struct("n", -F.col("team"))).alias("home"), F.count("*").alias("teams")).where("teams > 1").drop("teams")
+    sides = teams.join(home, "game").where("team != home").groupBy("game", "home").agg(F.min("team").alias("away"))
+    spans = stints.join(sides, "game").where("team in (home, away)").select("game", (F.col("team") == F.col("home")).alias("own"), "player", (F.col("in_time") / 10.0).alias("t_in"), (F.col("out_time") / 10.0).alias("t_out"))
+    met = within(events.select("game", "event", "event_time"), spans, ["game"], "event_time", "t_in", "t_out")
+    five = lambda own: F.array_sort(F.collect_list(F.when(own, F.col("player"))))
+    on = met.groupBy("game", "event").agg(five(F.col("own")).alias("_h"), five(~F.col("own")).alias("_a"))
+    none = F.array().cast(dict(on.dtypes)["_h"])
+    h, a = F.coalesce("_h", none), F.coalesce("_a", none)
+    valid = (F.size(h) == 5) & (F.size(a) == 5)
+    shown = lambda side: F.when(valid if both else F.size(side) == 5, side).otherwise(none)
+    return events.join(sides.select("game"), "game", "left_semi").join(on, ["game", "event"], "left").select(*events.columns, shown(h).alias("home_lineup"), shown(a).alias("away_lineup"), valid.alias("lineup_valid"))
 
 
 def quantiles(df: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
-    """by.., q: the interpolated quantiles of each group, exact. The rows of all groups are
-    numbered over ranges; each group's count says which two ranks a quantile lies between,
-    so no task or buffer holds a group."""
-    placed = numbered(df.where(F.col(value).isNotNull()).select(*by, value), [*by, value], "_place")
-    sizes = placed.groupBy(*by).agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
-    wanted = sizes.select(*by, "_first", "_n", F.posexplode(F.array(*(F.lit(float(x)) for x in shares))).alias("_at", "_share")).withColumn("_rank", F.col("_share") * (F.col("_n") - 1))
-    wanted = wanted.withColumn("_place", F.explode(F.array_distinct(F.array(F.col("_first") + F.floor("_rank"), F.col("_first") + F.ceil("_rank")))))
-    met = placed.select("_place", F.col(value).cast("double").alias("_value")).join(wanted, "_place")
-    part = F.max("_rank") - F.floor(F.max("_rank"))
-    low, high = F.min_by("_value", "_place"), F.max_by("_value", "_place")
-    each = met.groupBy(*by, "_at").agg((low + (high - low) * part).alias("_q"))
-    return each.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_q"))), lambda x: x["_q"]).alias("q"))
+    """by.., q: the interpolated quantiles of each group, exact; null values don't count."""
+    return many_quantiles(df, by, [value], shares).select(*by, F.col(value).alias("q"))
+
+
+def many_quantiles(df: DataFrame, by: list[str], values: list[str], shares: list[float]) -> DataFrame:
+    """by.., and for each of values an array of its quantiles (null if it has no values): all measures are numbered at once. Equal values
+    of a group are one row with a count, and counts are added up over ranges of group, measure and value, so that no task or buffer
+    holds a group, and no value is too frequent. A group with no value at all has no row."""
+    stacked = df.select(*by, F.explode(F.array(*(F.struct(F.lit(k).alias("_measure"), F.col(v).cast("double").alias("_value")) for k, v in enumerate(values)))).alias("_x")).select(*by, "_x.*")
+    counts = stacked.where("_value is not null").groupBy(*by, "_measure", "_value").agg(F.count("*").alias("_count"))
+    keys = [*by, "_measure"]
+    upto = scan(counts, keys, ["_value"], {"_upto": ("sum", F.col("_count"))})
+    sizes = counts.groupBy(*(F.col(k).alias(f"_s_{k}") for k in keys)).agg(F.sum("_count").alias("_n"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & upto[k].eqNullSafe(sizes[f"_s_{k}"])
+    # the two ranks between which a quantile lies, where this value has one of them
+    ranks = F.transform(F.array(*(F.lit(float(x)) for x in shares)), lambda x, at: F.struct(at.alias("at"), (x * (F.col("_n") - 1)).alias("rank")))
+    lower = F.col("_upto") - F.col("_count")
+    holds = lambda rank: (lower <= rank) & (rank < F.col("_upto"))
+    mine = F.filter(ranks, lambda r: holds(F.floor(r["rank"])) | holds(F.ceil(r["rank"])))
+    met = upto.join(sizes, same).select(*keys, "_value", F.explode(mine).alias("_r")).select(*keys, "_value", "_r.*")
+    part = F.max("rank") - F.floor(F.max("rank"))
+    each = met.groupBy(*keys, "at").agg((F.min("_value") + (F.max("_value") - F.min("_value")) * part).alias("_q"))
+    mine_of = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("_measure") == k, F.struct("at", "_q")))), lambda x: x["_q"])
+    made = each.groupBy(*by).agg(*(mine_of(k).alias(v) for k, v in enumerate(values)))
+    return made.select(*by, *(F.when(F.size(v) > 0, F.col(v)).alias(v) for v in values))
 
 
 def islands(df: DataFrame, by: list[str], order: list[str], value: Column, name: str = "island") -> DataFrame:

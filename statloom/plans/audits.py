@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import coverage as COV
 from ..operators import possessions as P
 from ..operators import relational as R
 from ..operators.numbering import stored
@@ -79,18 +80,38 @@ def alternation_failures(t):
     return p.groupBy("game").agg(F.count_if("failing").alias("failing"), reason.alias("reason"))
 
 
-@query("""WITH m AS (SELECT l_orderkey, arg_max(l_returnflag, (n, -ascii(l_returnflag))) AS home_team FROM (SELECT l_orderkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY 1),
- g AS (SELECT l_orderkey, coalesce(list_sort(list(DISTINCT l_partkey) FILTER (WHERE l_linenumber % 2 = 1)), []) AS a, coalesce(list_sort(list(DISTINCT l_partkey) FILTER (WHERE l_linenumber % 2 = 0)), []) AS b FROM lineitem GROUP BY 1)
- SELECT l_orderkey, home_team, CASE WHEN len(a) = 2 THEN a ELSE [] END AS home, CASE WHEN len(b) = 2 THEN b ELSE [] END AS away, len(a) = 2 AND len(b) = 2 AS both_full FROM g JOIN m USING (l_orderkey)""")
+ROTATIONS = """WITH ro AS (SELECT user_id AS game, CASE WHEN event_type = 'click' THEN 2 ELSE 1 END AS team, event_id, epoch_us(ts) / 1e5 AS in_time,
+ CASE WHEN event_id % 31 = 0 THEN epoch_us(ts) / 1e5 + 3e8 ELSE epoch_us(lead(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id)) / 1e5 END AS out_time FROM events WHERE event_type IN ('click', 'view')),
+ st AS (SELECT game, team, in_time, out_time, (event_id * 13 + 17 * unnest(range(CASE WHEN event_id % 7 = 0 THEN 4 ELSE 5 END))) % 1000 AS player FROM ro),
+ n AS (SELECT game, team, count(*) AS n FROM st GROUP BY 1, 2), h AS (SELECT game, arg_max(team, (n, -team)) AS home FROM n GROUP BY 1 HAVING count(*) > 1),
+ sides AS (SELECT h.game, home, min(team) AS away FROM h JOIN n ON n.game = h.game AND team <> home GROUP BY 1, 2),
+ sp AS (SELECT st.game, team = home AS own, player, in_time / 10.0::DOUBLE AS t_in, out_time / 10.0::DOUBLE AS t_out FROM st JOIN sides ON st.game = sides.game AND team IN (home, away)),
+ ev AS (SELECT user_id AS game, event_id, epoch_us(ts) / 1e6 AS t FROM events WHERE user_id IN (SELECT game FROM sides)),
+ met AS (SELECT ev.game, ev.event_id, coalesce(list_sort(list(player) FILTER (WHERE own)), []) AS h, coalesce(list_sort(list(player) FILTER (WHERE NOT own)), []) AS a FROM ev LEFT JOIN sp ON sp.game = ev.game AND t_in <= t AND t < t_out GROUP BY 1, 2)"""
+
+
+def rotations(t):
+    """A log and its rotation stints, of five or four players: a user's clicks open those of one team, views the
+    other's, until the next; some last for thirty million seconds."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    opened = t.events.where("event_type in ('click', 'view')").select("user_id", "event_id", "event_type", micros.alias("us"), F.lead(micros).over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")).alias("later"))
+    long = F.col("event_id") % 31 == 0
+    st = opened.select(F.col("user_id").alias("game"), F.when(F.col("event_type") == "click", 2).otherwise(1).alias("team"), "event_id", (F.col("us") / 1e5).alias("in_time"), F.when(long, F.col("us") / 1e5 + 3e8).otherwise(F.col("later") / 1e5).alias("out_time"))
+    k = F.explode(F.sequence(F.lit(0), F.when(F.col("event_id") % 7 == 0, 3).otherwise(4)))
+    st = st.withColumn("k", k).select("game", "team", "in_time", "out_time", ((F.col("event_id") * 13 + 17 * F.col("k")) % 1000).alias("player"))
+    return t.events.select(F.col("user_id").alias("game"), F.col("event_id").alias("event"), (micros / 1e6).alias("event_time")), st
+
+
+@query(ROTATIONS + """ SELECT event_id, CASE WHEN len(h) = 5 THEN h ELSE [] END AS home, CASE WHEN len(a) = 5 THEN a ELSE [] END AS away, len(h) = 5 AND len(a) = 5 AS valid FROM met""")
 def linked_lineups(t):
-    """The modal team (ties: the smallest) and each side's lineup, empty unless it is full; both_full is the older rule."""
-    n = t.lineitem.groupBy("l_orderkey", "l_returnflag").count()
-    modal = n.groupBy("l_orderkey").agg(F.max_by("l_returnflag", F.struct("count", -F.ascii("l_returnflag"))).alias("home_team"))
-    odd = F.col("l_linenumber") % 2 == 1
-    g = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.when(odd, F.col("l_partkey")))).alias("a"), F.array_sort(F.collect_set(F.when(~odd, F.col("l_partkey")))).alias("b"))
-    none = F.array().cast("array<bigint>")
-    full_a, full_b = F.size("a") == 2, F.size("b") == 2
-    return g.join(modal, "l_orderkey").select("l_orderkey", "home_team", F.when(full_a, F.col("a")).otherwise(none).alias("home"), F.when(full_b, F.col("b")).otherwise(none).alias("away"), (full_a & full_b).alias("both_full"))
+    """Who is on court at each event, five a side; home is the modal team; a side that isn't five is empty."""
+    return R.linked(*rotations(t)).select(F.col("event").alias("event_id"), F.col("home_lineup").alias("home"), F.col("away_lineup").alias("away"), F.col("lineup_valid").alias("valid"))
+
+
+@query(ROTATIONS + """ SELECT event_id, CASE WHEN len(h) = 5 AND len(a) = 5 THEN h ELSE [] END AS home, CASE WHEN len(h) = 5 AND len(a) = 5 THEN a ELSE [] END AS away, len(h) = 5 AND len(a) = 5 AS valid FROM met""")
+def older_linked_lineups(t):
+    """By the older rule both sides are empty unless both are five."""
+    return R.linked(*rotations(t), both=True).select(F.col("event").alias("event_id"), F.col("home_lineup").alias("home"), F.col("away_lineup").alias("away"), F.col("lineup_valid").alias("valid"))
 
 
 @query("""SELECT event_id, CASE WHEN NOT modern THEN event_type WHEN event_type IN ('purchase', 'click') THEN CASE WHEN value > 50 THEN 'made' ELSE 'missed' END WHEN event_type = 'error' THEN 'foul' ELSE 'other' END AS action,
@@ -124,13 +145,37 @@ def box_margins(t):
     return t.lineitem.groupBy("l_orderkey").agg((side("F") - side("O")).cast("double").alias("margin"), F.count_distinct("l_linestatus").alias("sides"))
 
 
-@query("""SELECT year(o_orderdate) AS season, count(*) AS games, count(DISTINCT o_custkey) AS members, count(*) FILTER (WHERE o_totalprice < 50000) AS close, round(count(*) FILTER (WHERE o_totalprice < 50000) / count(*) + 1e-9, 6) AS close_rate,
- round(quantile_cont(o_totalprice, 0.05) + 1e-9, 4) AS q05, round(median(o_totalprice) + 1e-9, 4) AS mid, round(quantile_cont(o_totalprice, 0.95) + 1e-9, 4) AS q95, min(o_orderdate) AS begins, max(o_orderdate) AS ends FROM orders GROUP BY 1""")
+COVERED = """WITH p AS (SELECT year(o_orderdate) AS season, o_orderkey AS game, l_quantity >= 5 AS five, l_extendedprice / 1000 AS points, l_returnflag AS offense_team, CASE l_linestatus || l_returnflag WHEN 'FA' THEN 'field_goal_made' WHEN 'FR' THEN 'turnover'
+ WHEN 'ON' THEN 'defensive_rebound' WHEN 'FN' THEN 'free_throw_made' ELSE 'end_of_period' END AS outcome, l_quantity AS possessions, CASE WHEN l_linenumber % 2 = 1 THEN l_extendedprice / 1000 ELSE 0 END AS home_points, CASE WHEN l_linenumber % 2 = 0 THEN l_extendedprice / 1000 ELSE 0 END AS away_points FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+ b AS (SELECT year(o_orderdate) AS season, o_orderkey AS game, CASE WHEN o_custkey % 13 <> 0 THEN o_totalprice / 1000 END AS box_points, CASE WHEN o_custkey % 13 <> 0 THEN 10.0 + o_custkey % 90 END AS box_poss, o_totalprice / 2000 - o_custkey % 41 AS box_margin,
+ CASE WHEN o_custkey % 5 <> 0 THEN o_orderkey % 11 - 5.0 END AS box_free_margin, o_custkey % 2 = 0 AS real_home, 0.5 * (o_custkey % 17) AS box_fgm, 1.0 * (o_orderkey % 5) AS box_tov, 1.0 * (o_custkey % 9) AS box_dreb, 1.0 * (o_orderkey % 23) AS box_fta FROM orders WHERE o_orderkey % 10 <> 3),
+ g0 AS (SELECT season, game, count(*) AS rows_, count(*) FILTER (WHERE five) AS rows_five, sum(points) AS points, count(DISTINCT offense_team) AS offense_teams, sum(possessions) AS stint_poss, sum(home_points + away_points) AS stint_points, sum(home_points) - sum(away_points) AS stint_margin FROM p GROUP BY 1, 2),
+ g AS (SELECT g0.*, b.game AS in_box, box_points, box_poss, box_margin, box_free_margin, real_home, box_fgm, box_tov, box_dreb, box_fta, stint_margin IS NOT NULL AND box_margin IS NOT NULL AND box_free_margin IS NOT NULL AS whole FROM g0 LEFT JOIN b ON g0.game = b.game),
+ m AS (SELECT season, count(*) AS games, count(in_box) AS n_in, median(rows_) AS rows_per_game, median(box_poss) AS box_poss_per_game, median(rows_ / nullif(box_poss, 0)) AS rows_over_box_poss, median(points / nullif(box_points, 0)) AS points_over_box_points, median(offense_teams) AS offense_teams_per_game,
+ median(stint_poss / rows_) AS stint_poss_over_rows, median(stint_poss / nullif(box_poss, 0)) AS stint_poss_over_box_poss, median(stint_points / nullif(box_points, 0)) AS stint_points_over_box_points, sum(points) / sum(rows_) AS points_per_row, sum(box_points) / sum(box_poss) AS box_points_per_possession,
+ sum(rows_five) / sum(rows_) AS share_five, avg(CAST(real_home AS INT)) AS share_real_home, corr(stint_margin, box_margin) FILTER (WHERE whole) AS corr_margin, corr(stint_margin, box_margin - box_free_margin) FILTER (WHERE whole) AS corr_margin_without_free,
+ avg(box_fgm) AS box_fgm_per_game, avg(box_tov) AS box_tov_per_game, avg(box_dreb) AS box_dreb_per_game, avg(box_fta) AS box_fta_per_game FROM g GROUP BY 1),
+ o AS (SELECT season, {} FROM p GROUP BY 1), bn AS (SELECT season, count(*) AS box_games FROM b GROUP BY 1)"""
+OUTCOME_COUNTS = ", ".join(f"count(*) FILTER (WHERE outcome = '{x}') AS {x}" for x in COV.OUTCOMES)
+COVERAGE_COLUMNS = [*COV.MEDIANS, "points_per_row", "box_points_per_possession", "share_five", "share_real_home", "corr_margin", "corr_margin_without_free", *(f"{x}_per_game" for x in (*COV.OUTCOMES, *COV.BOX_MEANS))]
+
+
+@query(COVERED.format(OUTCOME_COUNTS) + " SELECT z.season, CASE WHEN games IS NULL THEN 'SOURCE_MISSING' ELSE 'MEASURED' END AS status, CASE WHEN games IS NOT NULL THEN coalesce(box_games, 0) END AS box_games, games, coalesce(box_games, 0) - n_in AS games_missing, "
+ + ", ".join(f"round({c.removesuffix('_per_game') + ' / games' if c.removesuffix('_per_game') in COV.OUTCOMES else c} + 1e-9, 6) AS {c}" for c in COVERAGE_COLUMNS) + " FROM (SELECT unnest(range(1994, 2002)) AS season) z LEFT JOIN m USING (season) LEFT JOIN o USING (season) LEFT JOIN bn USING (season)")
 def season_coverage(t):
-    """Measures of each season."""
-    close, q = F.count_if(F.col("o_totalprice") < 50000), F.percentile("o_totalprice", F.array(F.lit(0.05), F.lit(0.95)))
-    return t.orders.groupBy(F.year("o_orderdate").alias("season")).agg(F.count("*").alias("games"), F.count_distinct("o_custkey").alias("members"), close.alias("close"), S.stable(close / F.count("*")).alias("close_rate"), S.stable(q[0], 4).alias("q05"),
-        S.stable(F.median("o_totalprice"), 4).alias("mid"), S.stable(q[1], 4).alias("q95"), F.min("o_orderdate").alias("begins"), F.max("o_orderdate").alias("ends"))
+    """Seventeen measures and nine rates of each season, and which seasons have no source."""
+    lines = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("points", F.col("l_extendedprice") / 1000)
+    odd, kind = F.col("l_linenumber") % 2 == 1, F.concat("l_linestatus", "l_returnflag")
+    outcome = F.when(kind == "FA", "field_goal_made").when(kind == "FR", "turnover").when(kind == "ON", "defensive_rebound").when(kind == "FN", "free_throw_made").otherwise("end_of_period")
+    p = lines.select(F.year("o_orderdate").alias("season"), F.col("o_orderkey").alias("game"), (F.col("l_quantity") >= 5).alias("five"), "points", F.col("l_returnflag").alias("offense_team"), outcome.alias("outcome"))
+    st = lines.select(F.year("o_orderdate").alias("season"), F.col("o_orderkey").alias("game"), F.col("l_quantity").alias("possessions"), F.when(odd, F.col("points")).otherwise(0.0).alias("home_points"), F.when(~odd, F.col("points")).otherwise(0.0).alias("away_points"))
+    two, c, o = F.col("o_custkey") % 13 != 0, F.col("o_custkey"), F.col("o_orderkey")
+    box = t.orders.where("o_orderkey % 10 <> 3").select(
+        F.year("o_orderdate").alias("season"), o.alias("game"), o.alias("in_box"), F.when(two, F.col("o_totalprice") / 1000).alias("box_points"), F.when(two, 10.0 + c % 90).alias("box_poss"), (F.col("o_totalprice") / 2000 - c % 41).alias("box_margin"),
+        F.when(c % 5 != 0, o % 11 - 5.0).alias("box_free_margin"), (c % 2 == 0).alias("real_home"), (0.5 * (c % 17)).alias("box_fgm"), (1.0 * (o % 5)).alias("box_tov"), (1.0 * (c % 9)).alias("box_dreb"), (1.0 * (o % 23)).alias("box_fta"))
+    seasons = t.spark.range(1994, 2002).select(F.col("id").cast("int").alias("season"))
+    found = COV.season_coverage(stored(p, "possessions"), st, box, seasons)
+    return found.select("season", "status", "box_games", "games", "games_missing", *(S.stable(F.col(x)).alias(x) for x in COVERAGE_COLUMNS))
 
 
 @query("""SELECT event_type, n, round(n / sum(n) OVER () + 1e-9, 6) AS share FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)""")
@@ -145,8 +190,10 @@ def event_vocabulary(t):
 def exposure_comparison(t):
     """members' exposure before and after an exclusion."""
     both = t.lineitem.groupBy("l_suppkey").agg(F.count("*").alias("a"), F.count_if(F.col("l_returnflag") != "R").alias("b"))
-    ratio = F.col("b") / F.col("a")
-    return both.agg(F.count("*").alias("members"), F.count_if(F.col("b") == 0).alias("lost"), S.stable(F.percentile(ratio, F.lit(0.1))).alias("q10"), S.stable(F.median(ratio)).alias("mid"), F.max(F.col("a") - F.col("b")).alias("most"))
+    rows = stored(both.withColumn("ratio", F.col("b") / F.col("a")), "exposures")
+    q = R.quantiles(rows, [], "ratio", [0.1, 0.5])
+    said = rows.agg(F.count("*").alias("members"), F.count_if(F.col("b") == 0).alias("lost"), F.max(F.col("a") - F.col("b")).alias("most"))
+    return said.crossJoin(F.broadcast(q)).select("members", "lost", S.stable(F.col("q")[0]).alias("q10"), S.stable(F.col("q")[1]).alias("mid"), "most")  # a row each
 
 
 @query("""SELECT o_orderkey, CASE WHEN s >= 2880 AND (s - 2880) % 300 = 0 THEN 4 + (s - 2880) // 300 END AS periods FROM (SELECT o_orderkey, 2580 + 60 * CAST(floor(o_totalprice / 10000) AS BIGINT) AS s FROM orders)""")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import relational as R
+from ..operators.scans import scan
 from .registry import query
 
 ORDER = "partition by user_id order by ts, event_id"
@@ -15,20 +16,25 @@ ORDER = "partition by user_id order by ts, event_id"
  coalesce(value < max(value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS inversion, lag(event_type) OVER w AS before, lead(event_type) OVER w AS after
  FROM events WINDOW w AS ({ORDER.upper()})""")
 def ordered_log(t):
-    """Ordinals, running sums, running maximum of earlier rows, neighbours; one sort."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    earlier, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
-    return t.events.select("event_id", (F.row_number().over(w) - 1).cast("long").alias("seq"), F.sum(F.col("value").cast("decimal(18,4)")).over(upto).cast("double").alias("running"),
-        F.coalesce(F.col("value") < F.max("value").over(earlier), F.lit(False)).alias("inversion"), F.lag("event_type").over(w).alias("before"), F.lead("event_type").over(w).alias("after"))
+    """Ordinals, running sums, running maximum of earlier rows, neighbours; one scan of ranges for all of them, and one back."""
+    rows, by, order = t.events.select("event_id", "user_id", "ts", "event_type", "value"), ["user_id"], ["ts", "event_id"]
+    kind = F.struct(F.col("event_type").alias("kind"))  # a row before has one even if it is null
+    before = {"seq": ("count", F.lit(1)), "sum": ("sum", F.col("value").cast("decimal(18,4)")), "most": ("max", F.col("value")), "last": ("last", kind)}
+    seen = scan(rows, by, order, before, earlier=True)
+    later = scan(rows.select("event_id", "user_id", "event_type", (-F.unix_micros(F.col("ts").cast("timestamp"))).alias("t"), (-F.col("event_id")).alias("e")), by, ["t", "e"], {"next": ("last", kind)}, earlier=True)
+    own = F.col("value").cast("decimal(18,4)")
+    return seen.join(later.select("event_id", "next"), "event_id").select("event_id", "seq", F.coalesce(F.col("sum") + own, F.col("sum"), own).cast("double").alias("running"),
+        F.coalesce(F.col("value") < F.col("most"), F.lit(False)).alias("inversion"), F.col("last.kind").alias("before"), F.col("next.kind").alias("after"))
 
 
 @query(f"""SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS last_purchase,
  count(CASE WHEN event_type = 'purchase' THEN 1 END) OVER (w ROWS UNBOUNDED PRECEDING) > 0 AS seen, bool_or(value > 90) OVER (PARTITION BY user_id) AS any_high FROM events WINDOW w AS ({ORDER.upper()})""")
 def fills_and_flags(t):
     """Forward fill, seen so far, partition-wide flags."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     bought = F.when(F.col("event_type") == "purchase", F.col("event_id"))
-    return t.events.select("event_id", F.last(bought, ignorenulls=True).over(w).alias("last_purchase"), (F.count(bought).over(w) > 0).alias("seen"), F.bool_or(F.col("value") > 90).over(Window.partitionBy("user_id")).alias("any_high"))
+    rows = scan(t.events, ["user_id"], ["ts", "event_id"], {"last_purchase": ("last", bought), "bought": ("count", bought)})
+    high = t.events.groupBy(F.col("user_id").alias("user")).agg(F.bool_or(F.col("value") > 90).alias("any_high"))
+    return rows.join(high, rows["user_id"].eqNullSafe(high["user"])).select("event_id", "last_purchase", (F.col("bought") > 0).alias("seen"), "any_high")
 
 
 @query("""SELECT o_orderkey, row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY o_orderdate, o_orderkey) <= ceil(0.2 * count(*) OVER (PARTITION BY year(o_orderdate))) AS early FROM orders""")
