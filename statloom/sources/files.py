@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,28 +109,98 @@ def run_id(inputs: dict[str, str], parameters: dict) -> str:
 
 
 def put_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small file, whole or not at all: written beside, then renamed."""
+    """A new small file, whole or not at all: written beside, then renamed; one that is there is an error."""
     store, final = store_of(spark, path)
     own = spark._jvm.org.apache.hadoop.fs.Path(f"{final.getParent()}/.{final.getName()}-{uuid.uuid4().hex}")
-    stream = store.create(own)
-    stream.write(bytearray(text.encode()))
-    stream.close()
-    if store.exists(final):
-        store.delete(final, False)
-    if not store.rename(own, final):
-        raise OSError(f"{path} can't be written")
-
-
-def write_whole(df: DataFrame, path: str) -> None:
-    """A table, whole or not at all; a table that is there is replaced."""
+    _put(store, own, text)
+    if store.exists(final) or not store.rename(own, final):
+        store.delete(own, False)
+        raise FileExistsError(path)
+
+
+def _put(store, path, text: str) -> None:
+    """Creates a file that isn't there, exclusively."""
+    stream = store.create(path, False)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+#: The folder of a versioned table's pointers: files with rising numbers, each naming a version and ending in a newline.
+POINTERS = "_pointers"
+
+
+def pointers(spark: SparkSession, path: str) -> list[tuple[int, str | None]]:
+    """The numbers of a table's pointers in order, and the version that each names; null if its
+    writer didn't end, or its version isn't there."""
+    store, folder = store_of(spark, f"{path}/{POINTERS}")
+    if not store.exists(folder):
+        return []
+    out = []
+    for status in store.listStatus(folder):
+        name = status.getPath().getName()
+        if name.isdigit():
+            text = "".join(r.value for r in spark.read.text(status.getPath().toString(), wholetext=True).collect()) if status.getLen() else ""
+            version = text[:-1] if text.endswith("\n") else None
+            whole = version and store.exists(store_of(spark, f"{path}/{version}/_SUCCESS")[1])
+            out.append((int(name), version if whole else None))
+    return sorted(out)
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """The folder of a table's newest whole version, if there is any."""
+    named = [version for _, version in pointers(spark, path) if version]
+    return f"{path}/{named[-1]}" if named else None
+
+
+def read_whole(spark: SparkSession, path: str) -> DataFrame:
+    """The newest whole version of a table that write_whole() made."""
+    there = current(spark, path)
+    if there is None:
+        raise FileNotFoundError(f"{path} has no whole version")
+    return spark.read.parquet(there)
+
+
+def write_whole(df: DataFrame, path: str, before: Callable[[str], None] = lambda step: None, after: int | None = None) -> str:
+    """A new version of a table, whole or not at all: the rows go to a folder of their own, and one
+    small pointer, created exclusively, makes them the table. Readers have the old version until then, and keep
+    what they opened, as nothing is renamed or deleted. With `after`, the number of the pointer that the writer has read, a
+    pointer by somebody else since is an error and no overwrite. before is called ahead of each step (for tests)."""
     spark = df.sparkSession
-    store, final = store_of(spark, path)
-    own = f"{final.getParent()}/.{final.getName()}-{uuid.uuid4().hex}"
-    df.write.parquet(own)
-    if store.exists(final):
-        store.delete(final, True)
-    if not store.rename(spark._jvm.org.apache.hadoop.fs.Path(own), final):
-        raise OSError(f"{path} can't be written")
+    version = f"v-{uuid.uuid4().hex}"
+    before("rows")
+    df.write.parquet(f"{path}/{version}")
+    before("pointer")
+    while True:
+        seen = [n for n, _ in pointers(spark, path)]
+        number = max(seen, default=0) + 1
+        if after is not None and any(n > after for n in seen):
+            raise OSError(f"{path} was changed meanwhile")
+        store, there = store_of(spark, f"{path}/{POINTERS}/{number:012d}")
+        try:
+            stream = store.create(there, False)
+        except Exception:
+            if after is None and store.exists(there):  # somebody was first: the next number
+                continue
+            raise
+        try:
+            before("name")
+            stream.write(bytearray(f"{version}\n".encode()))
+        finally:
+            stream.close()
+        return f"{path}/{version}"
+
+
+def drop_versions(spark: SparkSession, path: str, keep: int = 2) -> int:
+    """Deletes the versions that none of the newest `keep` whole pointers names; how many. For a time when
+    no writer is at work: a version without a pointer may be one that is being written."""
+    named = [version for _, version in pointers(spark, path) if version][-keep:]
+    store, folder = store_of(spark, path)
+    gone = [x.getPath() for x in store.listStatus(folder) if x.getPath().getName().startswith("v-") and x.getPath().getName() not in named]
+    for there in gone:
+        store.delete(there, True)
+    return len(gone)
 
 
 def copy_whole(spark: SparkSession, source: str, target: str) -> None:
@@ -140,10 +211,11 @@ def copy_whole(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"{source} can't be copied to {target}")
 
 
-def write_run(tables: dict[str, DataFrame], root: str, inputs: dict[str, str], parameters: dict) -> str:
+def write_run(tables: dict[str, DataFrame], root: str, inputs: dict[str, str], parameters: dict, last: Callable[[], None] = lambda: None) -> str:
     """Writes a run once, under a name made of its inputs and parameters: all tables and then a
     manifest with their files' hashes, in a folder of its own that is renamed. A run that is
-    there is verified and kept; one that isn't whole or was changed is an error."""
+    there is verified and kept; one that isn't whole or was changed is an error. last is called
+    ahead of the rename, and may refuse."""
     spark = next(iter(tables.values())).sparkSession
     name = run_id(inputs, parameters)
     store, final = store_of(spark, f"{root}/{name}")
@@ -155,7 +227,16 @@ def write_run(tables: dict[str, DataFrame], root: str, inputs: dict[str, str], p
         df.write.parquet(f"{own}/{table}.parquet")
     files = run_files(spark, own, list(tables))
     put_text(spark, f"{own}/manifest.json", json.dumps({"run_id": name, "inputs": inputs, "parameters": parameters, "tables": sorted(tables), "files": files}, sort_keys=True))
+    try:
+        last()
+    except Exception:
+        store.delete(spark._jvm.org.apache.hadoop.fs.Path(own), True)
+        raise
     if not store.rename(spark._jvm.org.apache.hadoop.fs.Path(own), final):
+        if store.exists(final):  # somebody else made the same run
+            store.delete(spark._jvm.org.apache.hadoop.fs.Path(own), True)
+            verify_run(spark, f"{root}/{name}")
+            return f"{root}/{name}"
         raise OSError(f"{final} can't be written")
     return f"{root}/{name}"
 
@@ -176,13 +257,19 @@ def verify_run(spark: SparkSession, folder: str) -> dict:
     return manifest
 
 
-def merged_version(table: DataFrame, update: DataFrame, keys: list[str], path: str) -> None:
-    """table with the columns of update where its keys are, as a new version at path (which
-    neither may be read from); rows of table stay, keys of update must be unique."""
+def merged(table: DataFrame, update: DataFrame, keys: list[str]) -> DataFrame:
+    """table with the columns of update where its keys are; rows of table stay, null keys
+    match nothing, keys of update must be unique."""
     news = [c for c in update.columns if c not in keys]
     joined = table.drop(*news).join(update, keys, "left")
     old = [c for c in table.columns if c in news]
     if old:
         seen = table.select(*keys, *(F.col(c).alias(f"_{c}") for c in old))
         joined = joined.join(seen, keys, "left").select(*keys, *(c for c in joined.columns if c not in (*keys, *old)), *(F.coalesce(c, f"_{c}").alias(c) for c in old))
-    write_whole(joined, path)
+    return joined
+
+
+def merge_back(spark: SparkSession, path: str, update: DataFrame, keys: list[str]) -> str:
+    """A new version of the table at path with the columns of update; a writer that came in between is an error."""
+    seen = pointers(spark, path)
+    return write_whole(merged(read_whole(spark, path), update, keys), path, after=max((n for n, _ in seen), default=0))
