@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import padded_id
+
 # Reasons that may be declared, those of removals for alternation, outcomes that give the ball away, control actions.
 EXCLUDABLE = {
     "no_bronze_pbp": "source-absence-v1", "link_empty": "source-absence-v1", "no_events_in_source": "source-absence-v1",
@@ -28,6 +30,22 @@ def team_counts(possessions: DataFrame, by: list[str]) -> DataFrame:
     return known.join(first, "GAME_ID").groupBy("GAME_ID", *by).agg(F.count_if(F.col("OFFENSE_TEAM_ID") == F.col("_a")).alias("na"), F.count_if((F.col("OFFENSE_TEAM_ID") == F.col("_b")) & (F.col("_a") != F.col("_b"))).alias("nb"))
 
 
+def accounting_rows(possessions: DataFrame, box: DataFrame, periods: DataFrame) -> DataFrame:
+    """The accounting of each game that has a box record of both teams and possessions, the team of the smaller id first. Points are
+    credited to the scoring team, else to the offence; possessions without an offence, and points without either, are unattributed.
+    possessions: game, offense_team, scoring_team, points; box: game, season, team, pts; periods: game, periods (null if not known)."""
+    teams = box.groupBy("game", "season").agg(F.count("*").alias("_n"), F.min("team").alias("a"), F.max("team").alias("b"), F.min_by("pts", "team").alias("box_a"), F.max_by("pts", "team").alias("box_b")).where("_n = 2 and a < b")
+    rows = possessions.join(teams.select("game", "a", "b"), "game")
+    credit = F.coalesce("scoring_team", "offense_team")
+    scored = lambda team: F.sum(F.when((credit == F.col(team)) & (F.col("points") > 0), F.col("points")).otherwise(0)).cast("double")
+    said = rows.groupBy("game").agg(
+        scored("a").alias("PBP_PTS_A"), scored("b").alias("PBP_PTS_B"), F.count_if(F.col("offense_team") == F.col("a")).alias("POSS_A"), F.count_if(F.col("offense_team") == F.col("b")).alias("POSS_B"),
+        F.count_if(F.col("offense_team").isNull()).alias("UNATTRIBUTED_POSS"), F.sum(F.when(credit.isNull() & (F.col("points") > 0), F.col("points")).otherwise(0)).cast("double").alias("UNATTRIBUTED_PTS"))
+    return teams.join(said, "game").join(periods, "game", "left").select(
+        padded_id(F.col("game")).alias("GAME_ID"), F.col("season").alias("SEASON_ID"), F.col("periods").alias("PERIODS"), "PBP_PTS_A", "PBP_PTS_B", F.col("box_a").cast("double").alias("BOX_PTS_A"), F.col("box_b").cast("double").alias("BOX_PTS_B"),
+        "POSS_A", "POSS_B", "UNATTRIBUTED_POSS", "UNATTRIBUTED_PTS")
+
+
 def game_accounting(games: DataFrame) -> DataFrame:
     """The release predicate of each game: reconciled by side, all attributed, counts apart by at
     most the periods; what is unknown isn't valid."""
