@@ -2,13 +2,15 @@
 
 A page is cut into blocks at block-level tags. A block's features are its words
 and link density, those of its neighbours, and what its ancestors' tags, roles and
-names say. A decision tree, trained by Spark on a small labelled table that is
-made here from a fixed seed, says which blocks belong to the article; in part of the
-labelled pages names say nothing, so that words and link densities have to. Pages are
+names say. A decision tree, trained by Spark on a small labelled table, says which blocks
+belong to the article. The table has pages made here from a fixed seed, and a bounded sample of the
+given pages, labelled by their names; half of its rows don't show these names, so that the tree splits by words and
+link densities, the block's and its neighbours', first. Pages are
 worked on by themselves (a map); the tree goes to the tasks as a few numbers.
 
 Edge cases: columns of the table that are called text or n_chars give way to the
-result's; a null or empty page, or one without an article, has empty text;
+result's; a null or empty page, or one without an article, has empty text; where names say
+nothing and the tree finds nothing, blocks that aren't links are the article;
 broken markup is read as far as it goes; repeated rows are rows of their own; an
 empty table gives no rows; other columns don't matter.
 """
@@ -19,7 +21,6 @@ import html
 import random
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -239,6 +240,12 @@ def labelled_pages(pages: int = 400, seed: int = 7) -> Iterator[tuple[str, set[s
         yield "<html><body>" + "".join(before) + container[0] + "".join(inside) + container[1] + "".join(after) + "</body></html>", body
 
 
+#: What names say: features that are hidden in one of two copies of each row of the sample.
+NAMED = [FEATURES.index(x) for x in ("boiler", "main", "page_has_main", "header")]
+#: Bounds of the labelled sample: pages, and blocks of them.
+SAMPLE_PAGES, SAMPLE_BLOCKS = 400, 20_000
+
+
 def labelled_blocks(pages: int = 400, seed: int = 7) -> list[tuple[list[float], float]]:
     """The small labelled table: features and whether a block is the article's."""
     rows = []
@@ -248,21 +255,55 @@ def labelled_blocks(pages: int = 400, seed: int = 7) -> list[tuple[list[float],
     return rows
 
 
-@lru_cache(maxsize=2)
-def _trained(app: str, pages: int, seed: int, depth: int):
+def said_by_names(features: np.ndarray) -> np.ndarray:
+    """Whether the names of a page say that its blocks are the article's: in a page with a main part
+    those in it, else all, but for those that names say to be something else."""
+    boiler, main, has_main, header = (features[:, k] > 0 for k in NAMED)
+    return np.where(has_main, main & ~boiler, ~boiler & ~header)
+
+
+def labelled_sample(pages: DataFrame, html_column: str = "html") -> DataFrame:
+    """features and label of blocks of at most SAMPLE_PAGES of the pages, those of the least hashes, and SAMPLE_BLOCKS of
+    their blocks, labelled by their names. Each row comes twice: as it is, and with what names say hidden, so that
+    words and link densities have to tell."""
+
+    def compute(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for page in frame["html"]:
+                _, features = blocks(page or "")
+                labels = said_by_names(features).astype(float)
+                hidden = features.copy()
+                hidden[:, NAMED] = 0
+                both = [*features.tolist(), *hidden.tolist()]
+                if both:
+                    yield pd.DataFrame({"x": both, "label": [*labels, *labels]})
+
+    html_ = F.col(f"`{html_column}`")
+    few = pages.where(html_.isNotNull()).select(html_.alias("html"), F.xxhash64(html_).alias("_hash")).orderBy("_hash", "html").limit(SAMPLE_PAGES).select("html")
+    small_batches(pages.sparkSession)
+    return few.mapInPandas(compute, "x array<double>, label double").orderBy(F.xxhash64("x"), "x", "label").limit(SAMPLE_BLOCKS)
+
+
+def train(spark, pages: DataFrame | None = None, html_column: str = "html", seed: int = 7, depth: int = 12) -> dict[str, np.ndarray]:
+    """The decision tree, trained by Spark on the made pages and, where pages are given, their labelled sample."""
     from pyspark.ml.classification import DecisionTreeClassifier
-    from pyspark.ml.linalg import Vectors
-    from pyspark.sql import SparkSession
+    from pyspark.ml.functions import array_to_vector
 
-    rows = [(Vectors.dense(x), y) for x, y in labelled_blocks(pages, seed)]
-    table = SparkSession.getActiveSession().createDataFrame(rows, ["features", "label"]).coalesce(1)
-    model = DecisionTreeClassifier(maxDepth=depth, minInstancesPerNode=5, seed=seed).fit(table)
+    table = spark.createDataFrame(labelled_blocks(seed=seed), "x array<double>, label double")
+    if pages is not None:
+        table = table.union(labelled_sample(pages, html_column))
+    rows = table.select(array_to_vector("x").alias("features"), "label").coalesce(1)
+    model = DecisionTreeClassifier(maxDepth=depth, minInstancesPerNode=3, maxBins=128, seed=seed).fit(rows)
     return tree_arrays(model._java_obj.rootNode())
 
 
-def train(spark, pages: int = 400, seed: int = 7, depth: int = 7) -> dict[str, np.ndarray]:
-    """The decision tree, trained by Spark once for each application."""
-    return _trained(spark.sparkContext.applicationId, pages, seed, depth)
+def chosen(tree: dict[str, np.ndarray], features: np.ndarray) -> np.ndarray:
+    """The blocks of the article. Where the tree finds none, in a page in which names say nothing of any
+    block: those that aren't links for the most part."""
+    found = predict(tree, features) > 0.5
+    if not found.any() and not features[:, NAMED].any():
+        return features[:, 1] < 0.5
+    return found
 
 
 def main_text(page: str | None, tree: dict[str, np.ndarray]) -> str:
@@ -270,12 +311,12 @@ def main_text(page: str | None, tree: dict[str, np.ndarray]) -> str:
     texts, features = blocks(page or "")
     if not texts:
         return ""
-    return "\n".join(x for x, y in zip(texts, predict(tree, features)) if y > 0.5)
+    return "\n".join(x for x, y in zip(texts, chosen(tree, features)) if y)
 
 
 def extracted(pages: DataFrame, html_column: str = "html") -> DataFrame:
     """pages' other columns with text and n_chars (code points)."""
-    tree = train(pages.sparkSession)
+    tree = train(pages.sparkSession, pages, html_column)
     kept = [f for f in pages.schema.fields if f.name != html_column and f.name not in ("text", "n_chars")]
 
     def compute(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
