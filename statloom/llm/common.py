@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: What may stand between words: space and the control characters 9 to 13.
@@ -61,6 +63,29 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def give_back() -> None:
+    """Gives memory that isn't used back to the system: Python workers stay between stages, and
+    keep the most that any of them needed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library has no such call
+        pass
+
+
+def giving_back(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A map over a task's frames that gives its memory back at the end."""
+
+    def run(frames: Iterator) -> Iterator:
+        try:
+            yield from work(frames)
+        finally:
+            give_back()
+
+    return run
+
+
 def key_runs(frames: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
     """From frames sorted by keys: frames in which every run of equal keys is
     whole, each with the runs' bounds (first row of each run, then the length)."""

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, key_runs, small_batches, written
+from .common import Shared, giving_back, key_runs, small_batches, written
 from .op8_simhash import HELD, LOWER, components, links
 
 #: Two sets with a similarity s meet in a band with probability s ** DEPTH; all of the
@@ -145,8 +145,8 @@ def met(members: DataFrame, texts: DataFrame, words: int, least: float) -> DataF
                 yield pd.DataFrame({"u": np.maximum(us, vs), "v": np.minimum(us, vs)}).drop_duplicates()
 
     placed = members.groupBy("fp").agg(F.collect_list(F.struct("key", "tile", "root")).alias("places"))
-    rows = texts.join(placed, "fp").mapInPandas(sets_of, "key long, tile long, fp long, root long, shingles binary")
-    return rows.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInPandas(compare, "u long, v long").distinct()
+    rows = texts.join(placed, "fp").mapInPandas(giving_back(sets_of), "key long, tile long, fp long, root long, shingles binary")
+    return rows.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInPandas(giving_back(compare), "u long, v long").distinct()
 
 
 def near_texts(docs: DataFrame, words: int = 5, least: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -165,7 +165,7 @@ def near_texts(docs: DataFrame, words: int = 5, least: float = 0.8, id_column: s
 
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("text_hash"))
-    prints = shared.written(rows.mapInPandas(prints_of, f"id {kind}, text_hash long, fp long, size int, print long, bands array<long>"), "prints")
+    prints = shared.written(rows.mapInPandas(giving_back(prints_of), f"id {kind}, text_hash long, fp long, size int, print long, bands array<long>"), "prints")
     firsts = prints.groupBy("fp").agg(F.min("text_hash").alias("text_hash"), *(F.first(c).alias(c) for c in ("size", "print", "bands")))
     firsts = shared.written(firsts, "sets")
 

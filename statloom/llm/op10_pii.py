@@ -298,14 +298,15 @@ def redacted(docs: DataFrame, text_column: str = "text") -> DataFrame:
     Repeated rows are rows of their own; an empty table gives no rows; other columns stay as they are."""
     boosted, thresholds = train(docs.sparkSession)
 
-    def change(texts: pd.Series) -> pd.Series:
-        def one(text):
-            if text is None:
-                return None
-            spans = all_spans(text, base_spans(text), boosted, thresholds)
-            return redact(text, spans) if spans else text
-
-        return pd.Series([one(x) for x in texts], dtype=object)
+    def one(text):
+        if text is None:
+            return None
+        spans = all_spans(text, base_spans(text), boosted, thresholds)
+        return redact(text, spans) if spans else text
+
+    def change(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([one(x) for x in texts], dtype=object)
 
     small_batches(docs.sparkSession)
     out = docs.withColumn(text_column, F.pandas_udf(change, "string")(F.col(f"`{text_column}`")))
