@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import coverage as COV
+from ..operators import legacy as L
 from ..operators import possessions as P
 from ..operators import relational as R
+from ..operators import traces as TR
+from ..operators.contracts import Refused
 from ..operators.numbering import stored
 from .registry import query
 
@@ -52,32 +55,53 @@ def built_stints(t):
     return out.withColumn("net", S.stable(100 * (S.safe_ratio(F.col("home"), F.col("n_home")) - S.safe_ratio(F.col("away"), F.col("n_away")))))
 
 
-@query(LOG + """, w AS (SELECT *, lag(team) OVER o AS last_team, lag(value) OVER o AS last_value, lag(ts) OVER o AS last_ts FROM s WINDOW o AS (PARTITION BY game, period ORDER BY ts, event_id))
- SELECT game, period, event_id, team, coalesce(last_value <= 50 AND ts > last_ts, false) AS verified FROM w WHERE team = last_team""")
+PLAYS = """WITH r AS (SELECT user_id AS game, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, event_id, event_type, 10 + CAST(floor(value) AS BIGINT) % 2 AS side FROM events),
+ ev AS (SELECT game, seq, 1 + seq // 12 AS period, event_id, CASE event_type WHEN 'view' THEN 'made_shot' WHEN 'click' THEN 'missed_shot' WHEN 'purchase' THEN 'turnover' WHEN 'error' THEN 'rebound' ELSE 'foul' END AS action, side AS team,
+ CASE WHEN event_id % 7 = 0 THEN side ELSE event_id % 500 + 1000 END AS person, CASE WHEN event_id % 17 <> 0 THEN side END AS person_team, seq * 3.0 - CASE WHEN event_id % 5 = 0 THEN 3.0 ELSE 0.0 END AS elapsed FROM r),
+ po AS (SELECT game, seq // 2 AS index, min(period) AS period, arg_min(CASE WHEN event_id % 401 <> 0 THEN team END, seq) FILTER (WHERE event_id % 401 <> 0 AND seq % 2 = 0) AS team, CASE arg_max(action, seq) WHEN 'missed_shot' THEN 'defensive_rebound' WHEN 'foul' THEN 'end_of_period' WHEN 'rebound' THEN 'free_throw_made' ELSE arg_max(action, seq) END AS outcome,
+ min(seq) AS first_seq, max(seq) AS last_seq FROM ev GROUP BY 1, 2),
+ la AS (SELECT *, lag(team) OVER w AS prev_team, lag(outcome) OVER w AS prev_outcome, lag(last_seq) OVER w AS transfer_seq FROM po WINDOW w AS (PARTITION BY game, period ORDER BY first_seq)),
+ re AS (SELECT la.game, la.period, index, la.team, prev_outcome, transfer_seq, first_seq AS next_seq, n.action AS next_action, n.elapsed - t.elapsed AS gap_seconds, coalesce((t.person_team = t.team) OR (t.person = t.team), false) AND coalesce((n.person_team = n.team) OR (n.person = n.team), false) AS identity_ok,
+ n.team AS n_team FROM la LEFT JOIN ev t ON t.game = la.game AND t.seq = transfer_seq LEFT JOIN ev n ON n.game = la.game AND n.seq = first_seq WHERE la.team = prev_team),
+ rv AS (SELECT *, coalesce(prev_outcome IN ('made_shot', 'and_one', 'turnover', 'defensive_rebound', 'free_throw_made') AND next_action IN ('made_shot', 'missed_shot', 'turnover') AND n_team = team AND gap_seconds > 0 AND identity_ok, false) AS verified FROM re)"""
+
+
+def plays(t):
+    """Rows of a log, two of which are a possession: game, seq, period, event_id, action, team, person, person_team, elapsed; and the possessions."""
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    side, kind, k = 10 + F.floor("value") % 2, F.col("event_type"), F.col("event_id")
+    action = F.when(kind == "view", "made_shot").when(kind == "click", "missed_shot").when(kind == "purchase", "turnover").when(kind == "error", "rebound").otherwise("foul")
+    rows = t.events.select(F.col("user_id").alias("game"), seq.cast("long").alias("seq"), "event_id", action.alias("action"), side.alias("team"), F.when(k % 7 == 0, side).otherwise(k % 500 + 1000).alias("person"), F.when(k % 17 != 0, side).alias("person_team"))
+    rows = rows.withColumn("period", 1 + F.floor(F.col("seq") / 12)).withColumn("elapsed", F.col("seq") * 3.0 - F.when(k % 5 == 0, 3.0).otherwise(0.0))
+    last = F.max_by("action", "seq")
+    outcome = F.when(last == "missed_shot", "defensive_rebound").when(last == "foul", "end_of_period").when(last == "rebound", "free_throw_made").otherwise(last)
+    own = F.max(F.when((F.col("seq") % 2 == 0) & (k % 401 != 0), F.col("team")))
+    found = rows.groupBy("game", F.floor(F.col("seq") / 2).alias("index")).agg(F.min("period").alias("period"), own.alias("team"), outcome.alias("outcome"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+    return rows, found
+
+
+REPEATED = ["game", "period", "index", "team", "prev_outcome", "transfer_seq", "next_seq", "next_action", "gap_seconds", "identity_ok", "verified"]
+
+
+@query(PLAYS + f" SELECT {', '.join(REPEATED)} FROM rv")
 def same_team_repeats(t):
-    """Consecutive possessions of one team in a period; verified if the one before gave the ball away and time passed."""
-    w = Window.partitionBy("game", "period").orderBy("ts", "event_id")
-    before = log(t).select("*", *(F.lag(c).over(w).alias(f"last_{c}") for c in ("team", "value", "ts")))
-    verified = S.known_true((F.col("last_value") <= 50) & (F.col("ts") > F.col("last_ts")))
-    return before.where("team = last_team").select("game", "period", "event_id", "team", verified.alias("verified"))
-
-
-@query(LOG + """, w AS (SELECT *, lag(team) OVER o AS last_team, lag(value) OVER o AS last_value, lag(value) OVER (PARTITION BY game, period ORDER BY event_id) > value AS inverted FROM s WINDOW o AS (PARTITION BY game, period ORDER BY ts, event_id)),
- p AS (SELECT game, period, abs(count(*) FILTER (WHERE team = 'home') - count(*) FILTER (WHERE team = 'away')) > 1 AS failing, count(team) = count(*) AS attributed, coalesce(bool_or(inverted), false) AS inversion,
- count(*) FILTER (WHERE team = last_team) AS repeats, count(*) FILTER (WHERE team = last_team AND last_value <= 50) AS verified FROM w GROUP BY ALL)
- SELECT game, count(*) FILTER (WHERE failing) AS failing, CASE WHEN count(*) FILTER (WHERE failing) = 0 THEN 'ok' WHEN bool_and(attributed) AND bool_and(inversion OR NOT failing) THEN 'source_order_unresolvable'
- WHEN bool_and(attributed) AND bool_and(NOT failing OR (repeats > 0 AND repeats = verified)) THEN 'source_possession_unlogged' ELSE 'possession_alternation_unexplained' END AS reason FROM p GROUP BY game""")
+    """Consecutive possessions of one team in a period, with the evidence that the other team's lies between them."""
+    rows, found = plays(t)
+    rows = stored(rows, "plays")
+    return L.same_team_repeats(found, rows).select(*REPEATED)
+
+
+@query(PLAYS + """, sd AS (SELECT game, min(team) AS a, max(team) AS b FROM po WHERE team IS NOT NULL GROUP BY 1), co AS (SELECT po.game, period, count(*) FILTER (WHERE team = a) AS na, count(*) FILTER (WHERE team = b AND a <> b) AS nb FROM po JOIN sd USING (game) GROUP BY 1, 2),
+ fa AS (SELECT co.game, co.period, (SELECT count(*) FROM ev WHERE ev.game = co.game AND ev.period = co.period AND event_id % 31 = 0) > 0 AS inverted, (SELECT bool_and(verified) FROM rv WHERE rv.game = co.game AND rv.period = co.period) AS verified FROM co WHERE abs(na - nb) > 1),
+ wh AS (SELECT game, count(team) = count(*) AS whole FROM po GROUP BY 1)
+ SELECT game, count(*) AS failing, CASE WHEN any_value(whole) AND game % 2 = 0 AND bool_and(inverted) THEN 'source_order_unresolvable' WHEN any_value(whole) AND bool_and(coalesce(verified, false)) THEN 'source_possession_unlogged' ELSE 'possession_alternation_unexplained' END AS reason
+ FROM fa JOIN wh USING (game) GROUP BY game""")
 def alternation_failures(t):
-    """Why the teams' counts of a period differ by more than one, by an ordered list of causes."""
-    w, by_id = Window.partitionBy("game", "period").orderBy("ts", "event_id"), Window.partitionBy("game", "period").orderBy("event_id")
-    before = log(t).select("*", F.lag("team").over(w).alias("last_team"), F.lag("value").over(w).alias("last_value"), (F.lag("value").over(by_id) > F.col("value")).alias("inverted"))
-    again = F.col("team") == F.col("last_team")
-    p = before.groupBy("game", "period").agg((F.abs(F.count_if(F.col("team") == "home") - F.count_if(F.col("team") == "away")) > 1).alias("failing"), (F.count("team") == F.count("*")).alias("attributed"),
-        S.known_true(F.bool_or("inverted")).alias("inversion"), F.count_if(again).alias("repeats"), F.count_if(again & (F.col("last_value") <= 50)).alias("verified"))
-    all_known = F.expr("bool_and(attributed)")
-    reason = F.when(F.count_if("failing") == 0, "ok").when(all_known & F.expr("bool_and(inversion or not failing)"), "source_order_unresolvable")
-    reason = reason.when(all_known & F.expr("bool_and(not failing or (repeats > 0 and repeats = verified))"), "source_possession_unlogged").otherwise("possession_alternation_unexplained")
-    return p.groupBy("game").agg(F.count_if("failing").alias("failing"), reason.alias("reason"))
+    """Why the teams' counts of a period differ by more than one, by an ordered list of causes; games of even numbers are of the legacy feed."""
+    rows, found = plays(t)
+    rows, found = stored(rows, "plays"), stored(found, "possessions")
+    schemas = found.select("game", (F.col("game") % 2 == 0).alias("legacy")).distinct()
+    return L.alternation_failures(found, L.same_team_repeats(found, rows), rows.where("event_id % 31 = 0"), schemas)
 
 
 ROTATIONS = """WITH ro AS (SELECT user_id AS game, CASE WHEN event_type = 'click' THEN 2 ELSE 1 END AS team, event_id, epoch_us(ts) / 1e5 AS in_time,
@@ -114,28 +138,53 @@ def older_linked_lineups(t):
     return R.linked(*rotations(t), both=True).select(F.col("event").alias("event_id"), F.col("home_lineup").alias("home"), F.col("away_lineup").alias("away"), F.col("lineup_valid").alias("valid"))
 
 
-@query("""SELECT event_id, CASE WHEN NOT modern THEN event_type WHEN event_type IN ('purchase', 'click') THEN CASE WHEN value > 50 THEN 'made' ELSE 'missed' END WHEN event_type = 'error' THEN 'foul' ELSE 'other' END AS action,
- CASE WHEN modern AND event_type = 'purchase' THEN 3 WHEN modern AND event_type = 'click' THEN 2 ELSE 0 END AS worth FROM (SELECT *, max(CASE WHEN event_type = 'signup' AND value > 200 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id) = 1 AS modern FROM events)""")
+FEED = """WITH f AS (SELECT event_id, user_id AS game, CASE WHEN user_id % 3 = 0 THEN CASE event_type WHEN 'view' THEN '2pt' WHEN 'click' THEN '3pt' WHEN 'purchase' THEN 'freethrow' WHEN 'error' THEN 'foul' ELSE 'jumpball' END
+ ELSE CASE event_type WHEN 'view' THEN 'Made Shot' WHEN 'click' THEN 'Missed Shot' WHEN 'purchase' THEN 'Free Throw' WHEN 'error' THEN 'foul' ELSE 'rebound' END END AS kind, CASE WHEN value > 50 THEN 'Made' WHEN value > 10 THEN 'Missed' END AS result,
+ CASE floor(value) % 3 WHEN 0 THEN 'shooting' WHEN 1 THEN 'charge' ELSE 'loose' END AS descriptor, CASE WHEN user_id % 3 <> 0 AND event_type = 'view' THEN 2 END AS worth FROM events),
+ li AS (SELECT game, bool_or(kind IN ('2pt', '3pt', 'freethrow')) AS live FROM f GROUP BY 1)"""
+
+
+@query(FEED + """ SELECT event_id, CASE WHEN NOT live THEN kind WHEN kind IN ('2pt', '3pt') AND result = 'Made' THEN 'Made Shot' WHEN kind IN ('2pt', '3pt') AND result = 'Missed' THEN 'Missed Shot' WHEN kind = 'freethrow' THEN 'Free Throw' WHEN kind = 'foul' THEN 'Foul' WHEN kind = 'jumpball' THEN 'Jump Ball' ELSE kind END AS action,
+ CASE WHEN live AND kind = '2pt' THEN 2 WHEN live AND kind = '3pt' THEN 3 ELSE worth END AS worth, CASE WHEN live AND kind = 'foul' AND descriptor = 'shooting' THEN 'Shooting' WHEN live AND kind = 'foul' AND descriptor = 'charge' THEN 'Charge' ELSE 'personal' END AS subtype FROM f JOIN li USING (game)""")
 def feed_taxonomy(t):
-    """A game's feed is known by words that only it uses; its actions get standard names and values."""
-    kind = F.col("event_type")
-    modern = F.max(F.when((kind == "signup") & (F.col("value") > 200), 1).otherwise(0)).over(Window.partitionBy("user_id")) == 1
-    shot = F.when(F.col("value") > 50, "made").otherwise("missed")
-    action = F.when(~F.col("modern"), kind).when(kind.isin("purchase", "click"), shot).when(kind == "error", "foul").otherwise("other")
-    worth = F.when(F.col("modern") & (kind == "purchase"), 3).when(F.col("modern") & (kind == "click"), 2).otherwise(0)
-    return t.events.withColumn("modern", modern).select("event_id", action.alias("action"), worth.alias("worth"))
+    """A game's feed is known by words that only it uses; its actions, shots and fouls get standard names, values and types."""
+    kind, live = F.col("event_type"), F.col("user_id") % 3 == 0
+    word = lambda a, b, c, d, e: F.when(kind == "view", a).when(kind == "click", b).when(kind == "purchase", c).when(kind == "error", d).otherwise(e)
+    raw = t.events.select("event_id", F.col("user_id").alias("game"), F.when(live, word("2pt", "3pt", "freethrow", "foul", "jumpball")).otherwise(word("Made Shot", "Missed Shot", "Free Throw", "foul", "rebound")).alias("actionType"),
+        F.when(F.col("value") > 50, "Made").when(F.col("value") > 10, "Missed").alias("shotResult"), F.when(F.floor("value") % 3 == 0, "shooting").when(F.floor("value") % 3 == 1, "charge").otherwise("loose").alias("descriptor"),
+        F.when(~live & (kind == "view"), 2).alias("shotValue"), F.lit("personal").alias("subType"))
+    return L.canonical_feed(raw).select("event_id", F.col("actionType").alias("action"), F.col("shotValue").alias("worth"), F.col("subType").alias("subtype"))
 
 
-@query("""WITH f AS (SELECT l_orderkey, arg_min(l_returnflag, (l_linenumber, l_returnflag)) AS home_team FROM lineitem GROUP BY 1)
- SELECT l_orderkey, home_team, count(*) AS possessions, CAST(sum(CASE WHEN l_returnflag = home_team THEN CAST(l_quantity AS DECIMAL(18,4)) ELSE 0 END) AS DOUBLE) AS home, CAST(sum(CASE WHEN l_returnflag <> home_team THEN CAST(l_quantity AS DECIMAL(18,4)) ELSE 0 END) AS DOUBLE) AS away,
- count(*) FILTER (WHERE l_shipdate < o_orderdate) AS negative FROM lineitem JOIN f USING (l_orderkey) JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL HAVING count(*) >= 3""")
+OLDER = """WITH q AS (SELECT l_orderkey AS game, l_linenumber * 100000000 + l_partkey AS place, list_transform(range(CASE WHEN l_quantity >= 3 THEN 5 ELSE 4 END), lambda k: (l_orderkey + l_linenumber // 4 + 7 * k) % 1000) AS h, list_transform(range(5), lambda k: 1000 + (l_orderkey + 11 * k) % 1000) AS a,
+ CASE WHEN l_suppkey % 9 <> 0 THEN CAST(floor(l_quantity) AS BIGINT) % 4 END AS points, CASE WHEN l_linenumber % 3 = 0 THEN l_orderkey % 30 WHEN l_linenumber % 3 = 1 THEN 30 + l_orderkey % 30 END AS scoring, CASE WHEN l_partkey % 5 <> 0 THEN l_orderkey % 30 END AS offense,
+ CASE WHEN l_partkey % 11 <> 0 THEN abs(date_diff('day', o_orderdate, l_shipdate))::DOUBLE END AS duration FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+ f AS (SELECT game, arg_min(h[1], place) AS ph, arg_min(a[1], place) AS pa FROM q GROUP BY 1), s AS (SELECT game, game % 30 AS home_team, CASE WHEN pa % 37 <> 0 THEN 30 + game % 30 ELSE 0 END AS away_team FROM f WHERE ph % 41 <> 0),
+ r AS (SELECT q.*, home_team, away_team, coalesce(CASE WHEN scoring > 0 THEN scoring END, CASE WHEN offense > 0 THEN offense END) AS credit FROM q JOIN s USING (game) WHERE len(h) = 5 AND len(a) = 5)"""
+
+
+@query(OLDER + """ SELECT game, list_sort(h) AS home_lineup, list_sort(a) AS away_lineup, home_team, away_team, count(*) AS possessions, CAST(sum(CASE WHEN points > 0 AND credit = home_team THEN points ELSE 0 END) AS BIGINT) AS home_points,
+ CAST(sum(CASE WHEN points > 0 AND credit <> home_team THEN points ELSE 0 END) AS BIGINT) AS away_points, sum(coalesce(duration, 0)) AS duration, true AS negative_refused FROM r GROUP BY ALL HAVING count(*) >= 2""")
 def legacy_stints(t):
-    """The home team is the first possession's; stints of three possessions or more, with their negative durations."""
-    first = t.lineitem.groupBy("l_orderkey").agg(F.min_by("l_returnflag", F.struct("l_linenumber", "l_returnflag")).alias("home_team"))
-    rows = t.lineitem.join(first, "l_orderkey").join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey")
-    own = F.col("l_returnflag") == F.col("home_team")
-    return rows.groupBy("l_orderkey", "home_team").agg(F.count("*").alias("possessions"), F.sum(F.when(own, dec("l_quantity")).otherwise(0)).cast("double").alias("home"), F.sum(F.when(~own, dec("l_quantity")).otherwise(0)).cast("double").alias("away"),
-        F.count_if(F.col("l_shipdate") < F.col("o_orderdate")).alias("negative")).where("possessions >= 3")
+    """Possessions by game and both lineups; the home team is that of the first possession's first player; two possessions or more, no negative durations."""
+    rows = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey"))
+    order, line, part = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")
+    h = F.transform(F.sequence(F.lit(0), F.when(F.col("l_quantity") >= 3, 4).otherwise(3)), lambda k: (order + F.floor(line / 4) + 7 * k) % 1000)
+    a = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: 1000 + (order + 11 * k) % 1000)
+    scoring = F.when(line % 3 == 0, order % 30).when(line % 3 == 1, 30 + order % 30)
+    days = F.datediff("l_shipdate", "o_orderdate").cast("double")
+    p = rows.select(order.alias("game"), (line * F.lit(100000000).cast("long") + part).alias("at"), h.alias("offense_lineup"), a.alias("defense_lineup"), F.when(F.col("l_suppkey") % 9 != 0, F.floor("l_quantity") % 4).alias("points"), scoring.alias("scoring_team"),
+        F.when(part % 5 != 0, order % 30).alias("offense_team"), F.when(part % 11 != 0, days).alias("duration"))
+    p = stored(p, "older-possessions")
+    home = p.select("game", F.explode("offense_lineup").alias("player")).distinct().where("player % 41 <> 0").select("game", "player", (F.col("game") % 30).alias("team"))
+    away = p.select("game", F.explode("defense_lineup").alias("player")).distinct().where("player % 37 <> 0").select("game", "player", (30 + F.col("game") % 30).alias("team"))
+    try:
+        L.legacy_stints(p, home.union(away), 2)
+        refused = False
+    except Refused:
+        refused = True
+    made = L.legacy_stints(p.withColumn("duration", F.abs("duration")), home.union(away), 2)
+    return made.select("game", "home_lineup", "away_lineup", "home_team", "away_team", "possessions", "home_points", "away_points", "duration", F.lit(refused).alias("negative_refused"))
 
 
 @query("""SELECT l_orderkey, CAST(sum(CASE WHEN l_linestatus = 'F' THEN CAST(l_quantity AS DECIMAL(18,4)) END) - sum(CASE WHEN l_linestatus = 'O' THEN CAST(l_quantity AS DECIMAL(18,4)) END) AS DOUBLE) AS margin, count(DISTINCT l_linestatus) AS sides FROM lineitem GROUP BY 1""")
@@ -164,18 +213,49 @@ COVERAGE_COLUMNS = [*COV.MEDIANS, "points_per_row", "box_points_per_possession",
  + ", ".join(f"round({c.removesuffix('_per_game') + ' / games' if c.removesuffix('_per_game') in COV.OUTCOMES else c} + 1e-9, 6) AS {c}" for c in COVERAGE_COLUMNS) + " FROM (SELECT unnest(range(1994, 2002)) AS season) z LEFT JOIN m USING (season) LEFT JOIN o USING (season) LEFT JOIN bn USING (season)")
 def season_coverage(t):
     """Seventeen measures and nine rates of each season, and which seasons have no source."""
+    p, st, box = covered(t)
+    seasons = t.spark.range(1994, 2002).select(F.col("id").cast("int").alias("season"))
+    found = COV.season_coverage(stored(p, "possessions"), st, box, seasons)
+    return found.select("season", "status", "box_games", "games", "games_missing", *(S.stable(F.col(x)).alias(x) for x in COVERAGE_COLUMNS))
+
+
+def covered(t):
+    """Possessions, stints and box of the order tables, as the coverage takes them."""
     lines = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("points", F.col("l_extendedprice") / 1000)
     odd, kind = F.col("l_linenumber") % 2 == 1, F.concat("l_linestatus", "l_returnflag")
     outcome = F.when(kind == "FA", "field_goal_made").when(kind == "FR", "turnover").when(kind == "ON", "defensive_rebound").when(kind == "FN", "free_throw_made").otherwise("end_of_period")
-    p = lines.select(F.year("o_orderdate").alias("season"), F.col("o_orderkey").alias("game"), (F.col("l_quantity") >= 5).alias("five"), "points", F.col("l_returnflag").alias("offense_team"), outcome.alias("outcome"))
-    st = lines.select(F.year("o_orderdate").alias("season"), F.col("o_orderkey").alias("game"), F.col("l_quantity").alias("possessions"), F.when(odd, F.col("points")).otherwise(0.0).alias("home_points"), F.when(~odd, F.col("points")).otherwise(0.0).alias("away_points"))
+    season, game = F.year("o_orderdate").alias("season"), F.col("o_orderkey").alias("game")
+    p = lines.select(season, game, (F.col("l_quantity") >= 5).alias("five"), "points", F.col("l_returnflag").alias("offense_team"), outcome.alias("outcome"))
+    st = lines.select(season, game, F.col("l_quantity").alias("possessions"), F.when(odd, F.col("points")).otherwise(0.0).alias("home_points"), F.when(~odd, F.col("points")).otherwise(0.0).alias("away_points"), F.array("l_suppkey").alias("home_lineup"), F.array("l_partkey").alias("away_lineup"))
     two, c, o = F.col("o_custkey") % 13 != 0, F.col("o_custkey"), F.col("o_orderkey")
     box = t.orders.where("o_orderkey % 10 <> 3").select(
-        F.year("o_orderdate").alias("season"), o.alias("game"), o.alias("in_box"), F.when(two, F.col("o_totalprice") / 1000).alias("box_points"), F.when(two, 10.0 + c % 90).alias("box_poss"), (F.col("o_totalprice") / 2000 - c % 41).alias("box_margin"),
+        season, game, o.alias("in_box"), F.when(two, F.col("o_totalprice") / 1000).alias("box_points"), F.when(two, 10.0 + c % 90).alias("box_poss"), (F.col("o_totalprice") / 2000 - c % 41).alias("box_margin"),
         F.when(c % 5 != 0, o % 11 - 5.0).alias("box_free_margin"), (c % 2 == 0).alias("real_home"), (0.5 * (c % 17)).alias("box_fgm"), (1.0 * (o % 5)).alias("box_tov"), (1.0 * (c % 9)).alias("box_dreb"), (1.0 * (o % 23)).alias("box_fta"))
-    seasons = t.spark.range(1994, 2002).select(F.col("id").cast("int").alias("season"))
-    found = COV.season_coverage(stored(p, "possessions"), st, box, seasons)
-    return found.select("season", "status", "box_games", "games", "games_missing", *(S.stable(F.col(x)).alias(x) for x in COVERAGE_COLUMNS))
+    return p, st, box
+
+
+ROTATION = COVERED.format(OUTCOME_COUNTS) + """, ro AS (SELECT l_orderkey AS game, CASE WHEN l_orderkey % 50 = 0 THEN 99 ELSE l_suppkey % 7 END AS team, l_suppkey AS player, 10 * l_quantity AS stint_seconds FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE year(o_orderdate) = 2000),
+ pg AS (SELECT g.*, CASE WHEN game % 4 = 0 THEN 2880.0 WHEN game % 4 = 1 THEN 2880.0 + 300 * (game % 5) ELSE 2700.0 END AS game_seconds FROM g WHERE season = 2000 AND in_box IS NOT NULL),
+ rg AS (SELECT game, row_number() OVER (ORDER BY game) - 1 AS place, count(*) OVER () AS n FROM pg WHERE game_seconds = 2880), tr AS (SELECT player FROM ro GROUP BY 1 HAVING count(DISTINCT team) > 1 ORDER BY 1 LIMIT 1),
+ pk AS (SELECT 'regulation' AS kind, game, NULL::BIGINT AS player, NULL::BIGINT AS team FROM rg WHERE place = n // 2 UNION ALL (SELECT 'overtime', game, NULL, NULL FROM pg WHERE game_seconds > 2880 ORDER BY game_seconds DESC, game LIMIT 1)
+ UNION ALL (SELECT 'substitution_heavy', game, NULL, NULL FROM ro WHERE game IN (SELECT game FROM pg) GROUP BY game ORDER BY count(*) DESC, game LIMIT 1) UNION ALL SELECT 'traded_player', min(game), player, team FROM ro WHERE player IN (FROM tr) GROUP BY player, team HAVING min(game) IN (SELECT game FROM pg))"""
+RECONCILED = ["box_points", "box_poss", "rows", "rows_five", "points", "box_margin", "stints", "stint_poss_sum", "stint_points_sum", "stint_margin_sum", "rotation_stints", "player_stint_poss", "oncourt_seconds", "share_of_box_poss"]
+
+
+@query(ROTATION + """ SELECT kind, pk.game, pk.player, pk.team, game_seconds, real_home, round(box_points + 1e-9, 3) AS box_points, round(box_poss + 1e-9, 3) AS box_poss, round(rows_ + 1e-9, 3) AS rows, round(rows_five + 1e-9, 3) AS rows_five, round(points + 1e-9, 3) AS points, round(box_margin + 1e-9, 3) AS box_margin,
+ round(st.n + 1e-9, 3) AS stints, round(st.poss + 1e-9, 3) AS stint_poss_sum, round(st.pts + 1e-9, 3) AS stint_points_sum, round(st.margin + 1e-9, 3) AS stint_margin_sum, round(rt.n + 1e-9, 3) AS rotation_stints, round(st.own + 1e-9, 3) AS player_stint_poss, round(rt.own + 1e-9, 3) AS oncourt_seconds,
+ round(rt.own / game_seconds * box_poss + 1e-9, 3) AS share_of_box_poss FROM pk JOIN pg ON pg.game = pk.game, LATERAL (SELECT count(*) AS n, sum(l_quantity) AS poss, sum(l_extendedprice / 1000) AS pts, sum(CASE WHEN l_linenumber % 2 = 1 THEN l_extendedprice / 1000 ELSE -l_extendedprice / 1000 END) AS margin,
+ sum(l_quantity) FILTER (WHERE l_suppkey = pk.player OR l_partkey = pk.player) AS own FROM lineitem WHERE l_orderkey = pk.game) st, LATERAL (SELECT count(*) AS n, sum(stint_seconds) FILTER (WHERE ro.player = pk.player) AS own FROM ro WHERE ro.game = pk.game) rt""")
+def game_reconciliations(t):
+    """The middle game of regulation length, the longest, the one of most substitutions, and a traded player's first game with each team, with what box, log, stints and rotation say of them."""
+    p, st, box = covered(t)
+    g = COV.games(p.where("season = 2000"), st, box).where("in_box is not null")
+    n = F.col("game") % 4
+    g = g.select("game", F.when(n == 0, 2880.0).when(n == 1, 2880.0 + 300 * (F.col("game") % 5)).otherwise(2700.0).alias("game_seconds"), "box_points", "box_poss", "rows", "rows_five", "points", "box_margin", "real_home")
+    lines = t.lineitem.join(t.orders.where("year(o_orderdate) = 2000"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rotation = lines.select(F.col("l_orderkey").alias("game"), F.when(F.col("l_orderkey") % 50 == 0, 99).otherwise(F.col("l_suppkey") % 7).alias("team"), F.col("l_suppkey").alias("player"), (10 * F.col("l_quantity")).alias("stint_seconds"))
+    found = TR.reconciliations(stored(g, "games"), stored(rotation, "rotation"), st)
+    return found.select(F.col("case").alias("kind"), "game", "player", "team", "game_seconds", "real_home", *(S.stable(F.col(c).cast("double"), 3).alias(c) for c in RECONCILED))
 
 
 @query("""SELECT event_type, n, round(n / sum(n) OVER () + 1e-9, 6) AS share FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)""")

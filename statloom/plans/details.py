@@ -208,19 +208,6 @@ def fitted_on(t):
     return d.select(F.expr("stack(2, 'all', `all`, 'some', some) as (input, d)"), "players").select("input", (F.col("d") <= 1e-5).alias("reproduces"), "players")
 
 
-@query("""WITH g AS (SELECT user_id AS game, count(*) AS n, count(DISTINCT event_type) AS kinds, count(*) FILTER (WHERE event_type = 'click') AS subs FROM events GROUP BY 1),
- r AS (SELECT game, n, kinds, subs, row_number() OVER (ORDER BY game) AS pos, count(*) OVER () AS total FROM g),
- p AS (SELECT 'middle' AS why, game FROM r WHERE pos = total // 2 + 1 UNION ALL (SELECT 'most_substitutions', game FROM g ORDER BY subs DESC, game LIMIT 1) UNION ALL (SELECT 'longest', game FROM g ORDER BY n DESC, game LIMIT 1))
- SELECT why, game, n, kinds, subs FROM p JOIN g USING (game)""")
-def game_reconciliations(t):
-    """Games picked by place and by extremes, with their counts."""
-    g = t.events.groupBy(F.col("user_id").alias("game")).agg(F.count("*").alias("n"), F.count_distinct("event_type").alias("kinds"), F.count_if(F.col("event_type") == "click").alias("subs"))
-    placed = numbered(g, ["game"], "pos")
-    middle = placed.join(F.broadcast(placed.agg(F.floor(F.count("*") / 2).alias("mid"))), F.col("pos") == F.col("mid")).select(F.lit("middle").alias("why"), "game", "n", "kinds", "subs")
-    top = lambda why, c: g.orderBy(F.desc(c), "game").limit(1).select(F.lit(why).alias("why"), "game", "n", "kinds", "subs")
-    return middle.union(top("most_substitutions", "subs")).union(top("longest", "n"))
-
-
 @query("""WITH x AS (SELECT l_suppkey AS player, count(*) AS mp, avg(l_quantity) AS rating FROM lineitem GROUP BY 1), y AS (SELECT s_suppkey AS player, s_acctbal AS bpm FROM supplier WHERE s_acctbal > -500),
  j AS (SELECT mp, rating, bpm, least FROM x LEFT JOIN y USING (player), (SELECT unnest([500, 550, 600, 650]) AS least) WHERE mp >= least)
  SELECT least, count(*) AS n, round(100.0 * count(bpm) / count(*) + 1e-9, 4) AS coverage, CASE WHEN count(bpm) > 10 THEN round(corr(rating, bpm) + 1e-9, 4) END AS r, coalesce(CASE WHEN count(bpm) > 10 THEN corr(rating, bpm) END >= 0.30, false) AS passes FROM j GROUP BY least""")
