@@ -10,6 +10,7 @@ from ..functions import scalars as S
 from ..operators import forecasts as E
 from ..operators.numbering import stored
 from ..operators.relational import quantiles
+from ..operators.resampling import split_draws
 from .registry import query
 
 #: Seasons up to 1999 are development, the two after them holdout.
@@ -123,6 +124,16 @@ def paired_bootstrap(t):
     return rounded(E.contrasts(draws, observed, ["A", "B"]), ["track", "contrast"])
 
 
+@query()
+def split_bootstrap(t):
+    """The same contrasts by draws that are split down a tree of ranges, so that no draw is moved or joined; other random numbers than
+    paired_bootstrap's, which SQL can't repeat: the tests walk the whole tree."""
+    cohort, models = losses(t), list(FORECASTS)
+    draws = stored(split_draws(cohort, 2000, 20260926, ["id"], models), "draws")
+    observed = cohort.agg(*(F.sqrt(F.avg(m)).alias(m) for m in models))
+    return rounded(E.contrasts(draws, observed, ["A", "B"]), ["track", "contrast"])
+
+
 def calendar_sql(days: int) -> str:
     sums = ", ".join(f"sum({m}) AS {m}" for m in FORECASTS)
     ratios = ", ".join(f"sum(b.{m}) / sum(b.n) AS {m}" for m in FORECASTS)
