@@ -33,4 +33,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import audits, contracts, details, forecasting, ratings, relational, stores, tracks, windows  # noqa: E402, F401
+from . import audits, contracts, details, forecasting, logs, ratings, relational, stores, tracks, windows  # noqa: E402, F401
