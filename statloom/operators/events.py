@@ -34,9 +34,11 @@ def first_phrase(text: Column, phrases: dict[str, str]) -> Column:
 
 
 def numbered_log(events: DataFrame) -> DataFrame:
-    """Keys, order and the flag of rows whose entry number is below one placed before them."""
+    """Keys, order and the flag of rows whose entry number is below one placed before them; a feed
+    without orderNumber is ordered by actionNumber."""
+    entry = F.col("orderNumber" if "orderNumber" in events.columns else "actionNumber")
     e = events.withColumns({
-        "GAME_ID": padded_id(F.col("gameId")), "PERIOD": F.col("period").cast("int"), "ELAPSED": F.col("event_time").cast("string").try_cast("double"), "ORDER_NUMBER": F.col("orderNumber").cast("string").try_cast("double"),
+        "GAME_ID": padded_id(F.col("gameId")), "PERIOD": F.col("period").cast("int"), "ELAPSED": F.col("event_time").cast("string").try_cast("double"), "ORDER_NUMBER": entry.cast("string").try_cast("double"),
         "ACTION": F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in ACTIONS.items() for x in pair)), squeezed(F.col("actionType"))), F.lit("other")),
     })
     place = [F.col("PERIOD").asc_nulls_last(), F.col("ELAPSED").asc_nulls_last(), F.col("ORDER_NUMBER").asc_nulls_last(), "ingest_ord"]
@@ -49,7 +51,8 @@ def numbered_log(events: DataFrame) -> DataFrame:
 def with_teams(e: DataFrame) -> DataFrame:
     """TEAM_ID: a team's own rows have 0 and the team as the person; an excess-timeout turnover
     without a team is that of the game's last timeout before it."""
-    raw, person = F.col("teamId").cast("long"), F.col("personId").cast("long")
+    number = lambda c: F.col(c).cast("string").try_cast("double").cast("long")
+    raw, person = number("teamId"), number("personId")  # what isn't a number isn't known
     own = (raw == 0) & ((person == F.col("HOME_TEAM_ID")) | (person == F.col("AWAY_TEAM_ID")))
     e = e.withColumn("TEAM_ID", F.when(own, person).when(raw != 0, raw)).withColumn("PERSON_ID", person)
     past = Window.partitionBy("GAME_ID").orderBy("SEQ").rowsBetween(Window.unboundedPreceding, 0)
@@ -79,7 +82,8 @@ def with_throws(e: DataFrame) -> DataFrame:
     kind = F.coalesce(first_phrase(text, THROWS), F.when(text.rlike(trip), "regular").otherwise("unknown"))
     e = e.withColumn("FT_KIND", F.when(throw, kind)).withColumn("FT_NUM", F.when(F.col("FT_KIND") != "technical", number(1))).withColumn("FT_OF", F.when(F.col("FT_KIND") != "technical", number(2)))
 
-    # One throw after a foul at its instant: the last foul that isn't technical says whether the ball is kept.
+    # One throw after a foul at its instant: the last foul that isn't technical says whether the ball is kept. A foul
+    # without a descriptor keeps its other words, as the older feed has no descriptors.
     foul = F.col("ACTION") == "foul"
     words = F.concat_ws(" ", F.concat(F.translate(F.lower("subType"), "-.", "  "), F.lit(" "), F.translate(F.lower("description"), "-.", "  ")), F.translate(F.lower("descriptor"), "-", " "))
     technical = foul & known_true(words.contains("technical"))

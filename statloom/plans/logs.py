@@ -10,13 +10,13 @@ from ..operators.numbering import stored
 from .registry import query
 
 #: The raw log: words, phrases, results and scoreboards that follow from an event's type, value and number.
-RAW = """WITH b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS rn, CAST(floor(value) AS BIGINT) % 10 AS k FROM events),
- w AS (SELECT user_id AS game, event_id AS id, rn, k, CAST(1 + rn // 30 AS INT) AS PERIOD, rn * 4.0::DOUBLE - CASE WHEN event_id % 6 = 0 THEN 4.0 ELSE 0.0 END AS ELAPSED, CASE WHEN event_id % 29 <> 0 THEN rn * 10.0::DOUBLE - CASE WHEN event_id % 23 = 0 THEN 15 ELSE 0 END END AS ORD,
- CASE WHEN rn % 30 = 29 THEN 'period' WHEN event_type = 'view' THEN 'made_shot' WHEN event_type = 'click' THEN 'missed_shot' WHEN event_type = 'purchase' THEN 'free_throw' WHEN event_type = 'error' THEN 'rebound' WHEN k % 5 = 0 THEN 'foul' WHEN k % 5 = 1 THEN 'turnover' WHEN k % 5 = 2 THEN 'timeout' WHEN k % 5 = 3 THEN 'substitution' ELSE 'other' END AS ACTION FROM b),
+RAW = """WITH b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS rn, count(*) OVER (PARTITION BY user_id) AS total, CAST(floor(value) AS BIGINT) % 10 AS k, user_id % 2 = 1 AS odd FROM events),
+ w AS (SELECT user_id AS game, event_id AS id, rn, k, odd, CAST(1 + rn // 30 AS INT) AS PERIOD, rn * 4.0::DOUBLE - CASE WHEN event_id % 6 = 0 THEN 4.0 ELSE 0.0 END AS ELAPSED, CASE WHEN event_id % 29 <> 0 THEN rn * 10.0::DOUBLE - CASE WHEN event_id % 23 = 0 THEN 15 ELSE 0 END END AS ORD,
+ CASE WHEN rn % 30 = 29 OR rn = total - 1 THEN 'period' WHEN event_type = 'view' THEN 'made_shot' WHEN event_type = 'click' THEN 'missed_shot' WHEN event_type = 'purchase' THEN 'free_throw' WHEN event_type = 'error' THEN 'rebound' WHEN k % 5 = 0 THEN 'foul' WHEN k % 5 = 1 THEN 'turnover' WHEN k % 5 = 2 THEN 'timeout' WHEN k % 5 = 3 THEN 'substitution' ELSE 'other' END AS ACTION FROM b),
  r AS (SELECT *, CASE ACTION WHEN 'free_throw' THEN CASE k % 5 WHEN 0 THEN 'Free Throw 1 of 1' WHEN 1 THEN 'Free Throw 1 of 2' WHEN 2 THEN 'Free Throw 2 of 2' WHEN 3 THEN 'Technical' ELSE 'Flagrant 1 of 2' END WHEN 'foul' THEN CASE id % 3 WHEN 0 THEN 'Personal' WHEN 1 THEN 'Technical' ELSE 'Away-From-Play' END
  WHEN 'turnover' THEN CASE WHEN id % 2 = 0 THEN 'Excess Timeout' END WHEN 'period' THEN CASE WHEN id % 19 <> 0 THEN 'end' ELSE 'start' END END AS sub, CASE WHEN ACTION = 'foul' AND id % 4 = 0 THEN 'transition-take' END AS descr,
- CASE WHEN ACTION = 'free_throw' THEN CASE WHEN k = 7 THEN 'MISS x' WHEN k = 8 THEN 'MISS x (3 PTS)' WHEN k > 4 THEN 'y (3 PTS)' ELSE 'z' END WHEN ACTION = 'foul' THEN 'f' END AS said, CASE WHEN ACTION = 'free_throw' THEN CASE id % 5 WHEN 0 THEN 'Made' WHEN 1 THEN 'Missed' ELSE '' END END AS result,
- CASE WHEN ACTION = 'made_shot' AND id % 37 <> 0 THEN 2.0 + id % 2 END AS worth, CASE WHEN id % 11 = 0 THEN 0 ELSE 10 + k % 2 END AS tid, CASE WHEN id % 22 = 0 THEN 10 + k % 2 ELSE id % 500 + 1000 END AS pid,
+ CASE WHEN ACTION = 'free_throw' THEN CASE WHEN k = 7 THEN 'MISS x' WHEN k = 8 THEN 'MISS x (3 PTS)' WHEN k > 4 THEN 'y (3 PTS)' ELSE 'z' END WHEN ACTION = 'foul' THEN 'f' END AS said, CASE WHEN ACTION = 'free_throw' THEN CASE WHEN id % 5 = 0 THEN 'Made' WHEN id % 5 = 1 OR NOT odd AND id % 2 = 0 THEN 'Missed' WHEN NOT odd THEN 'Made' ELSE '' END END AS result,
+ CASE WHEN ACTION = 'made_shot' AND (id % 37 <> 0 OR NOT odd) THEN 2.0 + id % 2 END AS worth, CASE WHEN id % 11 = 0 AND odd THEN 0 ELSE 10 + k % 2 END AS tid, CASE WHEN id % 22 = 0 THEN 10 + k % 2 ELSE id % 500 + 1000 END AS pid,
  CAST(CASE WHEN id % 41 = 0 THEN 0 ELSE rn // 3 END AS DOUBLE) AS sh, CAST(rn // 4 AS DOUBLE) AS sa, id % 13 <> 0 AS ten FROM w),"""
 NORMAL = RAW + r""" n1 AS (SELECT *, row_number() OVER (PARTITION BY game ORDER BY PERIOD, ELAPSED, ORD NULLS LAST, id) - 1 AS SEQ FROM r),
  n2 AS (SELECT *, coalesce(lag(ORD) OVER (PARTITION BY game, PERIOD ORDER BY SEQ) IS NOT NULL AND ORD < max(ORD) OVER (PARTITION BY game, PERIOD ORDER BY SEQ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS inverted, CASE WHEN tid = 0 AND pid IN (10, 11) THEN pid WHEN tid <> 0 THEN tid END AS t0 FROM n1),
@@ -43,10 +43,10 @@ SHOWN = "GAME_ID SEQ PERIOD ELAPSED ACTION TEAM_ID FT_MADE FT_OUTCOME_SOURCE FT_
 
 def raw_log(t) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    b = t.events.withColumn("rn", (F.row_number().over(w) - 1).cast("long")).withColumn("k", F.floor("value") % 10)
-    kind, i, k, rn = F.col("event_type"), F.col("event_id"), F.col("k"), F.col("rn")
+    b = t.events.withColumn("rn", (F.row_number().over(w) - 1).cast("long")).withColumn("k", F.floor("value") % 10).withColumn("total", F.count("*").over(Window.partitionBy("user_id")))
+    kind, i, k, rn, odd = F.col("event_type"), F.col("event_id"), F.col("k"), F.col("rn"), F.col("user_id") % 2 == 1
     signup = F.when(k % 5 == 0, "Foul").when(k % 5 == 1, "Turnover").when(k % 5 == 2, "Timeout").when(k % 5 == 3, "Substitution").otherwise("Ejection")
-    b = b.withColumn("actionType", F.when(rn % 30 == 29, "period").when(kind == "view", " Made  Shot").when(kind == "click", "Missed Shot").when(kind == "purchase", "FREE THROW").when(kind == "error", "rebound").otherwise(signup))
+    b = b.withColumn("actionType", F.when((rn % 30 == 29) | (rn == F.col("total") - 1), "period").when(kind == "view", " Made  Shot").when(kind == "click", "Missed Shot").when(kind == "purchase", "FREE THROW").when(kind == "error", "rebound").otherwise(signup))
     word = F.col("actionType")
     throw, foul = word == "FREE THROW", word == "Foul"
     trip = F.when(k % 5 == 0, "Free Throw 1 of 1").when(k % 5 == 1, "Free Throw 1 of 2").when(k % 5 == 2, "Free Throw 2 of 2").when(k % 5 == 3, "Technical").otherwise("Flagrant 1 of 2")
@@ -55,8 +55,8 @@ def raw_log(t) -> DataFrame:
     five = lambda a: F.array(*(F.lit(x).cast("long") for x in range(a, a + 5)))
     return b.select(
         F.col("user_id").alias("gameId"), (1 + F.floor(rn / 30)).alias("period"), (rn * 4.0 - F.when(i % 6 == 0, 4.0).otherwise(0.0)).alias("event_time"), F.when(i % 29 != 0, rn * 10.0 - F.when(i % 23 == 0, 15).otherwise(0)).alias("orderNumber"), i.alias("ingest_ord"), "actionType",
-        sub.alias("subType"), F.when(foul & (i % 4 == 0), "transition-take").alias("descriptor"), said.alias("description"), F.when(i % 11 == 0, 0).otherwise(10 + k % 2).alias("teamId"), F.when(i % 22 == 0, 10 + k % 2).otherwise(i % 500 + 1000).alias("personId"),
-        F.when(throw, F.when(i % 5 == 0, "Made").when(i % 5 == 1, "Missed").otherwise("")).alias("shotResult"), F.when((word == " Made  Shot") & (i % 37 != 0), 2 + i % 2).alias("shotValue"),
+        sub.alias("subType"), F.when(foul & (i % 4 == 0), "transition-take").alias("descriptor"), said.alias("description"), F.when((i % 11 == 0) & odd, 0).otherwise(10 + k % 2).alias("teamId"), F.when(i % 22 == 0, 10 + k % 2).otherwise(i % 500 + 1000).alias("personId"),
+        F.when(throw, F.when(i % 5 == 0, "Made").when((i % 5 == 1) | (~odd & (i % 2 == 0)), "Missed").when(~odd, "Made").otherwise("")).alias("shotResult"), F.when((word == " Made  Shot") & ((i % 37 != 0) | ~odd), 2 + i % 2).alias("shotValue"),
         F.when(i % 41 == 0, "0").otherwise(F.floor(rn / 3).cast("string")).alias("scoreHome"), F.floor(rn / 4).cast("string").alias("scoreAway"), five(1).alias("home_lineup"), F.when(i % 13 != 0, five(6)).otherwise(F.slice(five(6), 1, 4)).alias("away_lineup"))
 
 
