@@ -177,3 +177,75 @@ def golden_scalars(t):
     m = stored(E.point_metrics(e, ["phase", "season"], forecast="part").select(F.concat_ws("_", "phase", "season").alias("name"), F.col("rmse").alias("value"), "n"), "metrics")
     golden = m.where("n % 5 <> 0").select("name", (F.col("value") + F.when(F.col("n") % 3 == 0, 0.01).otherwise(1e-9)).alias("value")).union(t.spark.range(1).select(F.lit("unknown"), F.lit(1.0)))
     return C.scalars_off(m, golden, 1e-6).select("name", S.stable(F.col("value"), 4).alias("value"), S.stable(F.col("expected"), 4).alias("expected"))
+
+
+#: The tables of a run, made of the event log: a user is a game, an event a possession, and numbers' remainders break rules.
+RUN = """WITH b AS (SELECT user_id AS u, lpad(CAST(user_id AS VARCHAR), 10, '0') AS g, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS s, event_id AS e, event_type AS ty, CAST(floor(value) AS BIGINT) AS v FROM events),
+ al AS (SELECT u, g AS GAME_ID, 1 + s // 40 AS PERIOD, s AS POSS_IDX, s * 2 + CASE WHEN e % 101 = 0 THEN 1 ELSE 0 END AS START_SEQ, s * 2 + 1 AS END_SEQ, CASE ty WHEN 'view' THEN 'made_shot' WHEN 'purchase' THEN 'turnover' WHEN 'error' THEN 'end_of_period' ELSE 'defensive_rebound' END AS OUTCOME, CASE WHEN e % 103 <> 0 THEN 10 + v % 2 END AS OFFENSE_TEAM_ID,
+ CAST(v % 3 AS DOUBLE) AS HOME_PTS, CAST(v % 2 AS DOUBLE) AS AWAY_PTS, e, v, ty, s FROM b), po AS (SELECT * FROM al WHERE u % 10 <> 0 OR u % 20 = 0),
+ st AS (SELECT DISTINCT u, g AS GAME_ID, CASE WHEN u % 10 <> 0 THEN 'ADMITTED' ELSE 'QUARANTINED' END AS STATUS, CASE WHEN u % 10 = 0 THEN CASE WHEN u % 30 = 0 THEN 'source_order_unresolvable' WHEN u % 50 <> 0 THEN 'source_possession_unlogged' END END AS REASON, u % 5 AS FINAL_HOME, u % 5 + CASE WHEN u % 70 = 0 THEN 1 ELSE 0 END AS BOX_HOME,
+ CASE WHEN u % 40 = 0 THEN 1 ELSE 0 END AS UNRESOLVED, u % 3 AS INVERSIONS, CASE WHEN u % 60 = 0 THEN 'live' ELSE 'legacy' END AS EVENT_SCHEMA FROM b WHERE u % 47 <> 0),
+ ad AS (SELECT GAME_ID FROM st WHERE STATUS = 'ADMITTED'), sg AS (SELECT GAME_ID, u, PERIOD, POSS_IDX, HOME_PTS, AWAY_PTS, CASE WHEN e % 107 = 0 THEN 0 ELSE 1 END AS POSS_COUNT, e FROM po WHERE e % 109 <> 0),
+ sn AS (SELECT GAME_ID, u, sum(POSS_COUNT) + CASE WHEN u % 13 = 0 THEN 1 ELSE 0 END AS c, sum(HOME_PTS) AS h, sum(AWAY_PTS) AS a, CASE WHEN u % 9 = 0 THEN 'inf'::DOUBLE ELSE 1.0 END AS rate FROM sg WHERE e % 5 <> 0 GROUP BY 1, 2),
+ xn AS (SELECT GAME_ID, sum(POSS_COUNT) AS c, sum(HOME_PTS) AS h, sum(AWAY_PTS) AS a FROM sg WHERE e % 5 = 0 GROUP BY 1), ss AS (SELECT GAME_ID, sum(POSS_COUNT) AS c, sum(HOME_PTS) AS h, sum(AWAY_PTS) AS a FROM sg GROUP BY 1),
+ bx AS (SELECT GAME_ID, sum(HOME_PTS) + CASE WHEN u % 15 = 0 THEN 1 ELSE 0 END AS bh, sum(AWAY_PTS) AS ba FROM al GROUP BY GAME_ID, u), ep AS (SELECT * FROM al WHERE u % 10 = 0 AND u % 110 <> 0),
+ ee AS (SELECT GAME_ID, s * 2 + k AS SEQ, CASE ty WHEN 'view' THEN 'made_shot' WHEN 'click' THEN 'missed_shot' WHEN 'purchase' THEN 'turnover' ELSE 'rebound' END AS ACTION, 10 + v % 2 AS TEAM_ID, CASE WHEN e % 19 <> 0 THEN 10 + v % 2 END AS PT, s * 2.0 + k AS ELAPSED FROM al, (SELECT unnest([0, 1]) AS k) WHERE u % 10 = 0 AND u % 130 <> 0),
+ tc AS (SELECT GAME_ID, PERIOD, count(*) FILTER (WHERE OFFENSE_TEAM_ID = a) AS na, count(*) FILTER (WHERE OFFENSE_TEAM_ID = b AND a <> b) AS nb FROM po JOIN (SELECT GAME_ID, min(OFFENSE_TEAM_ID) AS a, max(OFFENSE_TEAM_ID) AS b FROM po GROUP BY 1) USING (GAME_ID) WHERE OFFENSE_TEAM_ID IS NOT NULL GROUP BY 1, 2),
+ us AS (SELECT DISTINCT GAME_ID FROM po), ix AS (SELECT st.*, us.GAME_ID IS NOT NULL AS used, FINAL_HOME <> BOX_HOME OR UNRESOLVED <> 0 AS inexact FROM st LEFT JOIN us ON us.GAME_ID = st.GAME_ID),
+ ul AS (SELECT GAME_ID FROM st WHERE REASON = 'source_possession_unlogged'), ow AS (SELECT *, lag(OFFENSE_TEAM_ID) OVER w AS team, lag(OUTCOME) OVER w AS outcome_, lag(END_SEQ) OVER w AS ended FROM ep WHERE GAME_ID IN (FROM ul) WINDOW w AS (PARTITION BY GAME_ID, PERIOD ORDER BY START_SEQ)),
+ ft AS (SELECT GAME_ID, PERIOD FROM (SELECT GAME_ID, PERIOD, count(*) FILTER (WHERE OFFENSE_TEAM_ID = a) AS na, count(*) FILTER (WHERE OFFENSE_TEAM_ID = b AND a <> b) AS nb FROM ow JOIN (SELECT GAME_ID, min(OFFENSE_TEAM_ID) AS a, max(OFFENSE_TEAM_ID) AS b FROM ow GROUP BY 1) USING (GAME_ID) WHERE OFFENSE_TEAM_ID IS NOT NULL GROUP BY 1, 2) WHERE abs(na - nb) > 1),
+ vr AS (SELECT ow.GAME_ID, ow.PERIOD, bool_and(coalesce(outcome_ IN ('made_shot', 'and_one', 'turnover', 'defensive_rebound', 'free_throw_made') AND n.ACTION IN ('made_shot', 'missed_shot', 'turnover') AND n.TEAM_ID = OFFENSE_TEAM_ID AND n.ELAPSED > t.ELAPSED AND coalesce(t.PT = t.TEAM_ID, false) AND coalesce(n.PT = n.TEAM_ID, false), false)) AS ok
+ FROM ow JOIN ft ON ft.GAME_ID = ow.GAME_ID AND ft.PERIOD = ow.PERIOD LEFT JOIN ee t ON t.GAME_ID = ow.GAME_ID AND t.SEQ = ended LEFT JOIN ee n ON n.GAME_ID = ow.GAME_ID AND n.SEQ = START_SEQ WHERE team = OFFENSE_TEAM_ID GROUP BY 1, 2),
+ xp AS (SELECT ft.GAME_ID, bool_and(coalesce(ok, false)) AS explained FROM ft LEFT JOIN vr ON vr.GAME_ID = ft.GAME_ID AND vr.PERIOD = ft.PERIOD GROUP BY 1),
+ ch AS (SELECT 'every_cohort_game_has_a_status' AS name, (SELECT count(*) FROM (SELECT DISTINCT g FROM b) WHERE g NOT IN (SELECT GAME_ID FROM st)) + 1 AS broken UNION ALL SELECT 'quarantine_has_reason', count(*) FROM st WHERE STATUS <> 'ADMITTED' AND coalesce(REASON, '') = ''
+ UNION ALL SELECT 'only_admitted_games_reconstructed', count(*) FROM po WHERE GAME_ID NOT IN (FROM ad) UNION ALL SELECT 'possessions_tile_each_game', count(*) FROM (SELECT START_SEQ, lag(END_SEQ) OVER (PARTITION BY GAME_ID ORDER BY START_SEQ) AS before FROM po) WHERE before IS NOT NULL AND START_SEQ <> before + 1
+ UNION ALL SELECT 'admitted_points_equal_box_by_side', count(*) FROM ad LEFT JOIN (SELECT GAME_ID, sum(HOME_PTS) AS h, sum(AWAY_PTS) AS a FROM po GROUP BY 1) USING (GAME_ID) LEFT JOIN bx USING (GAME_ID) WHERE h IS DISTINCT FROM bh OR a IS DISTINCT FROM ba
+ UNION ALL SELECT 'segments_sum_to_possessions', count(*) FROM po LEFT JOIN sg ON sg.GAME_ID = po.GAME_ID AND sg.POSS_IDX = po.POSS_IDX WHERE sg.GAME_ID IS NULL OR sg.POSS_COUNT <> 1
+ UNION ALL SELECT 'stints_plus_exclusions_equal_segments', count(*) FROM ss LEFT JOIN sn USING (GAME_ID) LEFT JOIN xn USING (GAME_ID) WHERE ss.c <> coalesce(sn.c, 0) + coalesce(xn.c, 0) OR ss.h <> coalesce(sn.h, 0) + coalesce(xn.h, 0) OR ss.a <> coalesce(sn.a, 0) + coalesce(xn.a, 0)
+ UNION ALL SELECT 'stint_rates_finite_or_null', count(*) FROM sn WHERE isinf(rate) OR c = 0 UNION ALL SELECT 'every_possession_attributed', count(*) FROM po WHERE OFFENSE_TEAM_ID IS NULL
+ UNION ALL SELECT 'possession_alternation_within_periods', count(*) FROM (SELECT GAME_ID, sum(na) AS na, sum(nb) AS nb FROM tc GROUP BY 1) JOIN (SELECT GAME_ID, count(DISTINCT PERIOD) AS p FROM po GROUP BY 1) USING (GAME_ID) WHERE abs(na - nb) > p
+ UNION ALL SELECT 'possession_alternation_per_period', count(DISTINCT GAME_ID) FROM tc WHERE abs(na - nb) > 1
+ UNION ALL SELECT 'exclusions_are_declared_and_excludable', count(*) FROM (SELECT DISTINCT u, g FROM b WHERE u % 10 = 0) d LEFT JOIN st ON st.GAME_ID = d.g WHERE NOT coalesce(REASON = 'source_possession_unlogged', false)
+ UNION ALL SELECT 'source_order_exclusions_meet_policy', count(*) FROM ix WHERE REASON = 'source_order_unresolvable' AND (inexact OR INVERSIONS = 0 OR EVENT_SCHEMA <> 'legacy' OR used)
+ UNION ALL SELECT 'alternation_removals_sealed', count(*) FROM (SELECT GAME_ID, bit_or(k) AS bits FROM (SELECT GAME_ID, 1 AS k FROM st WHERE REASON IS NOT NULL UNION ALL SELECT GAME_ID, 2 FROM ep UNION ALL SELECT GAME_ID, 4 FROM ee) GROUP BY 1) WHERE bits <> 7
+ UNION ALL SELECT 'source_possession_unlogged_exclusions_meet_policy', count(*) FROM ix LEFT JOIN xp USING (GAME_ID) WHERE REASON = 'source_possession_unlogged' AND (inexact OR NOT coalesce(explained, false) OR used OR GAME_ID IN (SELECT GAME_ID FROM ow WHERE OFFENSE_TEAM_ID IS NULL)))"""
+
+
+def run_tables(t) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
+    """The tables of a run by name, its cohort and its declared exclusions."""
+    from pyspark.sql import Window
+
+    u, e, v, ty = F.col("user_id"), F.col("event_id"), F.floor("value"), F.col("event_type")
+    s = (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("long")
+    one = lambda c: F.when(c, 1).otherwise(0)
+    b = t.events.select(u.alias("u"), S.padded_id(u).alias("GAME_ID"), s.alias("s"), e.alias("e"), v.alias("v"), ty.alias("ty"))
+    u, e, v, ty, s = (F.col(c) for c in ("u", "e", "v", "ty", "s"))
+    outcome = F.when(ty == "view", "made_shot").when(ty == "purchase", "turnover").when(ty == "error", "end_of_period").otherwise("defensive_rebound")
+    every = stored(b.select("u", "GAME_ID", (1 + F.floor(s / 40)).alias("PERIOD"), s.alias("POSS_IDX"), (s * 2 + one(e % 101 == 0)).alias("START_SEQ"), (s * 2 + 1).alias("END_SEQ"), outcome.alias("OUTCOME"), F.when(e % 103 != 0, 10 + v % 2).alias("OFFENSE_TEAM_ID"),
+        (v % 3).cast("double").alias("HOME_PTS"), (v % 2).cast("double").alias("AWAY_PTS"), "e", "v", "ty", "s"), "run-log")
+    poss = every.where("u % 10 <> 0 or u % 20 = 0")
+    reason = F.when(u % 10 == 0, F.when(u % 30 == 0, "source_order_unresolvable").when(u % 50 != 0, "source_possession_unlogged"))
+    status = every.where("u % 47 <> 0").select("u", "GAME_ID").distinct().select(
+        "GAME_ID", F.when(u % 10 != 0, "ADMITTED").otherwise("QUARANTINED").alias("STATUS"), reason.alias("REASON"), (u % 5).cast("double").alias("FINAL_HOME"), (u % 5 + one(u % 70 == 0)).cast("double").alias("BOX_HOME"), F.lit(1.0).alias("FINAL_AWAY"), F.lit(1.0).alias("BOX_AWAY"),
+        one(u % 40 == 0).alias("UNRESOLVED_SCORING_EVENTS"), (u % 3).alias("ORDER_INVERSIONS"), F.when(u % 60 == 0, "live").otherwise("legacy").alias("EVENT_SCHEMA"))
+    segments = poss.where("e % 109 <> 0").select("GAME_ID", "u", "PERIOD", "POSS_IDX", "HOME_PTS", "AWAY_PTS", one(e % 107 != 0).alias("POSS_COUNT"), "e")
+    inside = segments.where("e % 5 <> 0").groupBy(F.col("GAME_ID").alias("game_id"), "u").agg(F.sum("POSS_COUNT").alias("c"), F.sum("HOME_PTS").alias("home_points"), F.sum("AWAY_PTS").alias("away_points"))
+    stints = inside.select("game_id", (F.col("c") + one(u % 13 == 0)).alias("possessions"), "home_points", "away_points", F.when(u % 9 == 0, float("inf")).otherwise(1.0).alias("net_rating_per_100"))
+    out = segments.where("e % 5 = 0").groupBy("GAME_ID").agg(F.sum("POSS_COUNT").alias("EXCLUDED_POSS"), F.sum("HOME_PTS").alias("EXCLUDED_HOME_PTS"), F.sum("AWAY_PTS").alias("EXCLUDED_AWAY_PTS"))
+    action = F.when(ty == "view", "made_shot").when(ty == "click", "missed_shot").when(ty == "purchase", "turnover").otherwise("rebound")
+    rows = every.where("u % 10 = 0 and u % 130 <> 0").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    seq = s * 2 + F.col("k")
+    ee = rows.select("GAME_ID", seq.alias("SEQ"), action.alias("ACTION"), (10 + v % 2).alias("TEAM_ID"), F.lit(5).cast("long").alias("PERSON_ID"), F.when(e % 19 != 0, 10 + v % 2).alias("PERSON_TEAM_ID"), seq.cast("double").alias("ELAPSED"))
+    sums = every.groupBy("u").agg(F.sum("HOME_PTS").alias("h"), F.sum("AWAY_PTS").alias("a"))
+    box = sums.select(u.alias("GAME_ID"), F.explode(F.array(F.struct(F.lit("A vs. B").alias("MATCHUP"), (F.col("h") + one(u % 15 == 0)).alias("PTS")), F.struct(F.lit("B @ A").alias("MATCHUP"), F.col("a").alias("PTS")))).alias("x")).select("GAME_ID", "x.*")
+    tables = {"game_status": status, "possessions": poss, "segments": segments, "stints": stints, "exclusions": out, "excluded_possessions": every.where("u % 10 = 0 and u % 110 <> 0"), "excluded_events": ee, "team_game": box}
+    cohort = every.select("GAME_ID").distinct().union(t.spark.range(1).select(F.lit("0009999999")))
+    declared = every.where("u % 10 = 0").select("GAME_ID", F.lit("source_possession_unlogged").alias("DECLARED")).distinct()
+    return tables, cohort, declared
+
+
+@query(RUN + " SELECT name, broken FROM ch")
+def gate_checks(t):
+    """The gate's checks of a run's tables, and how many rows or games break each."""
+    tables, cohort, declared = run_tables(t)
+    return G.table_checks(tables, cohort, declared).select(F.col("check").alias("name"), "broken")
