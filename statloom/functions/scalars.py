@@ -30,6 +30,11 @@ def safe_ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), F.when(b != 0, b).cast("double"))
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """The correlation of columns that are null in the same rows; null where either is constant, on which corr() fails."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def known_true(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 

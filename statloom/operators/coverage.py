@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import safe_ratio
+from ..functions.scalars import correlation, safe_ratio
 from .relational import many_quantiles
 
 #: Measures that are medians over a season's games: name to column of games().
@@ -40,8 +40,8 @@ def season_coverage(possessions: DataFrame, stints: DataFrame, box: DataFrame, s
     kept = lambda c: F.when(whole, c)
     sums = g.groupBy("season").agg(
         F.count("*").alias("games"), F.count("in_box").alias("_in_box"), safe_ratio(F.sum("points"), F.sum("rows")).alias("points_per_row"), safe_ratio(F.sum("box_points"), F.sum("box_poss")).alias("box_points_per_possession"),
-        safe_ratio(F.sum("rows_five"), F.sum("rows")).alias("share_five"), F.avg(F.col("real_home").cast("double")).alias("share_real_home"), F.corr(kept(F.col("stint_margin")), kept(F.col("box_margin"))).alias("corr_margin"),
-        F.corr(kept(F.col("stint_margin")), kept(F.col("box_margin") - F.col("box_free_margin"))).alias("corr_margin_without_free"), *(F.avg(c).alias(f"{c}_per_game") for c in BOX_MEANS),
+        safe_ratio(F.sum("rows_five"), F.sum("rows")).alias("share_five"), F.avg(F.col("real_home").cast("double")).alias("share_real_home"), correlation(kept(F.col("stint_margin")), kept(F.col("box_margin"))).alias("corr_margin"),
+        correlation(kept(F.col("stint_margin")), kept(F.col("box_margin") - F.col("box_free_margin"))).alias("corr_margin_without_free"), *(F.avg(c).alias(f"{c}_per_game") for c in BOX_MEANS),
     )
     middle = many_quantiles(g, ["season"], list(MEDIANS.values()), [0.5]).select("season", *(F.col(c)[0].alias(name) for name, c in MEDIANS.items()))
     said = possessions.groupBy("season").agg(*(F.count_if(F.col("outcome") == x).alias(x) for x in OUTCOMES))

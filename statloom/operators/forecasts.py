@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import correlation
 from .numbering import numbered, stored
 from .relational import quantiles
 
@@ -14,9 +15,10 @@ def point_metrics(df: DataFrame, by: list[str], actual: str = "actual", forecast
     three are null where the forecast is constant."""
     e = F.col(forecast) - F.col(actual)
     varies = F.stddev_pop(forecast) > 0
+    r = correlation(F.col(actual), F.col(forecast))
     return df.groupBy(*by).agg(
         F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.avg(e).alias("bias"),
-        F.when(varies, F.corr(actual, forecast)).alias("correlation"),
+        F.when(varies, r).alias("correlation"),
         F.when(varies, F.regr_slope(F.col(actual), F.col(forecast))).alias("slope"),
         F.when(varies, F.regr_intercept(F.col(actual), F.col(forecast))).alias("intercept"),
     )

@@ -3,14 +3,18 @@ total is the outcome, its lines' sum the forecast, years are seasons."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import forecasts as E
-from ..operators.numbering import stored
+from ..operators import report as R
+from ..operators.numbering import checkpoint_folder, stored
 from ..operators.relational import quantiles
 from ..operators.resampling import split_draws
+from ..sources import files
 from .registry import query
 
 #: Seasons up to 1999 are development, the two after them holdout.
@@ -190,3 +194,38 @@ def decayed_exposure(t):
     ago = F.lit(1998) - F.year("l_shipdate")
     each = t.lineitem.where("l_shipdate < timestamp'1999-01-01'").groupBy("l_suppkey").agg(F.sum(F.col("l_quantity") * F.pow(F.lit(0.8), ago)).alias("w"), F.max(ago).cast("long").alias("ago"))
     return each.agg(F.count("*").alias("players"), F.round(F.sum("w") + 1e-9, 2).alias("weight"), F.max("ago").alias("oldest"))
+
+
+#: The models of track A with the flags of each game.
+TRACK = {m[2:]: f for m, f in FORECASTS.items() if m.startswith("A_")}
+FLAGS = {"early": "id % 5 = 0", "rookie_heavy": "k > 4", "team_change": "CASE WHEN id % 7 <> 0 THEN q > 100 END"}
+MATCHED = "id % 11 <> 0"
+_POINT = "count(*) AS n, sqrt(avg(power(f - actual, 2))) AS rmse, avg(abs(f - actual)) AS mae, avg(f - actual) AS bias, CASE WHEN stddev_pop(f) > 0 THEN corr(actual, f) END AS correlation, CASE WHEN stddev_pop(f) > 0 THEN regr_slope(actual, f) END AS slope, CASE WHEN stddev_pop(f) > 0 THEN regr_intercept(actual, f) END AS intercept"
+
+
+def _long(table: str, section: str, measures: list[str], variant: str = "''", key: str = "''", model: str = "model") -> str:
+    return " UNION ALL ".join(f"SELECT '{section}' AS section, {variant} AS variant, CAST({key} AS VARCHAR) AS key, {model} AS model, '{m}' AS measure, CAST({m} AS DOUBLE) AS value FROM {table}" for m in measures)
+
+
+REPORT = EVAL + ", g AS (SELECT *, " + MATCHED + " AS matched, " + ", ".join(f"{c} AS {f}" for f, c in FLAGS.items()) + " FROM e), lo AS (" + " UNION ALL ".join(f"SELECT id, season, phase, actual, early, rookie_heavy, coalesce(team_change, false) AS team_change, '{m}' AS model, CAST({f} AS DOUBLE) AS part FROM g WHERE matched" for m, f in TRACK.items()) + """),
+ fz AS (SELECT model, avg(actual - part) AS h, quantile_cont(actual - part, 0.1) - avg(actual - part) AS q10, quantile_cont(actual - part, 0.9) - avg(actual - part) AS q90, count(*) AS n FROM lo WHERE phase = 'development' GROUP BY 1),
+ sc AS (SELECT model, regr_intercept(actual, part) AS a, regr_slope(actual, part) AS b FROM lo WHERE phase = 'development' AND model <> 'home' GROUP BY 1),
+ ho AS (SELECT lo.*, h, q10, q90, a, b FROM lo JOIN fz USING (model) LEFT JOIN sc USING (model) WHERE phase = 'holdout'), sa AS (SELECT *, 'frozen' AS variant, part + h AS f FROM ho UNION ALL SELECT *, 'rescaled', coalesce(a + b * part, part + h) FROM ho),
+ ow AS (SELECT * FROM sa WHERE variant = 'frozen'), ii AS (SELECT model, avg(CAST(actual BETWEEN f + q10 AND f + q90 AS INT)) AS coverage, avg(q90 - q10) AS width, avg(CAST(actual < f + q10 AS INT)) AS below, avg(CAST(actual > f + q90 AS INT)) AS above, avg(q90 - q10 + 10 * greatest(f + q10 - actual, 0) + 10 * greatest(actual - f - q90, 0)) AS score FROM ow GROUP BY 1),
+ p1 AS (SELECT variant, model, """ + _POINT + " FROM sa GROUP BY 1, 2), p2 AS (SELECT variant, model, season, " + _POINT + " FROM sa GROUP BY 1, 2, 3), p3 AS (SELECT model, flag, " + _POINT + " FROM (" + " UNION ALL ".join(f"SELECT *, '{f}' AS flag FROM ow WHERE {f}" for f in FLAGS) + """) GROUP BY 1, 2),
+ cu AS (SELECT quantile_cont(part + h, 0.2) AS c1, quantile_cont(part + h, 0.4) AS c2, quantile_cont(part + h, 0.6) AS c3, quantile_cont(part + h, 0.8) AS c4 FROM lo JOIN fz USING (model) WHERE model = 'weekly' AND phase = 'development'),
+ cb AS (SELECT 1 + CAST(f >= c1 AS INT) + CAST(f >= c2 AS INT) + CAST(f >= c3 AS INT) + CAST(f >= c4 AS INT) AS bin, count(*) AS n, avg(f) AS forecast, avg(actual) AS observed FROM ow, cu WHERE model = 'weekly' GROUP BY 1),
+ po AS (SELECT phase, count(*) AS rows, count(*) FILTER (WHERE matched) AS matched FROM g GROUP BY 1), al AS (""" + " UNION ALL ".join([
+    _long("po", "population", ["rows", "matched"], key="phase", model="''"), _long("fz", "frozen", ["h", "q10", "q90", "n"]), _long("sc", "scale", ["a", "b"]), _long("p1", "point", R.POINT, "variant"), _long("ii", "interval", R.INTERVAL),
+    _long("p2", "season", R.POINT, "variant", "season"), _long("p3", "subgroup", R.POINT, key="flag"), _long("cb", "calibration", ["n", "forecast", "observed"], key="bin", model="'weekly'")]) + ")"
+
+
+@query(REPORT + " SELECT section, variant, key, model, measure, round(value + 1e-9, 4) AS value FROM al")
+def track_report(t):
+    """The report of a track from a stored run whose files were verified."""
+    e = evaluation(t)
+    games = e.select("id", "season", "phase", F.expr(MATCHED).alias("matched"), "actual", *(F.expr(f).cast("double").alias(m) for m, f in TRACK.items()), *(F.expr(c).alias(f) for f, c in FLAGS.items()))
+    run = files.write_run({"games": games}, f"{checkpoint_folder(t.spark)}/tracks-{uuid.uuid4().hex}", {}, {"track": "A"})
+    files.verify_run(t.spark, run)
+    found = R.track_report(t.spark.read.parquet(f"{run}/games.parquet"), list(TRACK), "home", "weekly", list(FLAGS))
+    return found.select("section", "variant", "key", "model", "measure", S.stable(F.col("value"), 4).alias("value"))

@@ -111,3 +111,13 @@ def test_scoreboard_that_contradicts_itself(spark):
 def test_scoring_events(spark):
     got = E.scoring_events(norm_of(spark, shot(HOME), ("Free Throw", AWAY, THROW | {"shotResult": "Made"}), ("Free Throw", AWAY, THROW), ("Rebound", HOME, {"event_time": None}))).orderBy("SEQ").collect()
     assert [(r.SCORING_TEAM_ID, r.POINTS, r.SOURCE_ACTION) for r in got] == [(HOME, 2.0, "made_shot"), (AWAY, 1.0, "free_throw")]
+
+
+def test_a_feed_without_order_numbers(spark):
+    """Action numbers order it; ids that aren't numbers aren't known."""
+    from statloom.operators import events as EV
+
+    rows = [("1", 1, 5.0, 7, 1, "Made Shot", "x1", "9"), ("1", 1, 5.0, 3, 2, "Rebound", "10", None), ("1", 1, 6.0, 2, 3, "Foul", "10.0", "5")]
+    e = spark.createDataFrame(rows, "gameId string, period int, event_time double, actionNumber int, ingest_ord int, actionType string, teamId string, personId string").selectExpr("*", "cast(null as string) as subType", "10L as HOME_TEAM_ID", "11L as AWAY_TEAM_ID")
+    got = EV.with_teams(EV.numbered_log(e)).orderBy("SEQ").collect()
+    assert [(r.ACTION, r.TEAM_ID, r.PERSON_ID, r.ORDER_INVERSION) for r in got] == [("rebound", 10, None, False), ("made_shot", None, 9, False), ("foul", 10, 5, True)]
