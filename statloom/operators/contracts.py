@@ -194,8 +194,34 @@ def checked_layout(root: str, folders: list[str]) -> None:
 PRIOR_MODES = ("date_censored", "lagged", "same_season")
 
 
-def prior_seasons(mode: str, seasons: list[str]) -> list[str]:
-    """The seasons that a prior mode can serve: lagged and censored ones need a season before."""
+def prior_mode(mode: str) -> str:
     if mode not in PRIOR_MODES:
         raise Refused(f"prior mode {mode!r}, expected one of {PRIOR_MODES}")
-    return list(seasons) if mode == "same_season" else list(seasons)[1:]
+    return mode
+
+
+def previous_season(season: str, available: list[str]) -> str:
+    """The season before, of those available; the first has none."""
+    if season not in available:
+        raise Refused(f"unknown season {season!r}")
+    at = list(available).index(season)
+    if not at:
+        raise Refused(f"{season} has no season before it")
+    return available[at - 1]
+
+
+def prior_seasons(mode: str, available: list[str], seasons: list[str] | None = None) -> list[str]:
+    """Of seasons (all available ones, if not given), those that a prior mode can serve: lagged and censored
+    priors need a season before, which the first available one hasn't."""
+    wanted = list(seasons if seasons else available)
+    return wanted if prior_mode(mode) == "same_season" else [s for s in wanted if s != available[0]]
+
+
+#: What a mode adds to the names of its artifacts.
+PRIOR_SUFFIXES = {"date_censored": "", "lagged": "_lagged", "same_season": "_same_season"}
+
+
+def prior_path(mode: str, path: str) -> str:
+    """The artifact of a mode: its name goes before the file's ending."""
+    stem, dot, end = path.rpartition(".")
+    return f"{stem}{PRIOR_SUFFIXES[prior_mode(mode)]}{dot}{end}" if dot and "/" not in end else f"{path}{PRIOR_SUFFIXES[prior_mode(mode)]}"

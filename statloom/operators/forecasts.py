@@ -63,7 +63,8 @@ CONTRASTS = {
 def paired_draws(losses: DataFrame, draws: int, seed: str, order: list[str], models: list[str]) -> DataFrame:
     """Of a paired bootstrap over rows: draw and each model's RMSE; all models share the
     draws. losses has a row for each case of a fixed cohort, numbered in order, and a column
-    of squared losses for each model; draws are made and summed map-side."""
+    of squared losses for each model. Draws follow from counters that SQL can repeat, and go through a join;
+    split_draws() of resampling.py moves none."""
     cases = stored(numbered(losses, order, "place").select("place", *models), "cases")
     n = cases.agg(F.count("*").alias("n"))
     parts = max(losses.sparkSession.sparkContext.defaultParallelism, int(losses.sparkSession.conf.get("spark.sql.shuffle.partitions")))

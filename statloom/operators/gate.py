@@ -80,7 +80,7 @@ def table_checks(t: dict[str, DataFrame], cohort: DataFrame, declared: DataFrame
     status, poss, segments, stints = t["game_status"], t["possessions"], t["segments"], t["stints"]
     ep, ee = t["excluded_possessions"], t["excluded_events"]
     admitted = status.where("STATUS = 'ADMITTED'").select("GAME_ID")
-    made: list[DataFrame] = []
+    made: list[DataFrame] = []  # fixed values: the checks' names
 
     def check(name: str, rows: DataFrame) -> None:
         made.append(rows.agg(F.count("*").alias("broken")).select(F.lit(name).alias("check"), "broken"))
@@ -105,7 +105,7 @@ def table_checks(t: dict[str, DataFrame], cohort: DataFrame, declared: DataFrame
     chain = chain.join(t["exclusions"].groupBy("GAME_ID").agg(F.sum("EXCLUDED_POSS").alias("xc"), F.sum("EXCLUDED_HOME_PTS").alias("xh"), F.sum("EXCLUDED_AWAY_PTS").alias("xa")), "GAME_ID", "left")
     check("stints_plus_exclusions_equal_segments", chain.where(" or ".join(f"{k} <> coalesce(t{k}, 0) + coalesce(x{k}, 0)" for k in "cha")))
     rate = F.col("net_rating_per_100")
-    check("stint_rates_finite_or_null", stints.where((F.abs(rate) == F.lit(float("inf"))) | ((F.col("possessions") == 0) & rate.isNotNull() & ~F.isnan(rate))))
+    check("stint_rates_finite_or_nan", stints.where((F.abs(rate) == F.lit(float("inf"))) | ((F.col("possessions") == 0) & rate.isNotNull() & ~F.isnan(rate))))
     check("every_possession_attributed", poss.where("OFFENSE_TEAM_ID is null"))
     periods = poss.groupBy("GAME_ID").agg(F.count_distinct("PERIOD").alias("periods"))
     check("possession_alternation_within_periods", team_counts(poss, []).join(periods, "GAME_ID").where("abs(na - nb) > periods"))

@@ -202,7 +202,7 @@ RUN = """WITH b AS (SELECT user_id AS u, lpad(CAST(user_id AS VARCHAR), 10, '0')
  UNION ALL SELECT 'admitted_points_equal_box_by_side', count(*) FROM ad LEFT JOIN (SELECT GAME_ID, sum(HOME_PTS) AS h, sum(AWAY_PTS) AS a FROM po GROUP BY 1) USING (GAME_ID) LEFT JOIN bx USING (GAME_ID) WHERE h IS DISTINCT FROM bh OR a IS DISTINCT FROM ba
  UNION ALL SELECT 'segments_sum_to_possessions', count(*) FROM po LEFT JOIN sg ON sg.GAME_ID = po.GAME_ID AND sg.POSS_IDX = po.POSS_IDX WHERE sg.GAME_ID IS NULL OR sg.POSS_COUNT <> 1
  UNION ALL SELECT 'stints_plus_exclusions_equal_segments', count(*) FROM ss LEFT JOIN sn USING (GAME_ID) LEFT JOIN xn USING (GAME_ID) WHERE ss.c <> coalesce(sn.c, 0) + coalesce(xn.c, 0) OR ss.h <> coalesce(sn.h, 0) + coalesce(xn.h, 0) OR ss.a <> coalesce(sn.a, 0) + coalesce(xn.a, 0)
- UNION ALL SELECT 'stint_rates_finite_or_null', count(*) FROM sn WHERE isinf(rate) OR c = 0 UNION ALL SELECT 'every_possession_attributed', count(*) FROM po WHERE OFFENSE_TEAM_ID IS NULL
+ UNION ALL SELECT 'stint_rates_finite_or_nan', count(*) FROM sn WHERE isinf(rate) OR c = 0 UNION ALL SELECT 'every_possession_attributed', count(*) FROM po WHERE OFFENSE_TEAM_ID IS NULL
  UNION ALL SELECT 'possession_alternation_within_periods', count(*) FROM (SELECT GAME_ID, sum(na) AS na, sum(nb) AS nb FROM tc GROUP BY 1) JOIN (SELECT GAME_ID, count(DISTINCT PERIOD) AS p FROM po GROUP BY 1) USING (GAME_ID) WHERE abs(na - nb) > p
  UNION ALL SELECT 'possession_alternation_per_period', count(DISTINCT GAME_ID) FROM tc WHERE abs(na - nb) > 1
  UNION ALL SELECT 'exclusions_are_declared_and_excludable', count(*) FROM (SELECT DISTINCT u, g FROM b WHERE u % 10 = 0) d LEFT JOIN st ON st.GAME_ID = d.g WHERE NOT coalesce(REASON = 'source_possession_unlogged', false)

@@ -205,8 +205,7 @@ def exploded_exposure(t):
 @query("""SELECT o_orderstatus, o_orderpriority, count(*) AS n, grouping(o_orderpriority) AS pooled FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderstatus, o_orderpriority))""")
 def grouping_levels(t):
     """Pooled and per-group levels together."""
-    t.orders.createOrReplaceTempView("orders_levels")
-    return t.spark.sql("select o_orderstatus, o_orderpriority, count(*) as n, cast(grouping(o_orderpriority) as bigint) as pooled from orders_levels group by grouping sets ((o_orderstatus), (o_orderstatus, o_orderpriority))")
+    return t.spark.sql("select o_orderstatus, o_orderpriority, count(*) as n, cast(grouping(o_orderpriority) as bigint) as pooled from {orders} group by grouping sets ((o_orderstatus), (o_orderstatus, o_orderpriority))", orders=t.orders)
 
 
 @query("""(SELECT c_nationkey AS k, 'both' AS side FROM customer INTERSECT SELECT s_nationkey, 'both' FROM supplier) UNION ALL (SELECT DISTINCT c_nationkey, 'customer' FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier))""")

@@ -75,7 +75,7 @@ UNLOGGED, ORDER = "source_possession_unlogged_exclusions_meet_policy", "source_o
     ([("game_status", 0, 0, "x"), ("excluded_events", 1, 6, 30.0)], {"every_cohort_game_has_a_status", "only_admitted_games_reconstructed", UNLOGGED}),
     ([("game_status", 1, 2, ""), ("possessions", 1, 3, 5)], {"quarantine_has_reason", "exclusions_are_declared_and_excludable", "alternation_removals_sealed", "possessions_tile_each_game"}),
     ([("team_game", 0, 2, 3), ("segments", 1, 6, 2), ("excluded_possessions", 0, 5, "end_of_period")], {"admitted_points_equal_box_by_side", "segments_sum_to_possessions", "stints_plus_exclusions_equal_segments", UNLOGGED}),
-    ([("stints", 0, 4, float("inf")), ("possessions", 1, 6, None), ("excluded_events", 1, 5, 99)], {"stint_rates_finite_or_null", "every_possession_attributed", UNLOGGED}),
+    ([("stints", 0, 4, float("inf")), ("possessions", 1, 6, None), ("excluded_events", 1, 5, 99)], {"stint_rates_finite_or_nan", "every_possession_attributed", UNLOGGED}),
     ([("possessions", 0, 6, 20), ("game_status", 1, 2, "source_order_unresolvable")], {ORDER, "exclusions_are_declared_and_excludable"}),
     ([("game_status", 1, 3, 5.0), ("stints", 0, 2, 3.0)], {UNLOGGED, "stints_plus_exclusions_equal_segments"}),
 ])
