@@ -1,4 +1,10 @@
-"""Scores of forecasts: point, interval and bootstrap metrics."""
+"""Scores of forecasts: point, interval and bootstrap metrics.
+
+n counts rows; a null actual, forecast or end is left out of the means and shares. A null group is a group of point
+and interval metrics, and none of joined ones (frozen parameters by group, calendar blocks), where it is dropped. Equal
+rows of a cohort are placed by the hash of their columns. An empty table has no groups, and of ungrouped
+metrics one row of nulls and n = 0.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,9 @@
-"""Joins and windows that Spark has no single operator for."""
+"""Joins and windows that Spark has no single operator for.
+
+Null keys match nothing in joins, and are a key of their own in places, shares, islands and quantiles. Rows equal in
+an order follow the hash of their other columns where places are numbered over ranges, and any order in plain windows
+(islands, trailing), whose orders should be unique. Empty tables give empty results.
+"""
 
 from __future__ import annotations
 
