@@ -263,7 +263,7 @@ def said_by_names(features: np.ndarray) -> np.ndarray:
 
 
 def labelled_sample(pages: DataFrame, html_column: str = "html") -> DataFrame:
-    """features and label of blocks of at most SAMPLE_PAGES of the pages, those of the least hashes, and SAMPLE_BLOCKS of
+    """features and label of blocks of at most SAMPLE_PAGES of the pages, chosen by hashes, and SAMPLE_BLOCKS of
     their blocks, labelled by their names. Each row comes twice: as it is, and with what names say hidden, so that
     words and link densities have to tell."""
 
@@ -279,7 +279,10 @@ def labelled_sample(pages: DataFrame, html_column: str = "html") -> DataFrame:
                     yield pd.DataFrame({"x": both, "label": [*labels, *labels]})
 
     html_ = F.col(f"`{html_column}`")
-    few = pages.where(html_.isNotNull()).select(html_.alias("html"), F.xxhash64(html_).alias("_hash")).orderBy("_hash", "html").limit(SAMPLE_PAGES).select("html")
+    rows = pages.where(html_.isNotNull()).select(html_.alias("html"), F.xxhash64(html_).alias("_hash"))
+    # by their hashes some four times as many are looked at as are taken, however many there are; copies once
+    share = min(1.0, 4 * SAMPLE_PAGES / max(1, pages.count()))
+    few = rows.where(F.pmod("_hash", F.lit(1 << 30)) < int(share * (1 << 30))).groupBy("_hash").agg(F.min("html").alias("html")).orderBy("_hash").limit(SAMPLE_PAGES).select("html")
     small_batches(pages.sparkSession)
     return few.mapInPandas(compute, "x array<double>, label double").orderBy(F.xxhash64("x"), "x", "label").limit(SAMPLE_BLOCKS)
 
