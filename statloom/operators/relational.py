@@ -48,19 +48,20 @@ def asof_broadcast(left: DataFrame, dates: DataFrame, left_ts: str, right_ts: st
 
 def within(points: DataFrame, spans: DataFrame, by: list[str], at: str, start: str, end: str) -> DataFrame:
     """Points with the spans of their key that hold them: start <= at < end. A span lies in
-    the level of buckets of the smallest power of two seconds that is as long, so that it touches two at
-    most; a point looks in its bucket of every level that has spans, some sixty at most. Spans that
-    end before they start, null keys and null times match nothing."""
+    the level of buckets of the smallest power of four seconds that is as long, so that it touches two at
+    most; a point looks in its bucket of every level that has spans, some thirty at most. Spans that
+    end before they start, null keys and null times match nothing. Both sides are many times as large as
+    Spark takes them for, as it counts a generated row once, so neither may be broadcast."""
     timed = spans.schema[start].dataType.simpleString().startswith("timestamp")
     seconds = lambda c: F.col(c).cast("timestamp").cast("double") if timed else F.col(c).cast("double")
-    spans = spans.where(F.col(start) < F.col(end)).withColumn("_level", F.ceil(F.log2(seconds(end) - seconds(start))).cast("int"))
-    levels = sorted(r[0] for r in spans.select("_level").distinct().collect())  # exponents of two
-    size = F.pow(F.lit(2.0), F.col("_level"))
+    spans = spans.where(F.col(start) < F.col(end)).withColumn("_level", F.ceil(F.log2(seconds(end) - seconds(start)) / 2).cast("int"))
+    levels = sorted(r[0] for r in spans.select("_level").distinct().collect())  # exponents of four
+    size = F.pow(F.lit(4.0), F.col("_level"))
     first = F.floor(seconds(start) / size)
     b = spans.withColumn("_bucket", F.explode(F.sequence(first, F.greatest(first, F.ceil(seconds(end) / size) - 1))))
     each = F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")
     a = points.withColumn("_level", F.explode(each)).withColumn("_bucket", F.floor(seconds(at) / size))
-    return a.join(b, [*by, "_level", "_bucket"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_level", "_bucket")
+    return a.join(b.hint("merge"), [*by, "_level", "_bucket"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_level", "_bucket")
 
 
 def linked(events: DataFrame, stints: DataFrame, both: bool = False) -> DataFrame:

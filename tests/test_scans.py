@@ -106,3 +106,21 @@ def test_quantiles(spark):
         for name, at in (("x", 1), ("y", 2)):
             values = [v[at] for v in rows if v[0] == g and v[at] is not None]
             assert r[name] == pytest.approx(np.quantile(values, shares).tolist()) if values else r[name] is None
+
+
+def test_within_broadcasts_neither_side(spark):
+    """Generated rows count once in Spark's sizes, so that either side may be many times what it is taken for."""
+    spans = spark.createDataFrame([(1, 0.0, 3e7)], "key int, a double, b double")
+    for points in (spark.createDataFrame([(1, 50.5)], "key int, at double"), spark.range(99).selectExpr("1 as key", "cast(id as double) as at")):
+        joined = R.within(points, spans, ["key"], "at", "a", "b")
+        assert joined.count() == points.count()
+        assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_within_makes_a_point_for_two_powers_of_two(spark):
+    """Spans of 1 to 2^20 seconds have eleven levels, and a point as many rows, not twenty-one."""
+    spans = spark.range(21).selectExpr("1 as key", "0.0D as a", "pow(2.0D, id) as b")
+    joined = R.within(spark.createDataFrame([(1, 0.5)], "key int, at double"), spans, ["key"], "at", "a", "b")
+    assert joined.count() == 21
+    generated = joined._jdf.queryExecution().analyzed().toString()
+    assert "array(0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10)" in generated
