@@ -8,6 +8,12 @@ metrics one row of nulls and n = 0.
 
 from __future__ import annotations
 
+import hashlib
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +21,9 @@ from ..functions.scalars import correlation
 from .numbering import numbered, stored
 from .relational import quantiles
 
+#: Slots that a task counts at once, four draws of them (the more, the fewer bits a pick), and cases of a block of counts.
+SLOTS, CASES = 1 << 22, 1 << 15
+
 
 def point_metrics(df: DataFrame, by: list[str], actual: str = "actual", forecast: str = "forecast") -> DataFrame:
     """n, rmse, mae, bias, correlation and calibration line of each group; the last
@@ -66,19 +75,59 @@ CONTRASTS = {
 }
 
 
-def paired_draws(losses: DataFrame, draws: int, seed: str, order: list[str], models: list[str]) -> DataFrame:
+def paired_draws(losses: DataFrame, draws: int, seed: str, order: list[str], models: list[str], lot: int = SLOTS, size: int = CASES) -> DataFrame:
     """Of a paired bootstrap over rows: draw and each model's RMSE; all models share the
     draws. losses has a row for each case of a fixed cohort, numbered in order, and a column
-    of squared losses for each model. Draws follow from counters that SQL can repeat, and go through a join;
-    split_draws() of resampling.py moves none."""
-    cases = stored(numbered(losses, order, "place").select("place", *models), "cases")
-    n = cases.agg(F.count("*").alias("n"))
-    parts = max(losses.sparkSession.sparkContext.defaultParallelism, int(losses.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    slots = cases.select(F.col("place").alias("slot")).repartition(parts, "slot").crossJoin(F.broadcast(n))  # n is a row
-    four = slots.withColumn("quarter", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // 4))))
-    places = F.array(*(drawn(seed, F.col("quarter"), F.col("slot"), F.col("n"), k) for k in range(4)))
-    picks = four.select("quarter", F.posexplode(places).alias("at", "place")).select((F.col("quarter") * 4 + F.col("at")).alias("draw"), "place").where(F.col("draw") < draws)
-    return picks.join(cases, "place").groupBy("draw").agg(*(F.sqrt(F.avg(m)).alias(m) for m in models))
+    of squared losses for each model. Draws follow from counters that SQL can repeat (those of drawn()). A task makes four draws' picks of a range of slots and
+    counts them by case; what is shuffled are the compressed counts of blocks of cases, a few bits a pick, to where a block's losses are.
+    split_draws() of resampling.py needs no counts moved."""
+    cases = stored(numbered(losses, order, "place").select("place", *(F.col(m).cast("double").alias(m) for m in models)), "cases")
+    n = cases.count()
+    spark = losses.sparkSession
+    lots = spark.range(-(-n // lot)).withColumn("first", F.col("id") * lot).select("first", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // 4))).alias("quarter"))
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def picked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for first, quarter in zip(frame["first"], frame["quarter"]):
+                yield from counted(int(first), min(int(first) + lot, n), int(quarter), n, draws, seed, size)
+
+    counts = lots.repartition(parts * 4, "first", "quarter").mapInPandas(picked, "block long, draw int, counts binary")
+    blocks = cases.withColumn("block", F.floor(F.col("place") / size))
+
+    def summed(counts: pd.DataFrame, cases: pd.DataFrame) -> pd.DataFrame:
+        values = np.zeros((size, 2 * len(models)))
+        given = cases[models].to_numpy(float)
+        # a null loss is left out of its model's mean
+        values[cases["place"].to_numpy() % size] = np.hstack([np.nan_to_num(given), ~np.isnan(given)])
+        rows = [np.frombuffer(zlib.decompress(x), np.uint8).astype(float) @ values for x in counts["counts"]]
+        return pd.DataFrame(np.array(rows).reshape(-1, 2 * len(models)), columns=[*(f"s_{k}" for k in range(len(models))), *(f"n_{k}" for k in range(len(models)))]).assign(draw=counts["draw"].to_numpy())
+
+    schema = "".join(f"s_{k} double, " for k in range(len(models))) + "".join(f"n_{k} double, " for k in range(len(models))) + "draw int"
+    sums = counts.groupBy("block").cogroup(blocks.groupBy("block")).applyInPandas(summed, schema)
+    mean = lambda k: F.when(F.sum(f"n_{k}") > 0, F.sum(f"s_{k}") / F.sum(f"n_{k}"))
+    return sums.groupBy("draw").agg(*(F.sqrt(mean(k)).alias(m) for k, m in enumerate(models)))
+
+
+def counted(first: int, last: int, quarter: int, n: int, draws: int, seed: str, size: int = CASES) -> Iterator[pd.DataFrame]:
+    """block, draw, counts: how often the slots from first to before last pick each case of a block, in the four draws of a quarter; a count
+    above 255 goes on in a further row."""
+    start, made = f"{seed}|{quarter}|".encode(), []
+    for at in range(first, last, size):
+        made.append(np.frombuffer(b"".join([hashlib.md5(start + b"%d" % slot).digest() for slot in range(at, min(at + size, last))]), ">u4").reshape(-1, 4).astype(np.uint32))
+    numbers = np.concatenate(made)
+    for part in range(min(4, draws - 4 * quarter)):
+        places = np.sort(numbers[:, part] % np.uint64(n))
+        blocks = np.arange(-(-n // size))
+        ends = np.searchsorted(places, np.append(blocks, len(blocks)) * np.uint64(size))
+        rows = []
+        for block, a, z in zip(blocks, ends, ends[1:]):
+            counts = np.bincount((places[a:z] - np.uint64(block * size)).astype(np.int64), minlength=size)
+            while counts.any():
+                now = np.minimum(counts, 255)
+                rows.append((block, zlib.compress(now.astype(np.uint8).tobytes(), 1)))
+                counts = counts - now
+        yield pd.DataFrame(rows, columns=["block", "counts"]).assign(draw=4 * quarter + part)[["block", "draw", "counts"]]
 
 
 def calendar_draws(blocks: DataFrame, draws: int, seed: str, models: list[str]) -> DataFrame:

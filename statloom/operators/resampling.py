@@ -51,7 +51,7 @@ def multiplicities(number: int, n: int, draws: int, seed: int, block: int = BLOC
 
 
 def split_draws(losses: DataFrame, draws: int, seed: int, order: list[str], models: list[str], block: int = BLOCK) -> DataFrame:
-    """Of a paired bootstrap over rows: draw and each model's RMSE, as paired_draws() gives, whose draws go through a join. losses has
+    """Of a paired bootstrap over rows: draw and each model's RMSE, as paired_draws() gives, whose picks are counted and moved. losses has
     a row for each case of a fixed cohort, numbered in order, and a column of squared losses, none of them null, for each model; an empty cohort has no draws."""
     cases = stored(numbered(losses.select(*order, *models), order, "place").select("place", *models), "cases")
     n = cases.count()

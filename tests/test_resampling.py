@@ -43,3 +43,24 @@ def test_plan_joins_no_draws(spark):
     df = spark.range(50).select("id", F.col("id").cast("double").alias("a"))
     plan = B.split_draws(df, 20, 1, ["id"], ["a"])._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
+
+
+def test_paired_draws_by_counts(spark):
+    """Against md5 in plain Python: lots of slots, blocks of cases, a draw count that isn't a multiple of four, null losses, a case picked often; no join of picks."""
+    import hashlib
+
+    from statloom.operators import forecasts as E
+
+    for n in (700, 1):
+        draws, df = 6, spark.range(n).select("id", (F.col("id") * 7 % 100).cast("double").alias("a"), F.when(F.col("id") % 3 == 0, F.col("id").cast("double")).alias("b"))
+        a, b = np.arange(n) * 7.0 % 100, np.where(np.arange(n) % 3 == 0, np.arange(n), np.nan)
+        got = {r["draw"]: r for r in E.paired_draws(df, draws, "s", ["id"], ["a", "b"], 300, 64).collect()}
+        assert set(got) == set(range(draws))
+        for draw, r in got.items():
+            picks = [int(hashlib.md5(f"s|{draw // 4}|{k}".encode()).hexdigest()[8 * (draw % 4) :][:8], 16) % n for k in range(n)]
+            assert np.allclose([r["a"], r["b"]], [np.sqrt(a[picks].mean()), np.sqrt(np.nanmean(b[picks]))])
+    often = [len(x) for x in E.counted(0, 600, 0, 2, 4, "s")]
+    assert often == [2] * 4  # more than 255 picks of either case in one block, by two rows
+    assert E.paired_draws(df.limit(0), 4, "s", ["id"], ["a"]).count() == 0
+    plan = E.paired_draws(df, 4, "s", ["id"], ["a"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "CoGroup" in plan
