@@ -31,8 +31,9 @@ def safe_ratio(a: Column, b: Column) -> Column:
 
 
 def correlation(a: Column, b: Column) -> Column:
-    """The correlation of columns that are null in the same rows; null where either is constant, on which corr() fails."""
-    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    """The correlation of columns that are null in the same rows; null where either is constant, on which corr() fails; a constant's deviation, put
+    together of parts, isn't always 0."""
+    return F.when((F.max(a) > F.min(a)) & (F.max(b) > F.min(b)), F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
 
 
 def known_true(c: Column) -> Column:

@@ -34,3 +34,19 @@ def test_report(spark):
 def test_no_holdout(spark):
     got = report(spark, [(1, 2000, "development", True, 1.0, 1.0, 2.0, True), (2, 2000, "holdout", False, None, None, None, None)])
     assert {k[0] for k in got} == {"population", "frozen", "scale"} and got["population", "", "holdout", "", "matched"] == 0
+
+
+def test_constants_of_many_parts(spark):
+    """The deviation of a constant, put together of parts, may be a little above 0: the line and the correlation are null all the same."""
+    from pyspark.sql import functions as F
+
+    from statloom.functions.scalars import correlation
+    from statloom.operators.forecasts import point_metrics
+
+    x = 150.0 + 100 / 3
+    n = next(n for n in range(2, 1000) if x / n * n != x)  # rows of a part whose mean, put together, isn't x
+    rows = spark.range(0, 8 * n, 1, 8).select(F.lit(1).alias("h"), F.lit(x).alias("forecast"), (F.col("id") * 7919 % 101).cast("double").alias("actual"))
+    assert rows.groupBy("h").agg(F.stddev_pop(F.col("forecast")).alias("s")).first()["s"] > 0
+    for r in point_metrics(rows, ["h"]).collect():
+        assert (r["correlation"], r["slope"], r["intercept"]) == (None, None, None) and r["rmse"] > 0
+    assert [r[1] for r in rows.groupBy("h").agg(correlation(F.col("forecast"), F.col("actual"))).collect()] == [None]
