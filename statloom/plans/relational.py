@@ -268,5 +268,4 @@ def array_functions(t):
 @query("""SELECT a, b, count(*) AS n FROM (SELECT x.l_suppkey AS a, y.l_suppkey AS b FROM lineitem x JOIN lineitem y USING (l_orderkey)) GROUP BY 1, 2""")
 def gram_self_join(t):
     """The pair counts of a sparse design's normal equations."""
-    x = t.lineitem
-    return x.select("l_orderkey", F.col("l_suppkey").alias("a")).join(x.select("l_orderkey", F.col("l_suppkey").alias("b")), "l_orderkey").groupBy("a", "b").agg(F.count("*").alias("n"))
+    return R.pair_counts(t.lineitem, "l_orderkey", "l_suppkey", t.lineitem.count())
