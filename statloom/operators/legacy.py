@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import known_true
 from .contracts import Refused
+from .numbering import stored
 from .possessions import SHOWS_BALL, TRANSFERS
 
 # Words of the live feed's shots, and its other words' standard names; descriptors of fouls that get a type.
@@ -72,24 +73,34 @@ def canonical_feed(events: DataFrame) -> DataFrame:
     return marked.select(*(new.get(c, F.col(c)).alias(c) for c in events.columns))
 
 
-def legacy_stints(possessions: DataFrame, player_team: DataFrame, least: int) -> DataFrame:
+def stint_sides(possessions: DataFrame, player_team: DataFrame) -> DataFrame:
+    """game, home_team and away_team (0 if not known) as legacy_stints takes them. A game's first players are looked up in the roster as it streams by, which may
+    repeat rows, so that no player of a game but these two is sorted or kept."""
+    first = possessions.groupBy("game").agg(F.min_by(F.col("offense_lineup")[0], "at").alias("_h"), F.min_by(F.col("defense_lineup")[0], "at").alias("_a"))
+    own = lambda c: F.col("player") == F.col(c)
+    asked = player_team.select("game", "player", "team").join(first.hint("shuffle_hash"), "game").where(own("_h") | own("_a"))
+    teams = asked.groupBy("game").agg(F.count_if(own("_h")).alias("_n"), F.max(F.when(own("_h"), F.col("team"))).alias("home_team"), F.max(F.when(own("_a"), F.col("team"))).alias("_away")).where("_n > 0")
+    return teams.select("game", "home_team", F.when(F.col("_away") != F.col("home_team"), F.col("_away")).otherwise(0).alias("away_team"))
+
+
+def legacy_stints(possessions: DataFrame, player_team: DataFrame, least: int, sides: DataFrame | None = None) -> DataFrame:
     """Possessions of the older form added up by game and both lineups, of at least so many: game, home_lineup, away_lineup, home_team,
     away_team (0 if not known), possessions, home_points, away_points, net_points, net_rating_per_100, duration. The home team is that of the first player of a game's first
     possession's offence, the away team likewise of the defence; games without a home team and possessions without
     two fives are left out. Points go to the scoring team, else to the offence. A negative duration is refused, an unknown one is 0.
-    possessions: game, at (their order), offense_lineup, defense_lineup, points, scoring_team, offense_team, duration; player_team: game, player, team."""
-    first = possessions.groupBy("game").agg(F.min_by(F.col("offense_lineup")[0], "at").alias("_h"), F.min_by(F.col("defense_lineup")[0], "at").alias("_a"))
-    of = player_team.groupBy("game", "player").agg(F.max("team").alias("team"))
-    sides = first.join(of.select("game", F.col("player").alias("_h"), F.col("team").alias("home_team")), ["game", "_h"]).join(of.select("game", F.col("player").alias("_a"), F.col("team").alias("_away")), ["game", "_a"], "left")
-    sides = sides.select("game", "home_team", F.when(F.col("_away") != F.col("home_team"), F.col("_away")).otherwise(0).alias("away_team"))
-    rows = possessions.join(sides, "game").where((F.size("offense_lineup") == 5) & (F.size("defense_lineup") == 5))
+    possessions: game, at (their order), offense_lineup, defense_lineup, points, scoring_team, offense_team, duration; player_team: game, player, team. sides: a written table of stint_sides(), where
+    it is used more than once."""
+    sides = stored(stint_sides(possessions, player_team), "stint-sides") if sides is None else sides
+    rows = possessions.join(sides.hint("shuffle_hash"), "game").where((F.size("offense_lineup") == 5) & (F.size("defense_lineup") == 5))
     negative = rows.where("duration < 0").select("game", "at", "duration").limit(5).collect()
     if negative:
         raise Refused(f"negative durations: {[tuple(r) for r in negative]}")
     points = F.coalesce(F.col("points"), F.lit(0))
     credit = F.coalesce(F.when(F.col("scoring_team") > 0, F.col("scoring_team")), F.when(F.col("offense_team") > 0, F.col("offense_team")))
     scored = lambda own: F.sum(F.when((points > 0) & credit.isNotNull() & ((credit == F.col("home_team")) == F.lit(own)), points).otherwise(0))
-    keys = [F.array_sort("offense_lineup").alias("home_lineup"), F.array_sort("defense_lineup").alias("away_lineup")]
+    some_null = lambda c: F.greatest(*(F.col(c)[k].isNull() for k in range(5)))
+    in_order = lambda c: F.when(some_null(c), F.array_sort(c)).otherwise(F.sort_array(c))  # noqa: E731  (the latter is compiled, but has nulls first)
+    keys = [in_order("offense_lineup").alias("home_lineup"), in_order("defense_lineup").alias("away_lineup")]
     out = rows.groupBy("game", *keys, "home_team", "away_team").agg(F.count("*").alias("possessions"), scored(True).alias("home_points"), scored(False).alias("away_points"), F.sum(F.coalesce("duration", F.lit(0.0))).alias("duration"))
     net = F.col("home_points") - F.col("away_points")
     return out.where(F.col("possessions") >= least).withColumn("net_points", net).withColumn("net_rating_per_100", 100.0 * net / F.col("possessions"))

@@ -90,10 +90,11 @@ def quantiles(df: DataFrame, by: list[str], value: str, shares: list[float]) ->
 
 
 def dealt(df: DataFrame, rows: int, keys: list[str], each: int = 1 << 19) -> DataFrame:
-    """df by a hash of keys, where its rows are more than `each` a shuffle partition of the session, into as many partitions as leave each of them
-    so many; else as it is. So a task's memory does not grow with the table."""
-    parts = -(-rows // each)
-    return df.repartition(parts, *keys) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+    """df by a hash of keys, where its rows are more than `each` a shuffle partition of the session or a core, into as many partitions as leave each of them
+    so many, at least; else as it is. So a task's memory does not grow with the table. Adaptive execution puts the partitions of other shuffles
+    together until there is one a core, so that many shuffle partitions alone don't bound it."""
+    parts, shuffled = -(-rows // each), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(parts, shuffled), *keys) if parts > min(shuffled, df.sparkSession.sparkContext.defaultParallelism) else df
 
 
 def pair_counts(df: DataFrame, group: str, member: str, rows: int) -> DataFrame:

@@ -167,23 +167,29 @@ OLDER = """WITH q AS (SELECT l_orderkey AS game, l_linenumber * 100000000 + l_pa
  CAST(sum(CASE WHEN points > 0 AND credit <> home_team THEN points ELSE 0 END) AS BIGINT) AS away_points, sum(coalesce(duration, 0)) AS duration, true AS negative_refused FROM r GROUP BY ALL HAVING count(*) >= 2""")
 def legacy_stints(t):
     """Possessions by game and both lineups; the home team is that of the first possession's first player; two possessions or more, no negative durations."""
-    rows = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey"))
+    n = t.lineitem.count()
     order, line, part = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")
-    h = F.transform(F.sequence(F.lit(0), F.when(F.col("l_quantity") >= 3, 4).otherwise(3)), lambda k: (order + F.floor(line / 4) + 7 * k) % 1000)
-    a = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: 1000 + (order + 11 * k) % 1000)
+    lines = R.dealt(t.lineitem.select(order, line, part, "l_suppkey", "l_quantity", "l_shipdate"), n, ["l_orderkey"])
+    rows = lines.join(t.orders.select("o_orderkey", "o_orderdate"), F.col("o_orderkey") == order).drop("o_orderkey")
+    # written narrow, so that what is shuffled by games again has no arrays
+    rows = R.dealt(stored(rows, "older-lines"), n, ["l_orderkey"])
+    h, a = [(order + F.floor(line / 4) + 7 * k) % 1000 for k in range(5)], [1000 + (order + 11 * k) % 1000 for k in range(5)]
+    h, a = F.when(F.col("l_quantity") >= 3, F.array(*h)).otherwise(F.array(*h[:4])), F.array(*a)
     scoring = F.when(line % 3 == 0, order % 30).when(line % 3 == 1, 30 + order % 30)
     days = F.datediff("l_shipdate", "o_orderdate").cast("double")
     p = rows.select(order.alias("game"), (line * F.lit(100000000).cast("long") + part).alias("at"), h.alias("offense_lineup"), a.alias("defense_lineup"), F.when(F.col("l_suppkey") % 9 != 0, F.floor("l_quantity") % 4).alias("points"), scoring.alias("scoring_team"),
         F.when(part % 5 != 0, order % 30).alias("offense_team"), F.when(part % 11 != 0, days).alias("duration"))
-    p = stored(p, "older-possessions")
-    home = p.select("game", F.explode("offense_lineup").alias("player")).distinct().where("player % 41 <> 0").select("game", "player", (F.col("game") % 30).alias("team"))
-    away = p.select("game", F.explode("defense_lineup").alias("player")).distinct().where("player % 37 <> 0").select("game", "player", (30 + F.col("game") % 30).alias("team"))
+    # the players of both sides, of which some are of no team; a row for each possession
+    players = p.select("game", F.size("offense_lineup").alias("home"), F.posexplode(F.concat("offense_lineup", "defense_lineup")).alias("at", "player"))
+    own = F.col("at") < F.col("home")
+    players = players.where(F.when(own, F.col("player") % 41 != 0).otherwise(F.col("player") % 37 != 0)).select("game", "player", F.when(own, F.col("game") % 30).otherwise(30 + F.col("game") % 30).alias("team"))
+    sides = stored(L.stint_sides(p, players), "stint-sides")
     try:
-        L.legacy_stints(p, home.union(away), 2)
+        L.legacy_stints(p, players, 2, sides)
         refused = False
     except Refused:
         refused = True
-    made = L.legacy_stints(p.withColumn("duration", F.abs("duration")), home.union(away), 2)
+    made = L.legacy_stints(p.withColumn("duration", F.abs("duration")), players, 2, sides)
     return made.select("game", "home_lineup", "away_lineup", "home_team", "away_team", "possessions", "home_points", "away_points", "duration", F.lit(refused).alias("negative_refused"))
 
 
