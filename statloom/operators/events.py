@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import known_true, padded_id, squeezed
+from .relational import dealt
 
 # Names of actions, phrases of free throws in order of priority, phrases of fouls that award one throw and the ball, administrative actions.
 ACTIONS = {
@@ -26,6 +27,8 @@ COLUMNS = (
     "GAME_ID SEQ PERIOD ELAPSED ACTION SUBTYPE_RAW TEAM_ID PERSON_ID SHOT_VALUE FT_MADE FT_OUTCOME_SOURCE FT_KIND FT_NUM FT_OF PERIOD_END SCORE_HOME SCORE_AWAY PTS_HOME PTS_AWAY "
     "SCORING_UNRESOLVED OBS_SCORE_HOME OBS_SCORE_AWAY HOME_ON AWAY_ON LINEUP_VALID HOME_TEAM_ID AWAY_TEAM_ID ORDER_NUMBER ORDER_INVERSION"
 ).split()
+#: Rows of a log that a task sorts at a time, as eight windows and joins of wide rows follow each other in it.
+EACH = 1 << 16
 
 
 def first_phrase(text: Column, phrases: dict[str, str]) -> Column:
@@ -33,14 +36,15 @@ def first_phrase(text: Column, phrases: dict[str, str]) -> Column:
     return F.coalesce(*(F.when(text.contains(k), v) for k, v in phrases.items()))
 
 
-def numbered_log(events: DataFrame) -> DataFrame:
+def numbered_log(events: DataFrame, rows: int = 0) -> DataFrame:
     """Keys, order and the flag of rows whose entry number is below one placed before them; a feed
-    without orderNumber is ordered by actionNumber."""
+    without orderNumber is ordered by actionNumber. rows: those of events, where they are dealt out by games."""
     entry = F.col("orderNumber" if "orderNumber" in events.columns else "actionNumber")
     e = events.withColumns({
         "GAME_ID": padded_id(F.col("gameId")), "PERIOD": F.col("period").cast("int"), "ELAPSED": F.col("event_time").cast("string").try_cast("double"), "ORDER_NUMBER": entry.cast("string").try_cast("double"),
         "ACTION": F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in ACTIONS.items() for x in pair)), squeezed(F.col("actionType"))), F.lit("other")),
     })
+    e = dealt(e, rows, ["GAME_ID"], EACH)
     place = [F.col("PERIOD").asc_nulls_last(), F.col("ELAPSED").asc_nulls_last(), F.col("ORDER_NUMBER").asc_nulls_last(), "ingest_ord"]
     e = e.withColumn("SEQ", (F.row_number().over(Window.partitionBy("GAME_ID").orderBy(*place)) - 1).cast("int"))
     w = Window.partitionBy("GAME_ID", "PERIOD").orderBy("SEQ")
@@ -128,33 +132,34 @@ def with_lineups(e: DataFrame, player_team: DataFrame) -> DataFrame:
     return e.withColumns({"HOME_ON": F.when(F.col("LINEUP_VALID"), F.col("_home")), "AWAY_ON": F.when(F.col("LINEUP_VALID"), F.col("_away"))})
 
 
-def normalized(events: DataFrame, game_teams: DataFrame, player_team: DataFrame) -> DataFrame:
+def normalized(events: DataFrame, game_teams: DataFrame, player_team: DataFrame, rows: int = 0) -> DataFrame:
     """The 29 columns of the normal form, a row for each event. game_teams: GAME_ID,
-    HOME_TEAM_ID, AWAY_TEAM_ID; player_team: GAME_ID, PLAYER_ID, TEAM_ID."""
+    HOME_TEAM_ID, AWAY_TEAM_ID; player_team: GAME_ID, PLAYER_ID, TEAM_ID; rows: how many events there are, if known."""
     teams = game_teams.select(padded_id(F.col("GAME_ID")).alias("GAME_ID"), "HOME_TEAM_ID", "AWAY_TEAM_ID")
-    e = with_teams(numbered_log(events).join(teams, "GAME_ID", "left"))
+    e = with_teams(numbered_log(events, rows).join(teams, "GAME_ID", "left"))
     return with_lineups(with_points(with_throws(e)), player_team).select(*COLUMNS)
 
 
-def instant_checkpoints(norm: DataFrame) -> DataFrame:
+def instant_checkpoints(norm: DataFrame, rows: int = 0) -> DataFrame:
     """GAME_ID, instants with a scoreboard and how many of them differ: the score after an
     instant against the highest that the scoreboard shows in it."""
-    inst = norm.where("ELAPSED is not null").groupBy("GAME_ID", "PERIOD", "ELAPSED").agg(*(F.max_by(f"SCORE_{s}", "SEQ").alias(f"end_{s}") for s in ("HOME", "AWAY")), *(F.max(f"OBS_SCORE_{s}").alias(f"obs_{s}") for s in ("HOME", "AWAY")))
+    timed = norm.where("ELAPSED is not null").select("GAME_ID", "SEQ", "PERIOD", "ELAPSED", "SCORE_HOME", "SCORE_AWAY", "OBS_SCORE_HOME", "OBS_SCORE_AWAY")
+    inst = dealt(timed, rows, ["GAME_ID"], 2 * EACH).groupBy("GAME_ID", "PERIOD", "ELAPSED").agg(*(F.max_by(f"SCORE_{s}", "SEQ").alias(f"end_{s}") for s in ("HOME", "AWAY")), *(F.max(f"OBS_SCORE_{s}").alias(f"obs_{s}") for s in ("HOME", "AWAY")))
     shown = F.col("obs_HOME").isNotNull() | F.col("obs_AWAY").isNotNull()
     off = known_true(F.col("obs_HOME") != F.col("end_HOME")) | known_true(F.col("obs_AWAY") != F.col("end_AWAY"))
     return inst.groupBy("GAME_ID").agg(F.count_if(shown).alias("INSTANT_CHECKPOINTS"), F.count_if(shown & off).alias("INSTANT_CHECKPOINT_MISMATCHES"))
 
 
-def period_checkpoints(norm: DataFrame, box: DataFrame) -> DataFrame:
+def period_checkpoints(norm: DataFrame, box: DataFrame, rows: int = 0) -> DataFrame:
     """GAME_ID, CHECKPOINTS, CHECKPOINT_MISMATCHES, SCOREBOARD_UNCHECKED_PERIODS and
     SCOREBOARD_FINAL_MATCHES_BOX. A side's scoreboard is evidence only if its last value is the
     box's, and only in periods after it has last contradicted itself (a value below the one before)
     and agreed with the events again."""
     sides = F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"SCORE_{s}").alias("score"), F.col(f"OBS_SCORE_{s}").alias("obs")) for s in ("HOME", "AWAY")))
-    rows = norm.select("GAME_ID", "SEQ", "PERIOD", F.explode(sides).alias("x")).select("GAME_ID", "SEQ", "PERIOD", "x.*")
-    ends = rows.groupBy("GAME_ID", "side", "PERIOD").agg(F.max_by("score", "SEQ").alias("end"), F.max("obs").alias("most"))
-    shown = rows.where("obs is not null")
+    each_side = norm.select("GAME_ID", "SEQ", "PERIOD", F.explode(sides).alias("x")).select("GAME_ID", "SEQ", "PERIOD", "x.*")
+    ends = each_side.groupBy("GAME_ID", "side", "PERIOD").agg(F.max_by("score", "SEQ").alias("end"), F.max("obs").alias("most"))
     key = ["GAME_ID", "side"]
+    shown = dealt(each_side.where("obs is not null"), 2 * rows, key, 2 * EACH)
     w = Window.partitionBy(*key).orderBy("SEQ")
     broke = F.max(F.when(F.col("obs") < F.col("before"), F.col("SEQ"))).over(Window.partitionBy(*key))
     marked = shown.withColumn("before", F.lag("obs").over(w)).withColumn("broke", broke)
@@ -178,18 +183,21 @@ def scoring_events(norm: DataFrame) -> DataFrame:
     return norm.where(scored | F.col("SCORING_UNRESOLVED")).select("GAME_ID", "SEQ", team.alias("SCORING_TEAM_ID"), points.alias("POINTS"), "LINEUP_VALID", F.col("ACTION").alias("SOURCE_ACTION"))
 
 
-def game_status(norm: DataFrame, box: DataFrame) -> DataFrame:
+def game_status(norm: DataFrame, box: DataFrame, rows: int = 0) -> DataFrame:
     """A row for each game: final scores against the box (GAME_ID, HOME_PTS, AWAY_PTS), checkpoints,
-    and ADMITTED or QUARANTINED with its reasons."""
+    and ADMITTED or QUARANTINED with its reasons. rows: those of norm, if known."""
     sides = box.select(padded_id(F.col("GAME_ID")).alias("GAME_ID"), F.col("HOME_PTS").cast("double").alias("BOX_HOME"), F.col("AWAY_PTS").cast("double").alias("BOX_AWAY"))
     # the last period in which anything but a marker happens
-    final = norm.groupBy("GAME_ID").agg(F.coalesce(F.max(F.when(F.col("ACTION") != "period", F.col("PERIOD"))), F.max("PERIOD")).alias("_final"))
-    n = norm.join(final, "GAME_ID").withColumn("_end", F.max(F.when(F.col("PERIOD_END") & (F.col("PERIOD") == F.col("_final")), F.col("SEQ"))).over(Window.partitionBy("GAME_ID")))
+    periods = norm.where("PERIOD is not null").groupBy("GAME_ID", "PERIOD").agg(F.bool_or(known_true(F.col("ACTION") != "period")).alias("_played"), F.max(F.when(F.col("PERIOD_END"), F.col("SEQ"))).alias("_end"))
+    last = F.struct("PERIOD", "_end")
+    ends = periods.groupBy("GAME_ID").agg(F.coalesce(F.max(F.when(F.col("_played"), last)), F.max(last))["_end"].alias("_end"))
     scores = (F.col("ACTION") == "made_shot") | (F.col("ACTION") == "free_throw") & known_true(F.col("FT_MADE"))
-    g = n.groupBy("GAME_ID").agg(
+    g = norm.where("GAME_ID is not null").groupBy("GAME_ID").agg(
         F.max_by("SCORE_HOME", "SEQ").alias("FINAL_HOME"), F.max_by("SCORE_AWAY", "SEQ").alias("FINAL_AWAY"), F.count_if("SCORING_UNRESOLVED").alias("UNRESOLVED_SCORING_EVENTS"),
-        F.max("_end").isNotNull().alias("HAS_PERIOD_END"), F.bool_or(known_true((F.col("SEQ") > F.col("_end")) & scores)).alias("_after"), F.count_if("ORDER_INVERSION").alias("ORDER_INVERSIONS"))
-    g = g.join(sides, "GAME_ID", "left").join(period_checkpoints(norm, box), "GAME_ID", "left").join(instant_checkpoints(norm).drop("INSTANT_CHECKPOINTS"), "GAME_ID", "left")
+        F.max(F.when(scores, F.col("SEQ"))).alias("_scored"), F.count_if("ORDER_INVERSION").alias("ORDER_INVERSIONS"))
+    g = g.join(ends, "GAME_ID", "left").select(
+        "GAME_ID", "FINAL_HOME", "FINAL_AWAY", "UNRESOLVED_SCORING_EVENTS", F.col("_end").isNotNull().alias("HAS_PERIOD_END"), known_true(F.col("_scored") > F.col("_end")).alias("_after"), "ORDER_INVERSIONS")
+    g = g.join(sides, "GAME_ID", "left").join(period_checkpoints(norm, box, rows), "GAME_ID", "left").join(instant_checkpoints(norm, rows).drop("INSTANT_CHECKPOINTS"), "GAME_ID", "left")
     g = g.fillna(0, ["CHECKPOINTS", "CHECKPOINT_MISMATCHES", "SCOREBOARD_UNCHECKED_PERIODS", "INSTANT_CHECKPOINT_MISMATCHES"]).fillna(True, ["SCOREBOARD_FINAL_MATCHES_BOX"])
     exact = known_true((F.col("FINAL_HOME") == F.col("BOX_HOME")) & (F.col("FINAL_AWAY") == F.col("BOX_AWAY")))
     reasons = F.concat_ws(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import events as EV
 from ..operators.numbering import stored
+from ..operators.relational import dealt
 from .registry import query
 
 #: The raw log: words, phrases, results and scoreboards that follow from an event's type, value and number.
@@ -43,7 +44,8 @@ SHOWN = "GAME_ID SEQ PERIOD ELAPSED ACTION TEAM_ID FT_MADE FT_OUTCOME_SOURCE FT_
 
 def raw_log(t) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    b = t.events.withColumn("rn", (F.row_number().over(w) - 1).cast("long")).withColumn("k", F.floor("value") % 10).withColumn("total", F.count("*").over(Window.partitionBy("user_id")))
+    events = dealt(t.events.select("user_id", "event_id", "event_type", "ts", "value"), t.events.count(), ["user_id"])
+    b = events.withColumn("rn", (F.row_number().over(w) - 1).cast("long")).withColumn("k", F.floor("value") % 10).withColumn("total", F.count("*").over(Window.partitionBy("user_id")))
     kind, i, k, rn, odd = F.col("event_type"), F.col("event_id"), F.col("k"), F.col("rn"), F.col("user_id") % 2 == 1
     signup = F.when(k % 5 == 0, "Foul").when(k % 5 == 1, "Turnover").when(k % 5 == 2, "Timeout").when(k % 5 == 3, "Substitution").otherwise("Ejection")
     b = b.withColumn("actionType", F.when((rn % 30 == 29) | (rn == F.col("total") - 1), "period").when(kind == "view", " Made  Shot").when(kind == "click", "Missed Shot").when(kind == "purchase", "FREE THROW").when(kind == "error", "rebound").otherwise(signup))
@@ -64,7 +66,7 @@ def normal_log(t) -> DataFrame:
     games = t.events.select(F.col("user_id").alias("GAME_ID")).distinct()
     teams = games.select("GAME_ID", F.lit(10).cast("long").alias("HOME_TEAM_ID"), F.lit(11).cast("long").alias("AWAY_TEAM_ID"))
     players = games.select("GAME_ID", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("p")).select("GAME_ID", F.col("p").cast("long").alias("PLAYER_ID"), F.when(F.col("p") <= 5, 10).otherwise(11).cast("long").alias("TEAM_ID"))
-    return EV.normalized(raw_log(t), teams, players)
+    return EV.normalized(raw_log(t), teams, players, t.events.count())
 
 
 @query(NORMAL + f" SELECT {', '.join(SHOWN)} FROM n")
@@ -103,7 +105,7 @@ def box_of(norm: DataFrame) -> DataFrame:
 def game_status(t):
     """Each game's score against its box and its scoreboard by period and instant; admitted, or quarantined with its reasons in order."""
     norm = stored(normal_log(t), "normal-log")
-    return EV.game_status(norm, box_of(norm))
+    return EV.game_status(norm, box_of(norm), t.events.count())
 
 
 @query(LEDGER + """ SELECT GAME_ID, count(*) AS events, CAST(sum(PTS_HOME + PTS_AWAY) AS DOUBLE) AS points, count(*) FILTER (WHERE SCORING_UNRESOLVED) AS unresolved, count(*) FILTER (WHERE LINEUP_VALID) AS in_lineups FROM n

@@ -2,8 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from compare import expected, rows_of
+from statloom.operators import events as EV
 from statloom.operators import legacy as L
 from statloom.operators import relational as R
+from statloom.plans import registry
+
+SMALL = "/root/testdata/sf0.001"
 
 
 def test_dealt_where_shuffle_partitions_are_many(spark):
@@ -32,3 +37,25 @@ def test_unknown_players_of_a_lineup_stay_last(spark):
     schema = "game long, at long, offense_lineup array<long>, defense_lineup array<long>, points long, scoring_team long, offense_team long, duration double"
     (r,) = L.legacy_stints(spark.createDataFrame(rows, schema), spark.createDataFrame([(1, 3, 10)], "game long, player long, team long"), 1).collect()
     assert (r.home_lineup, r.away_lineup) == ([1, 2, 3, 4, None], [5, 6, 7, 8, 9])
+
+
+def test_logs_are_dealt_by_rows(spark, monkeypatch):
+    """A task sorts no more rows of a longer log; the same rows come out."""
+    monkeypatch.setattr(EV, "EACH", 50)
+    n = spark.read.parquet(f"{SMALL}/events.parquet").count()
+    made = registry.QUERIES["normalized_events"](spark, SMALL)
+    assert made.rdd.getNumPartitions() == -(-n // 50) > 4
+    for name in ("normalized_events", "game_status"):
+        assert rows_of(registry.QUERIES[name](spark, SMALL).toPandas()) == expected(registry.SQL[name], SMALL)
+
+
+def test_the_end_of_the_last_period_takes_no_window(spark):
+    """The last period in which anything but a marker happens, though a marker follows it; rows without a game have no status."""
+    rows = [(g, k, p, 4.0 * k, a, end) for g in ("1", None) for k, (p, a, end) in enumerate([(1, "made_shot", False), (1, "period", True), (2, "missed_shot", False), (2, "period", True), (2, "made_shot", False), (3, "period", False)])]
+    norm = spark.createDataFrame(rows, "GAME_ID string, SEQ int, PERIOD int, ELAPSED double, ACTION string, PERIOD_END boolean")
+    none = F.lit(None).cast("double")
+    norm = norm.withColumns({"SCORE_HOME": F.lit(2.0), "SCORE_AWAY": F.lit(0.0), "OBS_SCORE_HOME": none, "OBS_SCORE_AWAY": none, "SCORING_UNRESOLVED": F.lit(False), "ORDER_INVERSION": F.lit(False), "FT_MADE": F.lit(None).cast("boolean")})
+    status = EV.game_status(norm, spark.createDataFrame([("1", 2, 0)], "GAME_ID string, HOME_PTS int, AWAY_PTS int"))
+    assert [(r.HAS_PERIOD_END, r.REASON) for r in status.collect()] == [(True, "final_score_mismatch_box; scoring_after_final_period_end")]
+    windows = status._jdf.queryExecution().optimizedPlan().toString().count("Window [")
+    assert windows == 3  # those of the scoreboard's periods
