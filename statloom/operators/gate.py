@@ -35,13 +35,14 @@ def accounting_rows(possessions: DataFrame, box: DataFrame, periods: DataFrame)
     credited to the scoring team, else to the offence; possessions without an offence, and points without either, are unattributed.
     possessions: game, offense_team, scoring_team, points; box: game, season, team, pts; periods: game, periods (null if not known)."""
     teams = box.groupBy("game", "season").agg(F.count("*").alias("_n"), F.min("team").alias("a"), F.max("team").alias("b"), F.min_by("pts", "team").alias("box_a"), F.max_by("pts", "team").alias("box_b")).where("_n = 2 and a < b")
-    rows = possessions.join(teams.select("game", "a", "b"), "game")
+    # hashed by games, as possessions and box may lie: a task sorts neither of them
+    rows = possessions.join(teams.hint("shuffle_hash"), "game")
     credit = F.coalesce("scoring_team", "offense_team")
     scored = lambda team: F.sum(F.when((credit == F.col(team)) & (F.col("points") > 0), F.col("points")).otherwise(0)).cast("double")
-    said = rows.groupBy("game").agg(
+    said = rows.groupBy("game", "season", "a", "b", "box_a", "box_b").agg(
         scored("a").alias("PBP_PTS_A"), scored("b").alias("PBP_PTS_B"), F.count_if(F.col("offense_team") == F.col("a")).alias("POSS_A"), F.count_if(F.col("offense_team") == F.col("b")).alias("POSS_B"),
         F.count_if(F.col("offense_team").isNull()).alias("UNATTRIBUTED_POSS"), F.sum(F.when(credit.isNull() & (F.col("points") > 0), F.col("points")).otherwise(0)).cast("double").alias("UNATTRIBUTED_PTS"))
-    return teams.join(said, "game").join(periods, "game", "left").select(
+    return said.join(periods.hint("shuffle_hash"), "game", "left").select(
         padded_id(F.col("game")).alias("GAME_ID"), F.col("season").alias("SEASON_ID"), F.col("periods").alias("PERIODS"), "PBP_PTS_A", "PBP_PTS_B", F.col("box_a").cast("double").alias("BOX_PTS_A"), F.col("box_b").cast("double").alias("BOX_PTS_B"),
         "POSS_A", "POSS_B", "UNATTRIBUTED_POSS", "UNATTRIBUTED_PTS")
 

@@ -10,6 +10,7 @@ from ..operators import contracts as C
 from ..operators import forecasts as E
 from ..operators import gate as G
 from ..operators.numbering import stored
+from ..operators.relational import dealt
 from ..sources import files
 from . import forecasting, ratings
 from .registry import query
@@ -115,15 +116,21 @@ PLAYED = """WITH q AS (SELECT o_orderkey AS game, CAST(year(o_orderdate) AS VARC
 
 def accounting(t) -> DataFrame:
     """The 11 columns of game accounting, from lines as possessions."""
-    lines = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).join(t.customer, F.col("c_custkey") == F.col("o_custkey"))
+    n, games = t.lineitem.count(), t.orders.count()
+    sides = dealt(t.orders.select("o_orderkey", "o_custkey", "o_orderdate"), games, ["o_custkey"]).join(t.customer.select("c_custkey", "c_nationkey"), F.col("c_custkey") == F.col("o_custkey"))
+    sides = stored(sides.select("o_orderkey", "c_nationkey", F.year("o_orderdate").cast("string").alias("season")), "sides")
+    # all that follows is by game, in one stage, as the lines are dealt out
+    lines = dealt(t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity"), n, ["l_orderkey"]).join(sides.hint("shuffle_hash"), F.col("o_orderkey") == F.col("l_orderkey"))
     offense = F.when((F.col("l_orderkey") % 37 != 0) | (F.col("l_linenumber") != 1), F.col("c_nationkey") + F.col("l_linenumber") % 2)
-    poss = lines.select(F.col("o_orderkey").alias("game"), offense.alias("offense_team"), F.when(F.col("l_linenumber") == 5, F.col("c_nationkey")).alias("scoring_team"), (F.floor("l_quantity") % 4).alias("points"))
-    credited = poss.groupBy("game", F.coalesce("scoring_team", "offense_team").alias("team")).agg(F.sum("points").alias("pts"))
-    sides = t.orders.where("o_orderkey % 29 <> 0").join(t.customer, F.col("c_custkey") == F.col("o_custkey")).select(F.col("o_orderkey").alias("game"), F.year("o_orderdate").cast("string").alias("season"), F.explode(F.array(F.col("c_nationkey"), F.col("c_nationkey") + 1)).alias("team"), F.col("c_nationkey").alias("first"))
-    box = sides.join(credited, ["game", "team"], "left").select("game", "season", "team", (F.coalesce("pts", F.lit(0)) + F.when((F.col("game") % 31 == 0) & (F.col("team") == F.col("first")), 1).otherwise(0)).alias("pts"))
-    played = poss.select("game").distinct()
+    played = lines.select(F.col("l_orderkey").alias("game"), "season", F.col("c_nationkey").alias("first"), offense.alias("offense_team"), F.when(F.col("l_linenumber") == 5, F.col("c_nationkey")).alias("scoring_team"), (F.floor("l_quantity") % 4).alias("points"))
+    poss, credit = played.select("game", "offense_team", "scoring_team", "points"), F.coalesce("scoring_team", "offense_team")
+    scored = lambda team, odd: (F.coalesce(F.sum(F.when(credit == team, F.col("points"))), F.lit(0)) + odd).alias("pts")
+    team = lambda c, odd: F.struct(c.alias("team"), scored(c, odd))
+    first, extra = F.col("first"), F.when(F.col("game") % 31 == 0, 1).otherwise(0)
+    box = played.where("game % 29 <> 0").groupBy("game", "season", "first").agg(F.array(team(first, extra), team(first + 1, F.lit(0))).alias("teams"))
+    box = box.select("game", "season", F.explode("teams").alias("x")).select("game", "season", "x.*")
     periods = t.orders.select(F.col("o_orderkey").alias("game"), F.when(F.col("o_orderkey") % 41 != 0, 4.0).alias("periods"))
-    return G.accounting_rows(poss, box.join(played, "game", "left_semi"), periods)
+    return G.accounting_rows(poss, box, periods)
 
 
 ACCOUNTED = ["GAME_ID", "SEASON_ID", "PERIODS", "PBP_PTS_A", "PBP_PTS_B", "BOX_PTS_A", "BOX_PTS_B", "POSS_A", "POSS_B", "UNATTRIBUTED_POSS", "UNATTRIBUTED_PTS", "SCORING_RECONCILED", "ATTRIBUTION_COMPLETE", "ALTERNATION_OK", "GAME_VALID"]
@@ -146,7 +153,7 @@ RELEASE = ["expected_games", "present_games", "missing_games", "unexpected_games
 
 def releases(t) -> DataFrame:
     name = S.padded_id(F.col("o_orderkey")).alias("GAME_ID")
-    expected = t.orders.where("o_orderkey % 47 <> 0").select(name, F.year("o_orderdate").cast("string").alias("SEASON_ID"))
+    expected = dealt(t.orders.where("o_orderkey % 47 <> 0").select(name, F.year("o_orderdate").cast("string").alias("SEASON_ID")), t.orders.count(), ["GAME_ID"])
     reason = F.when(F.col("o_orderkey") % 2 == 0, "link_empty").otherwise("no_bronze_pbp")
     declared = t.orders.where("o_orderkey % 29 = 0").select(name, reason.alias("DECLARED"), F.when(F.col("o_orderkey") % 11 == 0, "final_score").otherwise(reason).alias("ACTUAL"))
     return G.season_release(accounting(t), expected, declared)

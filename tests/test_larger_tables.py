@@ -59,3 +59,14 @@ def test_the_end_of_the_last_period_takes_no_window(spark):
     assert [(r.HAS_PERIOD_END, r.REASON) for r in status.collect()] == [(True, "final_score_mismatch_box; scoring_after_final_period_end")]
     windows = status._jdf.queryExecution().optimizedPlan().toString().count("Window [")
     assert windows == 3  # those of the scoreboard's periods
+
+
+def test_accounting_is_dealt_once(spark, monkeypatch):
+    """Lines are dealt out by games and their rows, and meet their box and periods there; the same rows come out."""
+    from statloom.plans import contracts
+
+    monkeypatch.setattr(contracts, "dealt", lambda df, rows, keys, each=0: R.dealt(df, rows, keys, 500))
+    made = registry.QUERIES["game_accounting"](spark, SMALL)
+    assert made.rdd.getNumPartitions() == -(-spark.read.parquet(f"{SMALL}/lineitem.parquet").count() // 500) > 4
+    for name in ("game_accounting", "released_seasons", "season_summary"):
+        assert rows_of(registry.QUERIES[name](spark, SMALL).toPandas()) == expected(registry.SQL[name], SMALL)
