@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .numbering import numbered
+from .numbering import numbered, stored
 from .scans import scan
 
 
@@ -113,24 +113,51 @@ def pair_counts(df: DataFrame, group: str, member: str, rows: int) -> DataFrame:
     return both.select(F.explode(turned).alias("_p"), "n").select("_p.a", "_p.b", "n")
 
 
+def size_bin(value: Column) -> Column:
+    """A whole number that doesn't fall as a double rises: 256 bins to a power of two, below and above zero; NaN is the greatest."""
+    size = (1 << 20) + F.floor(F.least(F.log2(F.abs(value)), F.lit(2000.0)) * 256)
+    return F.when(F.isnan(value), 1 << 40).when(value > 0, size).when(value < 0, -size).otherwise(0).cast("long")
+
+
+def same_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
+    """Equal keys, nulls too, of a's and of b's, which has them as _s_ and their name."""
+    same = F.lit(True)
+    for k in keys:
+        same = same & a[k].eqNullSafe(b[f"_s_{k}"])
+    return same
+
+
+#: Bins with a wanted rank, of all groups together, that are sent to all tasks.
+FEW = 1 << 17
+
+
 def many_quantiles(df: DataFrame, by: list[str], values: list[str], shares: list[float]) -> DataFrame:
-    """by.., and for each of values an array of its quantiles (null if it has no values): all measures are numbered at once. Equal values
+    """by.., and for each of values an array of its quantiles (null if it has no values): all measures are numbered at once. First values
+    are counted in bins, 256 to a power of two; where groups are few, only values of bins that hold a wanted rank are numbered. Equal values
     of a group are one row with a count, and counts are added up over ranges of group, measure and value, so that no task or buffer
-    holds a group, and no value is too frequent. A group with no value at all has no row."""
+    holds a group, and no value is too frequent. A group with no value at all has no row. df is read twice."""
     stacked = df.select(*by, F.explode(F.array(*(F.struct(F.lit(k).alias("_measure"), F.col(v).cast("double").alias("_value")) for k, v in enumerate(values)))).alias("_x")).select(*by, "_x.*")
-    counts = stacked.where("_value is not null").groupBy(*by, "_measure", "_value").agg(F.count("*").alias("_count"))
-    keys = [*by, "_measure"]
-    upto = scan(counts, keys, ["_value"], {"_upto": ("sum", F.col("_count"))})
-    sizes = counts.groupBy(*(F.col(k).alias(f"_s_{k}") for k in keys)).agg(F.sum("_count").alias("_n"))
-    same = F.lit(True)
-    for k in keys:
-        same = same & upto[k].eqNullSafe(sizes[f"_s_{k}"])
+    known, keys = stacked.where("_value is not null").withColumn("_bin", size_bin(F.col("_value"))), [*by, "_measure"]
+    group = Window.partitionBy(*keys)
+    bins = known.groupBy(*keys, "_bin").agg(F.count("*").alias("_count"))
+    bins = bins.withColumns({"_upto": F.sum("_count").over(group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)), "_n": F.sum("_count").over(group)})
     # the two ranks between which a quantile lies, where this value has one of them
     ranks = F.transform(F.array(*(F.lit(float(x)) for x in shares)), lambda x, at: F.struct(at.alias("at"), (x * (F.col("_n") - 1)).alias("rank")))
     lower = F.col("_upto") - F.col("_count")
     holds = lambda rank: (lower <= rank) & (rank < F.col("_upto"))
     mine = F.filter(ranks, lambda r: holds(F.floor(r["rank"])) | holds(F.ceil(r["rank"])))
-    met = upto.join(sizes, same).select(*keys, "_value", F.explode(mine).alias("_r")).select(*keys, "_value", "_r.*")
+    inside = [*keys, "_bin"]
+    wanted = stored(bins.where(F.size(mine) > 0).select(*(F.col(k).alias(f"_s_{k}") for k in inside), lower.alias("_below"), "_n"), "wanted-bins")
+    few = wanted.limit(FEW + 1).count() <= FEW
+    if few:
+        held = known.join(F.broadcast(wanted), same_keys(known, wanted, inside)).select(*inside, "_below", "_n", "_value")
+        counts = held.groupBy(*held.columns).agg(F.count("*").alias("_count"))
+        upto = scan(counts, inside, ["_value"], {"_upto": ("sum", F.col("_count"))}).withColumn("_upto", F.col("_upto") + F.col("_below"))
+    else:
+        upto = scan(known.groupBy(*keys, "_value").agg(F.count("*").alias("_count")), keys, ["_value"], {"_upto": ("sum", F.col("_count"))})
+        sizes = wanted.groupBy(*(f"_s_{k}" for k in keys)).agg(F.max("_n").alias("_n"))
+        upto = upto.join(sizes, same_keys(upto, sizes, keys))
+    met = upto.select(*keys, "_value", F.explode(mine).alias("_r")).select(*keys, "_value", "_r.*")
     part = F.max("rank") - F.floor(F.max("rank"))
     each = met.groupBy(*keys, "at").agg((F.min("_value") + (F.max("_value") - F.min("_value")) * part).alias("_q"))
     mine_of = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("_measure") == k, F.struct("at", "_q")))), lambda x: x["_q"])

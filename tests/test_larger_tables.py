@@ -84,3 +84,32 @@ def test_members_are_dealt_by_rows(spark, monkeypatch):
         assert made.rdd.getNumPartitions() == -(-spark.read.parquet(f"{SMALL}/lineitem.parquet").count() // 500) > 4
         assert "collect_set" not in made._jdf.queryExecution().optimizedPlan().toString()
         assert rows_of(made.toPandas()) == expected(registry.SQL["lineup_strength"], SMALL)
+
+
+def test_bins_rise_with_values(spark):
+    inf = float("inf")
+    values = [-inf, -1e308, -2.5, -1.0, -0.3, -5e-324, 0.0, 5e-324, 1e-300, 0.3, 1.0, 1.0000000000000002, 2.5, 1e308, inf, float("nan")]
+    bins = [r.b for r in spark.createDataFrame(list(enumerate(values)), "k int, v double").select("k", R.size_bin(F.col("v")).alias("b")).orderBy("k").collect()]
+    assert bins == sorted(bins) and bins[6] == 0 and len(set(bins)) >= 14
+
+
+def test_only_values_beside_a_quantile_are_numbered(spark, monkeypatch):
+    """Of 4000 values the scan sees those of the bins with a wanted rank; where groups are many, all of them; both give the same."""
+    df = spark.range(4000).select((F.col("id") % 2).alias("g"), (F.col("id") - 1000.0).alias("v"))
+    seen, scan = [], R.scan
+    monkeypatch.setattr(R, "scan", lambda rows, *a: (seen.append(rows.count()), scan(rows, *a))[1])
+    got = []
+    for few in (1 << 17, 0):
+        monkeypatch.setattr(R, "FEW", few)
+        got.append({r.g: r.v for r in R.many_quantiles(df, ["g"], ["v"], [0.0, 0.1, 0.5, 1.0]).collect()})
+    assert got[0] == got[1] and got[0][0] == [-1000.0, -1000 + 0.1 * 3998, 999.0, 2998.0]
+    assert seen[0] < 200 and seen[1] == 4000
+
+
+def test_games_of_a_season_are_worked_out_once(spark, monkeypatch):
+    from statloom.operators import coverage
+
+    names = []
+    monkeypatch.setattr(coverage, "stored", lambda df, name: (names.append(name), df)[1], raising=False)
+    assert rows_of(registry.QUERIES["season_coverage"](spark, SMALL).toPandas()) == expected(registry.SQL["season_coverage"], SMALL)
+    assert names == ["covered-games"]
