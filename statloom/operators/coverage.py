@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import correlation, safe_ratio
+from .numbering import stored
 from .relational import many_quantiles
 
 #: Measures that are medians over a season's games: name to column of games().
@@ -35,7 +36,7 @@ def season_coverage(possessions: DataFrame, stints: DataFrame, box: DataFrame, s
     and nine rates of outcomes. possessions: season, game, five (a full lineup on both sides), points, offense_team, outcome;
     stints: season, game, possessions, home_points, away_points; box: season, game, box_points and box_poss (null for a game of
     one side), box_margin, box_free_margin, real_home, and BOX_MEANS. A game is of one season; nulls are left out of medians and means."""
-    g = games(possessions, stints, box)
+    g = stored(games(possessions, stints, box), "covered-games")
     whole = F.col("stint_margin").isNotNull() & F.col("box_margin").isNotNull() & F.col("box_free_margin").isNotNull()
     kept = lambda c: F.when(whole, c)
     sums = g.groupBy("season").agg(

@@ -221,7 +221,8 @@ def season_coverage(t):
     """Seventeen measures and nine rates of each season, and which seasons have no source."""
     p, st, box = covered(t)
     seasons = t.spark.range(1994, 2002).select(F.col("id").cast("int").alias("season"))
-    found = COV.season_coverage(stored(p, "possessions"), st, box, seasons)
+    st = st.select("season", "game", "possessions", "home_points", "away_points")
+    found = COV.season_coverage(stored(p, "possessions"), stored(st, "stints"), box, seasons)
     return found.select("season", "status", "box_games", "games", "games_missing", *(S.stable(F.col(x)).alias(x) for x in COVERAGE_COLUMNS))
 
 
